@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, simhash
+from . import decontaminate, mixing, simhash
 from .common import table
 
 
@@ -18,7 +18,8 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"),
         F.round(F.get("mix_copies", F.lit(0))["position"], 6).alias("first_position"),
     )
-    return out.repartitionByRange(F.col("first_position").asc_nulls_last()).sortWithinPartitions(F.col("first_position").asc_nulls_last())
+    order = F.col("first_position").asc_nulls_last(), F.col("doc_id")  # rows that are not taken have no position
+    return out.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 OP1_SQL = r"""
@@ -62,9 +63,46 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.search(docs, table(spark, sf_dir, "benchmark"))
+    hit = decontaminate.n_hit()
+    return found.select(
+        "doc_id", F.col("hit_words").alias("n_words"), hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"),
+        decontaminate.digest().alias("items_sha256"), (hit > 0).alias("contaminated"),
+    )
+
+
+OP4_SQL = r"""
+WITH b AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM benchmark WHERE text IS NOT NULL),
+bw AS (
+  SELECT DISTINCT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, least(len(ws), 10) AS w, array_to_string(ws[i : i + least(len(ws), 10) - 1], ' ') AS k
+  FROM (SELECT item_id, ws, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS i FROM b WHERE len(ws) > 0)),
+d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws
+  FROM documents),
+dw AS (
+  SELECT doc_id, i, w, array_to_string(ws[i : i + w - 1], ' ') AS k
+  FROM (SELECT doc_id, ws, w, unnest(range(1, len(ws) - w + 2)) AS i FROM d, (SELECT DISTINCT w FROM bw) l WHERE len(ws) >= w)),
+occ AS (
+  SELECT doc_id, i, dw.w, item FROM dw JOIN bw ON dw.w = bw.w AND dw.k = bw.k),
+hit AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + w)) AS p FROM (SELECT DISTINCT doc_id, i, w FROM occ)) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT doc_id, item FROM occ) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_simhash": op2_simhash}
+    return {"op1_mixing": op1_mixing, "op2_simhash": op2_simhash, "op4_decontamination": op4_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL}
+    return {"op1_mixing": OP1_SQL, "op4_decontamination": OP4_SQL}
