@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, simhash
+from . import decontaminate, mixing, simhash, toxicity
 from .common import table
 
 
@@ -100,9 +100,19 @@ FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN items ON d.doc_id = item
 """
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), F.col("tox_score").alias("score"), (F.col("tox_score") >= 0.5).cast("int").alias("predicted"), F.col("tox_evidence").alias("evidence"))
+
+
+_QUERIES = {"op1_mixing": op1_mixing, "op2_simhash": op2_simhash, "op4_decontamination": op4_decontamination, "op8_toxicity": op8_toxicity}
+_SQL = {"op1_mixing": OP1_SQL, "op4_decontamination": OP4_SQL}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_simhash": op2_simhash, "op4_decontamination": op4_decontamination}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op4_decontamination": OP4_SQL}
+    return dict(_SQL)
