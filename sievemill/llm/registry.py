@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, simhash, toxicity
+from . import decontaminate, line_dedup, mixing, simhash, toxicity
 from .common import table
 
 
@@ -106,8 +106,32 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), F.col("tox_score").alias("score"), (F.col("tox_score") >= 0.5).cast("int").alias("predicted"), F.col("tox_evidence").alias("evidence"))
 
 
-_QUERIES = {"op1_mixing": op1_mixing, "op2_simhash": op2_simhash, "op4_decontamination": op4_decontamination, "op8_toxicity": op8_toxicity}
-_SQL = {"op1_mixing": OP1_SQL, "op4_decontamination": OP4_SQL}
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), host="source")
+    return cleaned.select("doc_id", "line_total", "line_dropped", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+OP7_SQL = r"""
+WITH l AS (
+  SELECT doc_id, source, i, ls[i] AS line, trim(translate(ls[i], chr(9) || chr(13), '  '), ' ') AS k, len(ls) AS n
+  FROM (SELECT doc_id, source, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))),
+p AS (
+  SELECT source, count(*) AS total FROM documents GROUP BY source),
+b AS (
+  SELECT c.source, c.k FROM (SELECT source, k, count(*) AS pages FROM (SELECT DISTINCT doc_id, source, k FROM l WHERE k <> '') GROUP BY source, k) c
+  JOIN p ON c.source IS NOT DISTINCT FROM p.source WHERE pages >= 5 AND pages > total * CAST(0.02 AS DOUBLE)),
+m AS (
+  SELECT l.*, b.k IS NOT NULL AS gone FROM l LEFT JOIN b ON l.source IS NOT DISTINCT FROM b.source AND l.k = b.k),
+t AS (
+  SELECT doc_id, count(*) AS line_total, count(*) FILTER (gone) AS line_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text FROM m GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(line_total, 0) AS BIGINT) AS line_total, CAST(coalesce(line_dropped, 0) AS BIGINT) AS line_dropped,
+       CAST(length(t.text) AS BIGINT) AS n_chars, sha256(t.text) AS text_sha256
+FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id
+"""
+
+
+_QUERIES = {"op1_mixing": op1_mixing, "op2_simhash": op2_simhash, "op4_decontamination": op4_decontamination, "op7_line_dedup": op7_line_dedup, "op8_toxicity": op8_toxicity}
+_SQL = {"op1_mixing": OP1_SQL, "op4_decontamination": OP4_SQL, "op7_line_dedup": OP7_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
