@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, mixing, simhash, toxicity
+from . import ann, decontaminate, line_dedup, mixing, simhash, toxicity
 from .common import table
 
 
@@ -130,7 +130,11 @@ FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id
 """
 
 
-_QUERIES = {"op1_mixing": op1_mixing, "op2_simhash": op2_simhash, "op4_decontamination": op4_decontamination, "op7_line_dedup": op7_line_dedup, "op8_toxicity": op8_toxicity}
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", k=10)
+
+
+_QUERIES = {"op1_mixing": op1_mixing, "op2_simhash": op2_simhash, "op4_decontamination": op4_decontamination, "op5_ann": op5_ann, "op7_line_dedup": op7_line_dedup, "op8_toxicity": op8_toxicity}
 _SQL = {"op1_mixing": OP1_SQL, "op4_decontamination": OP4_SQL, "op7_line_dedup": OP7_SQL}
 
 
