@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, line_dedup, mixing, simhash, toxicity
+from . import ann, decontaminate, line_dedup, mixing, simhash, toxicity, url_filter
 from .common import table
 
 
@@ -134,7 +134,16 @@ def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", k=10)
 
 
-_QUERIES = {"op1_mixing": op1_mixing, "op2_simhash": op2_simhash, "op4_decontamination": op4_decontamination, "op5_ann": op5_ann, "op7_line_dedup": op7_line_dedup, "op8_toxicity": op8_toxicity}
+#: (verdict, host, path) of the rules for pages.
+URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select("page_id", F.col("url_host").alias("host"), F.col("url_path").alias("path"), F.col("url_rule.rule").alias("rule"), F.col("url_verdict").alias("verdict"))
+
+
+_QUERIES = {"op1_mixing": op1_mixing, "op2_simhash": op2_simhash, "op4_decontamination": op4_decontamination, "op5_ann": op5_ann, "op7_line_dedup": op7_line_dedup, "op8_toxicity": op8_toxicity, "op9_url_filters": op9_url_filters}
 _SQL = {"op1_mixing": OP1_SQL, "op4_decontamination": OP4_SQL, "op7_line_dedup": OP7_SQL}
 
 
