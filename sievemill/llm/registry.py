@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, line_dedup, mixing, simhash, toxicity, url_filter
+from . import ann, decontaminate, html_text, line_dedup, mixing, simhash, toxicity, url_filter
 from .common import table
 
 
@@ -143,7 +143,12 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", F.col("url_host").alias("host"), F.col("url_path").alias("path"), F.col("url_rule.rule").alias("rule"), F.col("url_verdict").alias("verdict"))
 
 
-_QUERIES = {"op1_mixing": op1_mixing, "op2_simhash": op2_simhash, "op4_decontamination": op4_decontamination, "op5_ann": op5_ann, "op7_line_dedup": op7_line_dedup, "op8_toxicity": op8_toxicity, "op9_url_filters": op9_url_filters}
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.col("main_chars").alias("n_chars"))
+
+
+_QUERIES = {"op1_mixing": op1_mixing, "op2_simhash": op2_simhash, "op4_decontamination": op4_decontamination, "op5_ann": op5_ann, "op7_line_dedup": op7_line_dedup, "op8_toxicity": op8_toxicity, "op9_url_filters": op9_url_filters, "op10_html_extraction": op10_html_extraction}
 _SQL = {"op1_mixing": OP1_SQL, "op4_decontamination": OP4_SQL, "op7_line_dedup": OP7_SQL}
 
 
