@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, html_text, line_dedup, mixing, simhash, toxicity, url_filter
+from . import ann, decontaminate, html_text, line_dedup, mixing, simhash, toxicity, url_filter, warc
 from .common import table
 
 
@@ -148,8 +148,51 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.col("main_chars").alias("n_chars"))
 
 
-_QUERIES = {"op1_mixing": op1_mixing, "op2_simhash": op2_simhash, "op4_decontamination": op4_decontamination, "op5_ann": op5_ann, "op7_line_dedup": op7_line_dedup, "op8_toxicity": op8_toxicity, "op9_url_filters": op9_url_filters, "op10_html_extraction": op10_html_extraction}
-_SQL = {"op1_mixing": OP1_SQL, "op4_decontamination": OP4_SQL, "op7_line_dedup": OP7_SQL}
+def page_captures(pages: DataFrame) -> DataFrame:
+    """Records of a crawl of ``pages``: each page is a full response, a minute after the one
+    before, and half a day later the server says that it is not modified since."""
+    tag = F.concat(F.lit('"'), F.md5(F.coalesce(F.col("html"), F.lit("")).cast("binary")), F.lit('"'))
+    at = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("page_id") * 60)
+    full = F.create_map(F.lit("ETag"), tag, F.lit("Content-Type"), F.lit("text/html"), F.lit("Cache-Control"), F.lit("max-age=60"))
+    fresh = F.create_map(F.lit("ETag"), tag, F.lit("Cache-Control"), F.lit("max-age=3600"), F.lit("Content-Length"), F.lit("0"))
+    response = pages.select(F.concat(F.lit("r"), F.col("page_id")).alias("record_id"), F.lit("response").alias("kind"), "url", at.alias("at"), F.lit(200).alias("status"), full.alias("headers"), F.col("html").cast("binary").alias("body"))
+    revisit = pages.select(F.concat(F.lit("v"), F.col("page_id")), F.lit("revisit"), "url", at + F.expr("INTERVAL 12 HOURS"), F.lit(304), fresh, F.lit(None).cast("binary"))
+    return response.union(revisit)
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve(page_captures(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    return found.select("record_id", "canonical", "outcome", "response_id", F.sha2("body", 256).alias("body_sha256"), F.to_json("headers").alias("headers"))
+
+
+OP3_SQL = r"""
+WITH t AS (
+  SELECT page_id, html, regexp_replace(url, '(?s)#.*$', '') AS u FROM pages),
+p AS (
+  SELECT page_id, html,
+         regexp_replace(regexp_replace(lower(regexp_extract(u, '(?s)^.*?://([^/?]*)', 1)), ':(80|443)$', ''), '^www\.', '')
+         || regexp_replace(regexp_extract(u, '(?s)^.*?://[^/?]*([^?]*)', 1), '/+$', '') AS base,
+         list_sort(list_filter(string_split(regexp_extract(u, '(?s)\?(.*)$', 1), '&'),
+                   lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=&]*|gclid|fbclid|ref)(=|$)'))) AS q, u
+  FROM t),
+c AS (
+  SELECT page_id, html, '"' || md5(coalesce(html, '')) || '"' AS tag,
+         CASE WHEN contains(u, '://') THEN base || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END ELSE u END AS canonical
+  FROM p),
+j AS (
+  SELECT v.page_id, v.canonical, v.tag, max(r.page_id) AS rid
+  FROM c v LEFT JOIN c r ON r.canonical = v.canonical AND r.page_id < v.page_id + 720 GROUP BY v.page_id, v.canonical, v.tag)
+SELECT 'v' || j.page_id AS record_id, j.canonical,
+       CASE WHEN rid IS NULL THEN 'missing' WHEN r.tag = j.tag THEN 'resolved' ELSE 'changed' END AS outcome,
+       CASE WHEN r.tag = j.tag THEN 'r' || rid END AS response_id, CASE WHEN r.tag = j.tag THEN sha256(coalesce(r.html, '')) END AS body_sha256,
+       CASE WHEN r.tag = j.tag THEN '{"cache-control":"max-age=3600","content-type":"text/html","etag":"' || chr(92) || '"' || replace(j.tag, '"', '') || chr(92) || '""}'
+            ELSE '{"cache-control":"max-age=3600","content-length":"0","etag":"' || chr(92) || '"' || replace(j.tag, '"', '') || chr(92) || '""}' END AS headers
+FROM j LEFT JOIN c r ON r.page_id = j.rid
+"""
+
+
+_QUERIES = {"op1_mixing": op1_mixing, "op2_simhash": op2_simhash, "op3_warc": op3_warc, "op4_decontamination": op4_decontamination, "op5_ann": op5_ann, "op7_line_dedup": op7_line_dedup, "op8_toxicity": op8_toxicity, "op9_url_filters": op9_url_filters, "op10_html_extraction": op10_html_extraction}
+_SQL = {"op1_mixing": OP1_SQL, "op3_warc": OP3_SQL, "op4_decontamination": OP4_SQL, "op7_line_dedup": OP7_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
