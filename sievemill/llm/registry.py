@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, html_text, line_dedup, mixing, simhash, toxicity, url_filter, warc
+from . import ann, decontaminate, html_text, licenses, line_dedup, mixing, simhash, toxicity, url_filter, warc
 from .common import table
 
 
@@ -191,7 +191,12 @@ FROM j LEFT JOIN c r ON r.page_id = j.rid
 """
 
 
-_QUERIES = {"op1_mixing": op1_mixing, "op2_simhash": op2_simhash, "op3_warc": op3_warc, "op4_decontamination": op4_decontamination, "op5_ann": op5_ann, "op7_line_dedup": op7_line_dedup, "op8_toxicity": op8_toxicity, "op9_url_filters": op9_url_filters, "op10_html_extraction": op10_html_extraction}
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.size("license_matches").cast("long").alias("n_matches"), F.col("license_matches").alias("matches"))
+
+
+_QUERIES = {"op1_mixing": op1_mixing, "op2_simhash": op2_simhash, "op3_warc": op3_warc, "op4_decontamination": op4_decontamination, "op5_ann": op5_ann, "op6_licenses": op6_licenses, "op7_line_dedup": op7_line_dedup, "op8_toxicity": op8_toxicity, "op9_url_filters": op9_url_filters, "op10_html_extraction": op10_html_extraction}
 _SQL = {"op1_mixing": OP1_SQL, "op3_warc": OP3_SQL, "op4_decontamination": OP4_SQL, "op7_line_dedup": OP7_SQL}
 
 
