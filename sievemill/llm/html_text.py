@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
 from .url_filter import host_of, path_of
 
 #: Elements that start and end a block of text.
@@ -206,8 +205,9 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
                 yield pa.RecordBatch.from_arrays(columns, parsed_schema.names)
 
     marked = base.withColumns({"__host": host_of(url), "__path": path_of(url)})
-    # the range sort moves parsed text only; it is stored first, as its bounds need a pass of their own
-    parsed = stored(marked.mapInArrow(parse, parsed_schema))
+    # the range sort moves parsed text only; its bounds need a pass of their own, which parses
+    # once more but leaves nothing on disk
+    parsed = marked.mapInArrow(parse, parsed_schema)
     near = parsed.repartitionByRange("__host", "__path", F.xxhash64(url)).sortWithinPartitions("__host", "__path", F.xxhash64(url))
     out = T.StructType([*[base.schema[c] for c in rest], T.StructField("main_text", T.StringType())])
     places = {c: i for i, c in enumerate(parsed_schema.names)}
