@@ -1,8 +1,8 @@
 """Approximate nearest neighbours over balanced posting lists.
 
 Centroids come from a balanced k-means over a bounded sample. Every vector is put into the
-list of its nearest centroid, and a vector near a boundary into those of other centroids almost
-as near too, unless one of its lists' centroids is nearer to such a centroid than the vector is.
+list of its nearest centroid, and a vector near a boundary into those of the other centroids
+that are almost as near.
 Centroids are searched through an in-memory neighbour graph. A query reads the lists whose
 centroids are within a ratio of its nearest one's distance; the ratio is the least that covers
 COVER of the true neighbours in the sample. Distances in the lists are exact."""
@@ -23,7 +23,7 @@ FIT_ROWS = 16_384
 #: Vectors a list holds on average, before replication, as long as the sample gives as many centroids.
 LIST_ROWS, SAMPLE_ROWS_A_LIST = 256, 16
 #: A vector joins other lists whose centroids are at most so many times as far as its nearest.
-BOUNDARY = 1.06
+BOUNDARY = 1.02
 #: Share of the sample's true neighbours that the pruning ratio has to cover.
 COVER = 0.98
 DEGREE, ENTRIES, CALIBRATION_QUERIES = 24, 8, 256
@@ -73,7 +73,6 @@ class Index:
         self.centres = balanced_centroids(sample, k, seed=seed)
         k = len(self.centres)
         apart = _near(self.centres, self.centres)
-        self.apart = apart
         nearest = np.argsort(apart, axis=1)[:, 1 : DEGREE + 1]
         self.edges = np.zeros((k, k), np.float32)
         self.edges[np.repeat(np.arange(k), nearest.shape[1]), nearest.reshape(-1)] = 1
@@ -115,15 +114,11 @@ class Index:
         out = []
         for at in range(0, len(x), 512):
             far = self.reachable(x[at : at + 512], BOUNDARY)
-            order = np.argsort(far, axis=1, kind="stable")
+            limit = far.min(1) * BOUNDARY
+            first = far.argmin(1)
             for i in range(len(far)):
-                own = [int(order[i, 0])]
-                for c in order[i, 1:].tolist():
-                    if far[i, c] > BOUNDARY * far[i, own[0]]:
-                        break
-                    if all(self.apart[c, o] > far[i, c] for o in own):
-                        own.append(c)
-                out.append(np.array(own))
+                near = np.flatnonzero(far[i] <= limit[i])
+                out.append(np.concatenate([[first[i]], near[near != first[i]]]))
         return out
 
     def probes(self, x: np.ndarray) -> list[np.ndarray]:
