@@ -1 +1,297 @@
-"""Queries."""
+"""Queries of joins, aggregates, windows, top-k and set operations."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..operators import relational as r
+from ..streaming import incremental
+from .registry import Tables, query
+
+
+@query("""
+WITH k AS (SELECT s_suppkey AS id, s_suppkey, s_name FROM supplier UNION SELECT s_suppkey + 100000, s_suppkey, s_name FROM supplier)
+SELECT l_orderkey, l_linenumber, k.s_name FROM lineitem l LEFT JOIN k ON k.id = CASE WHEN l_linenumber % 2 = 0 THEN l_suppkey + 100000 ELSE l_suppkey END WHERE l_linenumber <= 3
+""")
+def j1_two_keys(d: Tables) -> DataFrame:
+    keys = d.supplier.select(F.explode(F.array(F.col("s_suppkey"), F.col("s_suppkey") + 100000)).alias("id"), "s_name")
+    lines = d.lineitem.filter("l_linenumber <= 3").withColumn("id", F.when(F.col("l_linenumber") % 2 == 0, F.col("l_suppkey") + 100000).otherwise(F.col("l_suppkey")))
+    return lines.join(keys, "id", "left").select("l_orderkey", "l_linenumber", "s_name")
+
+
+@query("SELECT o_orderkey, c_name, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'F'")
+def j2_j3_remap(d: Tables) -> DataFrame:
+    o = d.orders.filter("o_orderstatus = 'F'").select("o_orderkey", "o_custkey")
+    return o.join(d.customer, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(d.nation), F.col("c_nationkey") == F.col("n_nationkey")).select("o_orderkey", "c_name", "n_name")
+
+
+_ALIASES = [("thing", "thing"), ("thing", "ing"), ("the-and", "the and"), ("license", "License"), ("license", "GNU General Public License"), ("cc", "CC BY")]
+
+
+@query(f"""
+WITH a AS (SELECT * FROM (VALUES {", ".join(f"('{n}', '{x}')" for n, x in _ALIASES)}) t(name, alias)),
+h AS (SELECT doc_id, name, alias FROM documents, a WHERE contains(lower(text), lower(alias)) AND list_contains(regexp_extract_all(lower(text), '[a-z0-9]+'), lower(regexp_extract(alias, '^([A-Za-z0-9]+)', 1)))),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(alias) DESC, alias) AS r FROM h)
+SELECT doc_id, name FROM k WHERE r = 1
+""")
+def j5_o8_longest_alias(d: Tables) -> DataFrame:
+    names = d.documents.sparkSession.createDataFrame(_ALIASES, "name string, alias string")
+    return r.longest_alias(d.documents, "text", names, "doc_id")
+
+
+@query(f"""
+WITH a AS (SELECT * FROM (VALUES {", ".join(f"('{n}', '{x}')" for n, x in _ALIASES)}) t(name, alias)),
+h AS (SELECT DISTINCT doc_id, name FROM documents, a WHERE contains(lower(text), lower(alias)) AND list_contains(regexp_extract_all(lower(text), '[a-z0-9]+'), lower(regexp_extract(alias, '^([A-Za-z0-9]+)', 1))))
+SELECT doc_id, string_agg(name, ',' ORDER BY name) AS names FROM h GROUP BY doc_id
+""")
+def j6_contained_entities(d: Tables) -> DataFrame:
+    names = d.documents.sparkSession.createDataFrame(_ALIASES, "name string, alias string")
+    hits = r.contained_names(d.documents, "text", names, "doc_id")
+    return hits.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("names"))
+
+
+@query("SELECT DISTINCT p.p_partkey, s.s_suppkey FROM part p JOIN supplier s ON lower(p.p_brand) = lower('Brand#' || (s.s_suppkey % 50))")
+def j4_exact_alias(d: Tables) -> DataFrame:
+    alias = d.supplier.select("s_suppkey", F.lower(F.concat(F.lit("Brand#"), F.col("s_suppkey") % 50)).alias("k"))
+    return d.part.select("p_partkey", F.lower("p_brand").alias("k")).join(F.broadcast(alias), "k").select("p_partkey", "s_suppkey").distinct()
+
+
+@query("""
+WITH a AS (SELECT user_id, ts, event_type AS last_type FROM events WHERE event_type IN ('click', 'view')), p AS (SELECT event_id, user_id, ts FROM events WHERE event_type NOT IN ('click', 'view'))
+SELECT p.event_id, arg_max(a.last_type, a.ts) AS last_type FROM p LEFT JOIN a ON a.user_id = p.user_id AND a.ts <= p.ts GROUP BY p.event_id
+""")
+def j7_g17_as_of(d: Tables) -> DataFrame:
+    anchor = F.col("event_type").isin("click", "view")
+    anchors = d.events.filter(anchor).select("user_id", "ts", F.col("event_type").alias("last_type"))
+    return r.as_of(d.events.filter(~anchor).select("event_id", "user_id", "ts"), anchors, "user_id", "ts", "last_type").select("event_id", "last_type")
+
+
+@query("""
+WITH a AS (SELECT o_custkey AS id, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY 1), b AS (SELECT o_custkey AS id, count(*) AS m FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
+SELECT coalesce(a.id, b.id) AS id, coalesce(n, 0) AS n, coalesce(m, 0) AS m FROM a FULL JOIN b ON a.id = b.id
+""")
+def j8_full_outer(d: Tables) -> DataFrame:
+    def side(status: str, name: str) -> DataFrame:
+        return d.orders.filter(F.col("o_orderstatus") == status).groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias(name))
+
+    return side("O", "n").join(side("F", "m"), "id", "full").select("id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("m", F.lit(0)).alias("m"))
+
+
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def j10_k5_anti(d: Tables) -> DataFrame:
+    return d.customer.join(d.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_mktsegment")
+
+
+@query("SELECT doc_id, item_id FROM documents, benchmark b WHERE contains(documents.text, substr(b.text, 1, 40)) AND contains(documents.text, b.text)")
+def j11_quotes(d: Tables) -> DataFrame:
+    claims = d.benchmark.select("item_id", F.col("text").alias("quote"), F.regexp_extract(F.lower("text"), "([a-z]+)", 1).alias("w"))
+    words = d.documents.select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("w"))
+    return words.join(F.broadcast(claims), "w").filter(F.contains("text", F.col("quote"))).select("doc_id", "item_id")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000) AND c_acctbal > 0")
+def j12_u3_semi(d: Tables) -> DataFrame:
+    rich = d.orders.filter("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
+    return d.customer.filter("c_acctbal > 0").join(rich, "c_custkey", "left_semi").select("c_custkey")
+
+
+@query("SELECT a.r_name AS ra, b.n_name AS nb FROM region a CROSS JOIN nation b")
+def j13_all_combinations(d: Tables) -> DataFrame:
+    return d.region.select(F.col("r_name").alias("ra")).crossJoin(F.broadcast(d.nation.select(F.col("n_name").alias("nb"))))
+
+
+@query("""
+WITH g AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS a, list(o_totalprice ORDER BY o_orderkey) AS b FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey),
+h AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS c FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey)
+SELECT g.o_custkey, i, a[i] AS first_key, c[i] AS second_key FROM g JOIN h ON g.o_custkey = h.o_custkey, unnest(range(1, least(len(a), len(c)) + 1)) t(i)
+""")
+def j19_n17_positional_zip(d: Tables) -> DataFrame:
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+
+    def side(status: str, name: str) -> DataFrame:
+        return d.orders.filter(F.col("o_orderstatus") == status).select("o_custkey", F.row_number().over(w).cast("long").alias("i"), F.col("o_orderkey").alias(name))
+
+    return side("F", "first_key").join(side("O", "second_key"), ["o_custkey", "i"])
+
+
+@query("""
+SELECT l_suppkey, l_returnflag, count(*) AS n, string_agg(l_orderkey || ':' || l_linenumber, ',' ORDER BY l_orderkey, l_linenumber) AS seq FROM lineitem GROUP BY l_suppkey, l_returnflag
+""")
+def a1_nested_groups(d: Tables) -> DataFrame:
+    inner = d.lineitem.groupBy("l_suppkey", "l_returnflag").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber"))).alias("xs"))
+    return inner.select("l_suppkey", "l_returnflag", "n", F.array_join(F.transform("xs", lambda x: F.concat(x["l_orderkey"], F.lit(":"), x["l_linenumber"])), ",").alias("seq"))
+
+
+@query("""
+SELECT o_orderstatus, o_orderpriority, arg_min(o_orderkey, o_orderkey) AS first_key, arg_min(o_totalprice, CASE WHEN o_totalprice > 100000 THEN o_orderkey END) FILTER (o_totalprice > 100000) AS first_price FROM orders GROUP BY ALL
+""")
+def a2_first_present(d: Tables) -> DataFrame:
+    big = F.when(F.col("o_totalprice") > 100000, F.col("o_orderkey"))
+    return d.orders.groupBy("o_orderstatus", "o_orderpriority").agg(F.min("o_orderkey").alias("first_key"), F.min_by("o_totalprice", big).alias("first_price"))
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, count(*) FILTER (value > 50) AS big, round(100 * count(*) / CAST((SELECT count(*) FROM events) AS DOUBLE), 4) AS share FROM events GROUP BY event_type")
+def a5_a6_a9_counts(d: Tables) -> DataFrame:
+    total = d.events.agg(F.count("*").alias("total"))
+    by = d.events.groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.count_if(F.col("value") > 50).alias("big"))
+    return by.join(F.broadcast(total), F.lit(True)).select("event_type", "n", "users", "big", F.round(100 * F.col("n") / F.col("total"), 4).alias("share"))
+
+
+@query("SELECT p_brand, round(min(p_retailprice), 3) AS low, round(median(p_retailprice), 3) AS mid, round(max(p_retailprice), 3) AS high, count(*) AS n FROM part GROUP BY p_brand")
+def a7_a8_exact_median(d: Tables) -> DataFrame:
+    price = F.col("p_retailprice")
+    return d.part.groupBy("p_brand").agg(F.round(F.min(price), 3).alias("low"), F.round(F.median(price), 3).alias("mid"), F.round(F.max(price), 3).alias("high"), F.count("*").alias("n"))
+
+
+@query("SELECT split_part(p_type, ' ', 1) AS rule, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, rule LIMIT 20")
+def a10_a11_o3_distribution(d: Tables) -> DataFrame:
+    return d.part.groupBy(F.split_part("p_type", F.lit(" "), F.lit(1)).alias("rule")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "rule").limit(20)
+
+
+@query("SELECT n.n_name, count(c_custkey) AS n FROM nation n LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n.n_name")
+def a12_required_groups(d: Tables) -> DataFrame:
+    return d.nation.join(d.customer, F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy("n_name").agg(F.count("c_custkey").alias("n"))
+
+
+@query("""
+SELECT s.conv_id AS id, count(m.turn) AS message_count, max(m.turn) AS last_turn FROM (SELECT DISTINCT conv_id FROM conversations) s LEFT JOIN conversations m ON m.conv_id = s.conv_id AND m.role <> 'system'
+GROUP BY s.conv_id ORDER BY message_count DESC, id LIMIT 100
+""")
+def a13_j16_s8_sessions(d: Tables) -> DataFrame:
+    sessions = d.conversations.select("conv_id").distinct()
+    messages = d.conversations.filter("role <> 'system'")
+    return sessions.join(messages, "conv_id", "left").groupBy(F.col("conv_id").alias("id")).agg(F.count("turn").alias("message_count"), F.max("turn").alias("last_turn")).orderBy(F.desc("message_count"), "id").limit(100)
+
+
+@query("SELECT role, count(*) AS calls, CAST(sum(length(text)) AS BIGINT) AS tokens, round(sum(length(text)) * CAST(0.002 AS DOUBLE) / 1000, 6) AS cost FROM conversations GROUP BY role")
+def a14_a21_costs(d: Tables) -> DataFrame:
+    tokens = F.sum(F.length("text"))
+    return d.conversations.groupBy("role").agg(F.count("*").alias("calls"), tokens.cast("long").alias("tokens"), F.round(tokens * 0.002 / 1000, 6).alias("cost"))
+
+
+@query("SELECT l.quality, l.toxic, count(*) AS n, round(avg(CAST(contains(d.text, 'the') AS INTEGER)), 6) AS hit_rate FROM labels l JOIN documents d USING (doc_id) GROUP BY l.quality, l.toxic")
+def a15_a22_rates(d: Tables) -> DataFrame:
+    return d.labels.join(d.documents, "doc_id").groupBy("quality", "toxic").agg(F.count("*").alias("n"), F.round(F.avg(F.contains("text", F.lit("the")).cast("int")), 6).alias("hit_rate"))
+
+
+@query("SELECT o_custkey, arg_max(o_orderkey, o_totalprice * 1000000 + o_orderkey) AS best FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey")
+def a19_o5_e22_best(d: Tables) -> DataFrame:
+    return d.orders.filter("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("best"))
+
+
+@query("""
+SELECT source, min(doc_id) AS first_id, count(DISTINCT lang) AS langs, string_agg(DISTINCT lang, ',' ORDER BY lang) AS lang_list FROM documents GROUP BY source
+""")
+def a23_evidence_groups(d: Tables) -> DataFrame:
+    return d.documents.groupBy("source").agg(F.min("doc_id").alias("first_id"), F.countDistinct("lang").alias("langs"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("lang_list"))
+
+
+@query("SELECT md5(text) AS h, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY md5(text)")
+def a24_u4_exact_duplicates(d: Tables) -> DataFrame:
+    return d.documents.groupBy(F.md5("text").alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN r = 0 THEN CAST(o_custkey AS VARCHAR) ELSE o_custkey || '|dup' || r END AS id FROM (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS r FROM orders)
+""")
+def w2_suffixed_ids(d: Tables) -> DataFrame:
+    return r.suffixed_ids(d.orders.select("o_orderkey", F.col("o_custkey").alias("id")), "id", [F.col("o_orderkey")])
+
+
+@query("SELECT l_orderkey, l_linenumber, greatest(0, l_partkey - lag(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber) - 1) AS gap FROM lineitem WHERE l_linenumber = 1 OR l_linenumber > 1")
+def w5_gaps(d: Tables) -> DataFrame:
+    w = Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber")
+    return d.lineitem.select("l_orderkey", "l_linenumber", F.greatest(F.lit(0), F.col("l_partkey") - F.lag("l_suppkey").over(w) - 1).alias("gap"))
+
+
+@query("SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS chunk_seq, count(*) OVER (PARTITION BY conv_id) AS total_chunks FROM conversations")
+def w7_chunk_numbers(d: Tables) -> DataFrame:
+    w = Window.partitionBy("conv_id")
+    return d.conversations.select("conv_id", "turn", F.row_number().over(w.orderBy("turn")).alias("chunk_seq"), F.count("*").over(w).alias("total_chunks"))
+
+
+@query("""
+WITH f AS (SELECT c_mktsegment || c_nationkey AS k, c_custkey FROM customer), n AS (SELECT k, row_number() OVER (ORDER BY min(c_custkey)) AS r FROM f GROUP BY k)
+SELECT c_custkey, 'C' || lpad(CAST(r AS VARCHAR), 3, '0') AS number FROM f JOIN n USING (k)
+""")
+def w8_condition_numbers(d: Tables) -> DataFrame:
+    rows = d.customer.select("c_custkey", F.concat("c_mktsegment", "c_nationkey").alias("k"))
+    return r.numbered_by_first(rows, "k", "c_custkey").select("c_custkey", "number")
+
+
+@query("""
+WITH c AS (SELECT conv_id, turn, length(text) AS cost, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM conversations),
+k AS (SELECT conv_id, turn, CASE WHEN cost <= 800 - used THEN cost WHEN 800 - used > 100 THEN 800 - used END AS kept FROM c)
+SELECT conv_id, turn, CAST(kept AS BIGINT) AS kept FROM k WHERE kept IS NOT NULL
+""")
+def w9_history_budget(d: Tables) -> DataFrame:
+    return r.budgeted(d.conversations, "conv_id", [F.desc("turn")], F.length("text"), 800, 100).select("conv_id", "turn", F.col("kept").cast("long").alias("kept"))
+
+
+@query("""
+WITH s AS (SELECT user_id, event_id, value, lag(event_id) OVER w AS t0, lag(value) OVER w AS v0 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT user_id, round(arg_min(t0 + (event_id - t0) * (10 - v0) / (value - v0), event_id), 6) AS at FROM s WHERE value < 10 AND v0 IS NOT NULL GROUP BY user_id
+""")
+def w10_crossing(d: Tables) -> DataFrame:
+    return r.crossing(d.events, "user_id", "event_id", "value", 10.0).select("user_id", F.round("at", 6).alias("at"))
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r <= 3")
+def w11_o2_last_n(d: Tables) -> DataFrame:
+    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")))
+    return d.orders.withColumn("n", n).filter("n <= 3").select("o_custkey", "o_orderkey")
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN min(CAST(o_totalprice > 50000 AS INTEGER)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) = 1 THEN 'PASSED' ELSE 'PENDING' END AS status FROM orders
+""")
+def w12_i7_prefix(d: Tables) -> DataFrame:
+    return r.accepted_prefix(d.orders, "o_custkey", "o_orderkey", F.col("o_totalprice") > 50000).select("o_orderkey", "status")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+def o1_o4_top_k(d: Tables) -> DataFrame:
+    return d.orders.select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(25)
+
+
+@query("""
+WITH u AS (SELECT text, doc_id, 0 AS src FROM documents WHERE lang = 'en' UNION ALL SELECT text, doc_id, 1 FROM documents WHERE lang <> 'fr'), r AS (SELECT doc_id, src, row_number() OVER (PARTITION BY md5(text) ORDER BY src, doc_id) AS n FROM u)
+SELECT doc_id, src FROM r WHERE n = 1
+""")
+def u1_u2_u7_union_distinct(d: Tables) -> DataFrame:
+    cols = [F.md5("text").alias("h"), "doc_id"]
+    a, b = d.documents.filter("lang = 'en'").select(*cols, F.lit(0).alias("src")), d.documents.filter("lang <> 'fr'").select(*cols, F.lit(1).alias("src"))
+    return r.first_by(a.unionByName(b), ["h"], [F.col("src"), F.col("doc_id")]).select("doc_id", "src")
+
+
+@query("(SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) EXCEPT SELECT r_regionkey FROM region")
+def u3_intersect_except(d: Tables) -> DataFrame:
+    both = d.customer.select(F.col("c_nationkey").alias("k")).intersect(d.supplier.select("s_nationkey"))
+    return both.subtract(d.region.select("r_regionkey"))
+
+
+@query("""
+WITH e AS (SELECT o_orderkey, o_totalprice, 0 AS v FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT o_orderkey, o_totalprice + 1, 1 FROM orders WHERE o_orderkey % 2 = 0)
+SELECT o_orderkey, arg_max(o_totalprice, v) AS o_totalprice FROM e GROUP BY o_orderkey
+""")
+def k2_k4_upsert(d: Tables) -> DataFrame:
+    old = d.orders.filter("o_orderkey % 3 <> 0").select("o_orderkey", "o_totalprice", F.lit(0).alias("v"))
+    new = d.orders.filter("o_orderkey % 2 = 0").select("o_orderkey", (F.col("o_totalprice") + 1).alias("o_totalprice"), F.lit(1).alias("v"))
+    return r.upserted(old, new, ["o_orderkey"], "v").select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT conv_id, string_agg(role || ':' || length(text), '|' ORDER BY CASE WHEN role = 'system' THEN 1 ELSE 0 END, turn) AS merged FROM conversations GROUP BY conv_id")
+def k11_merged_fragments(d: Tables) -> DataFrame:
+    parts = F.array_sort(F.collect_list(F.struct((F.col("role") == "system").cast("int").alias("late"), "turn", F.concat("role", F.lit(":"), F.length("text")).alias("part"))))
+    return d.conversations.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda x: x["part"]), "|").alias("merged"))
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS ids FROM events GROUP BY event_type")
+def i1_i3_incremental(d: Tables) -> DataFrame:
+    return incremental.replayed(d.events.sparkSession, d.events, "event_id").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"))
+
+
+@query("SELECT user_id, count(*) AS steps, count(*) FILTER (value > 50) AS high, max(event_id) AS last_event FROM events GROUP BY user_id")
+def i4_stateful_fold(d: Tables) -> DataFrame:
+    return incremental.folded(d.events.sparkSession, d.events)
