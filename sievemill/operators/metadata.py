@@ -12,10 +12,8 @@ NOT_TITLES = ["abstract", "introduction", "keywords", "highlights", "references"
 def title(text: Column) -> Column:
     """The first level-one heading that is a title, null if none."""
     heads = F.filter(F.transform(F.filter(F.split(text, "\n"), lambda x: x.rlike("^# ")), lambda x: F.trim(F.substring(x, 3, 1 << 30))), lambda x: (x != ""))
-    kept = heads
-    for word in NOT_TITLES:
-        kept = F.filter(kept, lambda x, word=word: ~F.startswith(F.lower(x), F.lit(word)))
-    return F.get(kept, F.lit(0))
+    noise = "^(?:" + "|".join(NOT_TITLES) + ")"
+    return F.get(F.filter(heads, lambda x: ~F.lower(x).rlike(noise)), F.lit(0))
 
 
 def authors(text: Column) -> Column:

@@ -1 +1,235 @@
-"""Queries."""
+"""Queries of facts, data quality, rules, energy and physics, on rows made from the driver's tables."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import facts, physics, quality, rules
+from ..sources import tables as tb
+from .registry import Tables, query
+
+
+@query("""
+WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, concat_ws('|', CASE WHEN l_discount <> 0 THEN 'c_rate=' || l_returnflag END, CASE WHEN l_linenumber <> 1 THEN 'electrolyte=1M lipf6 in ' || CASE WHEN l_linenumber % 2 = 0 THEN 'DMC/EC' ELSE 'EC' END END) AS k FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN k = '' THEN 'NO_CONDITION' ELSE 'HASH_' || substr(sha256(k), 1, 8) END AS condition_id FROM s
+""")
+def n8_condition_id(d: Tables) -> DataFrame:
+    rate = F.when(F.col("l_discount") != 0, F.col("l_returnflag"))
+    salt = F.when(F.col("l_linenumber") == 1, "").when(F.col("l_linenumber") % 2 == 0, "1 M LiPF6 in EC:DMC").otherwise("1M LiPF6 in EC")
+    return d.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", facts.condition_id({"electrolyte": salt, "c_rate": rate}).alias("condition_id"))
+
+
+@query("""
+SELECT conv_id, turn, 'para-' || sha1(conv_id || '|' || turn || '|' || role) AS id, 'CELL_' || substr(sha256(conv_id || '|' || role), 1, 8) AS cell, md5(text) AS passage_md5 FROM conversations
+""")
+def n9_n10_ids(d: Tables) -> DataFrame:
+    c = F.col
+    return d.conversations.select("conv_id", "turn", facts.document_id(c("conv_id"), c("turn"), c("role")).alias("id"), facts.cell_id(c("conv_id"), c("role")).alias("cell"), F.md5("text").alias("passage_md5"))
+
+
+@query("""
+WITH RECURSIVE o AS (SELECT p_brand, p_size, p_partkey, p_retailprice AS v, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) AS r FROM part),
+f AS (SELECT p_brand, p_size, r, [v] AS kept, [1] AS members FROM o WHERE r = 1
+  UNION ALL
+  SELECT o.p_brand, o.p_size, o.r,
+    CASE WHEN len(list_filter(f.kept, lambda k: abs(o.v - k) / abs(k) < CAST(0.02 AS DOUBLE))) > 0 THEN f.kept ELSE list_append(f.kept, o.v) END,
+    CASE WHEN len(list_filter(f.kept, lambda k: abs(o.v - k) / abs(k) < CAST(0.02 AS DOUBLE))) > 0 THEN f.members ELSE list_append(f.members, 1) END
+  FROM f JOIN o ON o.p_brand = f.p_brand AND o.p_size = f.p_size AND o.r = f.r + 1),
+l AS (SELECT p_brand, p_size, kept FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY r DESC) AS z FROM f) WHERE z = 1)
+SELECT p_brand, p_size, unnest(kept) AS p_retailprice FROM l
+""")
+def a3_near_duplicates(d: Tables) -> DataFrame:
+    return facts.merged_values(d.part, ["p_brand", "p_size"], "p_retailprice", "p_partkey").select("p_brand", "p_size", "p_retailprice")
+
+
+@query("""
+SELECT l_suppkey AS doi, l_partkey AS material_id, l_returnflag AS condition_id, count(*) AS n FROM lineitem WHERE l_suppkey <= 20 GROUP BY ALL
+""")
+def a4_n13_cells(d: Tables) -> DataFrame:
+    rows = d.lineitem.filter("l_suppkey <= 20").select(F.col("l_suppkey").alias("doi"), F.col("l_partkey").alias("material_id"), F.col("l_returnflag").alias("condition_id"), F.lit("qty").alias("name"), F.col("l_quantity").alias("value"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    return facts.cells(facts.grouped_papers(rows)).select("doi", F.col("working_material").alias("material_id"), "condition_id", F.col("n_properties").cast("long").alias("n"))
+
+
+@query("""
+SELECT o_orderkey, o_orderpriority IN ('1-URGENT', '2-HIGH') AS linked FROM orders
+""")
+def n11_orphans(d: Tables) -> DataFrame:
+    rows = d.orders.select("o_orderkey", F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), F.col("o_orderpriority")).otherwise(" ").alias("condition_id"))
+    linked, orphans = facts.without_orphans(rows, "condition_id")
+    return linked.select("o_orderkey", F.lit(True).alias("linked")).union(orphans.select("o_orderkey", F.lit(False)))
+
+
+@query("""
+SELECT event_id, 'p_AGG' AS name, '0' AS value, '%' AS unit, CAST(NULL AS VARCHAR) AS prop_c_rate FROM events WHERE event_id % 3 = 0
+UNION ALL SELECT event_id, 'p_CIP', CAST(user_id AS VARCHAR), '%', NULL FROM events WHERE event_id % 3 = 0
+UNION ALL SELECT event_id, 'p', CAST(user_id AS VARCHAR), 'mAh/g', '1C' FROM events WHERE event_id % 3 = 1
+UNION ALL SELECT event_id, 'p', '7', 'mAh/g', '2C' FROM events WHERE event_id % 3 = 1
+UNION ALL SELECT event_id, 'p', CAST(user_id AS VARCHAR), 'V', NULL FROM events WHERE event_id % 3 = 2
+""")
+def n15_flattened(d: Tables) -> DataFrame:
+    k, u = F.col("event_id") % 3, F.col("user_id")
+    value = (
+        F.when((k == 0) & (F.col("event_id") % 2 == 0), F.concat(F.lit('{"CIP": '), u, F.lit(', "AGG": 0, "unit": "%"}')))
+        .when(k == 0, F.concat(F.lit("{'CIP': "), u, F.lit(", 'AGG': 0, 'unit': '%'}")))
+        .when(k == 1, F.concat(F.lit('[{"rate": "1C", "capacity": '), u, F.lit('}, {"rate": "2C", "capacity": 7}]')))
+        .otherwise(u.cast("string"))
+    )
+    rows = d.events.select("event_id", F.lit("p").alias("name"), value.alias("value"), F.when(k == 2, "V").when(k == 1, "mAh/g").alias("unit"))
+    return facts.flattened(rows, "name", "value", "unit")
+
+
+@query("""
+SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'LIPF6_DEC-EC' WHEN 1 THEN '1.2M_LIPF6_DMC-EC_VC' END AS formulation FROM customer
+""")
+def n1_formulations(d: Tables) -> DataFrame:
+    s = F.when(F.col("c_custkey") % 3 == 0, "1M LiPF6 in EC/DEC").when(F.col("c_custkey") % 3 == 1, "1.2M LiPF6 in EC/DMC + 1% VC").otherwise("some salt")
+    return d.customer.select("c_custkey", facts.formulation_id(s).alias("formulation"))
+
+
+@query("""
+SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'NCM811' WHEN 1 THEN 'hard carbon' ELSE 'Si' END AS base, CASE p_size % 3 WHEN 0 THEN 'NCM811_Al2O3-coated' WHEN 1 THEN 'hard carbon_N-doped_S-doped' ELSE 'Si_graphene-coated_nanoparticles' END AS variant FROM part
+""")
+def n2_n3_modifications(d: Tables) -> DataFrame:
+    s = F.when(F.col("p_size") % 3 == 0, "Al2O3-coated NCM811").when(F.col("p_size") % 3 == 1, "N,S co-doped hard carbon").otherwise("graphene-wrapped Si nanoparticles")
+    m = d.part.select("p_partkey", facts.modifications(s).alias("m"))
+    return m.select("p_partkey", F.col("m.base").alias("base"), facts.variant_id(F.col("m.base"), F.col("m")).alias("variant"))
+
+
+@query("""
+SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'ncm' WHEN 1 THEN 'lco' END AS base_id, CASE p_size % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'formula' ELSE 'none' END AS norm_method FROM part
+""")
+def n4_n5_resolution(d: Tables) -> DataFrame:
+    spark = d.part.sparkSession
+    aliases = spark.createDataFrame([("ncm811", "ncm")], "alias_key string, id string")
+    formulas = spark.createDataFrame([("Co1Li1O2", "lco")], "formula_key string, id string")
+    rows = d.part.select("p_partkey", F.when(F.col("p_size") % 3 == 0, "NCM-811").when(F.col("p_size") % 3 == 1, "LiCoO2").otherwise("what").alias("name"))
+    return facts.resolved(rows, "name", aliases, formulas).select("p_partkey", "base_id", "norm_method")
+
+
+@query("SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey = b.n_regionkey")
+def n12_j21_compatible(d: Tables) -> DataFrame:
+    k = d.nation.select("n_nationkey", "n_regionkey", F.lit(None).cast("string").alias("scan_rate"))
+    a, b = k.alias("a"), k.alias("b")
+    on = facts.compatible("a", "b", ["n_regionkey", "scan_rate"]) & (F.col("a.n_nationkey") < F.col("b.n_nationkey"))
+    return a.join(F.broadcast(b), on).select(F.col("a.n_nationkey").alias("a"), F.col("b.n_nationkey").alias("b"))
+
+
+@query("""
+SELECT c_custkey, c_custkey % 2 = 0 AS same FROM customer
+""")
+def n20_same_goal(d: Tables) -> DataFrame:
+    b = F.when(F.col("c_custkey") % 2 == 0, "design a 400 Wh/kg cell, LiNi0.8Co0.1Mn0.1O2").otherwise("design a 350Wh/kg cell")
+    return d.customer.select("c_custkey", facts.same_goal(F.lit("Design of a 400Wh/kg Cell"), b).alias("same"))
+
+
+_LINES = """WITH s AS (SELECT l_orderkey, l_linenumber, l_quantity AS v, CASE l_linenumber % 4 WHEN 0 THEN 'Specific_Capacity' WHEN 1 THEN 'Operating_Voltage' WHEN 2 THEN 'Porosity' ELSE 'Note' END AS name,
+  CASE l_linenumber % 4 WHEN 0 THEN 'Ah/kg' WHEN 1 THEN 'mV' WHEN 2 THEN '%' ELSE 'x' END AS unit FROM lineitem WHERE l_orderkey % 5 = 0),
+c AS (SELECT *, CASE name WHEN 'Specific_Capacity' THEN v WHEN 'Operating_Voltage' THEN v * CAST(0.001 AS DOUBLE) WHEN 'Porosity' THEN v / 100 END AS b FROM s)
+"""
+
+
+def _checked(d: Tables) -> DataFrame:
+    k = F.col("l_linenumber") % 4
+    name = F.when(k == 0, "Specific_Capacity").when(k == 1, "Operating_Voltage").when(k == 2, "Porosity").otherwise("Note")
+    unit = F.when(k == 0, "Ah/kg").when(k == 1, "m V").when(k == 2, "%").otherwise("x")
+    rows = d.lineitem.filter("l_orderkey % 5 = 0").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("v"), name.alias("name"), unit.alias("unit"), F.lit("cathode").alias("component"))
+    return quality.checked(rows, "name", "v", "unit", "component")
+
+
+@query(_LINES + "SELECT l_orderkey, l_linenumber, v, b AS value_base, coalesce(CASE name WHEN 'Specific_Capacity' THEN b BETWEEN 0 AND 600 WHEN 'Operating_Voltage' THEN b BETWEEN 0 AND 6 WHEN 'Porosity' THEN b BETWEEN 0 AND 1 END, true) AS ok FROM c")
+def d1_d2_ranges(d: Tables) -> DataFrame:
+    return _checked(d).select("l_orderkey", "l_linenumber", "v", "value_base", "ok")
+
+
+@query(_LINES + "SELECT name, count(*) AS checked, count(*) FILTER (NOT coalesce(CASE name WHEN 'Specific_Capacity' THEN b BETWEEN 0 AND 600 WHEN 'Operating_Voltage' THEN b BETWEEN 0 AND 6 WHEN 'Porosity' THEN b BETWEEN 0 AND 1 END, true)) AS dropped, 0 AS unknown_unit FROM c GROUP BY name")
+def d3_report(d: Tables) -> DataFrame:
+    return quality.report(_checked(d), "name")
+
+
+@query("""
+SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'value' ELSE '' END AS missing FROM events
+""")
+def d5_relations(d: Tables) -> DataFrame:
+    relation = F.when(F.col("event_id") % 2 == 0, '{"type": "performance", "property": "x"}').otherwise('{"type": "performance", "property": "x", "value": "3"}')
+    return d.events.select("event_id", F.array_join(quality.relation_problems(relation, {"performance": ["property", "value"]}), ",").alias("missing"))
+
+
+_SCHEMES = f"""WITH c AS (SELECT * FROM (VALUES {", ".join(str(c) for c in rules.CATHODES)}) t(cathode, voltage, voltage_limit, capacity)), a AS (SELECT * FROM (VALUES {", ".join(f"('{x[0]}')" for x in rules.ANODES)}) t(anode)),
+e AS (SELECT * FROM (VALUES {", ".join(f"('{x[0]}')" for x in rules.ELECTROLYTES)}) t(electrolyte)), s AS (SELECT * FROM c, a, e),
+f AS (SELECT *, (CAST(voltage_limit AS DOUBLE) > 4.3 AND contains(electrolyte, 'carbonate')) AS c1, (CAST(voltage_limit AS DOUBLE) > 4.6 AND electrolyte = 'carbonate_ec') AS c2, (anode = 'li_metal' AND contains(electrolyte, 'carbonate')) AS c3, anode = 'graphite' AS c7 FROM s)
+"""
+
+
+def _schemes(d: Tables) -> DataFrame:
+    s = rules.enumerated(d.region.sparkSession)
+    fields = {c: F.col(c) for c in ("cathode", "anode", "electrolyte", "voltage_limit")} | {"target_energy": F.lit(450.0)}
+    return rules.evaluated(s, fields, F.array().cast("array<string>"), F.lit(True))
+
+
+@query(_SCHEMES + "SELECT cathode, anode, electrolyte, NOT (c1 OR c2 OR c3 OR c7) AS feasible, CAST(CAST(c1 AS INTEGER) + CAST(c2 AS INTEGER) + CAST(c3 AS INTEGER) + CAST(c7 AS INTEGER) AS INTEGER) AS violations FROM f")
+def e1_e4_j15_rules(d: Tables) -> DataFrame:
+    s = _schemes(d)
+    return s.select("cathode", "anode", "electrolyte", "feasible", F.size(F.filter("hits", lambda h: h["outcome"] == "violation")).alias("violations"))
+
+
+@query(_SCHEMES + ", g AS (SELECT *, CAST(voltage AS DOUBLE) * CAST(capacity AS DOUBLE) * CASE anode WHEN 'si_base' THEN CAST(0.45 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS energy FROM f WHERE NOT (c1 OR c2 OR c3 OR c7)) SELECT electrolyte, count(*) AS feasible, round(max(energy), 4) AS best_energy FROM g GROUP BY electrolyte")
+def e6_e9_enumeration(d: Tables) -> DataFrame:
+    energy = rules.cell_energy(F.col("voltage"), F.col("capacity"), F.col("anode"))
+    return _schemes(d).filter("feasible").groupBy("electrolyte").agg(F.count("*").alias("feasible"), F.round(F.max(energy), 4).alias("best_energy"))
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN abs(o_totalprice - 150000) / 150000 <= CAST(0.35 AS DOUBLE) THEN 'ok' ELSE 'energy_mismatch' END AS claim, CASE WHEN o_totalprice < 50000 THEN 'below_range' WHEN o_totalprice > 350000 THEN 'above_range' ELSE 'ok' END AS in_range FROM orders
+""")
+def e9_e10_claims(d: Tables) -> DataFrame:
+    x = F.col("o_totalprice")
+    return d.orders.select("o_orderkey", rules.claim_check(x, F.lit(150000.0)).alias("claim"), rules.range_check(x, F.lit(50000.0), F.lit(350000.0)).alias("in_range"))
+
+
+@query("SELECT c_custkey, CAST(300 + c_custkey % 100 AS DOUBLE) AS claim FROM customer")
+def e11_energy_claim(d: Tables) -> DataFrame:
+    return d.customer.select("c_custkey", rules.energy_claim(F.concat(F.lit("We see 200 Wh/kg. Cells reach about "), 300 + F.col("c_custkey") % 100, F.lit(" Wh/kg."))).alias("claim"))
+
+
+@query("""
+SELECT p_partkey, round(CASE WHEN p_size % 3 = 0 THEN p_size WHEN p_size % 3 = 1 THEN p_size / CAST(3.2 AS DOUBLE) * 10 ELSE 75 END, 6) AS um, CASE p_size % 3 WHEN 0 THEN 'explicit' WHEN 1 THEN 'derived' ELSE 'baseline' END AS source FROM part
+""")
+def e13_geometry(d: Tables) -> DataFrame:
+    size, k = F.col("p_size").cast("double"), F.col("p_size") % 3
+    g = d.part.select("p_partkey", rules.thickness(F.when(k == 0, size), F.when(k == 1, size), F.lit(3.2), 75.0).alias("g"))
+    return g.select("p_partkey", F.round("g.um", 6).alias("um"), F.col("g.source").alias("source"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_partkey, concat_ws(',', CASE WHEN NOT (l_quantity / 10 BETWEEN 1 AND 2.5) THEN 'n_p_ratio' END, CASE WHEN l_linenumber < 1 OR l_linenumber > 5 OR l_linenumber >= 4 THEN 'voltage' END) AS violations FROM lineitem
+""")
+def e14_violations(d: Tables) -> DataFrame:
+    v = rules.geometry_violations(F.col("l_quantity") / 10, F.col("l_linenumber").cast("double"), F.lit(4.0), F.lit(0.3))
+    return d.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.array_join(v, ",").alias("violations"))
+
+
+@query("SELECT p_partkey, round(CAST(0.01 AS DOUBLE) * CAST(96485.33212 AS DOUBLE) * p_size * CAST(0.000001 AS DOUBLE) * CAST(0.6 AS DOUBLE) * 50000 * CAST(0.5 AS DOUBLE), 4) AS coulombs FROM part")
+def e18_capacity(d: Tables) -> DataFrame:
+    q = rules.electrode_capacity(F.lit(0.01), F.col("p_size") * 1e-6, F.lit(0.6), F.lit(50000.0), F.lit(0.4), F.lit(0.9))
+    return d.part.select("p_partkey", F.round(q, 4).alias("coulombs"))
+
+
+@query()
+def e19_e20_surrogate(d: Tables) -> DataFrame:
+    rng = np.random.default_rng(0)
+    w = {"bn_moving_mean": np.zeros(3), "bn_moving_var": np.ones(3), "bn_eps": 1e-3, "bn_gamma": np.ones(3), "bn_beta": np.zeros(3)}
+    for name, shape in (("d1", (3, 30)), ("d2", (30, 30)), ("d3", (30, 1))):
+        w |= {f"{name}_kernel": rng.normal(0, 0.3, shape), f"{name}_bias": np.zeros(shape[1])}
+    rows = d.lineitem.select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 50).alias("s"), F.lit(1.0).alias("rho"), F.col("l_discount").alias("bc"))
+    return physics.with_network(rows, ["s", "rho", "bc"], w)
+
+
+@query(r"""
+WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<li>')) AS x FROM pages) SELECT page_id, count(*) AS n_cells FROM l GROUP BY page_id
+""")
+def s9_s10_tables(d: Tables) -> DataFrame:
+    items = F.regexp_extract_all("html", F.lit("<li>"), F.lit(0))
+    table = F.concat(F.lit("| k |\n|---|\n"), F.array_join(F.transform(items, lambda x: F.lit("| v |")), "\n"))
+    return d.pages.select("page_id", F.explode(tb.pipe_rows(table)).alias("r")).groupBy("page_id").agg(F.count("*").alias("n_cells"))

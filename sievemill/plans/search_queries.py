@@ -117,7 +117,7 @@ def r10_numeric_bonus(d: Tables) -> DataFrame:
 @query("""
 WITH h AS (SELECT o_orderkey, o_custkey, o_totalprice AS score, o_totalprice % 97 / 97 AS rr FROM orders),
 m AS (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM h WINDOW w AS (PARTITION BY o_custkey))
-SELECT o_orderkey, CAST(floor(1000 * (CAST(0.3 AS DOUBLE) * CASE WHEN hi = lo THEN CAST(0.5 AS DOUBLE) ELSE (score - lo) / (hi - lo) END + CAST(0.7 AS DOUBLE) * rr) + CAST(0.0001 AS DOUBLE)) AS BIGINT) AS score FROM m
+SELECT o_orderkey, CAST(floor(1000 * round(CAST(0.3 AS DOUBLE) * CASE WHEN hi = lo THEN CAST(0.5 AS DOUBLE) ELSE (score - lo) / (hi - lo) END + CAST(0.7 AS DOUBLE) * rr, 6) + CAST(0.0001 AS DOUBLE)) AS BIGINT) AS score FROM m
 """)
 def r12_w4_reranked(d: Tables) -> DataFrame:
     hits = d.orders.select("o_orderkey", "o_custkey", F.col("o_totalprice").alias("score"), (F.col("o_totalprice") % 97 / 97).alias("rr"))
