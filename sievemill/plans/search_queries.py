@@ -27,9 +27,9 @@ def _bench_hits(d: Tables, k: int) -> DataFrame:
     return s.bm25(d.documents.select("doc_id", "text"), d.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), k)
 
 
-@query(_BM25 + "SELECT query_id, doc_id, round(score, 4) AS score FROM rk WHERE rank <= 10")
+@query(_BM25 + "SELECT query_id, doc_id, score FROM rk WHERE rank <= 10")
 def r1_bm25(d: Tables) -> DataFrame:
-    return _bench_hits(d, 10).select("query_id", "doc_id", F.round("score", 4).alias("score"))
+    return _bench_hits(d, 10).select("query_id", "doc_id", "score")
 
 
 @query(f"""
