@@ -77,7 +77,7 @@ def test_stages(spark, folder):
     for r in docs.collect():
         mixed[r.source] = mixed.get(r.source, 0) + r.words
     total = sum(sizes.values())
-    assert abs(mixed["a"] - total / 4) <= 1 and abs(mixed["b"] - total / 2) <= 1 and abs(mixed[None] - total / 4) <= 1
+    assert abs(mixed["a"] - total / 6) <= 1 and abs(mixed["b"] - total / 3) <= 1 and abs(mixed[None] - total / 2) <= 1
     assert len(toxicity.PREFIXES) == 4
 
 
