@@ -115,3 +115,37 @@ def has_word(text: Column, word: str) -> Column:
 def is_seed_sentence(text: Column) -> Column:
     """30 to 600 characters, not a caption, no digit first."""
     return F.length(text).between(30, 600) & ~text.rlike(r"(?:Figure|Table|Fig\.)") & ~text.rlike(r"^[0-9]")
+
+
+#: The paragraph ladder: (rule, most characters or none, pattern), in order; the first that fits counts. The patterns have no
+#: look-around, so that other engines run them too.
+PARAGRAPH_LADDER: list[tuple[str, int | None, str]] = [
+    ("caption", None, r"^(?i:fig(?:ure)?|tab(?:le)?|scheme)\.?\s*[Ss]?[0-9]+"),
+    ("heading", None, r"^#{1,6}\s"),
+    ("section", 120, r"^[0-9]+(?:\.[0-9]+)+\.?\s+[A-Z]"),
+    ("comment", None, r"^<!--"),
+    ("image", None, r"^!\[[^\]]*\]\([^)]*\)\s*$"),
+    ("citation", None, r"^(?i:cite this|how to cite)"),
+    ("doi", 200, r"(?i:https?://(?:dx\.)?doi\.org/|orcid\.org|doi\s*:\s*10\.)"),
+    ("references", 5000, r"(?:\[[0-9]+\][^\[]{10,200}(?:19|20)[0-9]{2}[^\[]*){3,}"),
+    ("address", 120, r"(?i:university|institute of|department of|laboratory|academy of sciences)"),
+    ("numbers", 60, r"^[0-9\s.,%()\-]+$"),
+    ("mail", 120, r"@[a-zA-Z0-9.-]+\.(?:com|org|edu|gov|cn|net)"),
+    ("authors", 250, r"^(?:[A-Z][a-z]+(?:-[A-Z][a-z]+)?\s+(?:[A-Z]\.?\s+)?[A-Z][a-z]+[0-9*†,\s]*(?:and\s+)?){3,}$"),
+    ("initials", 150, r"^(?:[A-Z]\.\s+[A-Z][a-z]+(?:-[A-Z][a-z]+)?,?\s*){3,}$"),
+    ("supplement", 100, r"(?i:supplementary|supporting)\s+(?i:information)"),
+    ("dates", 200, r"^\s*(?i:received|revised|accepted|published)\s*(?i:online)?\s*:"),
+    ("keywords", None, r"^(?:Keywords|关键词)\s*[:：]"),
+    ("abstract", None, r"^(?:摘[\s　]*要|提要)\s*[:：]?"),
+    ("fragment", 20, r"^[^a-zA-Z\x{4e00}-\x{9fff}]*$"),
+]
+
+
+def paragraph_rule(text: Column) -> Column:
+    """Name of the first rule of the ladder that makes a paragraph noise; ``blank`` for none at all; null if it stays."""
+    s = F.regexp_replace(text, r"^\s+|\s+$", "")
+    out = F.when(s == "", "blank")
+    for name, most, pattern in PARAGRAPH_LADDER:
+        fits = s.rlike(pattern)
+        out = out.when(fits if most is None else fits & (F.length(s) < most), name)
+    return out

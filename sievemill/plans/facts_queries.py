@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import facts, physics, quality, rules
+from ..operators import extraction, facts, gates, physics, quality, rules
 from ..sources import tables as tb
 from .registry import Tables, query
 
@@ -233,3 +233,70 @@ def s9_s10_tables(d: Tables) -> DataFrame:
     items = F.regexp_extract_all("html", F.lit("<li>"), F.lit(0))
     table = F.concat(F.lit("| k |\n|---|\n"), F.array_join(F.transform(items, lambda x: F.lit("| v |")), "\n"))
     return d.pages.select("page_id", F.explode(tb.pipe_rows(table)).alias("r")).groupBy("page_id").agg(F.count("*").alias("n_cells"))
+
+
+_MADE = "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'The cathode has loading ' || (c_custkey % 20 + 1) || '-' || (c_custkey % 20 + 3) || ' mg/cm² and the anode thickness 50 um.' ELSE 'The anode porosity 30 %.' END AS text FROM customer"
+
+
+def _made(d: Tables) -> DataFrame:
+    k = F.col("c_custkey") % 20
+    text = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("The cathode has loading "), k + 1, F.lit("-"), k + 3, F.lit(" mg/cm² and the anode thickness 50 um."))).otherwise("The anode porosity 30 %.")
+    return d.customer.select("c_custkey", text.alias("text"))
+
+
+@query("""
+SELECT c_custkey, 'cathode' AS component, 'loading_mg_cm2' AS field, CAST(c_custkey % 20 + 2 AS DOUBLE) AS value FROM customer WHERE c_custkey % 2 = 0
+UNION ALL SELECT c_custkey, 'anode', 'thickness_um', CAST(50 AS DOUBLE) FROM customer WHERE c_custkey % 2 = 0
+UNION ALL SELECT c_custkey, 'anode', 'porosity_pct', CAST(30 AS DOUBLE) FROM customer WHERE c_custkey % 2 = 1
+""")
+def e12_g17_geometry(d: Tables) -> DataFrame:
+    return extraction.geometry(_made(d), "c_custkey", "text")
+
+
+@query("""
+SELECT p_partkey, 'capacity:' || CAST(p_size AS DOUBLE) || ' mAh/g;voltage:3.7 V' AS summary FROM part
+""")
+def d4_quantities(d: Tables) -> DataFrame:
+    q = extraction.quantities(F.concat(F.lit("It gives "), F.col("p_size"), F.lit(" mAh/g at 3.7 V and again "), F.col("p_size"), F.lit(" mAh/g.")))
+    shown = F.transform(q, lambda e: F.concat(e["kind"], F.lit(":"), e["value"].cast("string"), F.lit(" "), e["unit"]))
+    return d.part.select("p_partkey", F.array_join(shown, ";").alias("summary"))
+
+
+@query("""
+SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'full-cell/NCM811/graphite' WHEN 1 THEN 'comparison/bare LFP/' ELSE 'unknown/Title/' END AS systems FROM supplier
+""")
+def l13_systems(d: Tables) -> DataFrame:
+    k = F.col("s_suppkey") % 3
+    text = F.when(k == 0, "a full cell using NCM811 || graphite").when(k == 1, "we use bare LFP").otherwise("# Title")
+    shown = F.transform(extraction.battery_systems(text), lambda s: F.concat_ws("/", s["kind"], s["material"], s["counter"]))
+    return d.supplier.select("s_suppkey", F.array_join(shown, ";").alias("systems"))
+
+
+@query("""
+SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'value' WHEN event_id % 3 = 1 THEN 'quote,relation' ELSE '' END AS problems FROM events
+""")
+def d6_seed_audit(d: Tables) -> DataFrame:
+    k = F.col("event_id") % 3
+    sentence, quote = F.lit("The capacity is 200 mAh/g."), F.when(k == 1, "voltage").otherwise("Capacity is")
+    p = extraction.seed_problems(sentence, quote, F.when(k == 0, "300").otherwise("200"), F.when(k == 1, "odd").otherwise("performance"), ["performance"])
+    return d.events.select("event_id", F.array_join(p, ",").alias("problems"))
+
+
+@query("""
+SELECT event_id, CASE event_id % 4 WHEN 0 THEN CAST(user_id AS DOUBLE) WHEN 1 THEN CAST(1.5 AS DOUBLE) END AS number FROM events
+""")
+def e15_strict_numbers(d: Tables) -> DataFrame:
+    k = F.col("event_id") % 4
+    return d.events.select("event_id", extraction.strict_number(F.when(k == 0, F.col("user_id").cast("string")).when(k == 1, "1.5").when(k == 2, "true").otherwise('"7"')).alias("number"))
+
+
+@query("""
+SELECT 'ingestion' AS gate, code = 'OK' AS passed, code, n AS observed, true AS reached FROM (SELECT count(*) AS n, CASE WHEN count(*) FILTER (length(text) < 10) > 0 THEN 'CORRUPT_DOCUMENTS' ELSE 'OK' END AS code FROM documents)
+UNION ALL SELECT 'index', true, 'OK', count(*), (SELECT count(*) FILTER (length(text) < 10) = 0 FROM documents) FROM embeddings
+UNION ALL SELECT 'physics', false, 'VOLTAGE_OUT_OF_BOUNDS', count(*), (SELECT count(*) FILTER (length(text) < 10) = 0 FROM documents) FROM supplier
+""")
+def e26_e21_gates(d: Tables) -> DataFrame:
+    one = gates.ingestion(d.documents, "lang", "text", ["en", "de"], 10)
+    two = gates.index(d.embeddings.withColumn("label", F.lit("x")), "vec_id", "label", ["x"])
+    three = gates.physics(d.supplier.select(F.lit(300.0).alias("e"), (F.col("s_suppkey") + 5).cast("double").alias("v")), "e", "v")
+    return gates.all_passed([one, two, three]).drop("step")

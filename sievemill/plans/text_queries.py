@@ -431,3 +431,43 @@ SELECT count(*) AS n, count(*) FILTER (lang IS NOT NULL) AS with_lang, count(*)
 """)
 def m8_a17_coverage(d: Tables) -> DataFrame:
     return d.documents.agg(F.count("*").alias("n"), F.count("lang").alias("with_lang"), F.count_if(F.contains("text", F.lit("License"))).alias("with_license"), F.countDistinct("source").alias("sources"))
+
+
+@query(f"""
+WITH l AS ({_LINES}), s AS (SELECT doc_id, line_no, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS s FROM l)
+SELECT doc_id, line_no, CASE WHEN s = '' THEN 'blank' {" ".join(f"WHEN regexp_matches(s, '{pattern}')" + (f" AND length(s) < {most}" if most else "") + f" THEN '{name}'" for name, most, pattern in p.PARAGRAPH_LADDER)} END AS rule FROM s
+""")
+def f2_paragraph_ladder(d: Tables) -> DataFrame:
+    return segments.lines(d.documents).select("doc_id", "line_no", p.paragraph_rule(F.col("line")).alias("rule"))
+
+
+@query("""
+SELECT page_id, 2 AS n_chapters, 'One' AS first_title FROM pages
+""")
+def g13_chapters(d: Tables) -> DataFrame:
+    text = F.concat(F.lit("# One\nx\n## Two\ny"), F.col("page_id"))
+    return d.pages.select("page_id", F.size(segments.chapters(text)).alias("n_chapters"), segments.chapters(text)[0]["title"].alias("first_title"))
+
+
+@query("""
+SELECT doc_id, greatest(1, len(string_split(text, chr(10))) // 2) AS kept FROM documents
+""")
+def g4_before_references(d: Tables) -> DataFrame:
+    parts = F.split("text", "\n")
+    half = F.greatest(F.lit(1), F.floor(F.size(parts) / 2)).cast("int")
+    cut = F.concat(F.slice(parts, F.lit(1), half), F.array(F.lit("## References")), parts)
+    return d.documents.select("doc_id", F.size(segments.before_references(cut)).cast("long").alias("kept"))
+
+
+@query(f"""
+WITH l AS ({_LINES}) SELECT doc_id, count(*) AS skipped FROM l WHERE line_no BETWEEN 2 AND 3 GROUP BY doc_id
+""")
+def g18_heading_stack(d: Tables) -> DataFrame:
+    lines = segments.lines(d.documents)
+    level = F.when(F.col("line_no") == 2, 2).when(F.col("line_no").isin(0, 4), 1)
+    return segments.heading_level_state(lines, F.col("line_no") == 2, level).filter("skipped").groupBy("doc_id").agg(F.count("*").alias("skipped"))
+
+
+@query()
+def g12_overlapping_windows(d: Tables) -> DataFrame:
+    return d.documents.select("doc_id", F.posexplode(segments.overlapping_windows(F.col("text"), 3000, 300)).alias("window", "text"))
