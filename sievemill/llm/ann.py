@@ -4,8 +4,9 @@ Centroids come from a balanced k-means over a bounded sample. Every vector is pu
 list of its nearest centroid, and a vector near a boundary into those of the other centroids
 that are almost as near.
 Centroids are searched through an in-memory neighbour graph. A query reads the lists whose
-centroids are within a ratio of its nearest one's distance; the ratio is the least that covers
-COVER of the true neighbours in the sample. Distances in the lists are exact."""
+centroids are within a ratio of its nearest one's distance (or of the usual such distance, if that
+is larger: a query may lie on a centroid); the ratio is the least that covers COVER of the true
+neighbours in the sample. Distances in the lists are exact."""
 
 from __future__ import annotations
 
@@ -29,6 +30,8 @@ COVER = 0.98
 DEGREE, ENTRIES, CALIBRATION_QUERIES = 24, 8, 256
 #: Vectors and queries of a list that one task compares.
 BLOCK_ROWS, BLOCK_QUERIES = 16_384, 16_384
+#: Neighbours that a task holds before it merges them by query.
+HELD_ROWS = 400_000
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -81,18 +84,20 @@ class Index:
         while len(entries) < min(ENTRIES, k):
             entries.append(int(apart[entries].min(0).argmax()))
         self.entries = np.array(sorted(set(entries)))
-        self.ratio = np.inf
+        self.ratio, self.usual = np.inf, 0.0
         rng = np.random.default_rng(seed)
         chosen = rng.permutation(len(sample))[:CALIBRATION_QUERIES]
         if len(sample) > 11:
             lists = self.lists_of(sample)
-            true = np.argsort(_near(sample[chosen], sample), axis=1)[:, 1:11]
+            # ten neighbours among n vectors are so many, on average, within the sample
+            true = np.argsort(_near(sample[chosen], sample), axis=1)[:, 1 : 1 + max(1, -(-10 * len(sample) // n))]
             to = _near(sample[chosen], self.centres)
             reach = np.array([[to[i, lists[j]].min() for j in true[i]] for i in range(len(chosen))])
-            need = (reach / np.maximum(to.min(1), 1e-300)[:, None]).reshape(-1)
+            self.usual = float(np.median(to.min(1)))
+            need = (reach / np.maximum(to.min(1), max(self.usual, 1e-300))[:, None]).reshape(-1)
             self.ratio = max(1.0, float(np.quantile(need, COVER, method="higher"))) * (1 + 1e-9)
 
-    def reachable(self, x: np.ndarray, ratio: float) -> np.ndarray:
+    def reachable(self, x: np.ndarray, ratio: float, usual: float = 0.0) -> np.ndarray:
         """Distances to the centroids that a walk through the graph meets from the entries, else
         infinite: it goes on from the nearest, and from all within ``ratio`` of it."""
         far = np.full((len(x), len(self.centres)), np.inf)
@@ -100,7 +105,7 @@ class Index:
         done = np.zeros(far.shape, bool)
         while True:
             least = far.min(1)
-            go = ~done & (far <= np.maximum(least * ratio, np.partition(far, min(DEGREE, far.shape[1] - 1), axis=1)[:, min(DEGREE, far.shape[1] - 1)])[:, None]) & np.isfinite(far)
+            go = ~done & (far <= np.maximum(np.maximum(least, usual) * ratio, np.partition(far, min(DEGREE, far.shape[1] - 1), axis=1)[:, min(DEGREE, far.shape[1] - 1)])[:, None]) & np.isfinite(far)
             active = go.any(1)
             if not active.any():
                 return far
@@ -125,8 +130,8 @@ class Index:
         """The lists that each query reads."""
         out = []
         for at in range(0, len(x), 512):
-            far = self.reachable(x[at : at + 512], self.ratio)
-            limit = far.min(1) * self.ratio
+            far = self.reachable(x[at : at + 512], self.ratio, self.usual)
+            limit = np.maximum(far.min(1), self.usual) * self.ratio
             out += [np.flatnonzero(np.isfinite(far[i]) & (far[i] <= limit[i])) for i in range(len(far))]
         return out
 
@@ -175,6 +180,19 @@ def _compare(dim: int, k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, queries = None, []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # query, id, distance; of all lists of this task
+        n = 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            q, ids, far = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((ids, far, q))
+            q, ids, far = q[order], ids[order], far[order]
+            new = np.concatenate([[True], (np.diff(q) != 0) | (np.diff(ids) != 0) | (np.diff(far) != 0)])  # a vector may be in several lists
+            q, ids, far = q[new], ids[new], far[new]
+            first = np.searchsorted(q, q)
+            best_of = np.arange(len(q)) - first < k
+            return q[best_of], ids[best_of], far[best_of]
+
         for batch in batches:
             marks = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)], 1)  # list, block, query block, kind
             ids, x = batch.column(4).to_numpy(zero_copy_only=False), _matrix(batch.column(5), dim)
@@ -188,10 +206,18 @@ def _compare(dim: int, k: int):
                 if kind == 0:
                     queries += list(zip(ids[a:b].tolist(), x[a:b], strict=True))
                     continue
-                found = [(q, *best(ids[a:b], x[a:b], q, v)) for q, v in queries]
-                if found:
-                    sizes = [len(f[1]) for f in found]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat([f[0] for f in found], sizes), pa.int64()), pa.array(np.concatenate([f[1] for f in found]), pa.int64()), pa.array(np.concatenate([f[2] for f in found]), pa.float64())], ["query_id", "vec_id", "score"])
+                for q, v in queries:
+                    found = best(ids[a:b], x[a:b], q, v)
+                    held.append((np.full(len(found[0]), q), *found))
+                    n += len(found[0])
+                    if n >= HELD_ROWS:
+                        held = [merged()]
+                        n = len(held[0][0])
+                        if n >= HELD_ROWS // 2:  # many queries: hand on what is there
+                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], ["query_id", "vec_id", "score"])
+                            held, n = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in merged()], ["query_id", "vec_id", "score"])
 
     return run
 
