@@ -191,3 +191,43 @@ def electrode_config(text: Column) -> Column:
     for name, canonical in vocab.ELECTRODE_CONFIGS:
         out = out.when(low == name, canonical)
     return out.when(F.endswith(low, F.lit("half cell")) | F.endswith(low, F.lit("half-cell")), "half-cell").when(F.endswith(low, F.lit("full cell")) | F.endswith(low, F.lit("full-cell")), "full-cell").otherwise(F.trim(text))
+
+
+def is_supplement_name(name: Column) -> Column:
+    """Whether a file name says that it is supplementary information."""
+    low, out = F.lower(name), F.lit(False)
+    for part in vocab.SUPPLEMENT_NAMES:
+        out = out | F.contains(low, F.lit(part))
+    return out
+
+
+def additive_name(name: Column) -> Column:
+    """An additive as it is written, others as they are."""
+    out = None
+    for low, shown in vocab.ADDITIVES:
+        hit = F.lower(F.trim(name)) == low
+        out = F.when(hit, shown) if out is None else out.when(hit, shown)
+    return out.otherwise(F.trim(name))
+
+
+def one_line_math(text: Column) -> Column:
+    """``$$`` blocks on one line, no images, a blank line before each pipe table."""
+    parts = F.split(text, r"\$\$", -1)
+    joined = F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 1, F.trim(F.regexp_replace(x, r"\s+", " "))).otherwise(x)), "$$")
+    plain = F.regexp_replace(F.regexp_replace(joined, r"!\[([^\]]*)\]\([^)]+\)", "$1"), r"(?i)<img[^>]+>", "")
+    return F.regexp_replace(plain, r"(\|[^\n]+\|)[ \t]*\n[ \t]*(\|[-\s|]+\|)", "\n\n$1\n$2")
+
+
+def term_pattern(term: str) -> str:
+    """A pattern for a term that does not match inside longer words; some terms may go on."""
+    edge = lambda c: c.isascii() and c.isalnum()
+    after = {"ncm": "(?![A-Za-z])", "celgard": "(?![A-Za-z])", "li1.2": "(?![0-9])", "separator": "", "current collector": ""}.get(term.lower(), "(?![A-Za-z0-9])" if edge(term[-1]) else "")
+    return "(?i)" + ("(?<![A-Za-z0-9])" if edge(term[0]) else "") + "\\Q" + term + "\\E" + after
+
+
+def filled(template: str, values: dict[str, Column]) -> Column:
+    """A text with ``{NAME}`` replaced by columns."""
+    out = F.lit(template)
+    for name, v in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), v.cast("string"))
+    return out

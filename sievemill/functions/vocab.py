@@ -69,3 +69,23 @@ PARAGRAPH_LABELS = [
         "引言", "综述", "背景", "概述", "挑战", "展望", "进展", "锂硫", "固态", "锂空", "储能", "电动汽车", "conclusion", "concluding", "summary", "summary and outlook"]),
 ]
 DEFAULT_LABEL = "概述"
+
+# Parts of the names of supplementary files.
+SUPPLEMENT_NAMES = ["_si_", "_si.", "-si_", "-si.", "supplement", "supporting", "_suppl", "_supp.", "appendix", "appendices", "_sm_", "_sm.", "_esi_", "_esi."]
+
+# Kinds of question by keyword, in order.
+QUESTION_KINDS = [
+    ("screening", ["筛选", "候选", "哪种", "对比", "比较", "vs", "优缺点", "区别", "优劣"]),
+    ("numeric", ["多少", "容量", "电压", "能量密度", "电导率", "电流", "效率", "温度", "循环"]),
+    ("experiment", ["怎么做", "如何做", "制备", "合成", "测试", "表征"]),
+    ("trend", ["发展方向", "趋势", "前景", "下一代", "前沿", "最新"]),
+    ("definition", ["什么是", "定义", "概念", "是什么意思"]),
+]
+# Kinds of relation by keyword, in order.
+RELATION_KINDS = [
+    ("doping", ["dop", "doped", "substitut", "掺杂", "共掺", "co-dop"]),
+    ("compatibility", ["incompatible", "compatible", "不适用", "适用于", "oxidation", "decompos", "dendrite", "窗口", "corrosion", "不可行"]),
+    ("performance", ["mah/g", "mah g", "wh/kg", "wh kg", "retains", "retention", "capacity of", "conductivity", "s/cm", "coulombic efficiency"]),
+]
+# Additives as they are written.
+ADDITIVES = [("lidfob", "LiDFOB"), ("lipo2f2", "LiPO2F2"), ("libob", "LiBOB"), ("lino3", "LiNO3"), ("fec", "FEC"), ("vc", "VC"), ("dtd", "DTD")]

@@ -173,3 +173,25 @@ def same_goal(a: Column, b: Column) -> Column:
     both = energy(x).isNotNull() & energy(y).isNotNull()
     rest = F.contains(x, y) | F.contains(y, x) | F.arrays_overlap(formulas(x), formulas(y)) | ((F.length(short) >= 8) & (share >= 0.5))
     return F.when(x == y, True).when((F.length(x) < 6) | (F.length(y) < 6), False).when(both, energy(x) == energy(y)).otherwise(rest)
+
+
+def labelled_properties(rows: DataFrame, name: str, component: str, vocabulary: DataFrame) -> DataFrame:
+    """``standard_label`` and ``label_method`` (exact, normalized, none) of a property's name within its component's
+    vocabulary (component, label)."""
+    known = vocabulary.select(F.col("component").alias("__c"), F.col("label").alias("__label"), t.key(F.col("label")).alias("__k"))
+    joined = rows.withColumn("__key", t.key(F.col(name))).join(F.broadcast(known), (F.col("__k") == F.col("__key")) & (F.col("__c") == F.col(component)), "left")
+    method = F.when(F.col("__label") == F.col(name), "exact").when(F.col("__label").isNotNull(), "normalized").otherwise("none")
+    return joined.withColumn("label_method", method).withColumnRenamed("__label", "standard_label").drop("__key", "__k", "__c")
+
+
+def full_cell(config: Column) -> Column:
+    """struct<cathode, anode> of ``A||B``, null for other configurations."""
+    parts = F.split(config, r"\s*(?:\|\||‖)\s*")
+    return F.when(F.size(parts) == 2, F.struct(F.trim(parts[0]).alias("cathode"), F.trim(parts[1]).alias("anode")))
+
+
+def batches(rows: DataFrame, order: str, size: int = 40) -> DataFrame:
+    """``batch`` numbers of a queue of names, ``size`` to a batch. The queue is what no vocabulary resolves."""
+    from pyspark.sql import Window
+
+    return rows.withColumn("batch", F.ceil(F.row_number().over(Window.orderBy(order)) / F.lit(size)).cast("int"))

@@ -117,3 +117,40 @@ def geometry_violations(np_ratio: Column, v_min: Column, v_max: Column, porosity
 def electrode_capacity(area: Column, length: Column, active: Column, c_max: Column, stoi0: Column, stoi1: Column, faraday: float = 96485.33212) -> Column:
     """Charge of an electrode in coulombs from its geometry and stoichiometry window."""
     return area * faraday * length * active * c_max * F.abs(stoi1 - stoi0)
+
+
+def pore_metrics(thickness_um: Column, porosity: Column, area_cm2: Column, electrolyte_ul: Column) -> Column:
+    """struct<pore_ul, ep_ratio> of an electrode: its pore volume and the electrolyte's ratio to it; null unless all are positive."""
+    pore = thickness_um * 1e-4 * area_cm2 * porosity * 1000
+    ok = (thickness_um > 0) & (porosity > 0) & (area_cm2 > 0)
+    return F.when(ok, F.struct(pore.alias("pore_ul"), F.try_divide(electrolyte_ul, pore).alias("ep_ratio")))
+
+
+def confidence(feasible: Column, warnings: Column) -> Column:
+    """low if a scheme is not feasible, medium with warnings, else high."""
+    return F.when(~feasible, "low").when(warnings > 0, "medium").otherwise("high")
+
+
+def consistency(tasks: DataFrame, expected: str, found: str, kind: str) -> DataFrame:
+    """Tasks, consistent ones and their share, by kind."""
+    same = F.count_if(F.col(expected) == F.col(found))
+    return tasks.groupBy(kind).agg(F.count("*").alias("n"), same.alias("consistent"), F.round(same / F.count("*"), 6).alias("rate"))
+
+
+def missing_fields(fields: dict[str, Column]) -> Column:
+    """Names of the fields that are null, in order."""
+    return F.array_compact(F.array(*[F.when(c.isNull(), F.lit(n)) for n, c in fields.items()]))
+
+
+def registry_match(specs: DataFrame, registry: DataFrame) -> DataFrame:
+    """Specs (cathode, anode) with the system whose lists (cathodes, anodes) hold both."""
+    return specs.join(F.broadcast(registry), F.array_contains(registry["cathodes"], specs["cathode"]) & F.array_contains(registry["anodes"], specs["anode"]), "left")
+
+
+def revised(base: DataFrame, changes: DataFrame, key: str, budget: int) -> DataFrame:
+    """``base`` (key, version, value) with the changes (key, version, value) that were made on its version and fit the budget; all
+    of a key's changes or none."""
+    ok = changes.groupBy(key).agg(F.count("*").alias("__n"), F.max("version").alias("__version"), F.min("version").alias("__oldest"), F.max_by("value", "seq").alias("__value"))
+    joined = base.join(ok, key, "left")
+    fits = (F.col("__n") <= budget) & (F.col("__version") == F.col("version")) & (F.col("__oldest") == F.col("version"))
+    return joined.select(key, F.when(fits, F.col("version") + 1).otherwise(F.col("version")).alias("version"), F.when(fits, F.col("__value")).otherwise(F.col("value")).alias("value"), F.when(fits, "applied").when(F.col("__n").isNotNull(), "rejected").otherwise("kept").alias("status"))

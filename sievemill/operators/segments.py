@@ -139,3 +139,50 @@ def heading_level_state(rows: DataFrame, skip: Column, level: Column, key: str =
         mark = F.when(F.col("__level") == n, F.when(skip, 1).otherwise(0)).when(F.col("__level") < n, 0)
         flags.append(F.coalesce(F.last(mark, ignorenulls=True).over(before), F.lit(0)))
     return out.withColumn("skipped", F.greatest(*flags) == 1).drop("__level")
+
+
+def without_details(rows: DataFrame, key: str = "doc_id", order: str = "line_no") -> DataFrame:
+    """Lines outside ``<details>`` blocks: a running depth of opened minus closed ones."""
+    opens, closes = F.col("line").rlike(r"(?i)^\s*<details"), F.col("line").rlike(r"(?i)^\s*</details>\s*$")
+    depth = F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("__depth", depth).filter((F.col("__depth") <= 0) & ~opens & ~closes).drop("__depth")
+
+
+def without_supplement_head(parts: Column, within: int = 10) -> Column:
+    """Lines from the first other heading on, if one of the first lines begins supporting information."""
+    low = F.transform(parts, lambda x: F.lower(F.trim(x)))
+    start = F.array_position(F.transform(F.slice(low, 1, within), lambda x: F.startswith(x, F.lit("# supporting information"))), True)
+    heading = F.transform(low, lambda x, i: (i >= start) & x.rlike(r"^#") & ~x.rlike(r"^#+\s*(?:supporting (?:information|figures|tables)|figure |table )"))
+    at = F.array_position(heading, True)
+    return F.when((start > 0) & (at > 0), F.slice(parts, at.cast("int"), F.size(parts))).otherwise(parts)
+
+
+def with_equations_and_captions(parts: Column) -> Column:
+    """Paragraphs with each ``$$`` block joined to the one before, and each table caption to the table after."""
+    line = F.lit("\n")
+
+    def add(done: Column, part: Column) -> Column:
+        last, s = F.element_at(done, -1), F.trim(part)
+        equation = F.startswith(s, F.lit("$$")) & F.endswith(s, F.lit("$$"))
+        table = F.trim(last).rlike(r"(?i)^(?:table|表)\s*[s]?[0-9]") & ~F.contains(last, line) & p.is_table_line(s)
+        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.concat(last, line, part)))
+        return F.when(F.size(done) == 0, F.array(part)).when(equation | table, joined).otherwise(F.concat(done, F.array(part)))
+
+    return F.aggregate(parts, F.array().cast("array<string>"), add)
+
+
+def routed(rows: DataFrame) -> DataFrame:
+    """``kind`` of each line: table, figure, meta or text."""
+    line = F.col("line")
+    kind = F.when(p.is_table_line(line), "table").when(p.is_caption(line) | F.trim(line).rlike(r"^!\["), "figure").when(p.is_noise(line), "meta").otherwise("text")
+    return rows.withColumn("kind", kind)
+
+
+def table_contexts(rows: DataFrame, reach: int = 8, key: str = "doc_id", order: str = "line_no") -> DataFrame:
+    """The first line of each table with its nearest caption among the ``reach`` lines before, and the lines around it."""
+    line, w = F.col("line"), Window.partitionBy(key).orderBy(order)
+    is_table = p.is_table_line(line)
+    caption = F.last(F.when(p.is_caption(line), F.trim(line)), ignorenulls=True).over(w.rowsBetween(-reach, -1))
+    around = F.concat_ws("\n", F.lag("line", 1).over(w), F.lead("line", 1).over(w))
+    first = is_table & ~F.coalesce(F.lag(is_table).over(w), F.lit(False))
+    return rows.withColumns({"caption": caption, "around": around, "__first": first}).filter("__first").drop("__first")

@@ -300,3 +300,87 @@ def e26_e21_gates(d: Tables) -> DataFrame:
     two = gates.index(d.embeddings.withColumn("label", F.lit("x")), "vec_id", "label", ["x"])
     three = gates.physics(d.supplier.select(F.lit(300.0).alias("e"), (F.col("s_suppkey") + 5).cast("double").alias("v")), "e", "v")
     return gates.all_passed([one, two, three]).drop("step")
+
+
+@query("""
+SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'Specific_Capacity' WHEN 1 THEN 'Specific_Capacity' END AS standard_label, CASE p_size % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'normalized' ELSE 'none' END AS label_method FROM part
+""")
+def n6_n7_labels(d: Tables) -> DataFrame:
+    vocabulary = d.part.sparkSession.createDataFrame([("cathode", "Specific_Capacity"), ("anode", "Specific_Capacity")], "component string, label string")
+    name = F.when(F.col("p_size") % 3 == 0, "Specific_Capacity").when(F.col("p_size") % 3 == 1, "specific capacity").otherwise("Colour")
+    rows = d.part.select("p_partkey", name.alias("name"), F.lit("cathode").alias("component"))
+    return facts.labelled_properties(rows, "name", "component", vocabulary).select("p_partkey", "standard_label", "label_method")
+
+
+@query("""
+SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'NCM811' END AS cathode, CASE WHEN c_custkey % 2 = 0 THEN 'Li' END AS anode FROM customer
+""")
+def n14_full_cells(d: Tables) -> DataFrame:
+    cell = facts.full_cell(F.when(F.col("c_custkey") % 2 == 0, "NCM811 || Li").otherwise("half-cell"))
+    return d.customer.select("c_custkey", cell.alias("c")).select("c_custkey", "c.cathode", "c.anode")
+
+
+@query("""
+SELECT DISTINCT p_brand, CAST(ceil(row_number() OVER (ORDER BY p_brand) / CAST(10 AS DOUBLE)) AS INTEGER) AS batch FROM (SELECT DISTINCT p_brand FROM part WHERE p_brand <> 'Brand#1')
+""")
+def n19_n21_queue(d: Tables) -> DataFrame:
+    known = d.part.sparkSession.createDataFrame([("Brand#1",)], "p_brand string")
+    return facts.batches(d.part.select("p_brand").distinct().join(F.broadcast(known), "p_brand", "left_anti"), "p_brand", 10)
+
+
+@query("""
+SELECT p_partkey, round(p_size * CAST(0.0001 AS DOUBLE) * CAST(1.5 AS DOUBLE) * CAST(0.3 AS DOUBLE) * 1000, 6) AS pore_ul, CASE WHEN p_size % 2 = 0 THEN 'low' WHEN p_size % 3 = 0 THEN 'medium' ELSE 'high' END AS confidence, CASE WHEN p_size % 2 = 0 THEN 'b' ELSE '' END AS missing FROM part
+""")
+def e5_e23_a18_metrics(d: Tables) -> DataFrame:
+    size = F.col("p_size")
+    pore = rules.pore_metrics(size.cast("double"), F.lit(0.3), F.lit(1.5), F.lit(20.0))
+    missing = rules.missing_fields({"a": F.lit(1), "b": F.when(size % 2 != 0, 1)})
+    return d.part.select("p_partkey", F.round(pore["pore_ul"], 6).alias("pore_ul"), rules.confidence(size % 2 != 0, F.when(size % 3 == 0, 1).otherwise(0)).alias("confidence"), F.array_join(missing, ",").alias("missing"))
+
+
+@query("SELECT l_returnflag, count(*) AS n, count(*) FILTER ((l_quantity > 25) = (l_linenumber > 3)) AS consistent, round(count(*) FILTER ((l_quantity > 25) = (l_linenumber > 3)) / CAST(count(*) AS DOUBLE), 6) AS rate FROM lineitem GROUP BY l_returnflag")
+def e8_consistency(d: Tables) -> DataFrame:
+    tasks = d.lineitem.select("l_returnflag", (F.col("l_quantity") > 25).alias("expected"), (F.col("l_linenumber") > 3).alias("found"))
+    return rules.consistency(tasks, "expected", "found", "l_returnflag")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'sysA' WHEN s_suppkey % 3 = 1 THEN 'sysB' END AS system FROM supplier")
+def j14_registry(d: Tables) -> DataFrame:
+    registry = d.supplier.sparkSession.createDataFrame([("sysA", ["NCM", "NCA"], ["graphite"]), ("sysB", ["LFP"], ["graphite", "Li"])], "system string, cathodes array<string>, anodes array<string>")
+    k = F.col("s_suppkey") % 3
+    specs = d.supplier.select("s_suppkey", F.when(k == 0, "NCA").when(k == 1, "LFP").otherwise("LCO").alias("cathode"), F.lit("graphite").alias("anode"))
+    return rules.registry_match(specs, registry).select("s_suppkey", "system")
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 1 THEN 2 ELSE 1 END AS version, CASE WHEN o_orderkey % 4 = 1 THEN o_totalprice + 5 ELSE o_totalprice END AS value, CASE o_orderkey % 4 WHEN 0 THEN 'kept' WHEN 1 THEN 'applied' ELSE 'rejected' END AS status FROM orders
+""")
+def e16_revisions(d: Tables) -> DataFrame:
+    k = F.col("o_orderkey") % 4
+    base = d.orders.select("o_orderkey", F.lit(1).alias("version"), F.col("o_totalprice").alias("value"))
+    n = F.when(k == 3, 4).otherwise(1)
+    changes = d.orders.filter(k > 0).select("o_orderkey", F.when(k == 2, 0).otherwise(1).alias("version"), (F.col("o_totalprice") + 5).alias("value"), F.explode(F.sequence(F.lit(1), n)).alias("seq"))
+    return rules.revised(base, changes, "o_orderkey", 3)
+
+
+@query("""
+SELECT coalesce(a.n_nationkey, b.k) AS id, CASE WHEN a.n_nationkey IS NOT NULL THEN a.n_name ELSE b.name END AS name FROM (SELECT * FROM nation WHERE n_nationkey % 2 = 0) a FULL JOIN (SELECT n_nationkey AS k, upper(n_name) AS name FROM nation WHERE n_nationkey % 3 = 0) b ON a.n_nationkey = b.k
+""")
+def j17_saved_stages_win(d: Tables) -> DataFrame:
+    saved = d.nation.filter("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("saved"))
+    given = d.nation.filter("n_nationkey % 3 = 0").select(F.col("n_nationkey").alias("id"), F.upper("n_name").alias("given"))
+    return saved.join(given, "id", "full").select("id", F.coalesce("saved", "given").alias("name"))
+
+
+@query("SELECT 'documents' AS asset, count(*) AS n FROM documents UNION ALL SELECT 'pages', count(*) FROM pages UNION ALL SELECT 'vectors', count(*) FROM embeddings UNION ALL SELECT 'items', count(*) FROM benchmark UNION ALL SELECT 'labels', count(*) FROM labels")
+def a20_s14_assets(d: Tables) -> DataFrame:
+    out = None
+    for name, table in (("documents", d.documents), ("pages", d.pages), ("vectors", d.embeddings), ("items", d.benchmark), ("labels", d.labels)):
+        row = table.agg(F.lit(name).alias("asset"), F.count("*").alias("n"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("SELECT event_id, user_id FROM events ORDER BY event_id DESC LIMIT 50")
+def i9_tail(d: Tables) -> DataFrame:
+    return d.events.select("event_id", "user_id").orderBy(F.desc("event_id")).limit(50)

@@ -471,3 +471,57 @@ def g18_heading_stack(d: Tables) -> DataFrame:
 @query()
 def g12_overlapping_windows(d: Tables) -> DataFrame:
     return d.documents.select("doc_id", F.posexplode(segments.overlapping_windows(F.col("text"), 3000, 300)).alias("window", "text"))
+
+
+@query("""
+SELECT page_id, page_id % 2 = 0 AS is_si, CASE page_id % 3 WHEN 0 THEN 'LiDFOB' WHEN 1 THEN 'FEC' ELSE 'xyz' END AS additive, 'a $$x y$$ alt b' AS math, page_id % 2 = 1 AS has_nca, 'out/' || page_id AS path FROM pages
+""")
+def t22_t25_t29_names(d: Tables) -> DataFrame:
+    k = F.col("page_id")
+    name = F.when(k % 2 == 0, F.concat(k.cast("string"), F.lit("_SI.md"))).otherwise("main.md")
+    additive = F.when(k % 3 == 0, "LIDFOB").when(k % 3 == 1, " fec").otherwise("xyz")
+    text = F.when(k % 2 == 1, "an NCA cell").otherwise("encapsulated")
+    return d.pages.select("page_id", t.is_supplement_name(name).alias("is_si"), t.additive_name(additive).alias("additive"), t.one_line_math(F.lit("a $$x\n y$$ ![alt](u) b")).alias("math"), text.rlike(t.term_pattern("NCA")).alias("has_nca"), t.filled("out/{ID}", {"ID": k}).alias("path"))
+
+
+@query("""
+SELECT conv_id, turn, CASE WHEN contains(lower(text), 'vs') THEN 'screening' END AS question, CASE WHEN contains(lower(text), 'dop') THEN 'doping' WHEN contains(lower(text), 'oxidation') THEN 'compatibility' WHEN contains(lower(text), 'retention') THEN 'performance' END AS relation FROM conversations
+""")
+def l7_l9_kinds(d: Tables) -> DataFrame:
+    low = F.lower("text")
+    return d.conversations.select("conv_id", "turn", labels.first_match(low, vocab.QUESTION_KINDS).alias("question"), labels.first_match(low, vocab.RELATION_KINDS).alias("relation"))
+
+
+@query(f"""
+WITH l AS ({_LINES}) SELECT doc_id, count(*) AS kept FROM l WHERE line_no NOT BETWEEN 1 AND 3 GROUP BY doc_id
+""")
+def g3_details(d: Tables) -> DataFrame:
+    n = F.col("line_no")
+    lines = segments.lines(d.documents)
+    sizes = lines.groupBy("doc_id").agg(F.max("line_no").alias("last"))
+    marked = lines.join(sizes, "doc_id").withColumn("line", F.when(n == 1, "<details>").when((n == 3), "</details>").otherwise(F.lit("x")))
+    return segments.without_details(marked).groupBy("doc_id").agg(F.count("*").alias("kept"))
+
+
+@query("""
+SELECT page_id, '# Methods' AS first_line, 3 AS n_parts FROM pages
+""")
+def g2_g6_heads_and_equations(d: Tables) -> DataFrame:
+    head = F.array(F.lit("# Supporting Information"), F.lit("## Supporting Figures"), F.lit("x"), F.lit("# Methods"), F.col("url"))
+    parts = F.array(F.lit("so"), F.lit("$$a$$"), F.lit("Table 1. t"), F.lit("| a | b | c |"), F.lit("end"))
+    return d.pages.select("page_id", segments.without_supplement_head(head)[0].alias("first_line"), F.size(segments.with_equations_and_captions(parts)).alias("n_parts"))
+
+
+@query(f"""
+WITH l AS ({_LINES}) SELECT doc_id, count(*) FILTER (len(regexp_extract_all(line, '\\|')) >= 3) AS tables, count(*) AS n FROM l GROUP BY doc_id
+""")
+def g15_routed(d: Tables) -> DataFrame:
+    return segments.routed(segments.lines(d.documents)).groupBy("doc_id").agg(F.count_if(F.col("kind") == "table").alias("tables"), F.count("*").alias("n"))
+
+
+@query("""
+SELECT page_id, 'Table 2. b' AS caption FROM pages
+""")
+def g16_table_context(d: Tables) -> DataFrame:
+    made = d.pages.select(F.col("page_id").alias("doc_id"), F.posexplode(F.array(F.lit("Table 1. a"), F.lit("x"), F.lit("Table 2. b"), F.lit("| a | b |  c |"), F.lit("| 1 | 2 | 3 |"), F.lit("y"))).alias("line_no", "line"))
+    return segments.table_contexts(made).select(F.col("doc_id").alias("page_id"), "caption")
