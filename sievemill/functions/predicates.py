@@ -75,7 +75,7 @@ def is_reference_text(text: Column) -> Column:
 def is_absent(value: Column) -> Column:
     """Null, blank, or zero as text: what counts as no value."""
     s = F.trim(value.cast("string"))
-    return F.coalesce((s == "") | F.coalesce(s.try_cast("double") == 0, F.lit(False)), F.lit(True))
+    return F.coalesce((s == "") | s.rlike(r"^[-+]?(?:0+\.?0*|\.0+)(?:[eE][-+]?[0-9]+)?$"), F.lit(True))
 
 
 def has_core_value(json: Column) -> Column:

@@ -16,7 +16,7 @@ CJK = "[\u4e00-\u9fff]"
 
 def tokens(text: Column) -> Column:
     """Mixed-language tokens; those of ASCII only are lower-cased."""
-    return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.when(t.rlike("^[\\x00-\\x7F]+$"), F.lower(t)).otherwise(t))
+    return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.when(F.length(t) == F.octet_length(t), F.lower(t)).otherwise(t))
 
 
 def source_path(path: Column) -> Column:

@@ -28,7 +28,9 @@ def scores(text: Column, table: list[tuple[str, list[str]]]) -> Column:
     """array<struct<score, rank, label>>: keywords found for each label."""
     low, each = F.lower(text), []
     for i, (name, words) in enumerate(table):
-        found = F.size(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w)))
+        found = F.lit(0)
+        for w in words:
+            found = found + F.contains(low, F.lit(w)).cast("int")
         each.append(F.struct(found.alias("score"), F.lit(-i).alias("rank"), F.lit(name).alias("label")))
     return F.array(*each)
 

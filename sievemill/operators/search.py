@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from .storage import stored
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
@@ -21,23 +22,21 @@ def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, dl (tokens of the document), term, tf. A document's counts are made inside its row, so
-    nothing is shuffled."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), t.tokens(F.coalesce(F.col(text), F.lit(""))).alias("ts"))
-    terms = rows.select("doc_id", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
-    return terms.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+def tokenised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, ts (tokens) of every document."""
+    return docs.select(F.col(doc_id).alias("doc_id"), t.tokens(F.coalesce(F.col(text), F.lit(""))).alias("ts"))
 
 
-def corpus_stats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """n documents and their mean number of tokens."""
-    return docs.select(F.size(t.tokens(F.coalesce(F.col(text), F.lit("")))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+def postings(tokens: DataFrame) -> DataFrame:
+    """doc_id, dl (tokens of the document), term, tf, of ``tokenised`` documents."""
+    terms = tokens.select("doc_id", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
+    return terms.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
 def inverse_frequencies(index: DataFrame, n: int) -> DataFrame:
     """term, idf: ln(n - df + 0.5) - ln(df + 0.5); a negative one is EPSILON times the mean of all."""
     df = index.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.withColumn("raw", F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    raw = stored(df).withColumn("raw", F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw")).first()[0] or 0.0
     return raw.select("term", F.when(F.col("raw") < 0, F.lit(EPSILON * mean)).otherwise(F.col("raw")).alias("idf"))
 
@@ -46,10 +45,13 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: fl
     """query_id, doc_id, score, rank: the k best documents of each query (query_id, query).
 
     A query's term counts as often as it is in the query. Ties go to the smaller doc_id."""
-    stats = corpus_stats(docs).first()
-    index = postings(docs)
+    tokens = stored(tokenised(docs))
+    stats = tokens.agg(F.count("*").alias("n"), F.avg(F.size("ts")).alias("avgdl")).first()
+    index = stored(postings(tokens))
     terms = queries.select("query_id", F.explode(t.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    hits = index.join(small(terms), "term").join(small(inverse_frequencies(index, stats["n"]).join(small(terms.select("term").distinct()), "term", "left_semi")), "term")
+    idf = inverse_frequencies(index, stats["n"]).join(small(terms.select("term").distinct()), "term", "left_semi")
+    weighted = stored(terms.join(idf, "term"))
+    hits = index.join(small(weighted), "term")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(stats["avgdl"] or 1.0)))
     scores = hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * part).alias("score"))
     return ranked(scores, ["query_id"], [F.desc(F.round("score", 6)), F.col("doc_id")], k).withColumn("score", F.round("score", 6))

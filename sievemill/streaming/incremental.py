@@ -3,20 +3,11 @@ keys seen before are skipped."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import relational
-
-
-def work_dir(spark: SparkSession) -> str:
-    """A new folder under the session's checkpoint folder, which all executors share; one of this machine only
-    where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="sievemill-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from ..operators.storage import work_dir
 
 
 def append_new(source: DataFrame, path: str, checkpoint: str, keys: list[str], order: str):
