@@ -18,8 +18,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on many documents of a source go; n_chars follows the text."""
-    cleaned = line_dedup.drop_boilerplate(docs, host="source")
+    """Lines on many documents of a source go; n_chars follows the text. Exact copies count once: SimHash drops
+    them later, and needs the text of the one that stays."""
+    cleaned = line_dedup.drop_boilerplate(docs, host="source", copies_once=True)
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

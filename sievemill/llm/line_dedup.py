@@ -31,29 +31,36 @@ def _is_blank(line: Column) -> Column:
     return F.length(F.trim(F.translate(line, "\t\r", "  "))) == 0
 
 
-def boilerplate(pages: DataFrame, host: str = "host", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(
+    pages: DataFrame, host: str = "host", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False
+) -> DataFrame:
     """host (as hashed key ``__host``), line long (``line_key``), pages long, ratio double.
 
-    Each page counts once for a line, however often it holds it. Only hashes are shuffled, summed
-    on the map side first; a host's lines spread over all tasks. A host has fewer than (lines a
-    page) / ratio such lines, whatever its size."""
+    Each page counts once for a line, however often it holds it; with ``copies_once`` all pages of
+    a host that have one text are one page, so that copies do not make their own body boilerplate.
+    Only hashes are shuffled, summed on the map side first; a host's lines spread over all tasks. A
+    host has fewer than (lines a page) / ratio such lines, whatever its size."""
     key = F.coalesce(F.concat(F.lit("h"), F.col(host)), F.lit("n")).alias("__host")
     keys = F.array_distinct(F.transform(F.filter(_lines(text), lambda x: ~_is_blank(x)), line_key))
-    counts = pages.select(key, F.explode(keys).alias("line")).groupBy("__host", "line").agg(F.count("*").alias("pages")).filter(F.col("pages") >= min_pages)
-    totals = pages.select(key).groupBy("__host").agg(F.count("*").alias("total"))
+    each = pages.select(key, keys.alias("lines"))
+    if copies_once:
+        each = pages.select(key, keys.alias("lines"), F.xxhash64(text).alias("copy")).distinct()
+    counts = each.select("__host", F.explode("lines").alias("line")).groupBy("__host", "line").agg(F.count("*").alias("pages")).filter(F.col("pages") >= min_pages)
+    totals = each.groupBy("__host").agg(F.count("*").alias("total"))
     return counts.join(totals, "__host").filter(F.col("pages") > F.col("total") * F.lit(ratio)).select("__host", "line", "pages", (F.col("pages") / F.col("total")).alias("ratio"))
 
 
 def drop_boilerplate(
-    pages: DataFrame, host: str = "host", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_lines: int = BROADCAST_LINES
+    pages: DataFrame, host: str = "host", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_lines: int = BROADCAST_LINES,
+    copies_once: bool = False,
 ) -> DataFrame:
     """``pages`` with boilerplate lines taken out of ``text``, and line_total, line_dropped long.
     Columns with those names are replaced; all other columns stay as they are.
 
     Blank lines stay and are never boilerplate. A null text stays null with 0 lines; one whose
-    lines all go becomes empty. Null hosts are a host of their own. Repeated pages count each.
-    No rows: no rows. The texts are not shuffled unless boilerplate passes ``broadcast_lines``."""
-    found = stored(boilerplate(pages, host, text, ratio, min_pages))
+    lines all go becomes empty. Null hosts are a host of their own. Repeated pages count each,
+    unless ``copies_once``. No rows: no rows. The texts are not shuffled unless boilerplate passes ``broadcast_lines``."""
+    found = stored(boilerplate(pages, host, text, ratio, min_pages, copies_once))
     sets = found.groupBy("__host").agg(F.collect_list("line").alias("__drop"))
     base = pages.drop("line_total", "line_dropped").withColumn("__host", F.coalesce(F.concat(F.lit("h"), F.col(host)), F.lit("n")))
     if found.count() <= broadcast_lines:

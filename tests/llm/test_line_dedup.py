@@ -19,3 +19,14 @@ def test_drops_lines_above_the_ratio(spark):
 def test_all_lines_go_and_spaces_at_ends_do_not_matter(spark):
     docs = spark.createDataFrame([(i, "\tnav \r" if i % 2 else "nav", "h") for i in range(8)], "doc_id long, text string, source string")
     assert {r.text for r in line_dedup.drop_boilerplate(docs, host="source", ratio=0.5).collect()} == {""}
+
+
+def test_exact_copies_count_once(spark):
+    body = "a story\nof three\nlines"
+    rows = [(i, f"menu\nown {i}", "a") for i in range(100)] + [(100 + i, body, "a") for i in range(40)] + [(200 + i, None, "a") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(docs, host="source", copies_once=True).collect()}
+    assert {got[100 + i] for i in range(40)} == {body} and got[3] == "own 3" and got[200] is None and len(got) == len(rows)
+    found = {r.pages: r.ratio for r in line_dedup.boilerplate(docs, host="source", copies_once=True).collect()}
+    assert found == {100: 100 / 102}  # the menu only; the copies are one page, and so are the nulls
+    assert {r.text for r in line_dedup.drop_boilerplate(docs, host="source").filter("doc_id between 100 and 139").collect()} == {""}

@@ -87,3 +87,11 @@ def test_run_and_empty_tables(spark, folder, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{path}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_one_of_each_large_copy_group_stays_whole(spark):
+    bodies = [f"first line of group {g} {'alpha beta gamma delta'.split()[g]}\n" + " ".join(f"w{g * 977 + j * j}" for j in range(60)) for g in range(4)]
+    rows = [(g * 20 + i, b, "en", "a", len(b)) for g, b in enumerate(bodies) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.keep_one_of_near_duplicates(spark, corpus_pipeline.drop_boilerplate_lines(spark, docs, ""), "")
+    assert {r.doc_id: r.text for r in kept.collect()} == {g * 20: b for g, b in enumerate(bodies)}
