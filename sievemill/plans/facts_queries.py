@@ -48,7 +48,7 @@ def a3_near_duplicates(d: Tables) -> DataFrame:
 SELECT l_suppkey AS doi, l_partkey AS material_id, l_returnflag AS condition_id, count(*) AS n FROM lineitem WHERE l_suppkey <= 20 GROUP BY ALL
 """)
 def a4_n13_cells(d: Tables) -> DataFrame:
-    rows = d.lineitem.filter("l_suppkey <= 20").select(F.col("l_suppkey").alias("doi"), F.col("l_partkey").alias("material_id"), F.col("l_returnflag").alias("condition_id"), F.lit("qty").alias("name"), F.col("l_quantity").alias("value"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    rows = d.lineitem.select(F.col("l_suppkey").alias("doi"), F.col("l_partkey").alias("material_id"), F.col("l_returnflag").alias("condition_id"), F.lit("qty").alias("name"), F.col("l_quantity").alias("value"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
     return facts.cells(facts.grouped_papers(rows)).select("doi", F.col("working_material").alias("material_id"), "condition_id", F.col("n_properties").cast("long").alias("n"))
 
 
