@@ -34,3 +34,8 @@ def test_cells_of_all_suppliers(spark):
     folder = "/root/testdata/sf0.01"  # the smallest tables have few suppliers
     rows = same_as_sql_without(spark, "a4_n13_cells", " WHERE l_suppkey <= 20", folder=folder)
     assert sum(int(r[3]) for r in rows) == spark.read.parquet(f"{folder}/lineitem.parquet").count()
+
+
+def test_two_keys_of_all_lines(spark):
+    rows = same_as_sql_without(spark, "j1_two_keys", " WHERE l_linenumber <= 3")
+    assert len(rows) == spark.read.parquet(f"{SMALL}/lineitem.parquet").count()
