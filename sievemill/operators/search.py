@@ -5,8 +5,12 @@ aggregate. Queries and vocabularies are small tables by contract and are broadca
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import text as t
 from .storage import stored
@@ -15,6 +19,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
 #: Rows up to which a table of queries is broadcast.
 SMALL_ROWS = 50_000
+#: Vectors and queries that one task compares, and queries that it compares at once.
+BLOCK_ROWS, BLOCK_QUERIES, TILE = 32_768, 4_096, 64
 
 
 def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
@@ -78,13 +84,77 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
 
+def _matrix(column: pa.ChunkedArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows of ``dim`` doubles, and their lengths: -1 where it or a component is null."""
+    arrays = column.combine_chunks()
+    lengths = pc.fill_null(pc.list_value_length(arrays), 0).to_numpy(zero_copy_only=False).astype(int)
+    values, row = arrays.flatten(), np.repeat(np.arange(len(lengths)), lengths)
+    out = np.zeros((len(lengths), dim))
+    out[row, np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = values.to_numpy(zero_copy_only=False)
+    lengths[arrays.is_null().to_numpy(zero_copy_only=False)] = -1
+    lengths[row[values.is_null().to_numpy(zero_copy_only=False)]] = -1
+    return out, lengths
+
+
+def _scores(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray) -> np.ndarray:
+    """Similarities of all pairs with 6 digits, summed from the first component to the last; 0 where lengths differ."""
+    far = np.zeros((len(x), len(y)))
+    for j in range(x.shape[1]):
+        diff = x[:, j, None] - y[None, :, j]
+        far += diff * diff
+    score = np.floor(np.maximum(0.0, 1 - far / 2) * 1e6 + 0.5) / 1e6
+    return np.where((nx[:, None] == ny[None]) & (nx[:, None] >= 0), score, 0.0)
+
+
+def vector_pairs(vectors: DataFrame, queries: DataFrame, k: int | None = None, above: float | None = None, carried: list[str] | None = None) -> DataFrame:
+    """Pairs of a query (query_id, query, others) and a vector (vec_id, embedding): the queries' columns but query,
+    vec_id, ``carried`` columns of the vectors, score (max(0, 1 - d/2) of the squared distance; exact).
+
+    Only pairs with a score over ``above``. With ``k`` each task hands on at most the k best of a query, ties to the
+    smaller vec_id. Both sides are dealt into blocks, and each pair of blocks is a task: neither has to be small."""
+    own, kept = [c for c in queries.columns if c != "query"], ["vec_id", *(carried or [])]
+    n, m = vectors.count(), queries.count()
+    rows = max(-(-n // BLOCK_ROWS), min(vectors.sparkSession.sparkContext.defaultParallelism, -(-n // 1024)), 1)
+    parts = max(-(-m // BLOCK_QUERIES), 1)
+    at = F.monotonically_increasing_id()
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.lit(c - 1)).cast("array<bigint>"))
+    left = vectors.select(*kept, "embedding").withColumn("__a", F.pmod(at, F.lit(rows))).withColumn("__b", every(parts))
+    right = queries.withColumn("__b", F.pmod(at, F.lit(parts))).withColumn("__a", every(rows))
+    schema = StructType([*(queries.schema[c] for c in own), *(vectors.schema[c] for c in kept), StructField("score", DoubleType())])
+
+    def run(block: pa.Table, asked: pa.Table) -> pa.Table:
+        taken, wanted, found = [], [], []
+        if len(block) and len(asked):
+            dim = max(pc.max(pc.list_value_length(c)).as_py() or 0 for c in (block["embedding"], asked["query"]))
+            (x, nx), (y, ny) = _matrix(block["embedding"], dim), _matrix(asked["query"], dim)
+            ids = block["vec_id"].combine_chunks()
+            valid, ids = ids.is_valid().to_numpy(zero_copy_only=False), pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)
+            for q in range(0, len(y), TILE):
+                # a tile of vectors at a time, so that the sums stay in the cache
+                near = np.concatenate([_scores(x[i : i + 1024], nx[i : i + 1024], y[q : q + TILE], ny[q : q + TILE]) for i in range(0, len(x), 1024)])
+                for j in range(near.shape[1]):
+                    own_score = near[:, j]
+                    rank = np.where(np.isnan(own_score), -np.inf, -own_score)
+                    row = np.arange(len(x)) if above is None else np.flatnonzero(rank < -above)
+                    if k is not None:
+                        if len(row) > k:
+                            row = row[rank[row] <= np.partition(rank[row], k - 1)[k - 1]]
+                        row = row[np.lexsort((ids[row], valid[row], rank[row]))][:k]
+                    taken.append(row)
+                    wanted.append(np.full(len(row), q + j))
+                    found.append(own_score[row])
+        empty = np.zeros(0, int)
+        take, of = (pa.array(np.concatenate([empty, *c]).astype(int)) for c in (taken, wanted))
+        score = pa.array(np.concatenate([np.zeros(0), *found]))
+        return pa.Table.from_arrays([*(asked[c].take(of) for c in own), *(block[c].take(take) for c in kept), score], [*own, *kept, "score"])
+
+    return left.groupBy("__a", "__b").cogroup(right.groupBy("__a", "__b")).applyInArrow(run, schema)
+
+
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:
-    """query_id, vec_id, score, rank: similarity max(0, 1 - d/2) of the squared distance; exact. The
-    queries (query_id, query) are a stated small set and are broadcast to the vectors."""
+    """query_id, vec_id, score, rank: the k most similar of each query (query_id, query), as in ``vector_pairs``."""
     base = vectors if where is None else vectors.filter(where)
-    pairs = base.join(F.broadcast(queries), F.lit(True), "inner")
-    scored = pairs.select("query_id", "vec_id", F.round(F.greatest(F.lit(0.0), 1 - squared_distance(F.col("embedding"), F.col("query")) / 2), 6).alias("score"))
-    return ranked(scored, ["query_id"], [F.desc("score"), F.col("vec_id")], k)
+    return ranked(vector_pairs(base, queries.select("query_id", "query"), k), ["query_id"], [F.desc("score"), F.col("vec_id")], k).select("query_id", "vec_id", "score", "rank")
 
 
 def relaxed(rows: DataFrame, tiers: list[Column], keys: list[str]) -> DataFrame:

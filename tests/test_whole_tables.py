@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from sievemill.operators import search
 from sievemill.plans import registry
 
 SMALL = "/root/testdata/sf0.001"
@@ -39,3 +40,22 @@ def test_cells_of_all_suppliers(spark):
 def test_two_keys_of_all_lines(spark):
     rows = same_as_sql_without(spark, "j1_two_keys", " WHERE l_linenumber <= 3")
     assert len(rows) == spark.read.parquet(f"{SMALL}/lineitem.parquet").count()
+
+
+@pytest.mark.parametrize("name", ["r2_vector_top_k", "r3_relaxation"])
+def test_every_fiftieth_vector_is_a_query(spark, name, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(search, "BLOCK_QUERIES", 3)
+    rows = same_as_sql_without(spark, name, "WHERE vec_id < 8", "WHERE vec_id % 50 = 0")
+    if name == "r2_vector_top_k":
+        assert {int(r[0]) for r in rows} == set(range(0, 500, 50)) and len(rows) == 100
+
+
+def test_vector_top_k_ties_nulls_and_repeated_rows(spark):
+    far, near = [0.0, 1.0], [1.0, 0.0]
+    rows = [(1, far), (2, near), (2, near), (3, near), (4, None), (5, [1.0]), (6, [None, 0.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    queries = spark.createDataFrame([("q", near)], "query_id string, query array<float>")
+    got = search.vector_top_k(vectors, queries, 5).orderBy("rank").collect()
+    assert [(r.query_id, r.vec_id, r.score) for r in got] == [("q", 2, 1.0), ("q", 2, 1.0), ("q", 3, 1.0), ("q", 1, 0.0), ("q", 4, 0.0)]
+    assert search.vector_top_k(vectors.limit(0), queries, 5).count() == 0 and search.vector_top_k(vectors, queries.limit(0), 5).count() == 0
