@@ -173,10 +173,13 @@ def _compare(dim: int, k: int):
     def best(ids: np.ndarray, x: np.ndarray, query: int, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         far = distances(q[None], x)[0]
         own = np.flatnonzero(ids != query)
-        if len(own) > k:
-            own = own[far[own] <= np.partition(far[own], k - 1)[k - 1]]
-        order = own[np.lexsort((ids[own], far[own]))][:k]
-        return ids[order], far[order]
+        for least in (k, len(own)):  # all, where rows with one id and distance leave fewer than k
+            near = own[far[own] <= np.partition(far[own], least - 1)[least - 1]] if len(own) > least else own
+            order = near[np.lexsort((ids[near], far[near]))]
+            order = order[np.concatenate([[True], (np.diff(ids[order]) != 0) | (np.diff(far[order]) != 0)])[: len(order)]]
+            if len(order) >= k:
+                break
+        return ids[order[:k]], far[order[:k]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, queries = None, []
@@ -230,7 +233,7 @@ def nearest(vectors: DataFrame, queries, k: int = 10, vec_id: str = "vec_id", em
     most, or a null id, takes no part. Rows with the query's own id are left out, and several
     rows with one id and distance count once. Ties go to the smaller id. Fewer than k rows:
     all. No rows: no rows. Lists with many rows or queries are dealt into blocks, and each pair of blocks is a task."""
-    rows = stored(usable(vectors, vec_id, embedding))
+    rows = stored(usable(vectors, vec_id, embedding).distinct())  # a repeated row would take several of the k places
     n = rows.count()
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows).select("v").collect()
     if not sample:

@@ -44,3 +44,19 @@ def test_boundary_vectors_are_in_several_lists():
     assert np.mean([a[0] == t.argmin() for a, t in zip(lists, to, strict=True)]) > 0.99
     sizes = np.bincount(np.concatenate(lists), minlength=len(index.centres))
     assert sizes.max() < 6 * sizes.mean()
+
+
+def test_repeated_rows_take_one_place(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 8)).astype(np.float32)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    near = [(1, (x[0] + 0.001).tolist(), 0)] * 40  # one row many times, next to a query
+    once, often = ([tuple(r) for r in ann.nearest(table(spark, t), "vec_id % 100 = 0").orderBy("query_id", "rank").collect()] for t in (rows + near[:1], rows * 2 + near))
+    assert often == once and len(once) == 30
+
+
+def test_rows_of_one_id_and_distance_count_once(spark):
+    rows = [(0, [1.0, 0.0], 0), *[(i, [0.0, -1.0 - i], 0) for i in range(2, 13)]]
+    rows += [(1, [1.0, y], 0) for y in (0.5, -0.5)] * 12  # two vectors of one id, equally far from the query
+    got = ann.nearest(table(spark, rows), "vec_id = 0").orderBy("rank").collect()
+    assert [r.vec_id for r in got] == list(range(1, 11))
