@@ -10,12 +10,12 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small_rows, stored
 
-#: Labelled URLs that the trees are fitted on at most (the first by a hash of the URL).
+#: Different labelled URLs that the trees are fitted on at most (the first by a hash of the URL).
 FIT_ROWS = 20_000
-#: Buckets of host suffixes for their statistics: the table of rates has at most so many rows.
-SUFFIX_BUCKETS = 1024
+#: Host suffixes up to which their rates are broadcast.
+BROADCAST_SUFFIXES = 50_000
 #: Labels that a suffix needs to outweigh the mean rate.
 SMOOTHING = 10.0
 #: Rules up to which they stand in the expression itself; more are joined.
@@ -90,8 +90,8 @@ def with_features(urls: DataFrame, url: str = "url") -> DataFrame:
         "f_hyphens": F.length(F.regexp_replace(host, "[^-]", "")).cast("double"),
         "f_fragment": F.contains(text, F.lit("#")).cast("double"),
         "f_scheme": F.startswith(text, F.lit("https")).cast("double"),
-        "f_bucket": F.pmod(F.xxhash64(F.element_at(labels, -1)), F.lit(SUFFIX_BUCKETS)),
-        "f_bucket2": F.pmod(F.xxhash64(last2), F.lit(SUFFIX_BUCKETS)),
+        "f_suffix": F.element_at(labels, -1),
+        "f_suffix2": last2,
     })
 
 
@@ -100,25 +100,24 @@ class Filter:
 
     def __init__(self, labelled: DataFrame, url: str = "url", blocked: str = "blocked", fit_rows: int = FIT_ROWS):
         rows = labelled.select(F.col(url).alias("url"), F.col(blocked).cast("double").alias("y")).filter("url is not null and y is not null")
-        rows = with_features(with_rules(rows, []), "url").orderBy(F.xxhash64("url"), "url", "y").limit(fit_rows)
-        spark = labelled.sparkSession
-        rows = stored(rows)  # at most fit_rows short rows: one scan of the URLs for all trees
-        n, total = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0))).first()
+        suffixes = with_features(with_rules(rows, []), "url").groupBy("f_suffix2", "f_suffix")
+        counts = stored(suffixes.agg(F.count("*").alias("n"), F.sum("y").alias("total")))  # of all labelled rows
+        n, total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0.0))).first()
         self.constant = None if 0 < total < n else float(n > 0 and total == n)
         if self.constant is not None:
             return
-        mean = total / n
-        self.rates, self.mean = [], mean
-        for bucket, name in (("f_bucket", "f_last"), ("f_bucket2", "f_last2")):
-            rate = ((F.sum("y") + SMOOTHING * mean) / (F.count("*") + SMOOTHING)).alias(name)
-            found = rows.groupBy(bucket).agg(rate).collect()  # at most SUFFIX_BUCKETS rows
-            self.rates.append((bucket, name, spark.createDataFrame([(r[0], r[1]) for r in found], f"{bucket} long, {name} double")))
+        self.rates, self.mean = [], total / n
+        for suffix, name in (("f_suffix", "f_last"), ("f_suffix2", "f_last2")):
+            rate = (F.sum("total") + SMOOTHING * self.mean) / (F.sum("n") + SMOOTHING)
+            self.rates.append((suffix, name, stored(counts.groupBy(suffix).agg(rate.alias(name)))))
+        # at most fit_rows short rows: one scan of the URLs for all trees
+        rows = stored(with_features(with_rules(rows.distinct().orderBy(F.xxhash64("url"), "url", "y").limit(fit_rows), []), "url"))
         learner = GBTClassifier(featuresCol="f_all", labelCol="y", predictionCol="f_verdict", maxIter=TREES, maxDepth=DEPTH, seed=SEED)
         self.model = learner.fit(self._assembled(rows).select("f_all", "y"))
 
     def _assembled(self, rows: DataFrame) -> DataFrame:
-        for bucket, name, rates in self.rates:
-            rows = rows.join(F.broadcast(rates), bucket, "left").fillna({name: self.mean})
+        for suffix, name, rates in self.rates:
+            rows = rows.join(small_rows(rates, BROADCAST_SUFFIXES), suffix, "left").fillna({name: self.mean})
         return VectorAssembler(inputCols=_FEATURES, outputCol="f_all").transform(rows)
 
     def judge(self, urls: DataFrame, url: str = "url") -> DataFrame:

@@ -47,3 +47,24 @@ def test_without_labels(spark):
     urls = spark.createDataFrame([("http://a.b/c", "x")], "url string, url_verdict string")
     assert [r.url_verdict for r in uf.judge(urls, RULES).collect()] == ["allow"]
     assert uf.judge(urls.limit(0), RULES).count() == 0
+
+
+@pytest.mark.parametrize("broadcast", [10**6, 0])
+def test_suffix_rates_of_all_rows_and_sample_of_different_urls(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(uf, "BROADCAST_SUFFIXES", broadcast, raising=False)
+    rows = [(f"http://h{i}.site{i % 40}.t{i % 40 % 7}/p", int(i % 40 < 15)) for i in range(400)] * 60  # each URL 60 times: more than the sample
+    labelled = spark.createDataFrame(rows, "url string, blocked int")
+    found = uf.Filter(labelled, fit_rows=60)
+    assert found.constant is None
+    want = {}
+    for url, y in rows:
+        host = url.split("/")[2].split(".")
+        for key in (".".join(host[-2:]), host[-1]):
+            n, total = want.get(key, (0, 0))
+            want[key] = n + 1, total + y
+    mean = sum(y for _, y in rows) / len(rows)
+    got = {r[0]: r[1] for _, _, rates in found.rates for r in rates.collect()}
+    assert got == {k: pytest.approx((t + uf.SMOOTHING * mean) / (n + uf.SMOOTHING)) for k, (n, t) in want.items()}
+    urls = labelled.distinct()
+    judged = uf.judge(urls, [], labelled, fit_rows=60).collect()
+    assert sum((r.url_verdict == "block") == bool(r.blocked) for r in judged) >= 0.95 * len(judged) and len(judged) == 400
