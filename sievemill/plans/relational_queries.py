@@ -12,7 +12,7 @@ from .registry import Tables, query
 
 @query("""
 WITH k AS (SELECT s_suppkey AS id, s_suppkey, s_name FROM supplier UNION SELECT s_suppkey + 100000, s_suppkey, s_name FROM supplier)
-SELECT l_orderkey, l_linenumber, k.s_name FROM lineitem l LEFT JOIN k ON k.id = CASE WHEN l_linenumber % 2 = 0 THEN l_suppkey + 100000 ELSE l_suppkey END WHERE l_linenumber <= 3
+SELECT l_orderkey, l_linenumber, k.s_name FROM lineitem l LEFT JOIN k ON k.id = CASE WHEN l_linenumber % 2 = 0 THEN l_suppkey + 100000 ELSE l_suppkey END
 """)
 def j1_two_keys(d: Tables) -> DataFrame:
     keys = d.supplier.select(F.explode(F.array(F.col("s_suppkey"), F.col("s_suppkey") + 100000)).alias("id"), "s_name")
