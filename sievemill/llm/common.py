@@ -3,13 +3,14 @@ tokenisation of whole texts as UTF-8 bytes, and row access in Arrow batches."""
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Java regular expression of a word: a run of anything but space and \x09-\x0D.
@@ -49,25 +50,50 @@ def alnum_words(text: bytes) -> list[bytes]:
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables that every executor and the driver can reach.
 
-    It is ``spark.checkpoint.dir`` of the session. Only where that is unset, as in local
-    tests, a folder of this machine is set."""
+    It is ``spark.checkpoint.dir`` of the session. Where that is unset, as in local tests, a folder of
+    this machine is set; a cluster's executors could not reach that, so it raises there."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="sievemill-")
         sc.setCheckpointDir(path)
     return path.rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, **options) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage, and a
-    lost executor costs no recomputation of what stands before."""
+    lost executor costs no recomputation of what stands before. The folder is the cluster's to clear."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sievemill-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, **options)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(columns: Sequence[str], stem: str = "x") -> str:
+    """A column name that none of ``columns`` has, in any case."""
+    taken = {c.lower() for c in columns}
+    return next(n for n in (f"__{stem}{i}" for i in itertools.count()) if n not in taken)
+
+
+def in_order(df: DataFrame, order: Sequence[str], sums: Sequence[str] = ()) -> DataFrame:
+    """``df`` and rank long (places before a row when all rows are sorted by the columns ``order``,
+    nulls first), and for each column x of ``sums`` x_before: its sum over those places, null as 0.
+
+    ``order`` has to tell all rows apart. The rows are range-sorted, so that none of the tasks sees
+    all of them; only a row of totals for each partition meets in one."""
+    placed = stored(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    before = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    parts = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    value = {c: F.coalesce(F.col(c), F.lit(0)) for c in sums}
+    totals = placed.groupBy("part").agg(F.count("*").alias("rank_p"), *[F.sum(v).alias(f"{c}_p") for c, v in value.items()])
+    totals = totals.select("part", *[F.coalesce(F.sum(f"{c}_p").over(parts), F.lit(0)).alias(f"{c}_p") for c in ("rank", *sums)])
+    inside = placed.withColumns({"rank": F.coalesce(F.count(F.lit(1)).over(before), F.lit(0)), **{f"{c}_before": F.coalesce(F.sum(v).over(before), F.lit(0)) for c, v in value.items()}})
+    added = {"rank": F.col("rank") + F.col("rank_p"), **{f"{c}_before": F.col(f"{c}_before") + F.col(f"{c}_p") for c in sums}}
+    return inside.join(F.broadcast(totals), "part").withColumns(added).select(*df.columns, *added)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
