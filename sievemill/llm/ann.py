@@ -2,11 +2,15 @@
 
 Centroids come from a balanced k-means over a bounded sample. Every vector is put into the
 list of its nearest centroid, and a vector near a boundary into those of the other centroids
-that are almost as near.
-Centroids are searched through an in-memory neighbour graph. A query reads the lists whose
+that are almost as near; how near is fitted so that about REPLICATED of the vectors are.
+Centroids are searched through an in-memory neighbour graph: a walk from some entries that goes on from
+whatever is near enough, and has distances to the centroids that it meets only. A query reads the lists whose
 centroids are within a ratio of its nearest one's distance (or of the usual such distance, if that
 is larger: a query may lie on a centroid); the ratio is the least that covers COVER of the true
-neighbours in the sample. Distances in the lists are exact."""
+neighbours in the sample. Distances in the lists are exact.
+
+Half of the sample makes the centroids, the other half the ratios. There are at most FIT_ROWS / 2 / SAMPLE_ROWS_A_LIST centroids: beyond LIST_ROWS times as many vectors the
+lists grow, and are dealt into blocks, unless ``fit_rows`` grows too."""
 
 from __future__ import annotations
 
@@ -22,12 +26,14 @@ from .common import stored
 #: Vectors that centroids are fitted on at most (the first by a hash of their id).
 FIT_ROWS = 16_384
 #: Vectors a list holds on average, before replication, as long as the sample gives as many centroids.
-LIST_ROWS, SAMPLE_ROWS_A_LIST = 256, 16
-#: A vector joins other lists whose centroids are at most so many times as far as its nearest.
-BOUNDARY = 1.02
+LIST_ROWS, SAMPLE_ROWS_A_LIST = 64, 16
+#: Share of the vectors that are put into other lists too, and how many times as far as the nearest those lists' centroids are at most.
+REPLICATED, BOUNDARY = 0.15, 1.1
 #: Share of the sample's true neighbours that the pruning ratio has to cover.
 COVER = 0.98
-DEGREE, ENTRIES, CALIBRATION_QUERIES = 24, 8, 256
+#: Edges of a centroid, where walks begin, and how many of the nearest met so far they go on from at least.
+DEGREE, ENTRIES, BEAM = 16, 8, 4
+CALIBRATION_QUERIES = 512
 #: Vectors and queries of a list that one task compares.
 BLOCK_ROWS, BLOCK_QUERIES = 16_384, 16_384
 #: Neighbours that a task holds before it merges them by query.
@@ -68,72 +74,95 @@ def balanced_centroids(x: np.ndarray, k: int, rounds: int = 10, seed: int = 42)
 
 
 class Index:
-    """Centroids, their neighbour graph and the pruning ratio."""
+    """Centroids, their neighbour graph, the boundary and the pruning ratio."""
 
     def __init__(self, sample: np.ndarray, n: int, seed: int = 42):
         self.dim = sample.shape[1]
-        k = max(1, min(-(-n // LIST_ROWS), len(sample) // SAMPLE_ROWS_A_LIST))
-        self.centres = balanced_centroids(sample, k, seed=seed)
+        rng = np.random.default_rng(seed)
+        sample = sample[rng.permutation(len(sample))]
+        # centroids lie nearer to the vectors that they are made of than to others: ratios are fitted on others
+        made, held = (sample, sample) if len(sample) < 64 else (sample[: len(sample) // 2], sample[len(sample) // 2 :])
+        k = max(1, min(-(-n // LIST_ROWS), len(made) // SAMPLE_ROWS_A_LIST))
+        self.centres = balanced_centroids(made, k, seed=seed)
         k = len(self.centres)
         apart = _near(self.centres, self.centres)
+        linked = np.zeros((k, k), bool)
         nearest = np.argsort(apart, axis=1)[:, 1 : DEGREE + 1]
-        self.edges = np.zeros((k, k), np.float32)
-        self.edges[np.repeat(np.arange(k), nearest.shape[1]), nearest.reshape(-1)] = 1
-        self.edges = np.maximum(self.edges, self.edges.T)
+        linked[np.repeat(np.arange(k), nearest.shape[1]), nearest.reshape(-1)] = True
+        linked |= linked.T
+        self.edges, self.edge_at = np.nonzero(linked)[1], np.concatenate([[0], np.cumsum(linked.sum(1))])
         entries = [int(apart.sum(1).argmin())]  # far from each other, the most central first
         while len(entries) < min(ENTRIES, k):
             entries.append(int(apart[entries].min(0).argmax()))
         self.entries = np.array(sorted(set(entries)))
-        self.ratio, self.usual = np.inf, 0.0
-        rng = np.random.default_rng(seed)
-        chosen = rng.permutation(len(sample))[:CALIBRATION_QUERIES]
-        if len(sample) > 11:
-            lists = self.lists_of(sample)
-            # ten neighbours among n vectors are so many, on average, within the sample
-            true = np.argsort(_near(sample[chosen], sample), axis=1)[:, 1 : 1 + max(1, -(-10 * len(sample) // n))]
-            to = _near(sample[chosen], self.centres)
-            reach = np.array([[to[i, lists[j]].min() for j in true[i]] for i in range(len(chosen))])
+        self.boundary, self.ratio, self.usual = 1.0, np.inf, 0.0
+        chosen = np.arange(len(held))[:CALIBRATION_QUERIES]
+        to = _near(held[chosen], self.centres)
+        if k > 1:
+            two = np.partition(to, 1, axis=1)[:, :2]
+            self.boundary = min(BOUNDARY, float(np.quantile(two[:, 1] / np.maximum(two[:, 0], 1e-300), REPLICATED, method="lower")))
+        if len(held) > 11:
+            # ten neighbours among n vectors are so many, on average, within the held ones
+            true = np.argsort(_near(held[chosen], held), axis=1)[:, 1 : 1 + max(1, -(-10 * len(held) // n))]
+            few = np.unique(true)
+            lists = dict(zip(few.tolist(), self.lists_of(held[few]), strict=True))
+            reach = np.array([[to[i, lists[j]].min() for j in true[i].tolist()] for i in range(len(chosen))])
             self.usual = float(np.median(to.min(1)))
             need = (reach / np.maximum(to.min(1), max(self.usual, 1e-300))[:, None]).reshape(-1)
             self.ratio = max(1.0, float(np.quantile(need, COVER, method="higher"))) * (1 + 1e-9)
 
-    def reachable(self, x: np.ndarray, ratio: float, usual: float = 0.0) -> np.ndarray:
-        """Distances to the centroids that a walk through the graph meets from the entries, else
-        infinite: it goes on from the nearest, and from all within ``ratio`` of it."""
-        far = np.full((len(x), len(self.centres)), np.inf)
-        far[:, self.entries] = _near(x, self.centres[self.entries])
-        done = np.zeros(far.shape, bool)
-        while True:
-            least = far.min(1)
-            go = ~done & (far <= np.maximum(np.maximum(least, usual) * ratio, np.partition(far, min(DEGREE, far.shape[1] - 1), axis=1)[:, min(DEGREE, far.shape[1] - 1)])[:, None]) & np.isfinite(far)
-            active = go.any(1)
-            if not active.any():
-                return far
-            done |= go
-            met = (go[active].astype(np.float32) @ self.edges > 0) & np.isinf(far[active])
-            near = _near(x[active], self.centres)
-            far[active] = np.where(met, near, far[active])
-
-    def lists_of(self, x: np.ndarray) -> list[np.ndarray]:
-        """The lists that each vector is put into, its nearest first."""
+    def walk(self, x: np.ndarray, ratio: float, usual: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of x, centroid, distance) of the centroids that walks through the graph meet, by row. A walk goes on from
+        the BEAM nearest, and from all within ``ratio`` of the nearest (or of ``usual``)."""
+        k = len(self.centres)
+        met = np.zeros((len(x), k), bool)
+        row, centre = np.repeat(np.arange(len(x)), len(self.entries)), np.tile(self.entries, len(x))
+        beam = np.full((len(x), min(BEAM, k)), np.inf)
+        found = []
+        while len(row):
+            met[row, centre] = True
+            diff = x[row] - self.centres[centre]
+            far = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+            found.append((row, centre, far))
+            order = np.lexsort((far, row))
+            row, centre, far = row[order], centre[order], far[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            best = place < beam.shape[1]
+            new = np.full_like(beam, np.inf)
+            new[row[best], place[best]] = far[best]
+            beam = np.sort(np.concatenate([beam, new], axis=1), axis=1)[:, : beam.shape[1]]
+            # the limit only falls: what is beyond it now is never gone on from
+            limit = np.maximum(np.maximum(beam[:, 0], usual) * ratio, beam[:, -1])
+            on = far <= limit[row]
+            row, centre = row[on], centre[on]
+            count = self.edge_at[centre + 1] - self.edge_at[centre]
+            next_row = np.repeat(row, count)
+            next_centre = self.edges[np.repeat(self.edge_at[centre] - np.cumsum(count) + count, count) + np.arange(count.sum())]
+            pairs = np.unique((next_row * k + next_centre)[~met[next_row, next_centre]])
+            row, centre = pairs // k, pairs % k
+        row, centre, far = (np.concatenate(c) if found else np.zeros(0, np.int64) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        order = np.lexsort((centre, far, row))
+        return row[order], centre[order], far[order]
+
+    def _within(self, x: np.ndarray, ratio: float, usual: float) -> list[np.ndarray]:
         out = []
         for at in range(0, len(x), 512):
-            far = self.reachable(x[at : at + 512], BOUNDARY)
-            limit = far.min(1) * BOUNDARY
-            first = far.argmin(1)
-            for i in range(len(far)):
-                near = np.flatnonzero(far[i] <= limit[i])
-                out.append(np.concatenate([[first[i]], near[near != first[i]]]))
+            part = x[at : at + 512]
+            row, centre, far = self.walk(part, ratio, usual)
+            cuts = np.searchsorted(row, np.arange(len(part) + 1))
+            limit = np.maximum(far[cuts[:-1]], usual) * ratio
+            own = far <= limit[row]
+            stops = np.concatenate([[0], np.cumsum(own)])[cuts]
+            out += np.split(centre[own], stops[1:-1])
         return out
 
+    def lists_of(self, x: np.ndarray) -> list[np.ndarray]:
+        """The lists that each vector is put into, its nearest first."""
+        return self._within(x, self.boundary, 0.0)
+
     def probes(self, x: np.ndarray) -> list[np.ndarray]:
         """The lists that each query reads."""
-        out = []
-        for at in range(0, len(x), 512):
-            far = self.reachable(x[at : at + 512], self.ratio, self.usual)
-            limit = np.maximum(far.min(1), self.usual) * self.ratio
-            out += [np.flatnonzero(np.isfinite(far[i]) & (far[i] <= limit[i])) for i in range(len(far))]
-        return out
+        return self._within(x, self.ratio, self.usual)
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -225,6 +254,20 @@ def _compare(dim: int, k: int):
     return run
 
 
+def lists(rows: DataFrame, queries, fit_rows: int = FIT_ROWS) -> tuple[int, DataFrame, DataFrame, dict[int, int], dict[int, int]]:
+    """Components of a vector (0: no rows), postings and asked (list, vec_id, v: the vectors and the queries by list), and the rows of each by list."""
+    n = rows.count()
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows).select("v").collect()
+    if not sample:
+        return 0, rows, rows, {}, {}
+    index = Index(np.array([r["v"] for r in sample]), n)
+    wide = max(rows.sparkSession.sparkContext.defaultParallelism, 1)
+    postings = stored(_deal(rows.repartition(max(wide, n // 50_000)), index, queries=False))
+    asked = stored(_deal(rows.filter(queries).repartition(wide), index, queries=True))
+    sizes, probes = ({r["list"]: r["count"] for r in t.groupBy("list").count().collect()} for t in (postings, asked))  # a row for each centroid
+    return index.dim, postings, asked, sizes, probes
+
+
 def nearest(vectors: DataFrame, queries, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding", fit_rows: int = FIT_ROWS) -> DataFrame:
     """query_id long, rank int (from 1), vec_id long, score double: for each usable row that
     fulfils ``queries`` (a condition on vec_id) the k nearest found among all other rows.
@@ -234,17 +277,10 @@ def nearest(vectors: DataFrame, queries, k: int = 10, vec_id: str = "vec_id", em
     rows with one id and distance count once. Ties go to the smaller id. Fewer than k rows:
     all. No rows: no rows. Lists with many rows or queries are dealt into blocks, and each pair of blocks is a task."""
     rows = stored(usable(vectors, vec_id, embedding).distinct())  # a repeated row would take several of the k places
-    n = rows.count()
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows).select("v").collect()
-    if not sample:
+    dim, postings, asked, sizes, probes = lists(rows, queries, fit_rows)
+    if not dim:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
-    index = Index(np.array([r["v"] for r in sample]), n)
     spark = vectors.sparkSession
-    wide = max(spark.sparkContext.defaultParallelism, 1)
-    postings = stored(_deal(rows.repartition(max(wide, n // 50_000)), index, queries=False))
-    asked = stored(_deal(rows.filter(queries).repartition(wide), index, queries=True))
-    sizes = {r["list"]: r["count"] for r in postings.groupBy("list").count().collect()}  # a row for each centroid
-    probes = {r["list"]: r["count"] for r in asked.groupBy("list").count().collect()}
     blocks = spark.createDataFrame([(c, -(-sizes[c] // BLOCK_ROWS), -(-probes[c] // BLOCK_QUERIES)) for c in sorted(sizes.keys() & probes.keys())], "list int, rows int, queries int")
     hashed = F.xxhash64("vec_id", "v")
     some = F.broadcast(blocks)
@@ -252,6 +288,6 @@ def nearest(vectors: DataFrame, queries, k: int = 10, vec_id: str = "vec_id", em
     left = postings.join(some, "list").withColumn("a", F.pmod(hashed, F.col("rows")).cast("int")).withColumn("b", every("queries"))
     right = asked.join(some, "list").withColumn("b", F.pmod(hashed, F.col("queries")).cast("int")).withColumn("a", every("rows"))
     tasks = left.select("list", "a", "b", F.lit(1).alias("kind"), "vec_id", "v").union(right.select("list", "a", "b", F.lit(0).alias("kind"), "vec_id", "v"))
-    near = tasks.repartition("list", "a", "b").sortWithinPartitions("list", "a", "b", "kind").mapInArrow(_compare(index.dim, k), "query_id long, vec_id long, score double")
+    near = tasks.repartition("list", "a", "b").sortWithinPartitions("list", "a", "b", "kind").mapInArrow(_compare(dim, k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return near.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

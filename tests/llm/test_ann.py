@@ -60,3 +60,27 @@ def test_rows_of_one_id_and_distance_count_once(spark):
     rows += [(1, [1.0, y], 0) for y in (0.5, -0.5)] * 12  # two vectors of one id, equally far from the query
     got = ann.nearest(table(spark, rows), "vec_id = 0").orderBy("rank").collect()
     assert [r.vec_id for r in got] == list(range(1, 11))
+
+
+def test_fewer_comparisons_than_brute_force_at_64_dimensions(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6000, 64))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    vectors = table(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)])
+    dim, _, _, sizes, probes = ann.lists(ann.usable(vectors, "vec_id", "embedding"), "vec_id % 100 = 0")
+    assert dim == 64 and sum(sizes.values()) < 1.4 * 6000
+    assert sum(sizes[c] * n for c, n in probes.items()) < 0.95 * 60 * 6000
+    got = ann.nearest(vectors, "vec_id % 100 = 0").toPandas()
+    hits = 0
+    for q in range(0, 6000, 100):
+        far = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(1))
+        hits += len({i for i in np.argsort(far) if i != q} and set(np.argsort(far)[1:11]) & set(got[got.query_id == q].vec_id))
+    assert hits / 600 >= 0.9
+
+
+def test_a_walk_has_distances_to_what_it_meets_only():
+    x = np.random.default_rng(4).normal(size=(12_000, 32))
+    index = ann.Index(x, len(x))
+    row, centre, far = index.walk(x[:200], index.boundary)
+    assert len(row) < 0.8 * 200 * len(index.centres) and len(set(zip(row.tolist(), centre.tolist(), strict=True))) == len(row)
+    assert np.allclose(far, np.sqrt(((x[row] - index.centres[centre]) ** 2).sum(1)))
