@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, decontaminate, html_text, licenses, line_dedup, mixing, simhash, toxicity, url_filter, warc
-from .common import table
+from .common import stored, table, word_count
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    mixed = mixing.mix(docs, mixing.cyclic_weights(docs))
+    docs = stored(table(spark, sf_dir, "documents").select("doc_id", "source", word_count("text").alias("n_words")))  # the texts are read once
+    mixed = mixing.mix(docs, mixing.cyclic_weights(docs), size="n_words")
     out = mixed.select(
         "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"),
         F.round(F.get("mix_copies", F.lit(0))["position"], 6).alias("first_position"),
@@ -43,18 +43,25 @@ p AS (
 q AS (
   SELECT max((total - used_before) / open_before) AS level FROM p),
 t AS (
-  SELECT s.source, s.source_size, round(least(CAST(3 * s.source_size AS DOUBLE), q.level * s.w), 6) AS target FROM s, q),
+  SELECT s.source, s.source_size, s.w, round(least(CAST(3 * s.source_size AS DOUBLE), q.level * s.w), 6) AS target FROM s, q),
 c AS (
-  SELECT d.*, t.source_size, t.target,
+  SELECT d.*, t.source_size, t.target, CAST(t.w AS DOUBLE) AS w,
          coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 e AS (
-  SELECT *, CAST(round(target) AS BIGINT) AS want FROM c)
+  SELECT *, CAST(round(target) AS BIGINT) AS want FROM c),
+-- schedules: 2 at first, w half way, 2 * w - 2 at last; the area of each half up to the document's first word, then its inverse
+f AS (
+  SELECT *, least(w * st / target, (2 + w) * CAST(0.25 AS DOUBLE)) AS area_1 FROM e),
+g AS (
+  SELECT *, greatest(CAST(0 AS DOUBLE), least(w * st / target - area_1, (w + (2 * w - 2)) * CAST(0.25 AS DOUBLE))) AS area_2 FROM f),
+h AS (
+  SELECT *, 2 + sqrt(greatest(CAST(0 AS DOUBLE), 4 + 4 * (w - 2) * area_1)) AS root_1, w + sqrt(greatest(CAST(0 AS DOUBLE), w * w + 4 * (w - 2) * area_2)) AS root_2 FROM g)
 SELECT doc_id, size, source_size, target,
        CAST(greatest(0, least(size, want - st)) + greatest(0, least(size, want - st - source_size))
             + greatest(0, least(size, want - st - 2 * source_size)) AS BIGINT) AS taken,
-       CASE WHEN least(size, want - st) > 0 THEN round(st / target, 6) END AS first_position
-FROM e
+       CASE WHEN least(size, want - st) > 0 THEN round(least(CAST(0.5 AS DOUBLE), 2 * area_1 / root_1) + least(CAST(0.5 AS DOUBLE), 2 * area_2 / root_2), 6) END AS first_position
+FROM h
 """
 
 
