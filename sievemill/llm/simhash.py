@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_rows, space_words, stored
+from .common import byte_rows, free_name, space_words, stored
 from .components import components, roots_of, unite
 
 SEED = 42
@@ -328,9 +328,10 @@ def near_duplicates(docs: DataFrame, budget: int = 4, width: int = 4, max_root:
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stand for their component: those whose doc_id is the
     component's id, of several rows with that doc_id the first by the text's hash. Rows with a
-    null doc_id stay, as they cannot be named as copies of another. No rows: no rows."""
+    null doc_id stay, as they cannot be named as copies of another. Columns of any names are carried. No rows: no rows."""
+    key, place = free_name(docs.columns), free_name(docs.columns, "y")
     found = near_duplicates(docs, doc_id=doc_id, text=text, **options)
-    stay = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__keep"))
-    rank = F.row_number().over(Window.partitionBy(doc_id).orderBy(F.xxhash64(text)))
-    kept = docs.join(stay, docs[doc_id] == stay["__keep"], "left_semi").withColumn("__rank", rank).filter("__rank = 1").drop("__rank")
-    return kept.unionByName(docs.filter(F.col(doc_id).isNull()))
+    stay = found.filter("doc_id = component_id").select(F.col("doc_id").alias(key))
+    rank = F.row_number().over(Window.partitionBy(F.col(f"`{doc_id}`")).orderBy(F.xxhash64(F.col(f"`{text}`"))))
+    kept = docs.join(stay, docs[f"`{doc_id}`"] == stay[key], "left_semi").withColumn(place, rank).filter(F.col(place) == 1).drop(place)
+    return kept.unionByName(docs.filter(F.col(f"`{doc_id}`").isNull()))

@@ -30,3 +30,14 @@ def test_exact_copies_count_once(spark):
     found = {r.pages: r.ratio for r in line_dedup.boilerplate(docs, host="source", copies_once=True).collect()}
     assert found == {100: 100 / 102}  # the menu only; the copies are one page, and so are the nulls
     assert {r.text for r in line_dedup.drop_boilerplate(docs, host="source").filter("doc_id between 100 and 139").collect()} == {""}
+
+
+def test_columns_of_any_name_and_long_texts(spark):
+    names = ["__host", "__lines", "__kept", "__drop", "__salt", "__k0", "__s0", "host"]
+    rows = [(i, "menu\n" + f"own {i}\n" * (100_000 if i == 3 else 1), "a", *[f"{n}{i}" for n in names]) for i in range(20)]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "source string", *[f"`{n}` string" for n in names]]))
+    for limit in (10**6, 0):
+        got = line_dedup.drop_boilerplate(docs, host="source", broadcast_lines=limit)
+        assert got.columns == [*docs.columns, "line_total", "line_dropped"]
+        for r in got.collect():
+            assert r.line_dropped == 1 and r.text == f"own {r.doc_id}\n" * (100_000 if r.doc_id == 3 else 1) and all(r[n] == f"{n}{r.doc_id}" for n in names)

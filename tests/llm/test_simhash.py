@@ -95,3 +95,9 @@ def test_block_counts_leave_small_roots():
     for m in range(5, 9):
         for order, head in simhash.tries(m, 4):
             assert sorted(b for low, size in order for b in range(low, low + size)) == list(range(64)) and 0 < head < 64
+
+
+def test_keep_one_carries_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c", "r1", "k1"), (2, "a b c", "r2", "k2"), (1, "a b c", "r3", "k3"), (None, "a b c", "r4", "k4")], "doc_id long, text string, __rank string, __keep string")
+    got = simhash.keep_one(docs)
+    assert got.columns == docs.columns and sorted((r.doc_id or 0, r["__rank"] in ("r1", "r3", "r4")) for r in got.collect()) == [(0, True), (1, True)]
