@@ -1,19 +1,23 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and their first 4 to 7 characters; the model keeps those that toxic examples
-have more often than others do (log-likelihood ratio against the number of terms). A text's
-vector has (1 + ln tf) * idf for these terms, idf counted over all documents, and unit length.
-Examples with any such term form an inverted index whose postings are cut into blocks of
-example numbers; each term has its largest weight per block. A query takes blocks in the
-order of their upper bounds and stops when no block can reach its k-th best cosine, so the
-nearest are exact. Votes are weighted by cosine; isotonic regression on leave-one-out votes makes them scores.
+Terms are all words that two of the examples have. A text's vector has (1 + ln tf) * idf for each of its terms,
+idf counted over all documents, and unit length. Labels add to that: words that toxic examples do not have
+significantly more often than others (log-likelihood ratio against the number of terms) count WEAK times as much,
+since over all words alike long random prose hides the few words that matter; and beginnings of words (4 to 7
+characters) that toxic examples have so much more often are terms too.
+
+Examples form an inverted index, in order of their sizes. The short posting lists, of terms in few examples, are read
+whole. The long ones are cut into blocks of example numbers, with each term's largest weight per block: a
+block's bound is the best score in it so far and what the long lists can add. Blocks are read in the order of their bounds
+until none can reach the k-th best cosine, so the nearest are exact. Votes are weighted by cosine;
+isotonic regression on the votes of all examples, each left out in turn, makes them scores.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 from math import log
 
 import numpy as np
@@ -25,12 +29,12 @@ from pyspark.sql import types as T
 from .common import alnum_words, byte_rows, stored
 
 #: Labelled rows that a model is fitted on at most (the first by a hash of doc_id).
-FIT_ROWS = 40_000
-#: Terms that a model keeps at most, the most telling first.
-TERMS = 4_000
-#: Examples that the calibration leaves out in turn, at most.
-CALIBRATION_ROWS = 2_000
-NEIGHBOURS, BLOCK, BLOCKS_A_STEP = 15, 64, 16
+FIT_ROWS = 8_000
+#: Examples that have a term at least; weight of terms that labels do not tell apart.
+LEAST_EXAMPLES, WEAK = 2, 0.3
+#: Share of the examples beyond which a term's posting list is long.
+LONG = 0.2
+NEIGHBOURS, BLOCK, BLOCKS_A_STEP = 15, 64, 8
 PREFIXES = (4, 5, 6, 7)
 PRIOR = 0.25
 
@@ -46,52 +50,73 @@ class Terms:
 
     def __init__(self, terms: list[str]):
         self.number = {t: i for i, t in enumerate(terms)}
-        self.words: dict[bytes, tuple[int, ...]] = {}
+        self.words: dict[bytes, list[int]] = {}
 
     def __getstate__(self):
         return {"number": self.number, "words": {}}
 
-    def of(self, word: bytes) -> tuple[int, ...]:
-        if len(self.words) > 300_000:
+    def of(self, word: bytes) -> list[int]:
+        if len(self.words) > 200_000:
             self.words.clear()
-        found = self.words[word] = tuple(self.number[t] for t in terms_of(word) if t in self.number)
+        found = self.words[word] = [self.number[t] for t in terms_of(word) if t in self.number]
         return found
 
-    def counts(self, text: bytes | None) -> dict[int, int]:
-        """Kept terms of a whole text and how often they are in it, by number."""
-        words, out = alnum_words(text or b""), {}
+    def counts(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+        """Kept terms of a whole text, ascending, and how often they are in it."""
+        ids: list[int] = []
+        times: list[int] = []
         if self.number:
             get, of = self.words.get, self.of
-            for word, found in zip(words, map(get, words, repeat(None)), strict=True):
-                for term in of(word) if found is None else found:
-                    out[term] = out.get(term, 0) + 1
-        return dict(sorted(out.items()))
+            for word, n in Counter(alnum_words(text or b"")).items():
+                found = get(word)
+                found = of(word) if found is None else found
+                ids += found
+                times += [n] * len(found)
+        if not ids:
+            return np.zeros(0, np.int64), np.zeros(0)
+        terms, place = np.unique(np.array(ids, np.int64), return_inverse=True)
+        return terms, np.bincount(place, times)
 
 
 class Examples:
-    """Labelled vectors in a block-max inverted index."""
+    """Labelled vectors in an inverted index, the long lists with block maxima."""
 
-    def __init__(self, rows: list[tuple[object, int, list[int], list[float]]], n_terms: int):
-        rows = sorted(rows, key=lambda r: (r[2], r[3], r[1], str(r[0])))
+    def __init__(self, rows: list[tuple[object, int, np.ndarray, np.ndarray]], n_terms: int, long: float = LONG):
+        rows = sorted(rows, key=lambda r: (len(r[2]), np.asarray(r[2]).tobytes(), np.asarray(r[3]).tobytes(), r[1], str(r[0])))
         self.ids, self.labels, n = [r[0] for r in rows], np.array([r[1] for r in rows], float), len(rows)
+        self.number = {d: i for i, d in enumerate(self.ids)}
         sizes = [len(r[2]) for r in rows]
-        term, weight = (np.array([x for r in rows for x in r[i]], kind) for i, kind in ((2, np.int64), (3, float)))
-        example = np.repeat(np.arange(n), sizes)
+        term, weight = (np.concatenate([np.zeros(0, kind), *(np.asarray(r[i], kind) for r in rows)]) for i, kind in ((2, np.int64), (3, float)))
+        example = np.repeat(np.arange(n, dtype=np.int32), sizes)
         order = np.lexsort((example, term))
-        self.example, self.weight = example[order], weight[order]
+        term, self.example, self.weight = term[order], example[order], weight[order]
+        self.first = np.searchsorted(term, np.arange(n_terms + 1))  # of each term's list
         self.blocks = -(-n // BLOCK)
-        slot = term[order] * self.blocks + self.example // BLOCK
-        self.first = np.searchsorted(slot, np.arange(n_terms * self.blocks + 1)).reshape(-1)
-        self.most = np.zeros(n_terms * self.blocks)
-        np.maximum.at(self.most, slot, self.weight)
-        self.most = self.most.reshape(n_terms, self.blocks)
+        is_long = np.diff(self.first) > max(1, long * n)
+        self.long = np.where(is_long, np.cumsum(is_long) - 1, -1)  # a long list's number
+        inside = is_long[term]
+        slot = self.long[term[inside]] * self.blocks + self.example[inside] // BLOCK
+        places = np.flatnonzero(inside)
+        cuts = np.searchsorted(slot, np.arange(int(is_long.sum()) * self.blocks + 1))
+        self.cut = np.append(places, len(term))[cuts]  # where each block of a long list begins ...
+        self.length = np.diff(cuts)  # ... and its postings
+        self.most = np.zeros(int(is_long.sum()) * self.blocks)
+        np.maximum.at(self.most, slot, self.weight[inside])
+        self.most = self.most.reshape(int(is_long.sum()), self.blocks)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k nearest examples, all that tie with the last
         included; only those with a common term. Ordered by cosine, then number."""
-        if not len(self.ids) or not len(terms):
+        n = len(self.ids)
+        if not n or not len(terms):
             return np.zeros(0, np.int64), np.zeros(0)
-        bound = weights @ self.most[terms]
+        long = self.long[terms]
+        short, mine = terms[long < 0], long[long >= 0]
+        count = self.first[short + 1] - self.first[short]
+        place = np.repeat(self.first[short] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        sums = np.bincount(self.example[place], np.repeat(weights[long < 0], count) * self.weight[place], minlength=n)
+        heavy = weights[long >= 0]
+        bound = np.maximum.reduceat(sums, np.arange(0, n, BLOCK)) + (heavy @ self.most[mine] if len(mine) else 0.0)
         order = np.argsort(-bound, kind="stable")
         found, scores, least = np.zeros(0, np.int64), np.zeros(0), 0.0
         for at in range(0, len(order), BLOCKS_A_STEP):
@@ -99,14 +124,19 @@ class Examples:
             some = some[(bound[some] > 0) & (bound[some] >= least - 1e-9)]
             if not len(some):
                 break
-            slots = (terms[:, None] * self.blocks + some).reshape(-1)
-            count = self.first[slots + 1] - self.first[slots]
-            place = np.repeat(self.first[slots] - np.cumsum(count) + count, count) + np.arange(count.sum())
-            values = np.repeat(np.repeat(weights, len(some)), count) * self.weight[place]
-            numbers, inverse = np.unique(self.example[place], return_inverse=True)
-            sums = np.bincount(inverse, values)
-            own = numbers != without
-            found, scores = np.concatenate([found, numbers[own]]), np.concatenate([scores, sums[own]])
+            numbers = (some[:, None] * BLOCK + np.arange(BLOCK)).reshape(-1)
+            whole = np.append(sums, np.zeros(BLOCK))[numbers]
+            if len(mine):
+                slots = (mine[:, None] * self.blocks + some).reshape(-1)
+                count = self.length[slots]
+                place = np.repeat(self.cut[slots] - np.cumsum(count) + count, count) + np.arange(count.sum())
+                turn = np.zeros(self.blocks, np.int64)
+                turn[some] = np.arange(len(some)) * BLOCK
+                example = self.example[place]
+                values = np.repeat(np.repeat(heavy, len(some)), count) * self.weight[place]
+                whole = whole + np.bincount(turn[example // BLOCK] + example % BLOCK, values, minlength=len(whole))
+            near = (whole > 0) & (whole >= least - 1e-12) & (numbers != without)
+            found, scores = np.concatenate([found, numbers[near]]), np.concatenate([scores, whole[near]])
             if len(scores) > k:
                 least = np.partition(scores, -k)[-k]
                 near = scores >= least - 1e-12
@@ -135,38 +165,31 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """A fitted scorer. empty: the score of texts without a kept term."""
+    """A fitted scorer. scale: idf of the terms by their weight; empty: the score of texts without a kept term."""
 
-    def __init__(self, terms: Terms, idf: np.ndarray, examples: Examples, empty: float):
-        self.terms, self.idf, self.examples, self.empty = terms, idf, examples, empty
+    def __init__(self, terms: Terms, scale: np.ndarray, examples: Examples, empty: float):
+        self.terms, self.scale, self.examples, self.empty = terms, scale, examples, empty
         self.centres, self.levels = np.array([-1.0, 1.0]), np.array([PRIOR, PRIOR])
         self.known: dict[bytes, tuple[float, list]] = {}
 
     def __getstate__(self):
         return self.__dict__ | {"known": {}}
 
-    def calibrate(self, rows: int = CALIBRATION_ROWS) -> None:
-        n = len(self.examples.ids)
-        if not n:
-            return
-        some = np.unique(np.linspace(0, n - 1, min(n, rows)).astype(int))
-        votes = [self.examples.vote(*self.examples.nearest(*self.vectors[i], NEIGHBOURS, without=int(i))) for i in some]
-        self.centres, self.levels = isotonic(np.array(votes), self.examples.labels[some])
-
     def vector(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        weights = (1 + np.log(counts)) * self.idf[ids]
+        weights = (1 + np.log(counts)) * self.scale[ids]
         size = float(np.sqrt(np.sum(weights * weights)))
         return weights / size if size else weights
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[tuple[object, float, int]]]:
-        """Score and evidence: (doc_id, cosine, label) of the nearest examples."""
-        if not counts:
-            return self.empty, []
-        ids, tf = np.array(list(counts), np.int64), np.array(list(counts.values()), float)
-        key = ids.tobytes() + tf.tobytes()
+    def vote_of(self, ids: np.ndarray, counts: np.ndarray, without: int = -1) -> float:
+        return self.examples.vote(*self.examples.nearest(ids, self.vector(ids, counts), NEIGHBOURS, without))
+
+    def score(self, text: bytes | None) -> tuple[float, list[tuple[object, float, int]]]:
+        """Score and evidence, (doc_id, cosine, label) of the nearest examples, of a text."""
+        key = hashlib.blake2b(text or b"", digest_size=16).digest()
         if key not in self.known:
             if len(self.known) > 20_000:
                 self.known.clear()
+            ids, tf = self.terms.counts(text)
             numbers, cosines = self.examples.nearest(ids, self.vector(ids, tf), NEIGHBOURS)
             score = float(np.interp(self.examples.vote(numbers, cosines), self.centres, self.levels)) if len(numbers) else self.empty
             evidence = [(self.examples.ids[i], float(c), int(self.examples.labels[i])) for i, c in zip(numbers[:NEIGHBOURS].tolist(), cosines[:NEIGHBOURS].tolist(), strict=True)]
@@ -203,11 +226,34 @@ def _likelihood(p: Column, n: Column, toxic: int, other: int) -> Column:
     return 2 * (part(p, has, toxic / total) + part(n, has, other / total) + part(toxic - p, lacks, toxic / total) + part(other - n, lacks, other / total))
 
 
+def _frequencies(docs: DataFrame, terms: Terms) -> tuple[int, np.ndarray]:
+    """Rows of ``docs``, and those of them that have each term."""
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        counts, rows = np.zeros(len(own.number), np.int64), 0
+        for batch in batches:
+            rows += batch.num_rows
+            for text in byte_rows(batch.column(0)):
+                counts[own.counts(text)[0]] += 1
+        seen = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1), pa.int32()), pa.array(np.append(counts[seen], rows), pa.int64())], ["term", "n"])
+
+    # a row for each term of the examples
+    found = docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = (found.column(c).to_numpy() for c in ("term", "n"))
+    df = np.zeros(len(terms.number), np.int64)
+    df[term[term >= 0]] = n[term >= 0]
+    return int(n[term < 0].sum()), df
+
+
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """A model from labelled rows that are not held out.
 
     labels: doc_id and the label (0 or 1); rows with a null in either are left out, a doc_id with
-    several labels takes the more frequent one (toxic if even). Texts that are the same count once.
+    several labels takes the more frequent one (toxic if even). Texts that are the same count once, by the more frequent of
+    their labels (toxic if even) and the smallest doc_id.
     Document frequencies are counted over all rows of ``docs``. Without usable labels every score is PRIOR."""
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -215,33 +261,47 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, doc_id: st
     chosen = usable.groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).collect()
     kind = docs.schema["doc_id"].dataType
     sample = F.broadcast(spark.createDataFrame([(r["doc_id"], r["y"]) for r in chosen], T.StructType([T.StructField("doc_id", kind), T.StructField("y", T.IntegerType())])))
-    read = stored(docs.join(sample, "doc_id").withColumn("h", F.xxhash64("text")).dropDuplicates(["h"]).select("doc_id", "y", "text"))
+    found = docs.join(sample, "doc_id").groupBy(F.xxhash64("text").alias("h"))
+    read = stored(found.agg(F.min("doc_id").alias("doc_id"), (F.avg("y") >= 0.5).cast("int").alias("y"), F.min("text").alias("text")).drop("h"))
     totals = read.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count("*")).first()
     toxic, other = int(totals[0]), int(totals[1] - totals[0])
-    terms = Terms([])
+    terms, weak = Terms([]), np.zeros(0)
     if toxic and other:
         tallies = stored(read.select("y", "text").mapInArrow(_count_terms, "term string, p long, n long").groupBy("term").agg(F.sum("p").alias("p"), F.sum("n").alias("n")))
         n_terms = tallies.count()
-        worth = tallies.filter(F.col("p") * other > 4 * F.col("n") * toxic).withColumn("g", _likelihood(F.col("p"), F.col("n"), toxic, other)).filter(F.col("g") > 2 * log(n_terms + 1) + 8)
-        terms = Terms(sorted(r["term"] for r in worth.orderBy(F.desc("g"), "term").limit(TERMS).collect()))
-    found = stored(vectors(docs, terms))
-    n_docs = found.count()
-    df = np.zeros(len(terms.number))
-    for r in found.select(F.explode("terms").alias("t")).groupBy("t").count().collect():
-        df[r["t"]] = r["count"]
-    model = Model(terms, np.log((n_docs + 1) / (df + 1)), Examples([], 0), PRIOR)
+        telling = (F.col("p") * other > 4 * F.col("n") * toxic) & (_likelihood(F.col("p"), F.col("n"), toxic, other) > 2 * log(n_terms + 1) + 8)
+        seen = tallies.filter(F.col("p") + F.col("n") >= LEAST_EXAMPLES).select("term", telling.alias("telling"))
+        kept = seen.filter(F.col("telling") | F.startswith("term", F.lit("="))).orderBy("term").toArrow()
+        terms, weak = Terms(kept.column("term").to_pylist()), np.where(kept.column("telling").to_numpy(), 1.0, WEAK)
+    n_docs, df = _frequencies(docs, terms)
+    model = Model(terms, np.log((n_docs + 1) / (df + 1)) * weak, Examples([], len(terms.number)), PRIOR)
     labelled = stored(vectors(read, terms, keep="y"))
     bare = labelled.filter(F.size("terms") == 0).agg(F.coalesce(F.sum("y"), F.lit(0)), F.count("*")).first()
     model.empty = (float(bare[0]) + 2 * PRIOR) / (float(bare[1]) + 2)
-    rows = [(r["doc_id"], r["y"], r["terms"], model.vector(np.array(r["terms"]), np.array(r["tfs"], float)).tolist()) for r in labelled.filter(F.size("terms") > 0).collect()]
-    model.examples = Examples(rows, len(terms.number))
-    rows.sort(key=lambda r: (r[2], r[3], r[1], str(r[0])))
-    model.vectors = [(np.array(r[2]), np.array(r[3])) for r in rows]
-    model.calibrate()
-    del model.vectors
+    rows = labelled.filter(F.size("terms") > 0).toArrow()
+    each = zip(rows.column("doc_id").to_pylist(), rows.column("y").to_pylist(), *(rows.column(c) for c in ("terms", "tfs")), strict=True)
+    vector = lambda ids, tf: (ids, model.vector(ids, tf))
+    model.examples = Examples([(d, y, *vector(ids.values.to_numpy(), tf.values.to_numpy().astype(float))) for d, y, ids, tf in each], len(terms.number))
+    if rows.num_rows:
+        votes = _votes(labelled.filter(F.size("terms") > 0), model).toArrow()  # one for each example
+        model.centres, model.levels = isotonic(votes.column("vote").to_numpy(), votes.column("y").to_numpy())
     return model
 
 
+def _votes(labelled: DataFrame, model: Model) -> DataFrame:
+    """vote double and y: of each example, by the others."""
+    shared = labelled.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            votes = [own.vote_of(ids.values.to_numpy(), tf.values.to_numpy().astype(float), own.examples.number[d.as_py()]) for d, ids, tf in zip(batch.column(0), batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), batch.column(1).cast(pa.float64())], ["vote", "y"])
+
+    few = labelled.repartition(max(labelled.sparkSession.sparkContext.defaultParallelism, 1))
+    return few.mapInArrow(run, "vote double, y double").orderBy("vote", "y")
+
+
 def vectors(docs: DataFrame, terms: Terms, keep: str | None = None) -> DataFrame:
     """doc_id (and ``keep``), terms array<int> and tfs array<int> of each row's whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(terms)
@@ -251,7 +311,7 @@ def vectors(docs: DataFrame, terms: Terms, keep: str | None = None) -> DataFrame
         own = shared.value
         for batch in batches:
             counts = [own.counts(t) for t in byte_rows(batch.column(batch.num_columns - 1))]
-            lists = [pa.array([list(f(c)) for c in counts], pa.list_(pa.int32())) for f in (dict.keys, dict.values)]
+            lists = [pa.array([c[i].astype(np.int32) for c in counts], pa.list_(pa.int32())) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *lists], [*batch.schema.names[:-1], "terms", "tfs"])
 
     schema = T.StructType([*chosen.schema.fields[:-1], T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("tfs", T.ArrayType(T.IntegerType()))])
@@ -263,7 +323,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", below: float | None
     cosine double, toxic int>> (nearest labelled examples). Columns with those names are replaced.
     With ``below``, only rows with a lower score, and their own columns only.
 
-    Null and empty texts, and others without a kept term, score what such examples do on average.
+    Null and empty texts, and others without a kept term or an example that shares one, score what examples without
+    terms do on average.
     Texts of any length are read whole; a row's score depends on its text alone. No rows: no rows."""
     base = docs if below is not None else docs.drop("tox_score", "tox_evidence")
     shared, spot = docs.sparkSession.sparkContext.broadcast(model), base.columns.index(text)
@@ -272,7 +333,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", below: float | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            found = [own.score(own.terms.counts(t)) for t in byte_rows(batch.column(spot))]
+            found = [own.score(t) for t in byte_rows(batch.column(spot))]
             if below is not None:
                 yield batch.filter(pa.array([s < below for s, _ in found], pa.bool_()))
                 continue

@@ -16,12 +16,12 @@ def random_examples(seed, n=300, terms=20):
 
 
 def test_block_max_search_is_exact():
-    for seed in range(12):
+    for seed in range(24):
         rows = random_examples(seed)
-        index = toxicity.Examples(rows, 20)
+        index = toxicity.Examples(rows, 20, long=(0.0, 0.15, 1.0)[seed % 3])
         dense = np.zeros((len(rows), 20))
-        for k, r in enumerate(sorted(rows, key=lambda r: (r[2], r[3], r[1], str(r[0])))):
-            dense[k, r[2]] = r[3]
+        for k, i in enumerate(index.ids):
+            dense[k, rows[i][2]] = rows[i][3]
         rng = np.random.default_rng(seed + 100)
         for _ in range(20):
             terms = np.unique(rng.integers(0, 20, 4))
@@ -73,3 +73,67 @@ def test_without_labels_or_rows(spark):
     model = toxicity.fit(docs, labels.limit(0))
     assert {r.tox_score for r in toxicity.score(docs, model).collect()} == {toxicity.PRIOR}
     assert toxicity.reject_toxic(docs.limit(0), labels).count() == 0
+
+
+def test_scores_by_brute_force(spark):
+    import math
+    import zlib
+    from collections import Counter, defaultdict
+
+    docs, labels = corpus(spark, 150)
+    docs = docs.unionByName(docs.filter("doc_id < 30").selectExpr("doc_id + 1000 as doc_id", "text", "tox_score"))  # copies, some with other labels
+    labels = labels.unionByName(spark.createDataFrame([(1000 + i, int(i % 3 == 0)) for i in range(30)], "doc_id long, toxic int"))
+    got = {r.doc_id: r for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    texts, given = [(r.doc_id, r.text) for r in docs.collect()], defaultdict(list)
+    for r in labels.collect():
+        if r.doc_id is not None and r.toxic is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
+            given[r.doc_id].append(r.toxic)
+    of = lambda t: Counter(x for w in toxicity.alnum_words((t or "").encode()) for x in toxicity.terms_of(w))
+    by_text = defaultdict(list)
+    for i, t in texts:
+        if i in given:
+            by_text[t].append((i, int(2 * sum(given[i]) >= len(given[i]))))
+    examples = [(min(i for i, _ in m), int(2 * sum(y for _, y in m) >= len(m)), of(t)) for t, m in by_text.items()]
+    p, n = Counter(), Counter()
+    for _, y, c in examples:
+        (p if y else n).update(c.keys())
+    toxic = sum(y for _, y, _ in examples)
+    other, part = len(examples) - toxic, lambda s, e: s * math.log(s / e) if s else 0.0
+    scale = {}
+    for t in p | n:
+        if p[t] + n[t] >= 2:
+            h, lacks, total = p[t] + n[t], len(examples) - p[t] - n[t], len(examples)
+            g = 2 * (part(p[t], h * toxic / total) + part(n[t], h * other / total) + part(toxic - p[t], lacks * toxic / total) + part(other - n[t], lacks * other / total))
+            telling = p[t] * other > 4 * n[t] * toxic and g > 2 * math.log(len(p | n) + 1) + 8
+            if not (telling or t.startswith("=")):
+                continue
+            scale[t] = math.log((len(texts) + 1) / (sum(t in of(x) for _, x in texts) + 1)) * (1.0 if telling else toxicity.WEAK)
+
+    def vector(c):
+        v = {t: (1 + math.log(k)) * scale[t] for t, k in c.items() if t in scale}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / size for t, x in v.items()} if size else v
+
+    vectors = [(i, y, vector(c)) for i, y, c in examples]
+
+    def vote(v, without=None):
+        sims = sorted(((sum(x * w.get(t, 0) for t, x in v.items()), y) for i, y, w in vectors if i != without), reverse=True)
+        sims = [s for s in sims if s[0] > 1e-12]
+        least = sims[14][0] if len(sims) > 14 else 0
+        near = [s for s in sims if s[0] >= least - 1e-9]
+        return sum(s * (2 * y - 1) for s, y in near) / max(15, len(near)), bool(near)
+
+    bare = [y for _, y, v in vectors if not v]
+    empty = (sum(bare) + 2 * toxicity.PRIOR) / (len(bare) + 2)
+    own = [(vote(v, i)[0], y) for i, y, v in vectors if v]
+    centres, levels = toxicity.isotonic(np.array([x for x, _ in own]), np.array([float(y) for _, y in own]))
+    for i, t in texts:
+        v, any_near = vote(vector(of(t)))
+        assert abs(got[i].tox_score - (np.interp(v, centres, levels) if any_near else empty)) < 1e-6
+
+
+def test_long_text(spark):
+    docs, labels = corpus(spark)
+    model = toxicity.fit(docs, labels)
+    long = spark.createDataFrame([(1, "bade " * 200_000 + "scumbag", 0.0)], docs.schema)
+    assert 0 <= toxicity.score(long, model).first().tox_score <= 1
