@@ -41,6 +41,11 @@ TEMPLATES: list[tuple[str, str]] = [
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
     ("Apache-2.0-header", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("GPL-3.0-header", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
+    ("LGPL-2.1-header", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."),
+    ("AGPL-3.0-header", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
 ]
 
@@ -143,16 +148,29 @@ def scan(text: bytes | None, templates: Templates, coverage: float = COVERAGE) -
         count = high - low
         slot = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
         candidates |= set(zip(templates.template[slot].tolist(), (np.repeat(own, count) - templates.place[slot]).tolist(), strict=True))
-    last: dict[int, int] = {}
+    for i, diagonal in list(candidates):
+        band = max(BAND_LEAST, int(BAND_SHARE * len(templates.words[i])))
+        if len(templates.words[i]) <= 3 * band:  # several copies may stand within a band
+            candidates |= {(i, diagonal + k) for k in range(-band, band + 1)}
+    places: list[tuple[int, int, int]] = []  # template, first and last diagonal of candidates that are aligned together
     for i, diagonal in sorted(candidates):
+        band = max(BAND_LEAST, int(BAND_SHARE * len(templates.words[i])))
+        if len(templates.words[i]) <= 3 * band:
+            places.append((i, diagonal, diagonal))
+            continue
+        if places and places[-1][0] == i and diagonal - places[-1][1] <= band // 2:
+            places[-1] = (i, places[-1][1], diagonal)
+        else:
+            places.append((i, diagonal, diagonal))
+    seen: set[tuple[int, int, int, int]] = set()
+    for i, first, last in places:
         template = templates.words[i]
         band = max(BAND_LEAST, int(BAND_SHARE * len(template)))
-        if i in last and diagonal - last[i] <= band // 2:
-            continue  # the band of the place before covers it
-        last[i] = diagonal
-        matched, start, stop = aligned(template, ids, diagonal, band)
+        # the band of each of the diagonals lies within that of the middle
+        matched, start, stop = aligned(template, ids, (first + last) // 2, band + (last - first + 1) // 2)
         if matched and matched >= coverage * len(template) and stop - start <= len(template) + band:
-            out.append((i, start, stop, matched))
+            seen.add((i, start, stop, matched))
+    out += seen
     best: list[tuple[int, int, int, int]] = []
     spans: dict[int, list[tuple[int, int]]] = {}  # of each template, apart from each other and in order
     for found in sorted(out, key=lambda f: (f[0], -f[3], f[2] - f[1], f[1])):

@@ -55,3 +55,39 @@ def test_columns_and_odd_rows(spark):
     own = licenses.scan_licenses(docs, templates=[("a", "mit"), (None, "x"), ("b", "")])
     assert sorted(len(r.license_matches) for r in own.collect()) == [0, 0, 0, 3]
     assert licenses.license_rows(docs).count() == 4 and licenses.scan_licenses(docs.limit(0)).count() == 0
+
+
+def everywhere(words, templates, coverage=licenses.COVERAGE):
+    """Best places of each template by exact alignment at every diagonal of the text."""
+    ids = np.array([templates.vocabulary.get(w, 0) for w in words], np.int32)
+    out = []
+    for i, t in enumerate(templates.words):
+        band = max(licenses.BAND_LEAST, int(licenses.BAND_SHARE * len(t)))
+        found = {licenses.aligned(t, ids, d, band) for d in range(-len(t) - band, len(ids) + band + 1)}
+        spans = []
+        for matched, a, b in sorted((f for f in found if f[0] >= coverage * len(t) and f[2] - f[1] <= len(t) + band), key=lambda f: (-f[0], f[2] - f[1], f[1])):
+            if all(b <= x or y <= a for x, y in spans):
+                spans.append((a, b))
+                out.append((i, a, b, matched))
+    return sorted(out, key=lambda f: (f[1], f[2], f[0]))
+
+
+def test_same_as_aligning_every_template_everywhere():
+    templates = licenses.Templates([("a", "one two three four five six seven eight nine ten"), ("b", "five six seven eight nine ten one two three four six"), ("c", "red green blue red green blue red green"), ("d", "one")])
+    for seed in range(60):
+        rng = random.Random(seed)
+        words = []
+        for _ in range(rng.randrange(1, 5)):
+            t = list(rng.choice(templates.words))
+            if len(t) > 5 and rng.random() < 0.7:
+                at = rng.choice([0, len(t) - 1])  # at an end, so that enough neighbouring words stay
+                t[at : at + 1] = rng.choice([[], [0], [t[at], 0]])
+            words += t + [0] * rng.randrange(0, 6)
+        name = {n: w for w, n in templates.vocabulary.items()} | {0: b"other"}
+        text = b" ".join(name[int(w)] for w in words)
+        assert licenses.scan(text, templates) == everywhere(text.split(), templates), seed
+
+
+def test_long_texts_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "lorem ipsum " * 200_000 + "Released under the MIT License."), (1, "Released under the MIT License.")] * 2, "doc_id long, text string")
+    assert sorted(r.start for r in licenses.license_rows(docs).collect()) == [0, 0, 400_000, 400_000]
