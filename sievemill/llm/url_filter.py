@@ -18,6 +18,8 @@ FIT_ROWS = 20_000
 BROADCAST_SUFFIXES = 50_000
 #: Labels that a suffix needs to outweigh the mean rate.
 SMOOTHING = 10.0
+#: Parts of the labelled URLs; the trees are fitted on rates of the other parts, which do not know a URL's own label.
+FOLDS = 5
 #: Rules up to which they stand in the expression itself; more are joined.
 INLINE_RULES = 256
 TREES, DEPTH, SEED = 15, 4, 42
@@ -100,31 +102,35 @@ class Filter:
 
     def __init__(self, labelled: DataFrame, url: str = "url", blocked: str = "blocked", fit_rows: int = FIT_ROWS):
         rows = labelled.select(F.col(url).alias("url"), F.col(blocked).cast("double").alias("y")).filter("url is not null and y is not null")
-        suffixes = with_features(with_rules(rows, []), "url").groupBy("f_suffix2", "f_suffix")
+        fold = F.pmod(F.xxhash64("url"), F.lit(FOLDS)).alias("fold")
+        suffixes = with_features(with_rules(rows, []), "url").groupBy("f_suffix2", "f_suffix", fold)
         counts = stored(suffixes.agg(F.count("*").alias("n"), F.sum("y").alias("total")))  # of all labelled rows
         n, total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0.0))).first()
         self.constant = None if 0 < total < n else float(n > 0 and total == n)
         if self.constant is not None:
             return
-        self.rates, self.mean = [], total / n
+        self.rates, self.mean, others = [], total / n, []
+        rate = lambda n, total: (total + SMOOTHING * self.mean) / (n + SMOOTHING)
         for suffix, name in (("f_suffix", "f_last"), ("f_suffix2", "f_last2")):
-            rate = (F.sum("total") + SMOOTHING * self.mean) / (F.sum("n") + SMOOTHING)
-            self.rates.append((suffix, name, stored(counts.groupBy(suffix).agg(rate.alias(name)))))
+            every = counts.groupBy(suffix).agg(F.sum("n").alias("all_n"), F.sum("total").alias("all_total"))
+            self.rates.append((suffix, name, stored(every.select(suffix, rate(F.col("all_n"), F.col("all_total")).alias(name)))))
+            part = counts.groupBy(suffix, "fold").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).join(every, suffix)
+            others.append((suffix, name, stored(part.select(suffix, "fold", rate(F.col("all_n") - F.col("n"), F.col("all_total") - F.col("total")).alias(name)))))
         # at most fit_rows short rows: one scan of the URLs for all trees
         rows = stored(with_features(with_rules(rows.distinct().orderBy(F.xxhash64("url"), "url", "y").limit(fit_rows), []), "url"))
         learner = GBTClassifier(featuresCol="f_all", labelCol="y", predictionCol="f_verdict", maxIter=TREES, maxDepth=DEPTH, seed=SEED)
-        self.model = learner.fit(self._assembled(rows).select("f_all", "y"))
+        self.model = learner.fit(self._assembled(rows.withColumn("fold", fold), others, ["fold"]).select("f_all", "y"))
 
-    def _assembled(self, rows: DataFrame) -> DataFrame:
-        for suffix, name, rates in self.rates:
-            rows = rows.join(small_rows(rates, BROADCAST_SUFFIXES), suffix, "left").fillna({name: self.mean})
+    def _assembled(self, rows: DataFrame, rates: list[tuple[str, str, DataFrame]], keys: Sequence[str] = ()) -> DataFrame:
+        for suffix, name, table in rates:
+            rows = rows.join(small_rows(table, BROADCAST_SUFFIXES), [suffix, *keys], "left").fillna({name: self.mean})
         return VectorAssembler(inputCols=_FEATURES, outputCol="f_all").transform(rows)
 
     def judge(self, urls: DataFrame, url: str = "url") -> DataFrame:
         """``urls`` (with url_host and url_path) and f_verdict double: 1 to block."""
         if self.constant is not None:
             return urls.withColumn("f_verdict", F.lit(self.constant))
-        done = self.model.transform(self._assembled(with_features(urls, url)))
+        done = self.model.transform(self._assembled(with_features(urls, url), self.rates))
         return done.select(*[F.col(f"`{c}`") for c in urls.columns], "f_verdict")
 
 
@@ -135,7 +141,7 @@ def judge(urls: DataFrame, rules: Sequence[Rule], labelled: DataFrame | None = N
     labelled: url, blocked (0 or 1); left out, the URLs that a rule fits are the labelled
     ones. Without labels, or with one label only, the trees' verdict is that label, else
     allow. A null URL or one without ``://`` has an empty host and path, and the trees judge it by its
-    text (a null as empty). Repeated rows are judged alike; no rows: no rows. Columns with the added names are replaced."""
+    text (a null as empty). URLs of any length are read whole; equal rules of both verdicts allow. Repeated rows are judged alike; no rows: no rows. Columns with the added names are replaced."""
     ruled = with_rules(urls.drop("url_verdict"), rules, url)
     if labelled is None:
         labelled = ruled.filter("url_rule is not null").select(F.col(url).alias("url"), (F.col("url_rule.verdict") == "block").cast("int").alias("blocked"))

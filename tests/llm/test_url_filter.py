@@ -68,3 +68,35 @@ def test_suffix_rates_of_all_rows_and_sample_of_different_urls(spark, monkeypatc
     urls = labelled.distinct()
     judged = uf.judge(urls, [], labelled, fit_rows=60).collect()
     assert sum((r.url_verdict == "block") == bool(r.blocked) for r in judged) >= 0.95 * len(judged) and len(judged) == 400
+
+
+def test_unseen_urls(spark):
+    import random
+
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 9)))
+
+    def made(y):
+        host = f"{word()}{rng.randrange(10**6) if y else ''}.{word()}.{rng.choice(['biz', 'org'] if y else ['com', 'org'])}"
+        return f"http://{host}/{'/'.join(word() for _ in range(rng.randrange(1, 4)))}{'?' + '&'.join(f'{word()}={rng.randrange(10**5)}' for _ in range(4)) if y and rng.random() < 0.8 else ''}"
+
+    rows = [(made(i % 2), i % 2) for i in range(1200)]
+    labelled, rest = (spark.createDataFrame(r, "url string, blocked int") for r in (rows[:900], rows[900:]))
+    judged = uf.judge(rest, [], labelled).collect()
+    assert sum((r.url_verdict == "block") == bool(r.blocked) for r in judged) >= 0.9 * len(judged)
+
+
+def test_random_labels_of_rare_suffixes_are_not_learned(spark):
+    rows = [(f"http://a.site{i}.t{i}/p", int(i * 7919 % 3 == 0)) for i in range(600)]  # each suffix once: its own rate would tell its label
+    labelled = spark.createDataFrame(rows, "url string, blocked int")
+    judged = uf.judge(labelled, [], labelled).collect()
+    assert sum((r.url_verdict == "block") == bool(r.blocked) for r in judged) < 0.8 * len(judged)
+
+
+def test_ties_of_rules_and_long_urls(spark):
+    rules = [("block", "com", "/a"), ("allow", "com", "/a"), ("block", "b.com", "/"), ("allow", "com", "/aa")]
+    long = "http://x.com/a" + "b/" * 50_000 + "?" + "k=v&" * 50_000
+    urls = spark.createDataFrame([("http://x.com/a1",), ("http://b.com/aa",), (long,)], "url string")
+    for inline in (256, 0):
+        assert {r.url[:15]: tuple(r.url_rule) for r in uf.with_rules(urls, rules, inline=inline).collect()} == {"http://x.com/a1": ("com/a", "allow"), "http://b.com/aa": ("b.com/", "block"), "http://x.com/ab": ("com/a", "allow")}
+    assert {r.url_verdict for r in uf.judge(urls, rules).collect()} == {"allow", "block"}
