@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -60,7 +61,8 @@ def resolve(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFra
 
     A full response has kind ``response`` and status 200. Of several at one time the one with the
     largest record_id counts; one at the revisit's own time is not earlier. Null URLs and times find
-    nothing. Header names are matched without regard to case; of names that differ by case only, one stands. No rows: no rows.
+    nothing. Of repeated records with one id, time and validators one stands, by the hash of its body. Bodies of any length are
+    carried whole. Header names are matched without regard to case; of names that differ by case only, one stands. No rows: no rows.
     The captures of a URL are dealt into time buckets: a bucket takes the last full response before it from
     a table with a row for each bucket, so that a URL with very many captures meets in no task."""
     kept = records.select("record_id", "kind", "url", "at", "status", _lower_names("headers").alias("headers"))
@@ -92,9 +94,16 @@ def resolve(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFra
         .otherwise("unproved")
     )
     found = found.withColumn("outcome", outcome).withColumn("response_id", F.when(F.col("outcome") == "resolved", source["record_id"])).withColumn("response_at", F.when(F.col("outcome") == "resolved", source["at"]))
-    answers = records.filter(full).select(F.col("record_id").alias("response_id"), F.col("at").alias("response_at"), F.col("headers").alias("full_headers"), "body").dropDuplicates(["response_id", "response_at"])
-    joined = found.join(answers, ["response_id", "response_at"], "left")
-    headers = F.when(F.col("outcome") == "resolved", merged_headers(_lower_names("full_headers"), F.col("headers"))).otherwise(F.col("headers"))
+    lowered = _lower_names("headers")
+    answers = records.filter(full).select(
+        F.col("record_id").alias("a_id"), F.col("at").alias("a_at"), _weak(lowered["etag"]).alias("a_etag"), F.trim(lowered["last-modified"]).alias("a_modified"), lowered.alias("full_headers"), "body"
+    )
+    whole = F.min_by(F.struct("full_headers", "body"), F.struct(F.xxhash64("body"), F.to_json("full_headers")))  # of repeated records one, always the same
+    answers = answers.groupBy("a_id", "a_at", "a_etag", "a_modified").agg(whole.alias("a")).select("a_id", "a_at", "a_etag", "a_modified", "a.full_headers", "a.body")
+    found = found.withColumns({"s_etag": source["etag"], "s_modified": source["modified"]})
+    same = (F.col("response_id") == F.col("a_id")) & (F.col("response_at") == F.col("a_at")) & F.col("s_etag").eqNullSafe(F.col("a_etag")) & F.col("s_modified").eqNullSafe(F.col("a_modified"))
+    joined = found.join(answers, same, "left")
+    headers = F.when(F.col("outcome") == "resolved", merged_headers(F.col("full_headers"), F.col("headers"))).otherwise(F.col("headers"))
     return joined.select("record_id", "url", "canonical", "at", "outcome", "response_id", "response_at", headers.alias("headers"), "body")
 
 
@@ -128,27 +137,78 @@ def _block(stream: io.BufferedIOBase) -> tuple[str, dict[str, str]] | None:
     return first, fields
 
 
+def _read(stream: io.BufferedIOBase, n: int = -1) -> bytes:
+    """Up to n bytes, or a line with n = -1; what there is of a stream whose compression breaks off."""
+    try:
+        return stream.readline() if n < 0 else stream.read(n)
+    except (EOFError, OSError, zlib.error):
+        return b""
+
+
 def parse(data: bytes) -> Iterator[dict]:
     """Records of a WARC file, compressed record by record or not; rows of SCHEMA. ``at`` is an
-    ISO string. The body of an HTTP record is what follows its own header."""
+    ISO string. The body of an HTTP record is what follows its own header, without chunked framing and gzip or deflate coding.
+
+    A record that is cut short, has no sound length, or follows something that is no record gives a row of kind ``malformed``,
+    with its record_id and url if known and without a body; reading goes on at the next record."""
     stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data))) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
-    while (head := _block(stream)) is not None:
-        first, fields = head
-        if not first.startswith("WARC/"):
-            raise ValueError(f"not a WARC record: {first[:40]!r}")
+    bad = {"record_id": None, "kind": "malformed", "url": None, "at": None, "status": None, "headers": {}, "body": None}
+    lost = False
+    while line := _read(stream):
+        if not line.startswith(b"WARC/"):
+            if line.strip() and not lost:
+                lost = True  # once for all lines up to the next record
+                yield dict(bad)
+            continue
+        lost = False
+        head = [line]
+        while (line := _read(stream)) not in (b"", b"\n", b"\r\n"):
+            head.append(line)
+        _, fields = _block(io.BytesIO(b"".join(head))) or ("", {})
         named = {k.lower(): v for k, v in fields.items()}
-        payload = stream.read(int(named.get("content-length", "0")))
+        known = {"record_id": named.get("warc-record-id", "").strip("<>") or None, "url": named.get("warc-target-uri", "").strip("<>") or None, "at": named.get("warc-date")}
+        size = named.get("content-length", "")
+        if not (size.isascii() and size.isdigit()):
+            lost = True
+            yield bad | known
+            continue
+        payload = _read(stream, int(size))
+        if len(payload) < int(size):
+            yield bad | known
+            return
         status, headers, body = None, {}, payload
         if named.get("content-type", "").startswith("application/http") and payload:
             inner = io.BytesIO(payload)
-            line, headers = _block(inner) or ("", {})
-            words = line.split()
-            status = int(words[1]) if len(words) > 1 and words[0].startswith("HTTP/") and words[1].isdigit() else None
-            body = inner.read()
-        yield {
-            "record_id": named.get("warc-record-id", "").strip("<>") or None, "kind": named.get("warc-type"), "url": named.get("warc-target-uri", "").strip("<>") or None,
-            "at": named.get("warc-date"), "status": status, "headers": headers, "body": body,
-        }
+            first, headers = _block(inner) or ("", {})
+            words = first.split()
+            status = int(words[1]) if len(words) > 1 and words[0].startswith("HTTP/") and words[1].isascii() and words[1].isdigit() and len(words[1]) < 10 else None
+            body = _decoded(inner.read(), {k.lower(): v.lower() for k, v in headers.items()})
+        yield bad | known | {"kind": named.get("warc-type"), "status": status, "headers": headers, "body": body}
+
+
+def _decoded(body: bytes, headers: dict[str, str]) -> bytes:
+    """A body without chunked framing and content coding; as it is where it does not have what its header says."""
+    if "chunked" in headers.get("transfer-encoding", ""):
+        inner, parts = io.BytesIO(body), []
+        while size := inner.readline().split(b";")[0].strip():
+            try:
+                n = int(size, 16)
+            except ValueError:
+                parts = None
+                break
+            if n <= 0:
+                break
+            parts.append(inner.read(n))
+            inner.readline()
+        body = body if parts is None else b"".join(parts)
+    try:
+        if "gzip" in headers.get("content-encoding", ""):
+            return gzip.decompress(body)
+        if "deflate" in headers.get("content-encoding", ""):
+            return zlib.decompress(body)
+    except (EOFError, OSError, zlib.error):
+        pass
+    return body
 
 
 def render(record_id: str, kind: str, url: str, at: str, status: int | None, headers: dict[str, str], body: bytes, compress: bool = True) -> bytes:
@@ -165,7 +225,7 @@ def render(record_id: str, kind: str, url: str, at: str, status: int | None, hea
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files (SCHEMA). A file is read by one task; write files of about a GB at most."""
+    """Records of WARC files (SCHEMA), bad ones as rows of kind ``malformed``. A file is read by one task and held by it: write files of about a GB at most."""
     import pandas as pd
 
     def run(frames):

@@ -1,4 +1,6 @@
+import gzip
 import random
+import zlib
 from datetime import datetime, timedelta
 
 from sievemill.llm import warc
@@ -62,3 +64,32 @@ def test_only_permitted_headers_are_renewed(spark):
     rows = [("a", "response", "http://a/", T0, 200, {"ETag": "1", "Content-Length": "9", "X-Old": "y", "cache-control": "a"}, b"123456789"), ("b", "revisit", "http://a/", T0 + timedelta(1), 304, {"etag": "W/1", "Content-Length": "0", "Cache-Control": "b", "X-New": "z"}, None)]
     (r,) = warc.resolve(spark.createDataFrame(rows, warc.SCHEMA)).collect()
     assert r.outcome == "resolved" and dict(r.headers) == {"cache-control": "b", "content-length": "9", "etag": "W/1", "x-old": "y"}
+
+
+def test_bad_records_are_reported_and_passed_over():
+    good = [warc.render(f"r{i}", "response", f"http://a/{i}", "2024-01-01T00:00:00Z", 200, {"ETag": "x"}, b"body" * i, compress=False) for i in range(3)]
+    no_length = good[1].replace(b"Content-Length: ", b"Content-Length: x")
+    kinds = lambda data: [(r["kind"], r["record_id"]) for r in warc.parse(data)]
+    ok = [("response", f"r{i}") for i in range(3)]
+    assert kinds(b"".join(good)) == ok and kinds(b"") == []
+    assert kinds(good[0] + no_length + good[2]) == [ok[0], ("malformed", "r1"), ok[2]]
+    assert kinds(good[0] + b"junk\nmore junk\n" + good[2]) == [ok[0], ("malformed", None), ok[2]]
+    assert kinds(good[0] + good[2][:-8]) == [ok[0], ("malformed", "r2")]
+    packed = b"".join(gzip.compress(g) for g in good)
+    assert kinds(packed) == ok
+    for cut in range(0, len(packed), 7):
+        assert all(k in ok or k[0] == "malformed" for k in kinds(packed[:cut]))
+
+
+def test_chunked_and_compressed_bodies():
+    body = lambda headers, data: next(iter(warc.parse(warc.render("r", "response", "http://a/", "2024-01-01T00:00:00Z", 200, headers, data))))["body"]
+    assert body({"Transfer-Encoding": "chunked"}, b"3\r\nabc\r\n2;x=1\r\nde\r\n0\r\n\r\n") == b"abcde"
+    assert body({"Content-Encoding": "gzip"}, gzip.compress(b"abc")) == b"abc" and body({"Content-Encoding": "gzip"}, b"abc") == b"abc"
+    assert body({"Content-Encoding": "deflate"}, zlib.compress(b"abc")) == b"abc" and body({"Transfer-Encoding": "chunked"}, b"no") == b"no"
+
+
+def test_repeated_records_and_long_bodies(spark):
+    rows = [("a", "response", "http://a/", T0, 200, {"ETag": e}, b) for e, b in [("1", b"x" * 2_000_000), ("2", b"two"), ("2", b"three"), ("2", b"two")]]
+    rows += [("b", "revisit", "http://a/", T0 + timedelta(1), 304, {"ETag": "2"}, None)]
+    got = {tuple((r.outcome, bytes(r.body))) for n in (1, 3, 7) for r in warc.resolve(spark.createDataFrame(rows, warc.SCHEMA).repartition(n)).collect()}
+    assert len(got) == 1 and got <= {("resolved", b"two"), ("resolved", b"three")}
