@@ -7,8 +7,8 @@ since over all words alike long random prose hides the few words that matter; an
 characters) that toxic examples have so much more often are terms too.
 
 Examples form an inverted index, in order of their sizes. The short posting lists, of terms in few examples, are read
-whole. The long ones are cut into blocks of example numbers, with each term's largest weight per block: a
-block's bound is the best score in it so far and what the long lists can add. Blocks are read in the order of their bounds
+whole. The long ones are kept in blocks of example numbers, with each term's largest weight per block: a
+block's bound is the best score in it so far and what the long lists can add (by these weights, or by the lengths of both sides' vectors in them). Blocks are read in the order of their bounds
 until none can reach the k-th best cosine, so the nearest are exact. Votes are weighted by cosine;
 isotonic regression on the votes of all examples, each left out in turn, makes them scores.
 """
@@ -33,8 +33,8 @@ FIT_ROWS = 8_000
 #: Examples that have a term at least; weight of terms that labels do not tell apart.
 LEAST_EXAMPLES, WEAK = 2, 0.3
 #: Share of the examples beyond which a term's posting list is long.
-LONG = 0.2
-NEIGHBOURS, BLOCK, BLOCKS_A_STEP = 15, 64, 8
+LONG = 0.3
+NEIGHBOURS, BLOCK, BLOCKS_A_STEP = 15, 64, 32
 PREFIXES = (4, 5, 6, 7)
 PRIOR = 0.25
 
@@ -50,17 +50,31 @@ class Terms:
 
     def __init__(self, terms: list[str]):
         self.number = {t: i for i, t in enumerate(terms)}
+        self.whole = {t[1:].encode(): i for i, t in enumerate(terms) if t[0] == "="}
+        self.starts = {t[1:].encode(): i for i, t in enumerate(terms) if t[0] == "^"}
+        self.sizes = sorted({len(t) for t in self.starts})
         self.words: dict[bytes, list[int]] = {}
 
     def __getstate__(self):
-        return {"number": self.number, "words": {}}
+        return self.__dict__ | {"words": {}}
 
     def of(self, word: bytes) -> list[int]:
+        found = [self.whole[word]] if word in self.whole else []
+        for n in self.sizes:
+            if n >= len(word):
+                break
+            if word[:n] in self.starts:
+                found.append(self.starts[word[:n]])
         if len(self.words) > 200_000:
             self.words.clear()
-        found = self.words[word] = [self.number[t] for t in terms_of(word) if t in self.number]
+        self.words[word] = found
         return found
 
+    def distinct(self, text: bytes | None) -> set[int]:
+        """Kept terms of a whole text."""
+        get, of = self.words.get, self.of
+        return {t for w in set(alnum_words(text or b"")) for t in (of(w) if (found := get(w)) is None else found)}
+
     def counts(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
         """Kept terms of a whole text, ascending, and how often they are in it."""
         ids: list[int] = []
@@ -95,14 +109,10 @@ class Examples:
         is_long = np.diff(self.first) > max(1, long * n)
         self.long = np.where(is_long, np.cumsum(is_long) - 1, -1)  # a long list's number
         inside = is_long[term]
-        slot = self.long[term[inside]] * self.blocks + self.example[inside] // BLOCK
-        places = np.flatnonzero(inside)
-        cuts = np.searchsorted(slot, np.arange(int(is_long.sum()) * self.blocks + 1))
-        self.cut = np.append(places, len(term))[cuts]  # where each block of a long list begins ...
-        self.length = np.diff(cuts)  # ... and its postings
-        self.most = np.zeros(int(is_long.sum()) * self.blocks)
-        np.maximum.at(self.most, slot, self.weight[inside])
-        self.most = self.most.reshape(int(is_long.sum()), self.blocks)
+        self.dense = np.zeros((int(is_long.sum()), self.blocks, BLOCK))  # long lists as weights by block
+        self.dense[self.long[term[inside]], self.example[inside] // BLOCK, self.example[inside] % BLOCK] = self.weight[inside]
+        self.most = self.dense.max(axis=2)
+        self.norm = np.sqrt((self.dense**2).sum(axis=0)).max(axis=1)  # the longest part in long lists of a block's examples
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k nearest examples, all that tie with the last
@@ -116,7 +126,9 @@ class Examples:
         place = np.repeat(self.first[short] - np.cumsum(count) + count, count) + np.arange(count.sum())
         sums = np.bincount(self.example[place], np.repeat(weights[long < 0], count) * self.weight[place], minlength=n)
         heavy = weights[long >= 0]
-        bound = np.maximum.reduceat(sums, np.arange(0, n, BLOCK)) + (heavy @ self.most[mine] if len(mine) else 0.0)
+        bound = np.maximum.reduceat(sums, np.arange(0, n, BLOCK))
+        if len(mine):
+            bound = bound + np.minimum(heavy @ self.most[mine], np.sqrt(heavy @ heavy) * self.norm * (1 + 1e-12))
         order = np.argsort(-bound, kind="stable")
         found, scores, least = np.zeros(0, np.int64), np.zeros(0), 0.0
         for at in range(0, len(order), BLOCKS_A_STEP):
@@ -127,14 +139,7 @@ class Examples:
             numbers = (some[:, None] * BLOCK + np.arange(BLOCK)).reshape(-1)
             whole = np.append(sums, np.zeros(BLOCK))[numbers]
             if len(mine):
-                slots = (mine[:, None] * self.blocks + some).reshape(-1)
-                count = self.length[slots]
-                place = np.repeat(self.cut[slots] - np.cumsum(count) + count, count) + np.arange(count.sum())
-                turn = np.zeros(self.blocks, np.int64)
-                turn[some] = np.arange(len(some)) * BLOCK
-                example = self.example[place]
-                values = np.repeat(np.repeat(heavy, len(some)), count) * self.weight[place]
-                whole = whole + np.bincount(turn[example // BLOCK] + example % BLOCK, values, minlength=len(whole))
+                whole = whole + heavy @ self.dense[mine[:, None], some].reshape(len(mine), -1)
             near = (whole > 0) & (whole >= least - 1e-12) & (numbers != without)
             found, scores = np.concatenate([found, numbers[near]]), np.concatenate([scores, whole[near]])
             if len(scores) > k:
@@ -236,7 +241,7 @@ def _frequencies(docs: DataFrame, terms: Terms) -> tuple[int, np.ndarray]:
         for batch in batches:
             rows += batch.num_rows
             for text in byte_rows(batch.column(0)):
-                counts[own.counts(text)[0]] += 1
+                counts[list(own.distinct(text))] += 1
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1), pa.int32()), pa.array(np.append(counts[seen], rows), pa.int64())], ["term", "n"])
 
