@@ -72,8 +72,11 @@ class Terms:
 
     def distinct(self, text: bytes | None) -> set[int]:
         """Kept terms of a whole text."""
-        get, of = self.words.get, self.of
-        return {t for w in set(alnum_words(text or b"")) for t in (of(w) if (found := get(w)) is None else found)}
+        get, of, out = self.words.get, self.of, set()
+        for word in set(alnum_words(text or b"")):
+            found = get(word)
+            out.update(of(word) if found is None else found)
+        return out
 
     def counts(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
         """Kept terms of a whole text, ascending, and how often they are in it."""
