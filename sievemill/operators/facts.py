@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import predicates as p
 from ..functions import text as t
+from .storage import small
 
 #: Relative difference up to which two values of one property are the same.
 SAME_VALUE = 0.02
 
 
-def condition_id(fields: dict[str, Column]) -> Column:
+def with_form(rows: DataFrame, column: str, form: Callable[[Column], Column], name: str) -> DataFrame:
+    """``name``: the form of each value. Only the different values are brought into form; they are joined back."""
+    forms = rows.select(F.col(column).alias("__v")).distinct().withColumn(name, form(F.col("__v")))
+    return rows.join(small(forms), F.col(column).eqNullSafe(F.col("__v")), "left").drop("__v")
+
+
+def condition_id(fields: dict[str, Column], forms: dict[str, Column] | None = None) -> Column:
     """``HASH_`` and eight digits of a SHA-256 over the present fields by name; NO_CONDITION if none is.
-    An ``electrolyte`` counts in its one form."""
+    An ``electrolyte`` counts in its one form. forms: those that are there already, as ``with_form`` gives them."""
     parts = []
     for name in sorted(fields):
         value = fields[name].cast("string")
-        shown = t.electrolyte(value) if name == "electrolyte" else value
+        shown = forms[name] if name in (forms or {}) else t.electrolyte(value) if name == "electrolyte" else value
         parts.append(F.when(~p.is_absent(value), F.concat(F.lit(f"{name}="), shown)))
     text = F.concat_ws("|", *parts)
     return F.when(text == "", "NO_CONDITION").otherwise(F.concat(F.lit("HASH_"), F.substring(F.sha2(text, 256), 1, 8)))
@@ -105,8 +114,8 @@ def resolved(rows: DataFrame, name: str, aliases: DataFrame, formulas: DataFrame
     """``base_id`` and ``norm_method`` (exact, formula or none): aliases (alias_key, id) and formulas (formula_key, id)
     are vocabularies; both are equi-joins."""
     exact = rows.withColumn("__k", t.key(F.col(name))).withColumn("__f", t.formula_key(F.col(name)))
-    one = exact.join(F.broadcast(aliases.select(F.col("alias_key").alias("__k"), F.col("id").alias("__exact"))), "__k", "left")
-    two = one.join(F.broadcast(formulas.select(F.col("formula_key").alias("__f"), F.col("id").alias("__formula"))), "__f", "left")
+    one = exact.join(small(aliases.select(F.col("alias_key").alias("__k"), F.col("id").alias("__exact"))), "__k", "left")
+    two = one.join(small(formulas.select(F.col("formula_key").alias("__f"), F.col("id").alias("__formula"))), "__f", "left")
     method = F.when(F.col("__exact").isNotNull(), "exact").when(F.col("__formula").isNotNull(), "formula").otherwise("none")
     return two.withColumn("base_id", F.coalesce("__exact", "__formula")).withColumn("norm_method", method).drop("__k", "__f", "__exact", "__formula")
 
@@ -179,7 +188,7 @@ def labelled_properties(rows: DataFrame, name: str, component: str, vocabulary:
     """``standard_label`` and ``label_method`` (exact, normalized, none) of a property's name within its component's
     vocabulary (component, label)."""
     known = vocabulary.select(F.col("component").alias("__c"), F.col("label").alias("__label"), t.key(F.col("label")).alias("__k"))
-    joined = rows.withColumn("__key", t.key(F.col(name))).join(F.broadcast(known), (F.col("__k") == F.col("__key")) & (F.col("__c") == F.col(component)), "left")
+    joined = rows.withColumn("__key", t.key(F.col(name))).join(small(known), (F.col("__k") == F.col("__key")) & (F.col("__c") == F.col(component)), "left")
     method = F.when(F.col("__label") == F.col(name), "exact").when(F.col("__label").isNotNull(), "normalized").otherwise("none")
     return joined.withColumn("label_method", method).withColumnRenamed("__label", "standard_label").drop("__key", "__k", "__c")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import small
+
 # Headings that are no title.
 NOT_TITLES = ["abstract", "introduction", "keywords", "highlights", "references", "graphical abstract", "article info", "contents", "supporting information", "acknowledg", "received", "table of contents", "research article", "communication"]
 
@@ -57,6 +59,6 @@ def coverage(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def longest_contained(rows: DataFrame, text: str, names: DataFrame, row_id: str, most: int = 4) -> DataFrame:
     """row_id, name: the longest names (a small table) in each text, up to ``most``."""
-    hits = rows.join(F.broadcast(names), F.contains(F.lower(rows[text]), F.lower(names["name"])))
+    hits = rows.join(small(names), F.contains(F.lower(rows[text]), F.lower(names["name"])))
     rank = F.row_number().over(Window.partitionBy(row_id).orderBy(F.desc(F.length("name")), "name"))
     return hits.withColumn("__rank", rank).filter(F.col("__rank") <= most).select(row_id, "name")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import small
+
 
 def as_of(points: DataFrame, anchors: DataFrame, key: str, position: str, value: str) -> DataFrame:
     """``points`` with ``value`` of the last anchor at or before each point: one sort by key and
@@ -77,12 +79,14 @@ def accepted_prefix(rows: DataFrame, key: str, order: str, ok: Column) -> DataFr
 
 
 def contained_names(rows: DataFrame, text: str, names: DataFrame, row_id: str, least: int = 2) -> DataFrame:
-    """row_id, name of every alias (name, alias: a small vocabulary) that stands in the text as whole words. Texts and aliases meet
-    by the alias's first word, an equi-join; the whole alias is then looked for."""
+    """row_id, name of every alias (name, alias) that stands in the text, beginning with a whole word. Texts and aliases meet
+    by the alias's first word, an equi-join of words only; the whole alias is then looked for in the texts that have such a word."""
     word = F.lower(F.regexp_extract("alias", r"^([A-Za-z0-9]+)", 1))
     vocabulary = names.filter(F.length("alias") >= least).withColumn("__word", word)
-    words = rows.select(row_id, F.col(text).alias("__text"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9]+"), F.lit(0)))).alias("__word"))
-    return words.join(F.broadcast(vocabulary), "__word").filter(F.contains(F.lower("__text"), F.lower("alias"))).select(row_id, "name", "alias").distinct()
+    words = rows.select(row_id, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9]+"), F.lit(0)))).alias("__word"))
+    asked = words.join(small(vocabulary), "__word").select(row_id, "name", "alias").distinct()
+    found = rows.select(row_id, F.col(text).alias("__text")).join(asked, row_id)
+    return found.filter(F.contains(F.lower("__text"), F.lower("alias"))).select(row_id, "name", "alias").distinct()
 
 
 def longest_alias(rows: DataFrame, text: str, names: DataFrame, row_id: str, least: int = 2) -> DataFrame:

@@ -1,10 +1,12 @@
-"""Declarative rules over schemes, energy estimates and geometry: column expressions and one broadcast join."""
+"""Declarative rules over schemes, energy estimates and geometry: column expressions and joins."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import small
+
 # Triggers and second conditions (field, operator, value), action, target and mitigations of the rules.
 RULES: list[dict] = [
     {"id": "C1", "trigger": ("voltage_limit", "gt", 4.3), "condition": ("electrolyte", "contains", "carbonate"), "action": "challenge",
@@ -144,7 +146,7 @@ def missing_fields(fields: dict[str, Column]) -> Column:
 
 def registry_match(specs: DataFrame, registry: DataFrame) -> DataFrame:
     """Specs (cathode, anode) with the system whose lists (cathodes, anodes) hold both."""
-    return specs.join(F.broadcast(registry), F.array_contains(registry["cathodes"], specs["cathode"]) & F.array_contains(registry["anodes"], specs["anode"]), "left")
+    return specs.join(small(registry), F.array_contains(registry["cathodes"], specs["cathode"]) & F.array_contains(registry["anodes"], specs["anode"]), "left")
 
 
 def revised(base: DataFrame, changes: DataFrame, key: str, budget: int) -> DataFrame:

@@ -13,21 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import text as t
-from .storage import stored
+from .storage import small, stored
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
-#: Rows up to which a table of queries is broadcast.
-SMALL_ROWS = 50_000
 #: Vectors and queries that one task compares, and queries that it compares at once.
 BLOCK_ROWS, BLOCK_QUERIES, TILE = 32_768, 4_096, 64
 
 
-def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """With a broadcast hint if it is as small as that."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def tokenised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, ts (tokens) of every document."""
     return docs.select(F.col(doc_id).alias("doc_id"), t.tokens(F.coalesce(F.col(text), F.lit(""))).alias("ts"))

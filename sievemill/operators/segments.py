@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,14 +35,19 @@ def stitched(docs: DataFrame, parts: str, min_length: int = 50, long: int = 7500
     squeezed = F.transform(parts, lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), r"[ \t]+", " "), r"\n+", " "))
     enough = F.filter(squeezed, lambda x: F.length(x) >= min_length)
     cut = F.flatten(F.transform(enough, lambda x: F.when(F.length(x) > long, F.filter(F.transform(F.split(x, r"(?=[0-9]+\.\s+[A-Z]|\[[0-9]+\])"), lambda x: F.trim(x)), lambda y: y != "")).otherwise(F.array(x))))
-    empty = F.array().cast("array<string>")
 
-    def add(done: Column, part: Column) -> Column:
-        last = F.element_at(done, -1)
-        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.concat(last, F.lit(" "), part)))
-        return F.when(F.size(done) == 0, F.array(part)).when(_joins_previous(last, part), joined).otherwise(F.concat(done, F.array(part)))
+    def paragraphs(done: Column) -> Column:
+        # what is joined to ends as its last part does, and a table stands alone: the part before tells
+        begins = lambda i: (i == 0) | ~_joins_previous(F.get(done, i - 1), F.get(done, i))
+        starts = F.filter(F.transform(done, lambda _, i: i), begins)
+        return _once(starts, lambda at: F.transform(at, lambda a, k: F.array_join(F.slice(done, a + 1, F.coalesce(F.get(at, k + 1), F.size(done)) - a), " ")))
+
+    return docs.withColumn("paragraphs", _once(cut, paragraphs))
+
 
-    return docs.withColumn("paragraphs", F.aggregate(cut, empty, add))
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, not again for each element that a lambda of ``body`` sees."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def fixed_windows(text: Column, size: int, overlap: int) -> Column:

@@ -6,11 +6,25 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows that a table may have to be broadcast.
+SMALL_ROWS = 50_000
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """With a broadcast hint if it is as small as that."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; one of this machine only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="sievemill-")
+    """A new folder under ``spark.checkpoint.dir``. Where that is unset one of this machine, which a cluster's
+    executors could not reach: it raises there."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="sievemill-")
     return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
 
 

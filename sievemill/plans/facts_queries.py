@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as t
 from ..operators import extraction, facts, gates, physics, quality, rules
 from ..sources import tables as tb
 from .registry import Tables, query
@@ -18,7 +19,8 @@ SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN k = '' THEN 'NO_CONDITION'
 def n8_condition_id(d: Tables) -> DataFrame:
     rate = F.when(F.col("l_discount") != 0, F.col("l_returnflag"))
     salt = F.when(F.col("l_linenumber") == 1, "").when(F.col("l_linenumber") % 2 == 0, "1 M LiPF6 in EC:DMC").otherwise("1M LiPF6 in EC")
-    return d.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", facts.condition_id({"electrolyte": salt, "c_rate": rate}).alias("condition_id"))
+    rows = facts.with_form(d.lineitem.withColumn("salt", salt), "salt", t.electrolyte, "form")
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", facts.condition_id({"electrolyte": F.col("salt"), "c_rate": rate}, {"electrolyte": F.col("form")}).alias("condition_id"))
 
 
 @query("""

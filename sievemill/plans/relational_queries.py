@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import relational as r
+from ..operators.storage import small
 from ..streaming import incremental
 from .registry import Tables, query
 
@@ -54,7 +55,7 @@ def j6_contained_entities(d: Tables) -> DataFrame:
 @query("SELECT DISTINCT p.p_partkey, s.s_suppkey FROM part p JOIN supplier s ON lower(p.p_brand) = lower('Brand#' || (s.s_suppkey % 50))")
 def j4_exact_alias(d: Tables) -> DataFrame:
     alias = d.supplier.select("s_suppkey", F.lower(F.concat(F.lit("Brand#"), F.col("s_suppkey") % 50)).alias("k"))
-    return d.part.select("p_partkey", F.lower("p_brand").alias("k")).join(F.broadcast(alias), "k").select("p_partkey", "s_suppkey").distinct()
+    return d.part.select("p_partkey", F.lower("p_brand").alias("k")).join(small(alias), "k").select("p_partkey", "s_suppkey").distinct()
 
 
 @query("""
@@ -86,8 +87,9 @@ def j10_k5_anti(d: Tables) -> DataFrame:
 @query("SELECT doc_id, item_id FROM documents, benchmark b WHERE contains(documents.text, substr(b.text, 1, 40)) AND contains(documents.text, b.text)")
 def j11_quotes(d: Tables) -> DataFrame:
     claims = d.benchmark.select("item_id", F.col("text").alias("quote"), F.regexp_extract(F.lower("text"), "([a-z]+)", 1).alias("w"))
-    words = d.documents.select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("w"))
-    return words.join(F.broadcast(claims), "w").filter(F.contains("text", F.col("quote"))).select("doc_id", "item_id")
+    words = d.documents.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("w"))
+    asked = words.join(small(claims), "w").select("doc_id", "item_id", "quote")
+    return d.documents.select("doc_id", "text").join(asked, "doc_id").filter(F.contains("text", F.col("quote"))).select("doc_id", "item_id")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000) AND c_acctbal > 0")

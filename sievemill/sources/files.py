@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as t
 from ..operators import relational
+from ..operators.storage import stored
 
 COMPONENTS = ("anode", "cathode", "electrolyte")
 
@@ -45,13 +46,33 @@ def write_snapshot(rows: DataFrame, path: str, stamp: str) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/snapshot={stamp}")
 
 
-def insert_absent(rows: DataFrame, path: str, keys: list[str]) -> int:
-    """Append the rows whose keys the table at ``path`` lacks; how many there were."""
+def insert_absent(rows: DataFrame, path: str, keys: list[str], order: list[Column] | None = None) -> int:
+    """Append the rows whose keys the table at ``path`` lacks; how many there were. Of several rows of a key the first in
+    ``order`` (left out: by all columns)."""
     existing = rows.sparkSession.read.parquet(path)
-    fresh = relational.new_rows(rows, existing, keys, [F.col(k) for k in keys])
-    n = fresh.count()
+    fresh = stored(relational.new_rows(rows, existing, keys, order or [F.col(c) for c in rows.columns]))
     fresh.write.mode("append").parquet(path)
-    return n
+    return fresh.count()
+
+
+def read_sheet(spark: SparkSession, path: str, wanted: dict[str, str]) -> DataFrame:
+    """A spreadsheet saved as CSV: for each name of ``wanted`` the first column whose header has its text (without regard
+    to case), null where none has; all strings."""
+    sheet = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
+    found = {n: next((c for c in sheet.columns if part.lower() in c.lower()), None) for n, part in wanted.items()}
+    return sheet.select(*[(F.col(f"`{c}`") if c else F.lit(None).cast("string")).alias(n) for n, c in found.items()])
+
+
+def append_trace(events: DataFrame, path: str, seq: str = "seq") -> None:
+    """Events as JSON lines, added to what is at ``path``; ``seq`` numbers them."""
+    events.withColumnRenamed(seq, "seq").write.mode("append").json(path)
+
+
+def write_json(rows: DataFrame, path: str, by: str) -> None:
+    """A pretty-printed JSON array for each value of ``by``, in a folder of its own."""
+    columns = [c for c in rows.columns if c != by]
+    whole = rows.groupBy(by).agg(F.to_json(F.array_sort(F.collect_list(F.struct(*columns))), {"pretty": "true"}).alias("value"))
+    whole.repartition(by).write.mode("overwrite").partitionBy(by).text(path)
 
 
 def latest_rows(spark: SparkSession, path: str, schema: str, n: int) -> DataFrame:

@@ -3,6 +3,9 @@ keys seen before are skipped."""
 
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,20 +14,28 @@ from ..operators.storage import work_dir
 
 
 def append_new(source: DataFrame, path: str, checkpoint: str, keys: list[str], order: str):
-    """A streaming query that appends to the table at ``path`` the rows whose keys it lacks. Each batch
-    is written under its own number, so a batch that is run again replaces itself."""
+    """A streaming query that appends to the table at ``path`` the rows whose keys it lacks (a table that such
+    queries write). Each batch is written under the name of its stream and number, so a batch that is run again replaces itself."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         fresh = relational.first_by(batch, keys, [F.col(order)])
-        if number:
-            existing = spark.read.parquet(path).filter(F.col("batch") < number)
-            fresh = fresh.join(existing.select(*keys).distinct(), keys, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        name = f"s{hashlib.md5(checkpoint.encode()).hexdigest()[:8]}-{number}"
+        for existing in _others(spark, path, name):
+            fresh = fresh.join(existing.select(*keys), keys, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{path}/batch={name}")
 
     return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _others(spark: SparkSession, path: str, name: str) -> list[DataFrame]:
+    """Rows that are at ``path`` already, of this stream or another, but for those of the batch itself."""
+    try:
+        return [spark.read.parquet(path).filter(F.col("batch") != name)]
+    except AnalysisException:  # nothing yet
+        return []
+
+
 def replayed(spark: SparkSession, rows: DataFrame, key: str) -> DataFrame:
     """``rows`` sent through ``append_new`` as two files that overlap: each key arrives once."""
     base = work_dir(spark)
