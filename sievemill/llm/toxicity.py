@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from math import log
 
 import numpy as np
@@ -46,53 +46,36 @@ def terms_of(word: bytes) -> list[str]:
 
 
 class Terms:
-    """Numbers of the kept terms, with those of recent words at hand."""
+    """Numbers of the kept terms."""
 
     def __init__(self, terms: list[str]):
         self.number = {t: i for i, t in enumerate(terms)}
         self.whole = {t[1:].encode(): i for i, t in enumerate(terms) if t[0] == "="}
         self.starts = {t[1:].encode(): i for i, t in enumerate(terms) if t[0] == "^"}
         self.sizes = sorted({len(t) for t in self.starts})
-        self.words: dict[bytes, list[int]] = {}
+        self.heads = {t[: PREFIXES[0]] for t in self.starts}  # their first bytes, to pass over most words
 
-    def __getstate__(self):
-        return self.__dict__ | {"words": {}}
-
-    def of(self, word: bytes) -> list[int]:
-        found = [self.whole[word]] if word in self.whole else []
-        for n in self.sizes:
-            if n >= len(word):
-                break
-            if word[:n] in self.starts:
-                found.append(self.starts[word[:n]])
-        if len(self.words) > 200_000:
-            self.words.clear()
-        self.words[word] = found
-        return found
+    def _begun(self, words: Iterable[bytes]) -> Iterator[tuple[bytes, int]]:
+        """Each word with each kept term that it begins with and goes on from."""
+        for word in [w for w in words if w[: PREFIXES[0]] in self.heads] if self.heads else ():
+            for n in self.sizes:
+                if n < len(word) and word[:n] in self.starts:
+                    yield word, self.starts[word[:n]]
 
     def distinct(self, text: bytes | None) -> set[int]:
         """Kept terms of a whole text."""
-        get, of, out = self.words.get, self.of, set()
-        for word in set(alnum_words(text or b"")):
-            found = get(word)
-            out.update(of(word) if found is None else found)
-        return out
+        words = set(alnum_words(text or b""))
+        return {i for i in map(self.whole.get, words) if i is not None}.union(i for _, i in self._begun(words))
 
     def counts(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
         """Kept terms of a whole text, ascending, and how often they are in it."""
-        ids: list[int] = []
-        times: list[int] = []
-        if self.number:
-            get, of = self.words.get, self.of
-            for word, n in Counter(alnum_words(text or b"")).items():
-                found = get(word)
-                found = of(word) if found is None else found
-                ids += found
-                times += [n] * len(found)
-        if not ids:
-            return np.zeros(0, np.int64), np.zeros(0)
-        terms, place = np.unique(np.array(ids, np.int64), return_inverse=True)
-        return terms, np.bincount(place, times)
+        times = Counter(alnum_words(text or b""))
+        found = {i: n for i, n in zip(map(self.whole.get, times), times.values(), strict=True) if i is not None}
+        for word, i in self._begun(times):
+            found[i] = found.get(i, 0) + times[word]
+        terms = np.fromiter(found, np.int64, len(found))
+        order = np.argsort(terms)
+        return terms[order], np.fromiter(found.values(), float, len(found))[order]
 
 
 class Examples:
