@@ -89,3 +89,12 @@ RELATION_KINDS = [
 ]
 # Additives as they are written.
 ADDITIVES = [("lidfob", "LiDFOB"), ("lipo2f2", "LiPO2F2"), ("libob", "LiBOB"), ("lino3", "LiNO3"), ("fec", "FEC"), ("vc", "VC"), ("dtd", "DTD")]
+# Words of a question that name the component it is about, in order; words that ask for a comparison; what every plan has.
+PLAN_COMPONENTS = [
+    ("cathode", ["正极", "NCM", "LFP", "高镍", "LRMO", "富锂"]),
+    ("anode", ["负极", "金属锂", "石墨", "硅", "硬碳"]),
+    ("electrolyte", ["电解液", "溶剂", "添加剂", "LiFSI", "LHCE"]),
+]
+PLAN_SCREENING = ["对比", "筛选", "vs", "哪种", "区别"]
+PLAN_LABELS = ["电化学性能", "材料属性与表征"]
+PLAN_OUTLINE = ["目标与路线", "推荐材料组合", "预期指标", "可行性依据", "风险评估"]

@@ -55,6 +55,21 @@ def source_weight(theory: Column, experiment: Column, default: float) -> Column:
     return F.when(total == 0, F.lit(default)).otherwise(F.round(F.greatest(F.lit(0.1), F.least(F.lit(1.0), F.try_divide(theory, total))), 2))
 
 
+def planned(question: Column) -> Column:
+    """struct<kind, component, labels, queries, outline>: the plan of a question by rules, without a model. A blank
+    question has no component, labels, queries or outline; a null one has no plan."""
+    q = F.trim(question)
+    blank = F.length(q) == 0
+    none = F.array().cast("array<string>")
+    listed = lambda words: F.when(blank, none).otherwise(F.array(*[F.lit(w) for w in words]))
+    kind = F.when(p.contains_any(q, vocab.PLAN_SCREENING), "screening").otherwise("numeric")
+    queries = F.when(blank, none).otherwise(F.array(q))
+    plan = F.struct(
+        F.when(~blank, kind).alias("kind"), first_match(q, vocab.PLAN_COMPONENTS).alias("component"), listed(vocab.PLAN_LABELS).alias("labels"), queries.alias("queries"), listed(vocab.PLAN_OUTLINE).alias("outline"),
+    )
+    return F.when(question.isNotNull(), plan)
+
+
 def first_of_each(rows: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
     """The first n rows of each key."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))

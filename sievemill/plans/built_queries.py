@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import facts, segments
+from ..operators import facts, labels, segments
 from ..sources import tables
 from .registry import Tables, query
 
@@ -126,3 +126,16 @@ def u6_union_of_queries(d: Tables) -> DataFrame:
 def o6_o7_constraints_first(d: Tables) -> DataFrame:
     """The first tasks to run, those with a constraint before all others: a limit is the feature."""
     return d.orders.orderBy(F.when(F.col("o_orderstatus") == "P", 0).otherwise(1), "o_orderkey").limit(200).select("o_orderkey", "o_orderpriority")
+
+
+@query("""
+WITH q AS (SELECT conv_id, turn, trim(CASE turn % 5 WHEN 0 THEN 'NCM ' || text || ' 硅' WHEN 1 THEN text || ' 石墨 vs 硬碳' WHEN 2 THEN '哪种溶剂 ' || text WHEN 3 THEN ' ' ELSE text END, ' ') AS q FROM conversations)
+SELECT conv_id, turn, CASE WHEN q = '' THEN NULL WHEN contains(q, 'vs') OR contains(q, '哪种') THEN 'screening' ELSE 'numeric' END AS kind,
+  CASE WHEN contains(q, 'NCM') THEN 'cathode' WHEN contains(q, '石墨') OR contains(q, '硅') THEN 'anode' WHEN contains(q, '溶剂') THEN 'electrolyte' END AS component,
+  CASE WHEN q = '' THEN 0 ELSE 1 END AS n_queries, CASE WHEN q = '' THEN '' ELSE '目标与路线|推荐材料组合|预期指标|可行性依据|风险评估' END AS outline FROM q WHERE q IS NOT NULL
+""")
+def x6_plans(d: Tables) -> DataFrame:
+    k = F.col("turn") % 5
+    q = F.when(k == 0, F.concat(F.lit("NCM "), "text", F.lit(" 硅"))).when(k == 1, F.concat("text", F.lit(" 石墨 vs 硬碳"))).when(k == 2, F.concat(F.lit("哪种溶剂 "), "text")).when(k == 3, " ").otherwise(F.col("text"))
+    plans = d.conversations.select("conv_id", "turn", labels.planned(q).alias("p")).filter("p is not null")
+    return plans.select("conv_id", "turn", "p.kind", "p.component", F.size("p.queries").alias("n_queries"), F.array_join("p.outline", "|").alias("outline"))
