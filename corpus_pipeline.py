@@ -1,5 +1,8 @@
 """From documents to a training mix: each stage works on what the one before has kept, which
-is written as Parquet and read again."""
+is written as Parquet and read again.
+
+Every stage takes any further columns along, whatever their names, reads texts whole, and gives no rows for no rows. Rows
+with a null doc_id, source or text stay unless their stage says otherwise; repeated rows are rows of their own."""
 
 from __future__ import annotations
 
@@ -13,29 +16,35 @@ from sievemill.llm.common import shared_dir, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the labelled examples call toxic go."""
+    """Documents that the labelled examples call toxic go. A null or empty text scores what examples without terms do; equal
+    texts score alike."""
     return toxicity.reject_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on many documents of a source go; n_chars follows the text. Exact copies count once: SimHash drops
-    them later, and needs the text of the one that stays."""
+    """Lines on many documents of a source go; n_chars, if there, follows the text. Exact copies count once: SimHash drops
+    them later, and needs the text of the one that stays. A null text stays null, a null source is one of its own.
+    Columns named line_total or line_dropped are replaced by those counts."""
     cleaned = line_dedup.drop_boilerplate(docs, host="source", copies_once=True)
-    return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return cleaned.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents linked by their fingerprints, the one with the smallest doc_id stays."""
+    """Of the documents linked by their fingerprints, the one with the smallest doc_id stays; of its repeated rows one.
+    Null and empty texts are alike, and one of them stays. Rows with a null doc_id stay."""
     return simhash.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of a benchmark item go."""
+    """Documents with a passage of a benchmark item go. Null and empty texts stay."""
     return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training mix: a row for each time a document is taken, in order of its position."""
+    """The training mix: a row for each time a document is taken, in order of its position. Documents without words are
+    never taken. Added: position, words (columns of documents with those names are replaced)."""
     mixed = mixing.mix(docs, mixing.cyclic_weights(docs))
     return mixing.training_order(mixed).drop("mix_size", "mix_source_size", "mix_target", "mix_taken")
 

@@ -95,3 +95,16 @@ def test_one_of_each_large_copy_group_stays_whole(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.keep_one_of_near_duplicates(spark, corpus_pipeline.drop_boilerplate_lines(spark, docs, ""), "")
     assert {r.doc_id: r.text for r in kept.collect()} == {g * 20: b for g, b in enumerate(bodies)}
+
+
+def test_stages_carry_columns_of_any_name(spark, folder):
+    path, rows, _ = folder
+    names = ["__rank", "__host", "weight", "start", "hit_items", "tox_score", "line_total", "__x0"]
+    docs = spark.createDataFrame([(r[0], r[1], r[3], *[f"{n}{r[0]}" for n in names]) for r in rows[:60]] + [(None, None, None, *names)], ", ".join(["doc_id long", "text string", "source string", *[f"`{n}` string" for n in names]]))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, path)
+        assert name == "mixing" or out.columns == docs.columns
+        got = out.collect()
+        assert all(r[n] in (n, f"{n}{r.doc_id}") for r in got for n in names if n != "line_total")
+        docs = spark.createDataFrame(got, out.schema)
+    assert {"position", "words", "__x0"} <= set(out.columns) and got
