@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import alnum_words, byte_rows
+from .common import alnum_words, byte_rows, free_name
 
 WINDOW = 10
 SHARD_BYTES = 8 << 20
@@ -290,8 +290,10 @@ def n_hit(spans: str = "hit_spans"):
 
 
 def remove(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` without any hit word, with their columns as they are."""
-    return search(docs, bench, **options).filter(F.size("hit_spans") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` without any hit word, with their columns as they are, whatever their names."""
+    own = {c: free_name(docs.columns, f"{i}_") if c.lower() in _ADDED else c for i, c in enumerate(docs.columns)}
+    found = search(docs.withColumnsRenamed({c: n for c, n in own.items() if c != n}), bench, **options)
+    return found.filter(F.size("hit_spans") == 0).select(*[F.col(f"`{n}`").alias(c) for c, n in own.items()])
 
 
 def digest(items: str = "hit_items"):
