@@ -94,11 +94,9 @@ def resolve(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFra
         .otherwise("unproved")
     )
     found = found.withColumn("outcome", outcome).withColumn("response_id", F.when(F.col("outcome") == "resolved", source["record_id"])).withColumn("response_at", F.when(F.col("outcome") == "resolved", source["at"]))
-    lowered = _lower_names("headers")
-    answers = records.filter(full).select(
-        F.col("record_id").alias("a_id"), F.col("at").alias("a_at"), _weak(lowered["etag"]).alias("a_etag"), F.trim(lowered["last-modified"]).alias("a_modified"), lowered.alias("full_headers"), "body"
-    )
-    whole = F.min_by(F.struct("full_headers", "body"), F.struct(F.xxhash64("body"), F.to_json("full_headers")))  # of repeated records one, always the same
+    sent = records.filter(full).select(F.col("record_id").alias("a_id"), F.col("at").alias("a_at"), _lower_names("headers").alias("full_headers"), "body")
+    answers = sent.select("a_id", "a_at", _weak(F.col("full_headers")["etag"]).alias("a_etag"), F.trim(F.col("full_headers")["last-modified"]).alias("a_modified"), "full_headers", "body")
+    whole = F.min_by(F.struct("full_headers", "body"), F.xxhash64("body", F.map_entries("full_headers")))  # of repeated records one, always the same
     answers = answers.groupBy("a_id", "a_at", "a_etag", "a_modified").agg(whole.alias("a")).select("a_id", "a_at", "a_etag", "a_modified", "a.full_headers", "a.body")
     found = found.withColumns({"s_etag": source["etag"], "s_modified": source["modified"]})
     same = (F.col("response_id") == F.col("a_id")) & (F.col("response_at") == F.col("a_at")) & F.col("s_etag").eqNullSafe(F.col("a_etag")) & F.col("s_modified").eqNullSafe(F.col("a_modified"))
