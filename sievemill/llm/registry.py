@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, html_text, licenses, line_dedup, mixing, simhash, toxicity, url_filter, warc
-from .common import stored, table, word_count
+from . import ann, audit, decontaminate, html_text, licenses, line_dedup, mixing, packing, simhash, toxicity, url_filter, warc, whitening
+from .common import WORD_REGEX, stored, table, word_count
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,8 +203,78 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("license_matches").cast("long").alias("n_matches"), F.col("license_matches").alias("matches"))
 
 
-_QUERIES = {"op1_mixing": op1_mixing, "op2_simhash": op2_simhash, "op3_warc": op3_warc, "op4_decontamination": op4_decontamination, "op5_ann": op5_ann, "op6_licenses": op6_licenses, "op7_line_dedup": op7_line_dedup, "op8_toxicity": op8_toxicity, "op9_url_filters": op9_url_filters, "op10_html_extraction": op10_html_extraction}
-_SQL = {"op1_mixing": OP1_SQL, "op3_warc": OP3_SQL, "op4_decontamination": OP4_SQL, "op7_line_dedup": OP7_SQL}
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path
+    cut = packing.pieces(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"))
+    return packing.pack(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors)
+    if model is None:
+        return spark.createDataFrame([], "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double")
+    explained = F.array(*[F.lit(x).cast("double") for x in model.explained])
+    each = whitening.transform(vectors, model, "vec_id").select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return each.select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
+        F.get(explained, F.col("at")).alias("explained"), F.lit(model.identity_error).cast("double").alias("identity_error"),
+    )
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    words = F.regexp_extract_all(text, F.lit(WORD_REGEX), F.lit(0))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.coalesce("source", F.lit("")).alias("part"), F.struct(F.size(words).alias("n"), F.size(F.array_distinct(words)).alias("different")).alias("words"),
+        (100 * F.regexp_count(text, F.lit("[A-Z]")) > 2 * F.length(text)).alias("C"), text.rlike(r"[#$%&*|]").alias("D"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("key"),
+    )
+    known = audit.repeats_smaller(stored(docs), "key", "doc_id")
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
+    n, different = F.col("words.n"), F.col("words.different")
+    fails = {"A": n < 200, "B": 100 * different.cast("long") < 50 * n.cast("long"), "C": F.col("C"), "D": F.col("D"), "E": F.col("repeats")}
+    found = audit.audit(known.join(labels, "doc_id", "left"), fails, F.col("part"), {"good": F.col("good"), "toxic": F.col("toxic")})
+    return found.withColumnsRenamed({"lost_good": "good_lost", "lost_toxic": "toxic_lost"})
+
+
+OP13_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+l AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT text, min(doc_id) AS first FROM t GROUP BY text),
+d AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, len(ws) < 200 AS a, 100 * len(list_distinct(ws)) < 50 * len(ws) AS b,
+         100 * len(regexp_extract_all(text, '[A-Z]')) > 2 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d, coalesce(t.doc_id > m.first, false) AS e
+  FROM t JOIN m USING (text) LEFT JOIN l ON t.doc_id = l.doc_id),
+g AS (
+  SELECT part, CAST(a AS INTEGER) + 2 * CAST(b AS INTEGER) + 4 * CAST(c AS INTEGER) + 8 * CAST(d AS INTEGER) + 16 * CAST(e AS INTEGER) AS fails,
+         count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM d GROUP BY ALL),
+f AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter, unnest([1, 2, 4, 8, 16]) AS bit),
+o AS (
+  SELECT p.letter || q.letter || r.letter || s.letter || t.letter AS filter_order, [p.bit, q.bit, r.bit, s.bit, t.bit] AS bits, [p.letter, q.letter, r.letter, s.letter, t.letter] AS letters
+  FROM f p, f q, f r, f s, f t WHERE len(list_distinct([p.bit, q.bit, r.bit, s.bit, t.bit])) = 5),
+s AS (
+  SELECT filter_order, step, letters[step] AS letter, bits[step] AS bit, CAST(coalesce(list_sum(bits[1 : step - 1]), 0) AS INTEGER) AS before FROM (SELECT *, unnest(range(1, 6)) AS step FROM o)),
+c AS (
+  SELECT part, filter_order, step, letter,
+         coalesce(sum(n) FILTER (fails & before = 0 AND fails & bit = 0), 0) AS kept, coalesce(sum(n) FILTER (fails & before = 0 AND fails & bit <> 0), 0) AS removed,
+         coalesce(sum(n) FILTER (fails & before <> 0 AND fails & bit <> 0), 0) AS redundant, coalesce(sum(n) FILTER (fails = bit), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (fails & before = 0 AND fails & bit <> 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (fails & before = 0 AND fails & bit <> 0), 0) AS toxic_lost
+  FROM g, s GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM c
+"""
+
+
+_QUERIES = {"op1_mixing": op1_mixing, "op2_simhash": op2_simhash, "op3_warc": op3_warc, "op4_decontamination": op4_decontamination, "op5_ann": op5_ann, "op6_licenses": op6_licenses, "op7_line_dedup": op7_line_dedup, "op8_toxicity": op8_toxicity, "op9_url_filters": op9_url_filters, "op10_html_extraction": op10_html_extraction, "op11_packing": op11_packing, "op12_whitening": op12_whitening, "op13_filter_audit": op13_filter_audit}
+_SQL = {"op1_mixing": OP1_SQL, "op3_warc": OP3_SQL, "op4_decontamination": OP4_SQL, "op7_line_dedup": OP7_SQL, "op13_filter_audit": OP13_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
