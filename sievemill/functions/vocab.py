@@ -98,3 +98,15 @@ PLAN_COMPONENTS = [
 PLAN_SCREENING = ["对比", "筛选", "vs", "哪种", "区别"]
 PLAN_LABELS = ["电化学性能", "材料属性与表征"]
 PLAN_OUTLINE = ["目标与路线", "推荐材料组合", "预期指标", "可行性依据", "风险评估"]
+
+# Words of a chemistry that is not lithium's, in evidence; words of lithium in evidence and in schemes.
+FOREIGN_CHEMISTRY = ["钠离子", "na-ion", "sodium-ion", "硬碳钠电", "mose2", "na3v2", "钾离子", "k-ion"]
+LITHIUM_IN_EVIDENCE = ["li", "锂", "lithium"]
+LITHIUM_IN_SCHEMES = ["li", "锂", "lithium", "ncm", "lfp", "lhce", "lp40"]
+# Patterns of the ways of synthesis.
+ROUTES = [
+    ("solid_state", r"(?:高温)?固相(?:法|合成|烧结|路线|反应)"),
+    ("sol_gel", r"(?:溶胶[-–—\s]*凝胶|sol[-–—\s]*gel|pechini)(?:法|路线)?"),
+    ("carbonate_coprecipitation", r"(?:碳酸盐(?:共沉淀|路线|前驱体)?|\([^)]+\)CO3)"),
+    ("hydroxide_coprecipitation", r"(?:(?:\(OH\)\s*2)|氢氧化物(?:共沉淀|路线|前驱体)?)"),
+]

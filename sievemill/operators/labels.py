@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as p
 from ..functions import vocab
+from . import matching
 
 
 def first_match(text: Column, table: list[tuple[str, list[str]]]) -> Column:
@@ -24,22 +25,13 @@ def battery_kind(text: Column) -> Column:
     return F.coalesce(first_match(low, vocab.BATTERY_KINDS), fallback)
 
 
-def scores(text: Column, table: list[tuple[str, list[str]]]) -> Column:
-    """array<struct<score, rank, label>>: keywords found for each label."""
-    low, each = F.lower(text), []
-    for i, (name, words) in enumerate(table):
-        found = F.lit(0)
-        for w in words:
-            found = found + F.contains(low, F.lit(w)).cast("int")
-        each.append(F.struct(found.alias("score"), F.lit(-i).alias("rank"), F.lit(name).alias("label")))
-    return F.array(*each)
-
-
 def with_label(rows: DataFrame, table: list[tuple[str, list[str]]], default: str, text: str = "text") -> DataFrame:
     """``label`` with the most keywords in the text (ties: the earlier in the table) and its
-    ``score``; ``default`` if there is none."""
-    best = rows.withColumn("__best", F.array_max(scores(F.col(text), table)))
-    return best.withColumns({"score": F.col("__best.score"), "label": F.when(F.col("__best.score") > 0, F.col("__best.label")).otherwise(default)}).drop("__best")
+    ``score``; ``default`` if there is none. A null text has no keywords."""
+    none = F.array_repeat(F.lit(0), len(table))
+    counted = rows.withColumn("__counts", F.coalesce(matching.keyword_counts(F.lower(F.col(text)), table), none)).withColumn("score", F.array_max("__counts"))
+    label = F.element_at(F.array(*[F.lit(name) for name, _ in table]), F.array_position("__counts", F.col("score")).cast("int"))
+    return counted.withColumn("label", F.when(F.col("score") > 0, label).otherwise(default)).drop("__counts")
 
 
 def screened(weights: list[tuple[int, Column]], length: Column, extract: int, include: int, scale: float, least: int = 50) -> tuple[Column, Column]:
@@ -74,3 +66,20 @@ def first_of_each(rows: DataFrame, key: str, order: list[str], n: int) -> DataFr
     """The first n rows of each key."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
     return rows.withColumn("__rank", rank).filter(F.col("__rank") <= n).drop("__rank")
+
+
+def with_routes(rows: DataFrame, text: str = "text") -> DataFrame:
+    """``routes`` array<string>: the ways of synthesis that a text names, in the order of ``vocab.ROUTES``; empty for a null text."""
+    named = [F.when(F.col(text).rlike(f"(?i){pattern}"), F.lit(name)) for name, pattern in vocab.ROUTES]
+    return rows.withColumn("routes", F.array_compact(F.array(*named)))
+
+
+def foreign_evidence(rows: DataFrame, scheme: str, source: str, text: str) -> DataFrame:
+    """``is_evidence``: there is a text and a source. ``is_foreign``: it names a chemistry of another metal and none of lithium's words,
+    though the scheme is of lithium. One pass over each text for both lists of words."""
+    have = lambda c: F.length(F.coalesce(F.col(c), F.lit(""))) > 0
+    whole = F.lower(F.concat_ws(" ", F.col(source), F.col(text)))
+    found = matching.keyword_counts(whole, [("foreign", vocab.FOREIGN_CHEMISTRY), ("lithium", vocab.LITHIUM_IN_EVIDENCE)])
+    of_lithium = p.contains_any(F.lower(F.coalesce(scheme, F.lit(""))), vocab.LITHIUM_IN_SCHEMES)
+    judged = rows.withColumn("is_evidence", have(source) & have(text)).withColumn("__found", found)
+    return judged.withColumn("is_foreign", F.col("is_evidence") & of_lithium & (F.col("__found")[0] > 0) & (F.col("__found")[1] == 0)).drop("__found")
