@@ -76,27 +76,47 @@ def overlapping_windows(text: Column, size: int = 7500, overlap: int = 750) -> C
     return F.when(whole, F.array(text)).otherwise(F.filter(F.aggregate(steps, state, step)["out"], lambda x: x != ""))
 
 
-def packed(parts: Column, limit: int, separator: str) -> Column:
-    """Neighbouring parts joined as long as the whole stays within ``limit`` characters."""
+def _first_parts(sizes: Column, kind: str, fits: Callable[[Column, Column], Column], joined: Callable[[Column, Column], Column]) -> Column:
+    """Places (from 0) of the parts that begin a chunk, of the parts' sizes: a part stays in the chunk if it ``fits`` beside the chunk's
+    size so far, which is then ``joined``. One pass; what is carried is a size and the places, no text."""
+    start = F.struct(F.lit(None).cast(kind).alias("size"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("starts"))
 
-    def add(done: Column, part: Column) -> Column:
-        last = F.element_at(done, -1)
-        fits = F.length(last) + F.length(part) + len(separator) <= limit
-        return F.when(F.size(done) == 0, F.array(part)).when(fits, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.concat(last, F.lit(separator), part)))).otherwise(F.concat(done, F.array(part)))
+    def step(s: Column, x: Column) -> Column:
+        stays = s["size"].isNotNull() & fits(s["size"], x)
+        return F.struct(F.when(stays, joined(s["size"], x)).otherwise(x).alias("size"), (s["n"] + 1).alias("n"), F.when(stays, s["starts"]).otherwise(F.concat(s["starts"], F.array(s["n"]))).alias("starts"))
 
-    return F.aggregate(F.filter(parts, lambda x: x != ""), F.array().cast("array<string>"), add)
+    return F.aggregate(sizes, start, step, lambda s: s["starts"])
 
 
-def token_chunks(text: Column, keep: int = 3000, limit: int = 2000) -> Column:
-    """A text of at most ``keep`` estimated tokens as it is, else its sentences packed to ``limit``."""
-    sentences_ = F.filter(F.split(text, r"(?<=[。.．])"), lambda x: x != "")
+def _chunks(parts: Column, starts: Column, separator: str) -> Column:
+    """The parts from each start to the next one, joined."""
+    return _once(starts, lambda at: F.transform(at, lambda a, k: F.array_join(F.slice(parts, a + 1, F.coalesce(F.get(at, k + 1), F.size(parts)) - a), separator)))
 
-    def add(done: Column, part: Column) -> Column:
-        last = F.element_at(done, -1)
-        fits = t.estimated_tokens(last) + t.estimated_tokens(part) <= limit
-        return F.when(F.size(done) == 0, F.array(part)).when(fits, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.concat(last, part)))).otherwise(F.concat(done, F.array(part)))
 
-    return F.when(t.estimated_tokens(text) <= keep, F.array(text)).otherwise(F.aggregate(sentences_, F.array().cast("array<string>"), add))
+def packed(parts: Column, limit: int, separator: str) -> Column:
+    """Neighbouring parts joined as long as the whole stays within ``limit`` characters. Empty parts are left out."""
+    between = len(separator)
+
+    def chunks(full: Column) -> Column:
+        starts = _first_parts(F.transform(full, F.length), "int", lambda size, x: size + x + between <= limit, lambda size, x: size + x + between)
+        return _chunks(full, starts, separator)
+
+    return _once(F.filter(parts, lambda x: x != ""), chunks)
+
+
+def token_chunks(text: Column, keep: int = 3000, limit: int = 2000) -> Column:
+    """A text of at most ``keep`` estimated tokens as it is, else its sentences packed to ``limit``: a sentence's estimate
+    and that of the chunk before it are added."""
+    estimate = lambda c: F.when(c["n"] > 0, F.greatest(F.lit(1), F.floor(c["zh"] * 0.6 + (c["n"] - c["zh"]) * 0.3).cast("int"))).otherwise(0)
+    counts = lambda x: F.struct(F.regexp_count(x, F.lit(t.CJK)).alias("zh"), F.length(x).alias("n"))
+
+    def chunks(full: Column) -> Column:
+        both = lambda a, b: F.struct((a["zh"] + b["zh"]).alias("zh"), (a["n"] + b["n"]).alias("n"))
+        starts = _first_parts(F.transform(full, counts), "struct<zh:int,n:int>", lambda a, b: estimate(a) + estimate(b) <= limit, both)
+        return _chunks(full, starts, "")
+
+    cut = _once(F.filter(F.split(text, r"(?<=[。.．])"), lambda x: x != ""), chunks)
+    return F.when(t.estimated_tokens(text) <= keep, F.array(text)).otherwise(cut)
 
 
 def sentences(text: Column) -> Column:

@@ -314,19 +314,46 @@ def g14_sentences(d: Tables) -> DataFrame:
     return s.select("doc_id", F.size("ss").cast("long").alias("n_sentences"), F.array_max(F.transform("ss", F.length)).cast("long").alias("longest"))
 
 
-@query()
+#: Places of the parts that begin a chunk, of a list ps of parts: {fits} and {joined} are of a (the chunk so far) and x (the part).
+_STARTS = """list_reduce(list_transform(ps, lambda p: {{'zh': len(regexp_extract_all(p, '[\u4e00-\u9fff]')), 'n': length(p), 'i': CAST(1 AS BIGINT), 'starts': [CAST(1 AS BIGINT)]}}),
+  lambda a, x: CASE WHEN {fits} THEN {{'zh': a.zh + x.zh, 'n': a.n + x.n + {between}, 'i': a.i + 1, 'starts': a.starts}} ELSE {{'zh': x.zh, 'n': x.n, 'i': a.i + 1, 'starts': list_append(a.starts, a.i + 1)}} END).starts"""
+_CUT = "SELECT *, unnest(range(1, len(st) + 1)) AS k FROM s"
+
+
+def _estimate(zh: str, n: str) -> str:
+    return f"CASE WHEN {n} > 0 THEN greatest(1, CAST(floor({zh} * CAST(0.6 AS DOUBLE) + ({n} - {zh}) * CAST(0.3 AS DOUBLE)) AS BIGINT)) ELSE 0 END"
+
+
+@query(f"""
+WITH p AS (SELECT doc_id, list_filter(string_split(replace(text, '. ', '.' || chr(1)), chr(1)), lambda x: x <> '') AS ps FROM documents WHERE text <> ''),
+s AS (SELECT doc_id, ps, {_STARTS.format(fits="a.n + x.n + 1 <= 2000", between=1)} AS st FROM p WHERE len(ps) > 0), c AS ({_CUT})
+SELECT doc_id, CAST(k - 1 AS INTEGER) AS chunk, array_to_string(ps[st[k] : coalesce(st[k + 1] - 1, len(ps))], ' ') AS text FROM c
+""")
 def g10_packed_chunks(d: Tables) -> DataFrame:
     chunks = segments.packed(F.split(F.col("text"), r"(?<=\.) "), 2000, " ")
     return d.documents.select("doc_id", F.posexplode(chunks).alias("chunk", "text"))
 
 
-@query()
+@query(f"""
+WITH e AS (SELECT doc_id, text, {_estimate("len(regexp_extract_all(text, '[\u4e00-\u9fff]'))", "length(text)")} AS est FROM documents),
+p AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([。.．])', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS ps FROM e WHERE est > 800),
+s AS (SELECT doc_id, ps, {_STARTS.format(fits=f"{_estimate('a.zh', 'a.n')} + {_estimate('x.zh', 'x.n')} <= 500", between=0)} AS st FROM p), c AS ({_CUT})
+SELECT doc_id, CAST(k - 1 AS INTEGER) AS chunk, array_to_string(ps[st[k] : coalesce(st[k + 1] - 1, len(ps))], '') AS text FROM c
+UNION ALL SELECT doc_id, 0, text FROM e WHERE est <= 800
+""")
 def g9_token_chunks(d: Tables) -> DataFrame:
     chunks = segments.token_chunks(F.col("text"), 800, 500)
     return d.documents.select("doc_id", F.posexplode(chunks).alias("chunk", "text"))
 
 
-@query()
+@query(f"""
+WITH t AS (SELECT doc_id, regexp_replace(replace(text, chr(12288), ' '), '(?m)^#+\\s*', '', 'g') AS x FROM documents),
+b AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(x, '\\n\\s*\\n'), lambda y: trim(regexp_replace(y, '\\s+', ' ', 'g'))), lambda y: y <> '')) AS y, generate_subscripts(list_filter(list_transform(regexp_split_to_array(x, '\\n\\s*\\n'), lambda y: trim(regexp_replace(y, '\\s+', ' ', 'g'))), lambda y: y <> ''), 1) AS i FROM t),
+p AS (SELECT doc_id, i, list_filter(string_split(regexp_replace(y, '([.！？;])', '\\1' || chr(1), 'g'), chr(1)), lambda z: z <> '') AS ps FROM b WHERE length(y) > 300),
+s AS (SELECT doc_id, i, ps, {_STARTS.format(fits="a.n + x.n <= 300", between=0)} AS st FROM p), c AS ({_CUT}),
+a AS (SELECT doc_id, i, k, trim(array_to_string(ps[st[k] : coalesce(st[k + 1] - 1, len(ps))], '')) AS text FROM c UNION ALL SELECT doc_id, i, 1, y FROM b WHERE length(y) <= 300)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 AS INTEGER) AS passage, text FROM a WHERE length(text) >= 20
+""")
 def g11_passages(d: Tables) -> DataFrame:
     return d.documents.select("doc_id", F.posexplode(segments.passages(F.col("text"))).alias("passage", "text"))
 
@@ -468,7 +495,17 @@ def g18_heading_stack(d: Tables) -> DataFrame:
     return segments.heading_level_state(lines, F.col("line_no") == 2, level).filter("skipped").groupBy("doc_id").agg(F.count("*").alias("skipped"))
 
 
-@query()
+@query("""
+WITH RECURSIVE w AS (
+  SELECT doc_id, text, CAST(1 AS BIGINT) AS pos, 0 AS k, CAST(NULL AS VARCHAR) AS piece FROM documents WHERE length(text) > 3000 AND NOT starts_with(text, '<table')
+  UNION ALL
+  SELECT doc_id, text, CASE WHEN pos + 3000 > length(text) THEN length(text) + 1 ELSE pos + greatest(length(cut) - 300, 1) END, k + 1, cut
+  FROM (SELECT *, CASE WHEN pos + 3000 <= length(text) AND strpos(reverse(win), ' .') > 0 AND length(win) - strpos(reverse(win), ' .') - 1 > 1000 THEN substr(win, 1, length(win) - strpos(reverse(win), ' .')) ELSE win END AS cut
+        FROM (SELECT *, substr(text, pos, 3000) AS win FROM w WHERE pos <= length(text)))),
+o AS (SELECT doc_id, k, trim(piece) AS text FROM w WHERE piece IS NOT NULL)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS "window", text FROM o WHERE text <> ''
+UNION ALL SELECT doc_id, 0, text FROM documents WHERE length(text) <= 3000 OR starts_with(text, '<table')
+""")
 def g12_overlapping_windows(d: Tables) -> DataFrame:
     return d.documents.select("doc_id", F.posexplode(segments.overlapping_windows(F.col("text"), 3000, 300)).alias("window", "text"))
 
