@@ -82,8 +82,8 @@ def longest_contained(rows: DataFrame, text: str, names: DataFrame, limit: int =
     texts' own substrings of the lengths that names have, shuffled like any join."""
     named = names.groupBy("name").agg(F.min("id").alias("id"))
     kind = names.schema["id"].dataType
-    if named.limit(limit + 1).count() <= limit:
-        vocabulary = named.collect()
+    vocabulary = named.limit(limit + 1).collect()
+    if len(vocabulary) <= limit:
         words = tuple(r.name for r in vocabulary)
         ids = [r.id for r in vocabulary]
 

@@ -158,30 +158,6 @@ def d5_relations(d: Tables) -> DataFrame:
     return d.events.select("event_id", F.array_join(quality.relation_problems(relation, {"performance": ["property", "value"]}), ",").alias("missing"))
 
 
-_SCHEMES = f"""WITH c AS (SELECT * FROM (VALUES {", ".join(str(c) for c in rules.CATHODES)}) t(cathode, voltage, voltage_limit, capacity)), a AS (SELECT * FROM (VALUES {", ".join(f"('{x[0]}')" for x in rules.ANODES)}) t(anode)),
-e AS (SELECT * FROM (VALUES {", ".join(f"('{x[0]}')" for x in rules.ELECTROLYTES)}) t(electrolyte)), s AS (SELECT * FROM c, a, e),
-f AS (SELECT *, (CAST(voltage_limit AS DOUBLE) > 4.3 AND contains(electrolyte, 'carbonate')) AS c1, (CAST(voltage_limit AS DOUBLE) > 4.6 AND electrolyte = 'carbonate_ec') AS c2, (anode = 'li_metal' AND contains(electrolyte, 'carbonate')) AS c3, anode = 'graphite' AS c7 FROM s)
-"""
-
-
-def _schemes(d: Tables) -> DataFrame:
-    s = rules.enumerated(d.region.sparkSession)
-    fields = {c: F.col(c) for c in ("cathode", "anode", "electrolyte", "voltage_limit")} | {"target_energy": F.lit(450.0)}
-    return rules.evaluated(s, fields, F.array().cast("array<string>"), F.lit(True))
-
-
-@query(_SCHEMES + "SELECT cathode, anode, electrolyte, NOT (c1 OR c2 OR c3 OR c7) AS feasible, CAST(CAST(c1 AS INTEGER) + CAST(c2 AS INTEGER) + CAST(c3 AS INTEGER) + CAST(c7 AS INTEGER) AS INTEGER) AS violations FROM f")
-def e1_e4_j15_rules(d: Tables) -> DataFrame:
-    s = _schemes(d)
-    return s.select("cathode", "anode", "electrolyte", "feasible", F.size(F.filter("hits", lambda h: h["outcome"] == "violation")).alias("violations"))
-
-
-@query(_SCHEMES + ", g AS (SELECT *, CAST(voltage AS DOUBLE) * CAST(capacity AS DOUBLE) * CASE anode WHEN 'si_base' THEN CAST(0.45 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS energy FROM f WHERE NOT (c1 OR c2 OR c3 OR c7)) SELECT electrolyte, count(*) AS feasible, round(max(energy), 4) AS best_energy FROM g GROUP BY electrolyte")
-def e6_e9_enumeration(d: Tables) -> DataFrame:
-    energy = rules.cell_energy(F.col("voltage"), F.col("capacity"), F.col("anode"))
-    return _schemes(d).filter("feasible").groupBy("electrolyte").agg(F.count("*").alias("feasible"), F.round(F.max(energy), 4).alias("best_energy"))
-
-
 @query("""
 SELECT o_orderkey, CASE WHEN abs(o_totalprice - 150000) / 150000 <= CAST(0.35 AS DOUBLE) THEN 'ok' ELSE 'energy_mismatch' END AS claim, CASE WHEN o_totalprice < 50000 THEN 'below_range' WHEN o_totalprice > 350000 THEN 'above_range' ELSE 'ok' END AS in_range FROM orders
 """)
