@@ -77,10 +77,10 @@ def resolved(rows: DataFrame, vocabulary: DataFrame, name: str = "name", formula
         "norm_method": F.when(F.col("a").isNull(), "none").otherwise(F.concat(F.col("a.method"), F.when(F.col("a.turn") == 1, "+hint").otherwise(""))),
     })
     answer = mixed.select("__name", "__formula", "__hint", "base_id", "variant_id", "norm_method").unionByName(plain.select("__name", "__formula", "__hint", "base_id", "variant_id", "norm_method"))
-    answer = answer.select(F.col("__name").alias("n"), F.col("__formula").alias("f"), F.col("__hint").alias("h"), "base_id", "variant_id", "norm_method")
-    on = F.trim(F.col(name)).eqNullSafe(F.col("n")) & F.col(formula).eqNullSafe(F.col("f")) & F.nullif(F.trim(F.col(hint)), F.lit("")).eqNullSafe(F.col("h"))
-    kept = [c for c in rows.columns if c not in ("base_id", "variant_id", "norm_method")]
-    return rows.join(small(answer), on, "left").select(*kept, "base_id", "variant_id", F.coalesce("norm_method", F.lit("none")).alias("norm_method"))
+    answer = answer.withColumnsRenamed({"__name": "__n", "__formula": "__f", "__hint": "__h"})
+    on = F.trim(F.col(name)).eqNullSafe(F.col("__n")) & F.col(formula).eqNullSafe(F.col("__f")) & F.nullif(F.trim(F.col(hint)), F.lit("")).eqNullSafe(F.col("__h"))
+    kept = rows.drop("base_id", "variant_id", "norm_method")
+    return kept.join(small(answer), on, "left").select(*kept.columns, "base_id", "variant_id", F.coalesce("norm_method", F.lit("none")).alias("norm_method"))
 
 
 def unresolved(rows: DataFrame, name: str = "name", formula: str = "formula") -> DataFrame:

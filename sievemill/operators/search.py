@@ -1,7 +1,6 @@
-"""Retrieval: BM25 over a postings table, exact vector search, rank fusion and rescoring.
+"""Retrieval: BM25 over stored tokens, exact vector search, rank fusion, rescoring, and plans of retrieval by query.
 
-Postings are a table keyed by term: a query reads the terms it has, and corpus statistics are one
-aggregate. Queries and vocabularies are small tables by contract and are broadcast behind a check of their size."""
+A query reads the terms it has. Queries and vocabularies are small tables by contract and are broadcast behind a check of their size."""
 
 from __future__ import annotations
 
@@ -26,34 +25,34 @@ def tokenised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     return docs.select(F.col(doc_id).alias("doc_id"), t.tokens(F.coalesce(F.col(text), F.lit(""))).alias("ts"))
 
 
-def postings(tokens: DataFrame) -> DataFrame:
-    """doc_id, dl (tokens of the document), term, tf, of ``tokenised`` documents."""
-    terms = tokens.select("doc_id", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
-    return terms.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-
-
-def inverse_frequencies(index: DataFrame, n: int) -> DataFrame:
-    """term, idf: ln(n - df + 0.5) - ln(df + 0.5); a negative one is EPSILON times the mean of all."""
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
-    raw = stored(df).withColumn("raw", F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+def inverse_frequencies(tokens: DataFrame, n: int) -> DataFrame:
+    """term, idf of ``tokenised`` documents: ln(n - df + 0.5) - ln(df + 0.5); a negative one is EPSILON times the mean of all."""
+    df = tokens.select(F.explode(F.array_distinct("ts")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    raw = stored(df.withColumn("raw", F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
     mean = raw.agg(F.avg("raw")).first()[0] or 0.0
     return raw.select("term", F.when(F.col("raw") < 0, F.lit(EPSILON * mean)).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
-    """query_id, doc_id, score, rank: the k best documents of each query (query_id, query).
+def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """query_id, doc_id, score: every document that has a term of a query (query_id, query); a term counts as often as it is
+    in the query.
 
-    A query's term counts as often as it is in the query. Ties go to the smaller doc_id."""
+    Documents are tokenised once. All their terms are counted for the frequencies, on the map side first; places of terms that no query
+    has are dropped before anything is grouped by document."""
     tokens = stored(tokenised(docs))
     stats = tokens.agg(F.count("*").alias("n"), F.avg(F.size("ts")).alias("avgdl")).first()
-    index = stored(postings(tokens))
     terms = queries.select("query_id", F.explode(t.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    idf = inverse_frequencies(index, stats["n"]).join(small(terms.select("term").distinct()), "term", "left_semi")
-    weighted = stored(terms.join(idf, "term"))
+    weighted = stored(terms.join(inverse_frequencies(tokens, stats["n"]), "term"))
+    asked = small(weighted.select("term").distinct())
+    index = tokens.select("doc_id", F.size("ts").alias("dl"), F.explode("ts").alias("term")).join(asked, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
     hits = index.join(small(weighted), "term")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(stats["avgdl"] or 1.0)))
-    scores = hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * part).alias("score"))
-    return ranked(scores, ["query_id"], [F.desc(F.round("score", 6)), F.col("doc_id")], k).withColumn("score", F.round("score", 6))
+    return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qtf") * part), 6).alias("score"))
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
+    """query_id, doc_id, score, rank: the k best documents of each query, as in ``bm25_scores``. Ties go to the smaller doc_id."""
+    return ranked(bm25_scores(docs, queries, k1, b), ["query_id"], [F.desc("score"), F.col("doc_id")], k)
 
 
 def ranked(rows: DataFrame, keys: list[str], order: list[Column], k: int | None = None) -> DataFrame:
@@ -233,3 +232,72 @@ def promoted(hits: DataFrame, parents: DataFrame) -> DataFrame:
     """Hits (id, parent_id, text) with the text of their parent (id, text) where there is one."""
     full = parents.select(F.col("id").alias("parent_id"), F.col("text").alias("__full"))
     return hits.join(full, "parent_id", "left").withColumn("text", F.coalesce("__full", "text")).drop("__full")
+
+
+# The least number of hits that a channel fetches; those that are fetched before a filter by component; the libraries' weights.
+LEAST_DEPTH, FILTERED_DEPTH = 20, (5, 300)
+WEIGHTS = {"literature": 0.7, "ebook": 0.3}
+#: Hits of the other library that a query of both takes.
+OTHER_DEPTH = 10
+
+
+def depth(k: Column) -> Column:
+    """How many hits a channel hands on for k results."""
+    return F.greatest(k, F.lit(LEAST_DEPTH))
+
+
+def fetched(k: Column, filtered: Column) -> Column:
+    """How many hits a channel looks at: more where a filter follows."""
+    return F.when(filtered, F.greatest(k * FILTERED_DEPTH[0], F.lit(FILTERED_DEPTH[1]))).otherwise(depth(k))
+
+
+def in_component(hits: DataFrame, other: DataFrame, rank: str = "rank") -> DataFrame:
+    """``hits`` (query_id, doc_id, rank, k, wanted, component) of the word channel after its filter: those of the wanted component or of
+    none, numbered anew; without any such hit all of them, unless ``other`` (query_id) has hits of that query from elsewhere."""
+    fits = F.col("wanted").isNull() | F.col("component").isNull() | (F.lower(F.trim("component")) == F.lower(F.trim("wanted")))
+    marked = hits.withColumn("__fits", fits).withColumn("__any", F.max("__fits").over(Window.partitionBy("query_id")))
+    alone = marked.join(other.select("query_id", F.lit(True).alias("__other")).distinct(), "query_id", "left")
+    kept = alone.filter(F.col("__fits") | (~F.col("__any") & F.col("__other").isNull())).drop("__fits", "__any", "__other")
+    return ranked(kept.withColumnRenamed(rank, "__before"), ["query_id"], [F.col("__before")]).filter(F.col("rank") <= depth(F.col("k"))).drop("__before")
+
+
+def fused_channels(words: DataFrame, vectors: DataFrame, k: int = RRF_K) -> DataFrame:
+    """query_id, doc_id, score: reciprocal ranks where both channels (query_id, doc_id, rank, and of the vectors score) have hits of a query;
+    of the vectors alone their own scores; of the words alone 1 for each."""
+    both = words.select("query_id").distinct().join(vectors.select("query_id").distinct(), "query_id").withColumn("__both", F.lit(True))
+    ranks = rrf([words, vectors], ["query_id", "doc_id"], k).join(both, "query_id", "left_semi")
+    lone = lambda hits, score: hits.join(both, "query_id", "left_anti").select("query_id", "doc_id", score.alias("score"))
+    return ranks.unionByName(lone(words, F.lit(1.0))).unionByName(lone(vectors, F.col("score")))
+
+
+def routed(docs: DataFrame, queries: DataFrame, vector_hits: DataFrame) -> DataFrame:
+    """query_id, doc_id, library, score, rank: each query by its own plan, all of them in one job.
+
+    queries: query_id, query, k, route (literature, textbook or both; anything else is literature), wanted (a component, or null),
+    w_literature and w_ebook (null: WEIGHTS). docs: doc_id, text, library (literature or ebook), component. vector_hits: query_id,
+    doc_id, rank, score, of the same libraries; a query without any goes by words alone. A component filters literature only. A
+    query of both takes the best OTHER_DEPTH of the books, scaled by the ratio of the weights. Ties: literature, then the smaller doc_id."""
+    asked = stored(queries.select("query_id", "query", "k", "wanted", *[F.coalesce(f"w_{n}", F.lit(w)).alias(f"w_{n}") for n, w in WEIGHTS.items()], F.when(F.col("route").isin("textbook", "both"), F.col("route")).otherwise("literature").alias("route")))
+    meta, vector_hits = docs.select("doc_id", "library", "component"), stored(vector_hits)
+    found = []
+    for library, routes in (("literature", ["literature", "both"]), ("ebook", ["textbook", "both"])):
+        mine = asked.filter(F.col("route").isin(*routes))
+        # of both, a fixed number of books, whatever k is
+        own_k = F.col("k") if library == "literature" else F.when(F.col("route") == "both", F.lit(OTHER_DEPTH)).otherwise(F.col("k"))
+        wanted = F.col("wanted") if library == "literature" else F.lit(None).cast("string")
+        plan = small(mine.select("query_id", own_k.alias("k"), wanted.alias("wanted"), "route", "w_literature", "w_ebook"))
+        shelf = docs.filter(F.col("library") == library)
+        words = ranked(stored(bm25_scores(shelf, mine.select("query_id", "query"))), ["query_id"], [F.desc("score"), F.col("doc_id")])
+        words = words.join(plan, "query_id").filter(F.col("rank") <= fetched(F.col("k"), F.col("wanted").isNotNull()))
+        near = vector_hits.join(meta.filter(F.col("library") == library), "doc_id").join(plan, "query_id")
+        fits = F.col("wanted").isNull() | F.col("component").isNull() | (F.lower(F.trim("component")) == F.lower(F.trim("wanted")))
+        near = near.withColumn("__fits", fits).withColumn("__any", F.max("__fits").over(Window.partitionBy("query_id"))).filter("__fits or not __any")
+        near = stored(ranked(near.withColumnRenamed("rank", "__before"), ["query_id"], [F.col("__before")]).filter(F.col("rank") <= depth(F.col("k"))).select("query_id", "doc_id", "rank", "score"))
+        words = stored(in_component(words.join(shelf.select("doc_id", "component"), "doc_id"), near).select("query_id", "doc_id", "rank"))
+        hits = fused_channels(words, near).join(plan, "query_id")
+        factor = F.when(F.col("route") == "both", F.col("w_ebook") / F.greatest("w_literature", F.lit(0.01))).otherwise(1.0) if library == "ebook" else F.lit(1.0)
+        first = ranked(hits, ["query_id"], [F.desc("score"), F.col("doc_id")]).filter(F.col("rank") <= F.col("k"))
+        found.append(first.select("query_id", "doc_id", F.lit(library).alias("library"), F.round(F.col("score") * factor, 6).alias("score")))
+    every = found[0].unionByName(found[1]).join(small(asked.select("query_id", "k")), "query_id")
+    order = [F.desc("score"), F.desc("library"), F.col("doc_id")]
+    return ranked(every, ["query_id"], order).filter(F.col("rank") <= F.col("k")).select("query_id", "doc_id", "library", "score", "rank")

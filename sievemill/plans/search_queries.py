@@ -166,3 +166,63 @@ def j9_promoted(d: Tables) -> DataFrame:
     parents = d.conversations.filter("turn = 0").select(F.col("conv_id").alias("id"), "text")
     hits = d.conversations.withColumn("parent_id", F.when(F.col("turn") % 2 == 1, F.col("conv_id")))
     return s.promoted(hits, parents).select("turn", "conv_id", "text")
+
+
+def _bm25_of(library: str, where: str) -> str:
+    """CTEs ending in w_<library> (query_id, doc_id, n): the rank of each document of a library by words."""
+    x = library
+    return f"""tok_{x} AS (SELECT doc_id, {_TOK.format('text')} AS ts FROM documents WHERE {where}),
+st_{x} AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM tok_{x}),
+post_{x} AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(ts) AS dl, unnest(ts) AS term FROM tok_{x}) GROUP BY doc_id, dl, term),
+raw_{x} AS (SELECT term, ln(n - df + CAST(0.5 AS DOUBLE)) - ln(df + CAST(0.5 AS DOUBLE)) AS r FROM (SELECT term, count(*) AS df FROM post_{x} GROUP BY term), st_{x}),
+idf_{x} AS (SELECT term, CASE WHEN r < 0 THEN CAST(0.25 AS DOUBLE) * (SELECT avg(r) FROM raw_{x}) ELSE r END AS idf FROM raw_{x}),
+sc_{x} AS (SELECT query_id, doc_id, round(sum(qtf * idf * tf * CAST(2.5 AS DOUBLE) / (tf + CAST(1.5 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * dl / avgdl))), 6) AS score
+  FROM post_{x} JOIN qt USING (term) JOIN idf_{x} USING (term), st_{x} GROUP BY query_id, doc_id),
+w_{x} AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS n FROM sc_{x}),
+"""
+
+
+def _route_of(library: str, routes: str, k: str, wanted: str, factor: str) -> str:
+    """CTEs ending in f_<library>: the fused hits of a library."""
+    x = library
+    fits = "(want IS NULL OR component IS NULL OR lower(trim(component)) = lower(trim(want)))"
+    return f"""p_{x} AS (SELECT query_id, {k} AS k, {wanted} AS want, route FROM q WHERE route IN ({routes})),
+n0_{x} AS (SELECT v.query_id, v.doc_id, v.n, v.score, p.k, {fits} AS fits, max({fits}) OVER (PARTITION BY v.query_id) AS anyfit FROM v JOIN d USING (doc_id) JOIN p_{x} p ON p.query_id = v.query_id WHERE d.library = '{x}'),
+n_{x} AS (SELECT * FROM (SELECT query_id, doc_id, score, k, row_number() OVER (PARTITION BY query_id ORDER BY n) AS n FROM n0_{x} WHERE fits OR NOT anyfit) WHERE n <= greatest(k, 20)),
+b0_{x} AS (SELECT w.query_id, w.doc_id, w.n, p.k, {fits} AS fits, max({fits}) OVER (PARTITION BY w.query_id) AS anyfit FROM w_{x} w JOIN d USING (doc_id) JOIN p_{x} p ON p.query_id = w.query_id
+  WHERE w.n <= CASE WHEN want IS NOT NULL THEN greatest(5 * p.k, 300) ELSE greatest(p.k, 20) END),
+b_{x} AS (SELECT * FROM (SELECT query_id, doc_id, k, row_number() OVER (PARTITION BY query_id ORDER BY n) AS n FROM b0_{x} b WHERE fits OR (NOT anyfit AND NOT EXISTS (SELECT 1 FROM n_{x} o WHERE o.query_id = b.query_id))) WHERE n <= greatest(k, 20)),
+u_{x} AS (SELECT query_id, doc_id, round(sum(CAST(1 AS DOUBLE) / (60 + n)), 6) AS rrf, max(score) AS score, max(word) AS word FROM (SELECT query_id, doc_id, n, NULL AS score, 1 AS word FROM b_{x} UNION ALL SELECT query_id, doc_id, n, score, 0 FROM n_{x}) GROUP BY ALL),
+s_{x} AS (SELECT u.query_id, doc_id, p.route, p.k, CASE WHEN bb AND nn THEN rrf WHEN nn THEN u.score ELSE CAST(1 AS DOUBLE) END AS score
+  FROM u_{x} u JOIN p_{x} p ON p.query_id = u.query_id JOIN (SELECT query_id, max(word) = 1 AS bb, count(score) > 0 AS nn FROM u_{x} GROUP BY query_id) g ON g.query_id = u.query_id),
+f_{x} AS (SELECT query_id, doc_id, '{x}' AS library, round(score * {factor}, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS n FROM s_{x}) WHERE n <= k),
+"""
+
+
+_DIST = "list_sum(list_transform(range(1, 65), lambda i: (CAST(a.embedding[i] AS DOUBLE) - b.embedding[i]) * (CAST(a.embedding[i] AS DOUBLE) - b.embedding[i])))"
+
+
+@query("WITH d AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'ebook' ELSE 'literature' END AS library, CASE WHEN doc_id % 10 <> 0 THEN lang END AS component FROM documents),\n"
+       "q AS (SELECT item_id AS query_id, text, 3 + item_id % 5 AS k, CASE WHEN item_id % 2 = 0 THEN 'EN' WHEN item_id % 7 = 0 THEN 'none' END AS want, ['literature', 'textbook', 'both', NULL][CAST(item_id % 4 + 1 AS INTEGER)] AS plan, "
+       "coalesce(nullif(['', 'textbook', 'both', ''][CAST(item_id % 4 + 1 AS INTEGER)], ''), 'literature') AS route FROM benchmark),\n"
+       f"qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({_TOK.format('text')}) AS term FROM benchmark) GROUP BY query_id, term),\n"
+       f"v AS (SELECT * FROM (SELECT b.vec_id AS query_id, a.vec_id AS doc_id, round(greatest(CAST(0 AS DOUBLE), 1 - {_DIST} / 2), 6) AS score, row_number() OVER (PARTITION BY b.vec_id ORDER BY round(greatest(CAST(0 AS DOUBLE), 1 - {_DIST} / 2), 6) DESC, a.vec_id) AS n "
+       "FROM embeddings a JOIN d ON d.doc_id = a.vec_id, embeddings b JOIN benchmark i ON i.item_id = b.vec_id WHERE b.vec_id % 3 = 0) WHERE n <= 30),\n"
+       + _bm25_of("literature", "doc_id % 4 <> 0") + _bm25_of("ebook", "doc_id % 4 = 0")
+       + _route_of("literature", "'literature', 'both'", "k", "want", "1")
+       + _route_of("ebook", "'textbook', 'both'", "CASE WHEN route = 'both' THEN 10 ELSE k END", "CAST(NULL AS VARCHAR)", "CASE WHEN route = 'both' THEN CAST(0.3 AS DOUBLE) / CAST(0.7 AS DOUBLE) ELSE 1 END")
+       + """z AS (SELECT u.*, q.k, row_number() OVER (PARTITION BY u.query_id ORDER BY score DESC, library DESC, doc_id) AS rank FROM (SELECT * FROM f_literature UNION ALL SELECT * FROM f_ebook) u JOIN q ON q.query_id = u.query_id)
+SELECT query_id, doc_id, library, score, CAST(rank AS INTEGER) AS rank FROM z WHERE rank <= k
+""")
+def r5_r6_r16_routed(d: Tables) -> DataFrame:
+    key, item = F.col("doc_id"), F.col("item_id")
+    docs = d.documents.select("doc_id", "text", F.when(key % 4 == 0, "ebook").otherwise("literature").alias("library"), F.when(key % 10 != 0, F.col("lang")).alias("component"))
+    none = F.lit(None).cast("double")
+    queries = d.benchmark.select(
+        item.alias("query_id"), F.col("text").alias("query"), (3 + item % 5).alias("k"), F.when(item % 2 == 0, "EN").when(item % 7 == 0, "none").alias("wanted"),
+        F.when(item % 4 == 0, "literature").when(item % 4 == 1, "textbook").when(item % 4 == 2, "both").alias("route"), none.alias("w_literature"), none.alias("w_ebook"),
+    )
+    vectors = d.embeddings.join(d.documents.select(key.alias("vec_id")), "vec_id", "left_semi")
+    asked = d.embeddings.join(d.benchmark.select(item.alias("vec_id")), "vec_id", "left_semi").filter("vec_id % 3 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    near = s.vector_top_k(vectors, asked, 30).withColumnRenamed("vec_id", "doc_id")
+    return s.routed(docs, queries, near)

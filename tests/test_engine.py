@@ -144,7 +144,7 @@ def test_plans(spark):
     assert "Join" not in asof and "CartesianProduct" not in asof
     named = relational.longest_alias(d.documents, "text", spark.createDataFrame([("a", "b c")], "name string, alias string"), "doc_id")
     assert "BroadcastHashJoin" in plan(named) and "NestedLoop" not in plan(named)
-    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan(search.postings(search.tokenised(d.documents)))
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan(search.tokenised(d.documents))
 
 
 def _shown(x):
