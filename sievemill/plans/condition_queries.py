@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import conditions
+from ..operators import conditions, registration
 from ..streaming import conditions as growth
 from .registry import Tables, query
 
@@ -54,3 +54,38 @@ def i4_growing_conditions(d: Tables) -> DataFrame:
     rows = _conditions(d).withColumn("seq", turn.cast("long"))
     grown = growth.replayed(rows, "o_custkey", _FIELDS)
     return rows.select("o_custkey", "o_orderkey", "seq").join(grown, ["o_custkey", "seq"]).drop("seq")
+
+
+_REGISTERED = """WITH s AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN replace(p_name, ' ', '-') ELSE p_name END AS name, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b, replace(p_name, ' ', '') AS k FROM part),
+c AS (SELECT DISTINCT a AS id FROM s WHERE b = 'bolt' AND length(a) % 2 = 0 AND length(k) % 5 <> 0 UNION SELECT 'hot'),
+r AS (SELECT s.*, CASE WHEN length(k) % 5 = 0 THEN 'discarded' WHEN c.id IS NOT NULL THEN 'registered' ELSE 'open' END AS status, CASE WHEN length(k) % 5 <> 0 THEN c.id END AS id FROM s LEFT JOIN c ON c.id = s.a)
+"""
+
+
+def _register(d: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(names of parts, the log after all rounds, what is open): a judge that makes a new id only of bolts of words with an even length, merges what begins with an
+    id, and discards names of some lengths."""
+    k = F.col("p_partkey") % 3
+    seen = d.part.select("p_partkey", F.when(k == 0, F.upper("p_name")).when(k == 1, F.replace("p_name", F.lit(" "), F.lit("-"))).otherwise(F.col("p_name")).alias("name"))
+    log = d.region.limit(1).select(F.lit("hot").alias("key"), F.lit("hot").alias("name"), F.lit("create").alias("action"), F.lit("hot").alias("id"), F.lit(0).cast("long").alias("seq"), F.lit(0).alias("version"))
+
+    def judge(queue: DataFrame, log: DataFrame) -> DataFrame:
+        first, bolt = F.lower(F.regexp_extract("name", "^([A-Za-z]+)", 1)), F.lower("name").rlike("^(?:..)+[ -]bolt$")
+        ids = log.filter("id is not null").select(F.col("id").alias("__id")).distinct()
+        met = queue.withColumn("first", first).join(ids, F.col("first") == F.col("__id"), "left")
+        action = F.when(F.length("key") % 5 == 0, "discard").when(F.col("__id").isNotNull(), "merge").when(bolt, "create")
+        return met.select("name", action.alias("action"), F.col("first").alias("id"), F.lit(1.0).alias("confidence"), F.col("batch").alias("seq")).filter("action is not null")
+
+    log, left = registration.settled(seen, log, judge)
+    return seen, log, left
+
+
+@query(_REGISTERED + "SELECT p_partkey, name, id, status FROM r")
+def n19_registration(d: Tables) -> DataFrame:
+    seen, log, _ = _register(d)
+    return registration.resolved(seen, log)
+
+
+@query(_REGISTERED + "SELECT k AS key, min(name) AS name, count(*) AS n, CAST(floor((row_number() OVER (ORDER BY k) - 1) / CAST(10 AS DOUBLE)) + 1 AS BIGINT) AS batch FROM r WHERE status = 'open' GROUP BY k")
+def n21_open_queue(d: Tables) -> DataFrame:
+    return registration.in_batches(_register(d)[2], 10)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.storage import work_dir
-from ..sources import files
+from ..sources import files, manifests
 from .registry import Tables, query
 
 
@@ -77,3 +77,44 @@ def k10_copied_by_category(d: Tables) -> DataFrame:
     text = F.regexp_replace("html", "<[^>]*>", " ")
     d.pages.select("page_id", text.alias("text"), F.pmod("page_id", F.lit(5)).alias("category")).write.partitionBy("category").parquet(path)
     return d.pages.sparkSession.read.parquet(path).select("page_id", F.md5("text").alias("text_md5"))
+
+
+def _folders(d: Tables, base: str, changed: bool) -> str:
+    """Documents by component and source as folders of text, and some that no component takes. changed: the texts of one component's even
+    sources differ, one of its folders is gone, and another one is new."""
+    number = F.coalesce(F.regexp_extract("source", "([0-9]+)", 1).try_cast("int"), F.lit(0))
+    for i, name in enumerate(manifests.COMPONENTS):
+        rows = d.documents.filter(F.col("doc_id") % 3 == i)
+        if changed and name == "anode":
+            rows = rows.filter(number != 3).withColumn("text", F.when(number % 2 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+            rows = rows.withColumn("source", F.when(number == 5, "new").otherwise(F.col("source")))
+        rows.select("doc_id", "text", "source").repartition("source").sortWithinPartitions("source", "doc_id").select("text", "source").write.partitionBy("source").text(f"{base}/{name}")
+    d.region.select(F.col("r_name").alias("text")).coalesce(1).write.text(f"{base}/test/cathode/source=x")
+    d.region.select(F.col("r_name").alias("text")).coalesce(1).write.text(f"{base}/cathode/deeper/source=y")
+    return base
+
+
+_FILED = """WITH f AS (SELECT ['cathode', 'anode', 'electrolyte'][CAST(doc_id % 3 + 1 AS INTEGER)] AS component, source, coalesce(TRY_CAST(regexp_extract(source, '([0-9]+)', 1) AS INTEGER), 0) AS k FROM documents),
+b AS (SELECT DISTINCT component, 'source=' || source AS stem, k FROM f)
+"""
+
+
+@query(_FILED + """, n AS (SELECT component, stem, k FROM b WHERE NOT (component = 'anode' AND k IN (3, 5)) UNION ALL SELECT DISTINCT component, 'source=new', 5 FROM b WHERE component = 'anode' AND k = 5)
+SELECT coalesce(n.component, b.component) || '/' || coalesce(n.stem, b.stem) AS path, CASE WHEN b.stem IS NULL THEN 'added' WHEN n.stem IS NULL THEN 'gone' WHEN n.component = 'anode' AND n.k % 2 = 0 THEN 'changed' ELSE 'touched' END AS change
+FROM n FULL JOIN b ON n.component = b.component AND n.stem = b.stem
+""")
+def s1_m7_changed_folders(d: Tables) -> DataFrame:
+    spark = d.documents.sparkSession
+    taken = lambda changed: manifests.with_component(manifests.manifest(spark, _folders(d, work_dir(spark), changed), "part-*", by_folder=True))
+    return manifests.difference(taken(True), taken(False))
+
+
+@query(_FILED + """, p AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY component || '/' || stem) AS n FROM b WHERE k % 4 <> 1)
+SELECT component, stem FROM p WHERE n <= 3
+""")
+def s2_pending_folders(d: Tables) -> DataFrame:
+    """Three folders of each component that are not done yet: the limit is the feature."""
+    spark = d.documents.sparkSession
+    found = manifests.with_component(manifests.manifest(spark, _folders(d, work_dir(spark), False), "part-*", by_folder=True))
+    done = found.filter(F.regexp_extract("stem", "([0-9]+)", 1).try_cast("int") % 4 == 1)
+    return manifests.pending(found, done, 3).select("component", "stem")
