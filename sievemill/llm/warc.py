@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -135,53 +136,153 @@ def _block(stream: io.BufferedIOBase) -> tuple[str, dict[str, str]] | None:
     return first, fields
 
 
-def _read(stream: io.BufferedIOBase, n: int = -1) -> bytes:
-    """Up to n bytes, or a line with n = -1; what there is of a stream whose compression breaks off."""
-    try:
-        return stream.readline() if n < 0 else stream.read(n)
-    except (EOFError, OSError, zlib.error):
-        return b""
+_BAD = {"record_id": None, "kind": "malformed", "url": None, "at": None, "status": None, "headers": {}, "body": None}
+_MAGIC = b"\x1f\x8b\x08"
+#: Bytes of a gzip member's content up to which none of its records counts before its checksum is known to be right.
+HELD_BYTES = 64 << 20
+_STEP = 1 << 20
 
 
-def parse(data: bytes) -> Iterator[dict]:
-    """Records of a WARC file, compressed record by record or not; rows of SCHEMA. ``at`` is an
-    ISO string. The body of an HTTP record is what follows its own header, without chunked framing and gzip or deflate coding.
+def _known(head: bytes) -> tuple[dict, dict[str, str]]:
+    """(record_id, url and at, all named fields) of a record's head."""
+    _, fields = _block(io.BytesIO(head)) or ("", {})
+    named = {k.lower(): v for k, v in fields.items()}
+    return {"record_id": named.get("warc-record-id", "").strip("<>") or None, "url": named.get("warc-target-uri", "").strip("<>") or None, "at": named.get("warc-date")}, named
+
+
+class _Records:
+    """Records of a stream that comes in pieces; what is not yet a whole record waits."""
+
+    def __init__(self) -> None:
+        self.data, self.at, self.lost = bytearray(), 0, False
+
+    def take(self, piece: bytes, last: bool = False) -> Iterator[dict]:
+        del self.data[: self.at]
+        self.data += piece
+        self.at = 0
+        while (found := self._next(last)) is not None:
+            yield from found
 
-    A record that is cut short, has no sound length, or follows something that is no record gives a row of kind ``malformed``,
-    with its record_id and url if known and without a body; reading goes on at the next record."""
-    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data))) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
-    bad = {"record_id": None, "kind": "malformed", "url": None, "at": None, "status": None, "headers": {}, "body": None}
-    lost = False
-    while line := _read(stream):
+    def broken(self) -> Iterator[dict]:
+        """The stream does not go on: what waits is a damaged record."""
+        rest, self.data, self.at = bytes(self.data[self.at :]), bytearray(), 0
+        if rest.strip() and not self.lost:
+            yield _BAD | _known(rest)[0] if rest.lstrip().startswith(b"WARC/") else dict(_BAD)
+        self.lost = False
+
+    def _next(self, last: bool) -> list[dict] | None:
+        """The rows of what comes next; None if more is needed."""
+        end = self.data.find(b"\n", self.at)
+        if end < 0 and not (last and self.at < len(self.data)):
+            return None
+        end = len(self.data) if end < 0 else end + 1
+        line = bytes(self.data[self.at : end])
         if not line.startswith(b"WARC/"):
-            if line.strip() and not lost:
-                lost = True  # once for all lines up to the next record
-                yield dict(bad)
-            continue
-        lost = False
-        head = [line]
-        while (line := _read(stream)) not in (b"", b"\n", b"\r\n"):
-            head.append(line)
-        _, fields = _block(io.BytesIO(b"".join(head))) or ("", {})
-        named = {k.lower(): v for k, v in fields.items()}
-        known = {"record_id": named.get("warc-record-id", "").strip("<>") or None, "url": named.get("warc-target-uri", "").strip("<>") or None, "at": named.get("warc-date")}
+            if not last and not line.endswith(b"\n"):
+                return None
+            self.at = end
+            if not line.strip() or self.lost:
+                return []
+            self.lost = True  # once for all lines up to the next record
+            return [dict(_BAD)]
+        ends = [x + len(m) for m in (b"\n\r\n", b"\n\n") if (x := self.data.find(m, self.at)) >= 0]
+        if not ends and not last:
+            return None
+        body = min(ends, default=len(self.data))
+        known, named = _known(bytes(self.data[self.at : body]))
         size = named.get("content-length", "")
-        if not (size.isascii() and size.isdigit()):
-            lost = True
-            yield bad | known
-            continue
-        payload = _read(stream, int(size))
-        if len(payload) < int(size):
-            yield bad | known
-            return
-        status, headers, body = None, {}, payload
+        if not ends or not (size.isascii() and size.isdigit()):
+            self.at, self.lost = body, True
+            return [_BAD | known]
+        stop = body + int(size)
+        if len(self.data) < stop + 2 and not last:
+            return None
+        after = bytes(self.data[stop : stop + 2])
+        if len(self.data) < stop or not (after == b"" or after[:1] == b"\n" or after == b"\r\n"):  # not its true length: the next record is somewhere behind its head
+            self.at, self.lost = body, True
+            return [_BAD | known]
+        payload, self.at, self.lost = bytes(self.data[body:stop]), stop, False
+        status, headers, content = None, {}, payload
         if named.get("content-type", "").startswith("application/http") and payload:
             inner = io.BytesIO(payload)
             first, headers = _block(inner) or ("", {})
             words = first.split()
             status = int(words[1]) if len(words) > 1 and words[0].startswith("HTTP/") and words[1].isascii() and words[1].isdigit() and len(words[1]) < 10 else None
-            body = _decoded(inner.read(), {k.lower(): v.lower() for k, v in headers.items()})
-        yield bad | known | {"kind": named.get("warc-type"), "status": status, "headers": headers, "body": body}
+            content = _decoded(inner.read(), {k.lower(): v.lower() for k, v in headers.items()})
+        return [_BAD | known | {"kind": named.get("warc-type"), "status": status, "headers": headers, "body": content}]
+
+
+def _member(data: memoryview, at: int) -> Iterator[tuple[bytes, int]]:
+    """Pieces of the content of the gzip member at ``at``, and with the last of them where it ends (before: -1). Raises zlib.error
+    where it is damaged or cut, its checksum included."""
+    inflate = zlib.decompressobj(31)
+    while not inflate.eof:
+        if at >= len(data):
+            raise zlib.error("cut")
+        step = data[at : at + _STEP]
+        piece = inflate.decompress(step)
+        at += len(step) - len(inflate.unused_data)
+        yield piece, at if inflate.eof else -1
+
+
+def _member_after(data: memoryview, raw: bytes, at: int) -> int:
+    """Where the next gzip member begins that holds a record at its start, or is sound; -1 without any."""
+    while (at := raw.find(_MAGIC, at)) >= 0:
+        try:
+            pieces = _member(data, at)
+            if next(pieces)[0].lstrip().startswith(b"WARC/"):
+                return at
+            for _ in pieces:
+                pass
+            return at
+        except zlib.error:
+            at += 1
+    return -1
+
+
+def parse(data: bytes) -> Iterator[dict]:
+    """Records of a WARC file, compressed record by record or not; rows of SCHEMA. ``at`` is an
+    ISO string. The body of an HTTP record is what follows its own header, without chunked framing and gzip or deflate coding.
+
+    A record that is damaged or cut short, whose length is not one or not its own, or that something follows that is no record, gives a row
+    of kind ``malformed``, with its record_id and url if known and without a body. Reading goes on at the next record: after a wrong length at
+    the next line that begins one, after a damaged gzip member at the next member. A member counts as a whole: up to HELD_BYTES of content
+    none of its records is given before its checksum is right; of a longer one those before the damage are."""
+    records, first = _Records(), data.find(_MAGIC)
+    if first < 0 or re.search(rb"^WARC/", data[:first], re.M):  # not compressed
+        for at in range(0, len(data), _STEP):
+            yield from records.take(data[at : at + _STEP])
+        yield from records.take(b"", last=True)
+        return
+    view, at = memoryview(data), 0
+    while 0 <= at < len(data):
+        if not any(view[at : at + _STEP]) and not any(view[at:]):  # padding
+            break
+        held, size, end = [], 0, -1
+        try:
+            for piece, end in _member(view, at):
+                if held is not None:
+                    held.append(piece)
+                    size += len(piece)
+                    if size > HELD_BYTES:
+                        yield from records.take(b"".join(held))
+                        held = None
+                else:
+                    yield from records.take(piece)
+            yield from records.take(b"".join(held or []))
+            at = end
+        except zlib.error:
+            if held is not None:
+                waiting = bool(bytes(records.data[records.at :]).strip())
+                yield from records.broken()  # a record that began in the member before
+                records.data = bytearray(b"".join(held))
+                if not waiting or records.data.lstrip().startswith(b"WARC/"):
+                    yield from records.broken() if records.data.strip() else [dict(_BAD)]
+                records.data = bytearray()
+            else:
+                yield from records.broken()
+            at = _member_after(view, data, at + 1)
+    yield from records.take(b"", last=True)
 
 
 def _decoded(body: bytes, headers: dict[str, str]) -> bytes:
@@ -223,7 +324,8 @@ def render(record_id: str, kind: str, url: str, at: str, status: int | None, hea
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files (SCHEMA), bad ones as rows of kind ``malformed``. A file is read by one task and held by it: write files of about a GB at most."""
+    """Records of WARC files (SCHEMA), bad ones as rows of kind ``malformed``. A file is read by one task, which holds it as it is stored and
+    unpacks it piece by piece: write files of about a GB at most."""
     import pandas as pd
 
     def run(frames):

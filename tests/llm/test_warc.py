@@ -1,8 +1,11 @@
 import gzip
 import random
+import re
 import zlib
 from datetime import datetime, timedelta
 
+import pytest
+
 from sievemill.llm import warc
 
 T0 = datetime(2024, 1, 1)
@@ -75,10 +78,57 @@ def test_bad_records_are_reported_and_passed_over():
     assert kinds(good[0] + no_length + good[2]) == [ok[0], ("malformed", "r1"), ok[2]]
     assert kinds(good[0] + b"junk\nmore junk\n" + good[2]) == [ok[0], ("malformed", None), ok[2]]
     assert kinds(good[0] + good[2][:-8]) == [ok[0], ("malformed", "r2")]
-    packed = b"".join(gzip.compress(g) for g in good)
-    assert kinds(packed) == ok
-    for cut in range(0, len(packed), 7):
-        assert all(k in ok or k[0] == "malformed" for k in kinds(packed[:cut]))
+    assert kinds(b"".join(gzip.compress(g) for g in good)) == ok == kinds(gzip.compress(b"".join(good)))
+    for wrong in (b"Content-Length: 9999999", b"Content-Length: 130", b"Content-Length: 10"):  # beyond the end, into the next record, too short
+        worse = re.sub(rb"Content-Length: [0-9]+", wrong, good[1], count=1)
+        assert kinds(good[0] + worse + good[2]) == [ok[0], ("malformed", "r1"), ok[2]], wrong
+
+
+def ids_of(data):
+    return [(r["kind"], r["record_id"]) for r in warc.parse(data)]
+
+
+@pytest.mark.parametrize("n, size", [(4, 5), (50, 300), (6, 200_000)])
+@pytest.mark.parametrize("damage", ["middle", "start", "checksum", "cut", "length"])
+def test_exactly_the_damaged_member_is_lost(n, size, damage):
+    rng = random.Random(n)
+    members = [warc.render(f"r{i}", "response", f"http://a/{i}", "2024-01-01T00:00:00Z", 200, {"ETag": "x"}, rng.randbytes(size)) for i in range(n)]
+    assert ids_of(b"".join(members)) == [("response", f"r{i}") for i in range(n)]
+    for k in range(n):
+        m = bytearray(members[k])
+        if damage == "middle":
+            m[len(m) // 2 : len(m) // 2 + 4] = bytes(255 - b for b in m[len(m) // 2 : len(m) // 2 + 4])
+        elif damage == "start":
+            m[0:3] = b"abc"
+        elif damage == "checksum":
+            m[-8] ^= 1
+        elif damage == "cut":
+            del m[len(m) * 2 // 3 :]
+        else:
+            m[-1] ^= 64
+        got = ids_of(b"".join([*members[:k], bytes(m), *members[k + 1 :]]))
+        assert [x for x in got if x[0] == "response"] == [("response", f"r{i}") for i in range(n) if i != k]
+        assert sum(x[0] == "malformed" for x in got) >= 1 and all(x[1] in (None, f"r{k}") for x in got if x[0] == "malformed")
+    packed = b"".join(members)
+    for cut in range(0, len(packed), max(7, len(packed) // 200)):
+        whole = sum(1 for i in range(n) if sum(map(len, members[: i + 1])) <= cut)
+        got = ids_of(packed[:cut])
+        assert [x for x in got if x[0] == "response"] == [("response", f"r{i}") for i in range(whole)]
+
+
+def test_records_over_several_members_and_long_members(monkeypatch):
+    good = [warc.render(f"r{i}", "response", f"http://a/{i}", "2024-01-01T00:00:00Z", 200, {}, b"body" * 50, compress=False) for i in range(6)]
+    text = b"".join(good)
+    pieces = [gzip.compress(text[i : i + 97]) for i in range(0, len(text), 97)]
+    assert [x[1] for x in ids_of(b"".join(pieces) + b"\0" * 100)] == [f"r{i}" for i in range(6)]
+    pieces[5] = pieces[5][:-8] + bytes(8)
+    got = ids_of(b"".join(pieces))
+    assert [x for x in got if x[0] == "response"] == [("response", f"r{i}") for i in (0, 2, 3, 4, 5)] and ("malformed", "r1") in got
+    monkeypatch.setattr(warc, "HELD_BYTES", 100)
+    monkeypatch.setattr(warc, "_STEP", 64)
+    one = gzip.compress(text)
+    assert [x[1] for x in ids_of(one)] == [f"r{i}" for i in range(6)]
+    assert ids_of(one[:-30])[:1] == [("response", "r0")] and ids_of(one[:-30])[-1][0] == "malformed"
 
 
 def test_chunked_and_compressed_bodies():
