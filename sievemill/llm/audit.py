@@ -17,6 +17,8 @@ from .common import shared_dir, stored
 
 #: So many filters have 5,040 orders; each part's rows are seven times as many.
 MOST_FILTERS = 7
+#: Parts that the rows of one key are dealt into.
+SALTS = 16
 
 
 def audit(rows: DataFrame, fails: dict[str, Column], part: Column, losses: dict[str, Column] | None = None) -> DataFrame:
@@ -97,7 +99,9 @@ def repeats_smaller(rows: DataFrame, key: str, id_column: str) -> DataFrame:
     """``rows`` and ``repeats`` boolean: whether a row with a smaller ``id_column`` has the same ``key`` (never null). A null id is
     neither smaller nor larger; rows of one id do not repeat each other.
 
-    Only keys of several rows are looked up; the rows of a hot key are on the side of the join that can be split."""
+    Only keys of several rows are looked up. The rows of a key are dealt over SALTS parts, each of which meets the key's smallest id."""
     first = rows.groupBy(F.col(key).alias("__key")).agg(F.min(id_column).alias("__first"), F.count("*").alias("__n")).filter("__n > 1").drop("__n")
-    joined = rows.join(first, F.col(key) == F.col("__key"), "left")
-    return joined.withColumn("repeats", F.coalesce(F.col(id_column) > F.col("__first"), F.lit(False))).drop("__key", "__first")
+    first = first.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("__own", F.pmod(F.xxhash64(id_column), F.lit(SALTS)).cast("int"))
+    joined = salted.join(first, (F.col(key) == F.col("__key")) & (F.col("__own") == F.col("__salt")), "left")
+    return joined.withColumn("repeats", F.coalesce(F.col(id_column) > F.col("__first"), F.lit(False))).select(*rows.columns, "repeats")
