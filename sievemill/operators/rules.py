@@ -156,3 +156,31 @@ def revised(base: DataFrame, changes: DataFrame, key: str, budget: int) -> DataF
     joined = base.join(ok, key, "left")
     fits = (F.col("__n") <= budget) & (F.col("__version") == F.col("version")) & (F.col("__oldest") == F.col("version"))
     return joined.select(key, F.when(fits, F.col("version") + 1).otherwise(F.col("version")).alias("version"), F.when(fits, F.col("__value")).otherwise(F.col("value")).alias("value"), F.when(fits, "applied").when(F.col("__n").isNotNull(), "rejected").otherwise("kept").alias("status"))
+
+
+# Words of an answer that says that a design is not feasible, and how near energies have to be: those of a task to the
+# estimate, and those of an answer.
+INFEASIBLE_WORDS = ["不可行", "不适用", "无法实现", "难以达到", "超出", "排除", "不兼容", "violat"]
+TASK_TOLERANCE, ANSWER_TOLERANCE = 0.01, 0.30
+
+
+def task_consistent(kind: Column, expected: Column, found: Column, energy: Column, estimate: Column) -> Column:
+    """Whether a task agrees with the rules: a constraint check by its feasibility (expected unless it says otherwise), a recommendation by its energy
+    within 1 % of the estimate, or by expecting none; other kinds are not checked and count as consistent."""
+    off = F.abs(estimate - F.coalesce(energy, F.lit(0.0))) / F.greatest(estimate, F.lit(1e-9))
+    by_energy = F.when(~F.coalesce(expected, F.lit(False)), True).otherwise(F.coalesce(off < TASK_TOLERANCE, F.lit(False)))
+    return F.when(kind == "constraint_check", F.coalesce(found == F.coalesce(expected, F.lit(True)), F.lit(False))).when(kind == "combination_recommendation", by_energy).otherwise(True)
+
+
+def answer_hit(kind: Column, answer: Column, expected: Column, estimate: Column) -> Column:
+    """struct<hit, strict, error> of an answer to a task. A constraint check is hit if the answer says that it is not feasible when it is not,
+    or says so at all (``strict``: only the former, which is what an accuracy may be made of); a recommendation if its first energy is within 30 % of the
+    estimate; null for other kinds and where either energy is absent."""
+    infeasible = F.lit(False)
+    for w in INFEASIBLE_WORDS:
+        infeasible = infeasible | F.contains(answer, F.lit(w))
+    strict = (~F.coalesce(expected, F.lit(False))) == infeasible
+    claimed = F.nullif(F.regexp_extract(answer, r"([0-9]+(?:\.[0-9]+)?)\s*Wh/kg", 1), F.lit("")).cast("double")
+    error = F.round(F.try_divide(F.abs(F.nullif(claimed, F.lit(0.0)) - estimate), estimate), 3)
+    of = lambda a, b: F.when(kind == "constraint_check", a).when(kind == "combination_recommendation", b)
+    return F.struct(of(strict | infeasible, error <= ANSWER_TOLERANCE).alias("hit"), of(strict, error <= ANSWER_TOLERANCE).alias("strict"), of(F.lit(None).cast("double"), error).alias("error"))
