@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import contracts, rules
+from ..operators import anchors, contracts, extractor, rules
 from .registry import Tables, query
 
 
@@ -116,3 +116,39 @@ def e8_rule_and_answer_modes(d: Tables) -> DataFrame:
     c = F.col
     hit = rules.answer_hit(c("kind"), c("answer"), c("expected"), c("estimate"))
     return t.select("o_orderkey", "kind", rules.task_consistent(c("kind"), c("expected"), c("found"), c("energy"), c("estimate")).alias("consistent"), hit["hit"].alias("hit"), hit["strict"].alias("strict"))
+
+
+@query("""
+WITH k AS (SELECT doc_id, doc_id % 8 AS v, doc_id % 90 AS n, contains(text, '|') AS piped FROM documents)
+SELECT doc_id, CASE WHEN v IN (0, 4) THEN 'LiNi0.' || (10 + n) || 'Mn0.1O2' WHEN v = 1 THEN 'LiCo0.' || (10 + n) || 'Al0.1O2' END AS formula,
+  CASE v WHEN 0 THEN 'sol_gel' WHEN 1 THEN 'solid_state' WHEN 2 THEN 'hydroxide_coprecipitation' WHEN 3 THEN 'sol_gel' WHEN 5 THEN 'sol_gel' END AS route,
+  CAST(CASE v WHEN 0 THEN 800 + n WHEN 1 THEN 700 + n WHEN 3 THEN 850 END AS DOUBLE) AS celsius_low, CAST(CASE v WHEN 0 THEN 800 + n WHEN 1 THEN 910 WHEN 3 THEN 850 END AS DOUBLE) AS celsius_high,
+  CAST(CASE v WHEN 0 THEN 12 WHEN 1 THEN 10 END AS DOUBLE) AS hours_low, CAST(CASE v WHEN 0 THEN 12 WHEN 1 THEN 15 END AS DOUBLE) AS hours_high FROM k
+""")
+def e24_design_anchors(d: Tables) -> DataFrame:
+    """Answers behind the documents' own texts: a ranked table, main and other ways, firing beside drying, in eight forms."""
+    v, n = F.col("doc_id") % 8, F.col("doc_id") % 90
+    say = lambda *xs: F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in xs])
+    end = (
+        F.when(v == 0, say("| Rank | Formula |\n|---|---|\n| 2 | LiCoO2 |\n| **#1** | LiNi0.", 10 + n, "Mn0.1O2 |\n\n路线B: 固相法, 煅烧 600 °C 5 h; Route A: sol-gel; calcination at ", 800 + n, " °C, 12 h"))
+        .when(v == 1, say("| 方案 | 配方 | x |\n| :--- | ---: | -- |\n| 首选 | LiCo0.", 10 + n, "Al0.1O2 | y |\n主推 固相合成。 预烧 500 °C 3 h; 升温速率 5 °C/min; 烧结温度 ", 700 + n, "~910℃ 保温 10-15 小时"))
+        .when(v == 2, "不推荐 固相法; 对照 sol-gel; Ni(OH)2 氢氧化物共沉淀; 干燥后 煅烧 120 °C")
+        .when(v == 3, "溶胶-凝胶 and 固相法\nsintering 850°C/min; 烧结: 850 ℃")
+        .when(v == 4, say("| rank | other | formula |\n|---|---|---|\n| 10 | a | LiCoO2 |\n| 1 | b | LiNi0.", 10 + n, "Mn0.1O2 |\n| 1 | c | LiFeO2 |"))
+        .when(v == 5, "备选路线 sol-gel, calcination 700 °C 2 h")
+        .when(v == 6, "| x | y |\n|---|---|\n| 1 | LiCoO2 |\ntext")
+    )
+    docs = d.documents.select("doc_id", F.concat("text", F.lit("\n\n"), F.coalesce(end, F.lit(""))).alias("text"))
+    return anchors.anchors(docs)
+
+
+@query(r"""
+WITH t AS (SELECT doc_id, text || chr(10) || 'At ' || doc_id % 60 || ' °C LFP and NCM811 give ' || doc_id || '.5 mAh/g; graphite 3.7V, 12 %x' AS text FROM documents),
+m AS (SELECT doc_id, unnest(regexp_extract_all(text, '([0-9]+(?:\.[0-9]+)?)\s?(mAh/g|Wh/kg|mg/cm2|S/cm|°C|V|%)(?:[^A-Za-z0-9/]|$)', 0)) AS m FROM t)
+SELECT doc_id, CASE u WHEN 'mAh/g' THEN 'capacity' WHEN 'Wh/kg' THEN 'energy' WHEN 'mg/cm2' THEN 'loading' WHEN 'S/cm' THEN 'conductivity' WHEN '°C' THEN 'temperature' WHEN 'V' THEN 'voltage' ELSE 'share' END AS property, u AS unit, count(*) AS n, round(sum(x), 4) AS total
+FROM (SELECT doc_id, CAST(regexp_extract(m, '^([0-9]+(?:\.[0-9]+)?)', 1) AS DOUBLE) AS x, regexp_extract(m, '(mAh/g|Wh/kg|mg/cm2|S/cm|°C|V|%)', 1) AS u FROM m) GROUP BY ALL
+""")
+def x5_extracted_measures(d: Tables) -> DataFrame:
+    k = F.col("doc_id")
+    docs = d.documents.select("doc_id", F.concat("text", F.lit("\nAt "), k % 60, F.lit(" °C LFP and NCM811 give "), k, F.lit(".5 mAh/g; graphite 3.7V, 12 %x")).alias("text"))
+    return extractor.extracted(docs).filter("error is null").groupBy("doc_id", "property", "unit").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
