@@ -106,13 +106,20 @@ def battery_systems(text: Column) -> Column:
     return F.when(F.size(all_) > 0, all_).otherwise(heading)
 
 
-def seed_problems(sentence: Column, quote: Column, value: Column, relation: Column, allowed: list[str]) -> Column:
-    """What is wrong with an extracted relation: its quote is not in the sentence, its value's digits are not, or its kind is unknown."""
+def seed_problems(sentence: Column, quote: Column, value: Column, relation: Column, allowed: list[str], conditions: Column | None = None) -> Column:
+    """What is wrong with an extracted relation: its quote is not in the sentence, its value's digits are not, its kind is unknown, or, with
+    ``conditions`` (map<string,string>), some condition is neither there nor has all of its numbers there; one without numbers is not judged."""
     digits = F.regexp_extract(value, _NUMBER, 0)
     return F.array_compact(F.array(
         F.when(~F.contains(t.bare(sentence), t.bare(quote)), "quote"),
         F.when((digits != "") & ~F.contains(sentence, digits), "value"),
-        F.when(~relation.isin(*allowed), "relation")))
+        F.when(~relation.isin(*allowed), "relation"),
+        F.lit(None).cast("string") if conditions is None else F.when(F.exists(F.map_values(conditions), lambda v: _untold(v, sentence)), "condition")))
+
+
+def _untold(value: Column, sentence: Column) -> Column:
+    numbers = F.regexp_extract_all(value, F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0))
+    return F.coalesce(~F.contains(sentence, value) & ~F.forall(numbers, lambda n: F.contains(sentence, n)), F.lit(False))
 
 
 def strict_number(json: Column) -> Column:

@@ -87,6 +87,17 @@ def grouped_papers(rows: DataFrame) -> DataFrame:
     return inner.groupBy("doi", "material_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "condition_id", "properties"))), lambda c: F.struct(c["condition_id"].alias("condition_id"), c["properties"].alias("properties"))).alias("conditions"))
 
 
+def merged_components(rows: DataFrame, remap: DataFrame) -> DataFrame:
+    """doi, condition, material, name, value, members, sources: the properties of all components of a paper under their canonical conditions, near-equal
+    ones of a material and condition merged (``merged_values``), with the components that they come from.
+
+    rows: doi, component, condition_id (null: intrinsic, kept without a condition), material, name, value, seq. remap: doi, condition_id,
+    canonical_id; a condition without one is its own."""
+    known = remap.groupBy("doi", "condition_id").agg(F.min("canonical_id").alias("canonical_id"))
+    joined = rows.join(known, ["doi", "condition_id"], "left").withColumn("condition", F.coalesce("canonical_id", "condition_id"))
+    return merged_values(joined, ["doi", "condition", "material", "name"], "value", "seq", "component")
+
+
 def without_orphans(rows: DataFrame, condition: str) -> tuple[DataFrame, DataFrame]:
     """(rows with a condition, rows without)."""
     absent = p.is_absent(F.col(condition))
@@ -132,6 +143,21 @@ def formulation_id(text: Column) -> Column:
     return F.when(text.rlike(whole), F.concat(F.when(odd, F.concat(amount, F.lit("M_"))).otherwise(""), base))
 
 
+def formulation_of(salts: Column, solvents: Column, additives: Column, diluents: Column) -> Column:
+    """The id of a formulation that is given in parts: ``LIFSI_DME_LINO3_dil-TTE``. salts: array<struct<name, concentration>>; the others are names.
+
+    Names are upper-cased, each once and in order; blank ones are left out. The concentration of a single salt stands first, without spaces, unless it is
+    1 M. Null without a salt or without a solvent."""
+    names = lambda c: F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.upper(F.trim(x))), lambda x: x != ""))), "-")
+    named = F.filter(salts, lambda x: F.trim(x["name"]) != "")
+    s, v, a, d = names(F.transform(named, lambda x: x["name"])), names(solvents), names(additives), names(diluents)
+    amount = F.regexp_replace(F.get(F.filter(F.transform(salts, lambda x: x["concentration"]), lambda x: F.trim(x) != ""), F.lit(0)), r"\s+", "")
+    usual = F.abs(F.regexp_extract(amount, r"(?i)^([0-9.]+)m$", 1).try_cast("double") - 1) < 1e-6
+    first = F.when((F.size(named) == 1) & amount.isNotNull() & ~F.coalesce(usual, F.lit(False)), F.concat(amount, F.lit("_"))).otherwise("")
+    after = lambda x, mark: F.when(x != "", F.concat(F.lit(mark), x)).otherwise("")
+    return F.when((F.coalesce(s, F.lit("")) != "") & (v != ""), F.concat(first, s, F.lit("_"), v, after(a, "_"), after(d, "_dil-")))
+
+
 # Words that say how a material is made up or was treated.
 MORPHOLOGY = [
     "nanoparticles", "nanowires", "nanosheets", "nanofibers", "nanoparticle", "nanowire", "nanosheet", "nanofiber", "microspheres", "microsphere",

@@ -184,3 +184,18 @@ def answer_hit(kind: Column, answer: Column, expected: Column, estimate: Column)
     error = F.round(F.try_divide(F.abs(F.nullif(claimed, F.lit(0.0)) - estimate), estimate), 3)
     of = lambda a, b: F.when(kind == "constraint_check", a).when(kind == "combination_recommendation", b)
     return F.struct(of(strict | infeasible, error <= ANSWER_TOLERANCE).alias("hit"), of(strict, error <= ANSWER_TOLERANCE).alias("strict"), of(F.lit(None).cast("double"), error).alias("error"))
+
+
+# The density of lithium in g/cm3, and how far a foil's loading may be from its thickness times that.
+FOIL_DENSITY, FOIL_TOLERANCE = 0.534, 0.25
+
+
+def foil_violations(compaction: Column, porosity: Column, thickness_um: Column, loading: Column) -> Column:
+    """array<string>: what cannot be of a lithium foil: a density over the metal's (compaction), or, where it is dense, a loading in
+    mg/cm2 over 25 % off its thickness (loading). Nulls, NaN and infinities are not judged."""
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    expected = thickness_um * (FOIL_DENSITY / 10)
+    dense = (porosity == 0) & finite(thickness_um) & (thickness_um > 0) & finite(loading)
+    return F.array_compact(F.array(
+        F.when(finite(compaction) & (compaction > FOIL_DENSITY), "compaction"), F.when(dense & (F.try_divide(F.abs(loading - expected), expected) > FOIL_TOLERANCE), "loading"),
+    ))

@@ -213,3 +213,39 @@ def table_contexts(rows: DataFrame, reach: int = 8, key: str = "doc_id", order:
     around = F.concat_ws("\n", F.lag("line", 1).over(w), F.lead("line", 1).over(w))
     first = is_table & ~F.coalesce(F.lag(is_table).over(w), F.lit(False))
     return rows.withColumns({"caption": caption, "around": around, "__first": first}).filter("__first").drop("__first")
+
+
+def table_blocks(docs: DataFrame, look_back: int = 800, around: int = 400, shown: int = 300, same: int = 200) -> DataFrame:
+    """doc_id, start (characters before the table), block: each pipe table of a document (doc_id, text) as text for extraction: its caption, nearby text,
+    headers, rows as ``header = cell`` (as cells where their number differs), and the cells of each column.
+
+    The caption is the last one within ``look_back`` characters before the table, else the last line there that speaks of a table. Blocks of a
+    document that begin with the same ``same`` characters, white space squeezed, count once, the first. Documents of one doc_id count as one."""
+    texts = docs.filter("text is not null").dropDuplicates(["doc_id"]).select("doc_id", "text")
+    w = Window.partitionBy("doc_id").orderBy("line_no")
+    running, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    piped, rule = F.contains("line", F.lit("|")), F.col("line").rlike(r"^\s*\|?\s*:?-+:?\s*(?:\|\s*:?-+:?\s*)+\|?\s*$")
+    marked = lines(texts).withColumn("__at", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)))
+    marked = marked.withColumns({"__breaks": F.sum(F.when(~piped, 1).otherwise(0)).over(running), "__rule": rule, "__head": F.when(rule, F.struct(F.lag("line").over(w).alias("line"), F.lag("__at").over(w).alias("start")))})
+    opened = F.last(F.when(F.col("__rule") & F.contains("__head.line", F.lit("|")), F.struct("__head", "__breaks")), ignorenulls=True).over(running)
+    cells = lambda c: F.transform(F.split(F.regexp_replace(F.trim(c), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
+    body = marked.withColumn("__table", opened).filter(piped & ~F.col("__rule") & (F.col("__table.__breaks") == F.col("__breaks")) & (F.col("__at") > F.col("__table.__head.start")))
+    tables = body.groupBy("doc_id", F.col("__table.__head.start").alias("start"), F.col("__table.__head.line").alias("head")).agg(F.array_sort(F.collect_list(F.struct("line_no", cells(F.col("line")).alias("cells")))).alias("rows"))
+    t_ = tables.join(texts, "doc_id").withColumns({"heads": cells(F.col("head")), "rows": F.transform("rows", lambda r: r["cells"])})
+    start, text = F.col("start").cast("int"), F.col("text")
+    back = F.substr(text, F.greatest(start - look_back, F.lit(0)) + 1, F.least(start, F.lit(look_back)))
+    captions = F.regexp_extract_all(back, F.lit(r"(?i)(?:table|表)\s+(?:S[0-9]+[.\s]|[0-9]+[.\s])[^\n]{0,200}"), F.lit(0))
+    speaking = F.filter(F.split(back, "\n"), lambda x: F.contains(F.lower(x), F.lit("table")))
+    caption = F.trim(F.coalesce(F.try_element_at(captions, F.lit(-1)), F.try_element_at(speaking, F.lit(-1)), F.lit("")))
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    left, right = strip(F.substr(text, F.greatest(start - around, F.lit(0)) + 1, F.least(start, F.lit(around)))), strip(F.substr(text, start + 1, F.lit(around)))
+    near = strip(F.concat(F.when(left != "", F.concat(left, F.lit("\n"))).otherwise(""), F.lit("[TABLE at pos "), start, F.lit("]\n"), right))
+    joined = lambda xs: F.array_join(xs, "; ")
+    pairs = lambda r: F.when(F.size(r) == F.size("heads"), joined(F.zip_with("heads", r, lambda h, c: F.concat(h, F.lit(" = "), c)))).otherwise(joined(r))
+    numbered = F.transform("rows", lambda r, i: F.concat(F.lit("Row "), i + 1, F.lit(": "), pairs(r)))
+    columns = F.transform("heads", lambda h, i: F.concat(F.lit("  "), h, F.lit(": "), joined(F.transform(F.filter("rows", lambda r: F.size(r) > i), lambda r: F.get(r, i)))))
+    head = F.array(F.lit("TABLE DATA BLOCK"), F.when(caption != "", F.concat(F.lit("Caption or title: "), caption)), F.concat(F.lit("Nearby text: "), F.substr(near, F.lit(1), F.lit(shown))), F.concat(F.lit("Headers: "), joined(F.col("heads"))), F.lit("Rows:"))
+    block = F.array_join(F.array_compact(F.concat(head, numbered, F.array(F.lit("Column data:")), columns)), "\n")
+    blocks = t_.select("doc_id", "start", block.alias("block"))
+    sign = F.regexp_replace(F.substr(F.col("block"), F.lit(1), F.lit(same)), r"\s+", " ")
+    return blocks.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", sign).orderBy("start"))).filter("__n = 1").drop("__n")

@@ -44,4 +44,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from . import built_queries, condition_queries, contract_queries, facts_queries, relational_queries, resolution_queries, scheme_queries, search_queries, storage_queries, text_queries  # noqa: F401
+    from . import built_queries, condition_queries, contract_queries, facts_queries, partial_queries, relational_queries, resolution_queries, scheme_queries, search_queries, storage_queries, text_queries  # noqa: F401
