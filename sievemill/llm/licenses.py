@@ -98,22 +98,24 @@ class Templates:
         return [(int(hashes[p]), int(p)) for p in winnowed(hashes)]
 
 
-def aligned(template: np.ndarray, words: np.ndarray, diagonal: int, band: int) -> tuple[int, int, int]:
+def aligned(template: np.ndarray, words: np.ndarray, diagonal: int, band: int, least: float = 0, first: int = 0, end: int | None = None) -> tuple[int, int, int]:
     """Best alignment of a whole template within ``band`` of a diagonal (text place minus
     template place): matched words, first and end place in the text. Words count for
-    the alignment only if they are equal and in order; of equal scores the shorter span stands."""
+    the alignment only if they are equal and in order; of equal scores the shorter span stands. Only text places from ``first`` to
+    ``end`` count. Without a chance of ``least`` matched words it gives none."""
     m, width = len(template), 2 * band + 1
+    end = len(words) if end is None else min(end, len(words))
     matched = np.zeros(width, np.int64)  # by offset from the diagonal, after i template words
     start = np.full(width, -1, np.int64)  # first matched place, negative if none
     stop = np.full(width, -1, np.int64)
-    offsets = np.arange(width) - band
+    offsets, order = np.arange(width) - band, np.arange(width)
 
     def key(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
         return a * (1 << 32) - (c - b)
 
     for i in range(m):
         at = diagonal + i + offsets
-        ok = (at >= 0) & (at < len(words))
+        ok = (at >= first) & (at < end)
         equal = np.zeros(width, bool)
         equal[ok] = words[at[ok]] == template[i]
         new = matched + equal, np.where(equal & (start < 0), at, start), np.where(equal, at + 1, stop)
@@ -121,15 +123,38 @@ def aligned(template: np.ndarray, words: np.ndarray, diagonal: int, band: int) -
         down = [np.append(x[1:], y) for x, y in ((matched, 0), (start, -1), (stop, -1))]
         better = key(*down) > key(*new)
         new = [np.where(better, d, n) for d, n in zip(down, new, strict=True)]
-        for k in range(1, width):
-            if key(new[0][k - 1], new[1][k - 1], new[2][k - 1]) > key(new[0][k], new[1][k], new[2][k]):
-                for x in new:
-                    x[k] = x[k - 1]
-        matched, start, stop = new
+        value = key(*new)
+        highest = np.maximum.accumulate(value)
+        own = np.append(True, value[1:] >= highest[:-1])  # none before it is better: it keeps its own
+        taken = np.maximum.accumulate(np.where(own, order, 0))
+        matched, start, stop = (x[taken] for x in new)
+        if matched.max() + m - 1 - i < least:
+            return 0, -1, -1
     best = int(key(matched, start, stop).argmax())
     return int(matched[best]), int(start[best]), int(stop[best])
 
 
+def reach(size: int, band: int, coverage: float) -> int:
+    """How far an alignment can get from the diagonal of one of its words: by all template words that may be missing, and by as many others and
+    ``band`` more that its span has room for."""
+    return size - int(coverage * size) + band
+
+
+def placed(template: np.ndarray, words: np.ndarray, diagonal: int, band: int, least: float, limit: int) -> tuple[int, int, int] | None:
+    """The best alignment of at least ``least`` words that spans at most ``limit``, None if there is none.
+
+    If the best one of all is wider, some of its words stand apart: each window of ``limit`` words about it is aligned for itself, and
+    the best of these stands."""
+    found = aligned(template, words, diagonal, band, least)
+    if found[0] == 0 or found[0] < least:
+        return None
+    if found[2] - found[1] <= limit:
+        return found
+    narrow = [aligned(template, words, diagonal, band, least, a, a + limit) for a in range(max(0, found[1] - band), found[2] - limit + band + 1)]
+    narrow = [f for f in narrow if f[0] and f[0] >= least]
+    return min(narrow, key=lambda f: (-f[0], f[2] - f[1], f[1])) if narrow else None
+
+
 def scan(text: bytes | None, templates: Templates, coverage: float = COVERAGE) -> list[tuple[int, int, int, int]]:
     """(template, first word, end word, matched words) of each place where enough of a template
     stands; of overlapping places of one template the best, of equal ones the first."""
@@ -166,10 +191,10 @@ def scan(text: bytes | None, templates: Templates, coverage: float = COVERAGE) -
     for i, first, last in places:
         template = templates.words[i]
         band = max(BAND_LEAST, int(BAND_SHARE * len(template)))
-        # the band of each of the diagonals lies within that of the middle
-        matched, start, stop = aligned(template, ids, (first + last) // 2, band + (last - first + 1) // 2)
-        if matched and matched >= coverage * len(template) and stop - start <= len(template) + band:
-            seen.add((i, start, stop, matched))
+        # the reach of each of the diagonals lies within that about the middle
+        found = placed(template, ids, (first + last) // 2, reach(len(template), band, coverage) + (last - first + 1) // 2, coverage * len(template), len(template) + band)
+        if found:
+            seen.add((i, found[1], found[2], found[0]))
     out += seen
     best: list[tuple[int, int, int, int]] = []
     spans: dict[int, list[tuple[int, int]]] = {}  # of each template, apart from each other and in order

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -63,15 +64,66 @@ def everywhere(words, templates, coverage=licenses.COVERAGE):
     out = []
     for i, t in enumerate(templates.words):
         band = max(licenses.BAND_LEAST, int(licenses.BAND_SHARE * len(t)))
-        found = {licenses.aligned(t, ids, d, band) for d in range(-len(t) - band, len(ids) + band + 1)}
+        found = {licenses.placed(t, ids, d, licenses.reach(len(t), band, coverage), coverage * len(t), len(t) + band) for d in range(-len(t) - band, len(ids) + band + 1)} - {None}
         spans = []
-        for matched, a, b in sorted((f for f in found if f[0] >= coverage * len(t) and f[2] - f[1] <= len(t) + band), key=lambda f: (-f[0], f[2] - f[1], f[1])):
+        for matched, a, b in sorted(found, key=lambda f: (-f[0], f[2] - f[1], f[1])):
             if all(b <= x or y <= a for x, y in spans):
                 spans.append((a, b))
                 out.append((i, a, b, matched))
     return sorted(out, key=lambda f: (f[1], f[2], f[0]))
 
 
+def window_shares(template, words, limit):
+    """The largest share of the template in any window of the text: plain longest common subsequences, without bands."""
+    return max((best_share(template, words[a : a + limit]) for a in range(max(1, len(words) - limit + 1))), default=0)
+
+
+def test_words_that_stand_apart_do_not_hide_a_match():
+    text = [f"w{i}" for i in range(100)]
+    templates = licenses.Templates([("t", " ".join(text))])
+    away = ["x"] * 10
+    (found,) = licenses.scan(" ".join([text[0], *away, *text[1:-1], *away, text[-1]]).encode(), templates)
+    assert found[3] >= 98 and found[2] - found[1] <= 100 + max(licenses.BAND_LEAST, int(licenses.BAND_SHARE * 100))
+    own = licenses.Templates(licenses.TEMPLATES)
+    name, mit = max((t for t in licenses.TEMPLATES if "MIT" in t[0]), key=lambda t: len(t[1]))
+    words = mit.split()
+    strayed = " ".join([words[0], *["stray"] * 12, *words[1:-1], *["stray"] * 12, words[-1]])
+    assert name in {own.names[f[0]] for f in licenses.scan(strayed.encode(), own)}
+
+
+def test_no_match_is_lost_against_plain_subsequences():
+    rng = random.Random(7)
+    text = [f"w{i}" for i in range(60)]
+    templates = licenses.Templates([("t", " ".join(text))])
+    limit = 60 + max(licenses.BAND_LEAST, int(licenses.BAND_SHARE * 60))
+    hits = 0
+    for _ in range(150):
+        words = list(text)
+        for at in sorted(rng.sample(range(60), rng.randrange(0, 14)), reverse=True):
+            words[at : at + 1] = rng.choice([[], ["x"], [words[at], *["y"] * rng.randrange(1, 9)]])
+        words = ["z"] * rng.randrange(0, 20) + words + ["z"] * rng.randrange(0, 20)
+        share, found = window_shares(text, words, limit), licenses.scan(" ".join(words).encode(), templates)
+        if share < licenses.COVERAGE:
+            assert found == []
+        elif found:
+            assert found[0][3] <= share * 60 + 1e-9
+            hits += 1
+        else:  # a match is found by any run of the winnowing's words; only a text without one may go without
+            runs = max((len(list(g)) for ok, g in itertools.groupby(range(len(words) - 1), key=lambda k: words[k] in text and words[k + 1] in text and text.index(words[k + 1]) == text.index(words[k]) + 1) if ok), default=0) + 1
+            assert runs < licenses.GRAM + licenses.WINDOW - 1
+    assert hits > 60
+
+
+def test_alignment_is_fast_enough():
+    import time
+
+    name, text = max(licenses.TEMPLATES, key=lambda t: len(t[1]))
+    templates = licenses.Templates(licenses.TEMPLATES)
+    began = time.process_time()
+    assert licenses.scan((text + " ").encode() * 10, templates)
+    assert time.process_time() - began < 3
+
+
 def test_same_as_aligning_every_template_everywhere():
     templates = licenses.Templates([("a", "one two three four five six seven eight nine ten"), ("b", "five six seven eight nine ten one two three four six"), ("c", "red green blue red green blue red green"), ("d", "one")])
     for seed in range(60):
