@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,6 +81,12 @@ def flattened(rows: DataFrame, name: str, value: str, unit: str) -> DataFrame:
     return rows.select(*rest, F.explode(rows_of).alias("e")).select(*rest, F.col("e.n").alias(name), F.col("e.v").alias(value), F.col("e.u").alias(unit), F.col("e.r").alias("prop_c_rate")).distinct()
 
 
+def flattened_components(components: dict[str, DataFrame], name: str, value: str, unit: str) -> DataFrame:
+    """``flattened`` rows of several components' tables, each with its ``component``; columns that some of them lack are null."""
+    tagged = [rows.withColumn("component", F.lit(c)) for c, rows in components.items()]
+    return flattened(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged), name, value, unit)
+
+
 def grouped_papers(rows: DataFrame) -> DataFrame:
     """doi, material_id, conditions array<struct<condition_id, properties>>: rows (doi, material_id,
     condition_id, name, value, seq) nested twice, in order of first appearance."""

@@ -199,3 +199,27 @@ def foil_violations(compaction: Column, porosity: Column, thickness_um: Column,
     return F.array_compact(F.array(
         F.when(finite(compaction) & (compaction > FOIL_DENSITY), "compaction"), F.when(dense & (F.try_divide(F.abs(loading - expected), expected) > FOIL_TOLERANCE), "loading"),
     ))
+
+
+def doping_question(host: Column, dopants: Column, prop: Column, condition: Column) -> Column:
+    """The question of a doping task; a blank host or property has a common name. condition: map<string,string>, shown in order of its names."""
+    named = lambda c, other: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(other))
+    return F.concat(named(host, "材料"), F.lit("经"), F.array_join(dopants, ","), F.lit("掺杂后，"), named(prop, "性能"), F.lit("达到多少？（条件："), _conditions(condition, F.lit("无")), F.lit("）"))
+
+
+def parameter_question(material: Column, condition: Column, prop: Column) -> Column:
+    """The question of a parameter task."""
+    return F.concat(material, F.lit("在"), _conditions(condition, F.lit("无额外条件")), F.lit("下的"), prop, F.lit("是多少？"))
+
+
+def _conditions(condition: Column, none: Column) -> Column:
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries(condition)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "、")
+    return F.when(F.coalesce(F.size(condition), F.lit(0)) > 0, shown).otherwise(none)
+
+
+def design_questions(relations: DataFrame) -> DataFrame:
+    """task_type, question, expected, unit: tasks of relations (kind, host, dopants, property, value, unit, condition): doping ones that have a value,
+    performance ones always; other kinds give none."""
+    doping = relations.filter("kind = 'doping' and value is not null").select(F.lit("doping_design").alias("task_type"), doping_question(F.col("host"), F.col("dopants"), F.col("property"), F.col("condition")).alias("question"), F.col("value").alias("expected"), "unit")
+    plain = relations.filter("kind = 'performance'").select(F.lit("parameter_design").alias("task_type"), parameter_question(F.col("host"), F.col("condition"), F.col("property")).alias("question"), F.col("value").alias("expected"), "unit")
+    return doping.unionByName(plain)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import extraction, facts, physics, rules, segments
+from ..operators import extraction, facts, metadata, physics, rules, segments
 from .registry import Tables, query
 
 
@@ -100,3 +100,66 @@ def e20_discharges(d: Tables) -> DataFrame:
     curves = d.events.select("user_id", F.col("event_id").alias("t"), volts.alias("v"))
     found = physics.discharges(curves, "user_id", "t", "v", current=2.0, active_kg=0.5)
     return found.select("user_id", F.round("t_end", 4).alias("t_end"), "termination", F.round("mean_v", 6).alias("mean_v"), F.round("capacity_ah", 6).alias("capacity_ah"), F.round("cell_energy", 4).alias("cell_energy"))
+
+
+@query(r"""
+WITH t AS (SELECT conv_id, turn, text || CASE turn % 3 WHEN 0 THEN '; 缺少：“循环' || conv_id || '” 数据。' WHEN 1 THEN chr(10) || 'Needs (more) points; lacks cells; Missing: x; need y' ELSE '' END AS text FROM conversations)
+SELECT conv_id, turn, array_to_string(list_filter(list_transform(regexp_extract_all(text, '(?i)(?:缺少|缺乏|补充|missing|lacks|need)[:：\s]*([^。；;\n]{1,30})', 1), lambda x: trim(regexp_replace(x, '["''“”()（）\[\]]', '', 'g'))), lambda x: x <> '')[1:3], '|') AS queries FROM t
+""")
+def r17_follow_ups(d: Tables) -> DataFrame:
+    k = F.col("turn") % 3
+    end = F.when(k == 0, F.concat(F.lit("; 缺少：“循环"), "conv_id", F.lit("” 数据。"))).when(k == 1, "\nNeeds (more) points; lacks cells; Missing: x; need y").otherwise("")
+    return d.conversations.select("conv_id", "turn", F.array_join(extraction.follow_up_queries(F.concat("text", end)), "|").alias("queries"))
+
+
+@query("""
+SELECT 'doping_design' AS task_type, CASE WHEN p_partkey % 6 = 0 THEN '材料' ELSE p_name END || '经' || CASE WHEN p_partkey % 4 = 0 THEN 'Al,Zr' ELSE 'Nb' END || '掺杂后，' || p_type || '达到多少？（条件：' || CASE WHEN p_partkey % 3 = 0 THEN '无' ELSE 'T=' || p_size || '、rate=1C' END || '）' AS question, CAST(p_retailprice AS VARCHAR) AS expected, 'mAh/g' AS unit FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 10 <> 0
+UNION ALL SELECT 'parameter_design', p_name || '在' || CASE WHEN p_partkey % 3 = 0 THEN '无额外条件' ELSE 'T=' || p_size || '、rate=1C' END || '下的' || p_type || '是多少？', CASE WHEN p_partkey % 10 <> 0 THEN CAST(p_retailprice AS VARCHAR) END, 'mAh/g' FROM part WHERE p_partkey % 2 = 1 AND p_partkey % 7 <> 0
+""")
+def e7_design_questions(d: Tables) -> DataFrame:
+    k = F.col("p_partkey")
+    kind = F.when(k % 2 == 0, "doping").when(k % 7 != 0, "performance").otherwise("compatibility")
+    condition = F.when(k % 3 != 0, F.create_map(F.lit("rate"), F.lit("1C"), F.lit("T"), F.col("p_size").cast("string")))
+    rows = d.part.select(
+        kind.alias("kind"), F.when((k % 6 == 0), " ").otherwise(F.col("p_name")).alias("host"), F.when(k % 4 == 0, F.array(F.lit("Al"), F.lit("Zr"))).otherwise(F.array(F.lit("Nb"))).alias("dopants"),
+        F.col("p_type").alias("property"), F.when(k % 10 != 0, F.col("p_retailprice").cast("string")).alias("value"), F.lit("mAh/g").alias("unit"), condition.alias("condition"),
+    )
+    return rules.design_questions(rows)
+
+
+@query("""
+WITH p AS (SELECT doc_id, list_concat(['# Introduction', repeat('Introduction ', 9)], string_split(text, chr(10))) AS ps FROM documents),
+q AS (SELECT doc_id, ps, coalesce(list_position(list_transform(ps, lambda x: length(x) > 80), true), 0) AS i FROM p)
+SELECT doc_id, CAST(CASE WHEN i > 0 THEN len(ps) - i + 1 ELSE len(ps) END AS INTEGER) AS kept, CASE WHEN i > 0 THEN md5(ps[i]) ELSE md5(ps[1]) END AS first_md5 FROM q
+""")
+def g5_body_start(d: Tables) -> DataFrame:
+    parts = F.concat(F.array(F.lit("# Introduction"), F.repeat(F.lit("Introduction "), 9)), F.split("text", "\n"))
+    kept = d.documents.select("doc_id", segments.body_start(parts).alias("ps"))
+    return kept.select("doc_id", F.size("ps").alias("kept"), F.md5(F.get("ps", F.lit(0))).alias("first_md5"))
+
+
+@query("""
+SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN c_name || ', B. Roe and C. Poe' WHEN 1 THEN 'Ann and ' || c_name WHEN 2 THEN 'the first, of ' || c_mktsegment END AS authors FROM customer
+""")
+def m2_authors(d: Tables) -> DataFrame:
+    k, name = F.col("c_custkey") % 5, F.col("c_name")
+    lines = (
+        F.when(k == 0, F.concat(F.lit("University of X, Y\n\n"), name, F.lit(", B. Roe and C. Poe\nlater, one and more"))).when(k == 1, F.concat(F.lit("a@b.org, mail\nshort, a\n  Ann and "), name, F.lit("  ")))
+        .when(k == 2, F.concat(F.lit("http://x.org/a,b and c\nAbstract, and more\nthe first, of "), "c_mktsegment")).when(k == 3, "no names on this line").otherwise(F.repeat(F.lit("a, b and "), 60))
+    )
+    return d.customer.select("c_custkey", metadata.authors(F.concat(F.lit("head, and x y z\n# A title\n"), lines)).alias("authors"))
+
+
+@query("""
+WITH r AS (SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'cathode' WHEN 1 THEN 'anode' ELSE 'electrolyte' END AS component, CASE WHEN o_orderkey % 3 = 1 THEN o_orderstatus END AS phase, o_custkey FROM orders)
+SELECT id, component, phase, 'p' AS name, CAST(o_custkey AS VARCHAR) AS value, 'V' AS unit, CAST(NULL AS VARCHAR) AS prop_c_rate FROM r WHERE component <> 'cathode'
+UNION ALL SELECT id, component, phase, 'p_' || k, CASE k WHEN 'a' THEN CAST(o_custkey AS VARCHAR) ELSE '2' END, '%', NULL FROM r, (SELECT unnest(['a', 'b']) AS k) WHERE component = 'cathode'
+""")
+def a25_flattened_components(d: Tables) -> DataFrame:
+    key = F.col("o_orderkey")
+    base = lambda k: d.orders.filter(key % 3 == k)
+    common = [key.alias("id"), F.lit("p").alias("name")]
+    cathode = base(0).select(*common, F.concat(F.lit('{"a": '), "o_custkey", F.lit(', "b": 2, "unit": "%"}')).alias("value"), F.lit(None).cast("string").alias("unit"))
+    anode = base(1).select(*common, F.col("o_custkey").cast("string").alias("value"), F.lit("V").alias("unit"), F.col("o_orderstatus").alias("phase"))
+    electrolyte = base(2).select(*common, F.col("o_custkey").cast("string").alias("value"), F.lit("V").alias("unit"))
+    return facts.flattened_components({"cathode": cathode, "anode": anode, "electrolyte": electrolyte}, "name", "value", "unit")
