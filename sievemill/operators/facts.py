@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as p
 from ..functions import text as t
+from . import relational
 from .storage import small
 
 #: Relative difference up to which two values of one property are the same.
@@ -66,19 +67,23 @@ def flattened(rows: DataFrame, name: str, value: str, unit: str) -> DataFrame:
     rates a row for each point (``prop_c_rate``), anything else one row. Other columns stay."""
     text = F.trim(F.col(value))
     text = F.when(text.rlike(r"^\{.*'.*\}$") & ~F.contains(text, F.lit('"')), F.translate(text, "'", '"')).otherwise(text)
-    parsed = F.from_json(text, "map<string,string>")
-    inner = F.when(F.map_contains_key(parsed, F.lit("value")) & parsed["value"].rlike(r"^\s*\{"), F.from_json(parsed["value"], "map<string,string>")).otherwise(parsed)
+    rest = [c for c in rows.columns if c not in (name, value, unit)]
+    none, kept = F.lit(None).cast("string"), [F.col(c) for c in (*rest, name, value, unit)]
+    # each form of value is parsed by itself, and only where it can be of that form
+    shaped = rows.select(*kept, text.alias("__text")).withColumn("__form", F.when(F.col("__text").rlike(r"^\{"), 1).when(F.col("__text").rlike(r"^\[\s*\{"), 2).otherwise(0))
+    shaped = shaped.withColumn("__object", F.when(F.col("__form") == 1, F.from_json("__text", "map<string,string>"))).withColumn("__points", F.when(F.col("__form") == 2, F.from_json("__text", "array<map<string,string>>")))
+    parsed = F.col("__object")
+    shaped = shaped.withColumn("__inner", F.when(F.map_contains_key(parsed, F.lit("value")) & parsed["value"].rlike(r"^\s*\{"), F.from_json(parsed["value"], "map<string,string>")).otherwise(parsed))
+    inner = F.col("__inner")
     own_unit = F.coalesce(parsed["unit"], inner["unit"], F.col(unit))
-    none = F.lit(None).cast("string")
     entry = lambda n, v, u, r: F.struct(n.alias("n"), v.alias("v"), u.alias("u"), r.alias("r"))
     plain = F.map_filter(inner, lambda k, v: k != "unit")
     scalar = F.map_contains_key(plain, F.lit("value")) & (F.size(plain) == 1)
     by_key = F.transform(F.array_sort(F.map_entries(plain)), lambda e: entry(F.when(scalar, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), e["key"])), e["value"], own_unit, none))
-    points = F.from_json(text, "array<map<string,string>>")
-    by_rate = F.transform(points, lambda m: entry(F.col(name), F.coalesce(m["capacity"], m["value"]), F.coalesce(m["unit"], F.col(unit)), m["rate"]))
-    rows_of = F.when(text.rlike(r"^\{") & parsed.isNotNull(), by_key).when(text.rlike(r"^\[\s*\{") & points.isNotNull(), by_rate).otherwise(F.array(entry(F.col(name), F.col(value), F.col(unit), none)))
-    rest = [F.col(c) for c in rows.columns if c not in (name, value, unit)]
-    return rows.select(*rest, F.explode(rows_of).alias("e")).select(*rest, F.col("e.n").alias(name), F.col("e.v").alias(value), F.col("e.u").alias(unit), F.col("e.r").alias("prop_c_rate")).distinct()
+    by_rate = F.transform("__points", lambda m: entry(F.col(name), F.coalesce(m["capacity"], m["value"]), F.coalesce(m["unit"], F.col(unit)), m["rate"]))
+    rows_of = F.when(parsed.isNotNull(), by_key).when(F.col("__points").isNotNull(), by_rate).otherwise(F.array(entry(F.col(name), F.col(value), F.col(unit), none)))
+    out = shaped.select(*rest, F.explode(F.array_distinct(rows_of)).alias("e"))
+    return out.select(*rest, F.col("e.n").alias(name), F.col("e.v").alias(value), F.col("e.u").alias(unit), F.col("e.r").alias("prop_c_rate")).distinct()
 
 
 def flattened_components(components: dict[str, DataFrame], name: str, value: str, unit: str) -> DataFrame:
@@ -233,7 +238,5 @@ def full_cell(config: Column) -> Column:
 
 
 def batches(rows: DataFrame, order: str, size: int = 40) -> DataFrame:
-    """``batch`` numbers of a queue of names, ``size`` to a batch. The queue is what no vocabulary resolves."""
-    from pyspark.sql import Window
-
-    return rows.withColumn("batch", F.ceil(F.row_number().over(Window.orderBy(order)) / F.lit(size)).cast("int"))
+    """``batch`` numbers of a queue of different names, ``size`` to a batch. The queue is what no vocabulary resolves."""
+    return relational.in_order(rows, [order], "__place").withColumn("batch", (F.floor(F.col("__place") / size) + 1).cast("int")).drop("__place")

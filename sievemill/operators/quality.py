@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import small
+
 # Fixed values: (unit in lower case without spaces, base unit, factor). Milliohm and megohm differ by case and are
 # told apart before lower-casing; Wh/L is a base unit of its own; mAh/kg is a thousandth of mAh/g.
 UNITS: list[tuple[str, str, float]] = [
@@ -62,11 +64,11 @@ def unit_key(unit: Column) -> Column:
     return F.lower(F.regexp_replace(squeezed, "^M[ΩΩ]$", "megohm"))
 
 
-def to_base(rows: DataFrame, value: str, unit: str, base: str) -> DataFrame:
+def to_base(rows: DataFrame, value: str, unit: str, base: str, key: str | None = None) -> DataFrame:
     """``value_base`` in the unit that ``base`` asks for, null if the unit is unknown or of another kind; ``unit_warning``
-    says so. No unit: the value itself. K is converted to C, % to a fraction."""
+    says so. No unit: the value itself. K is converted to C, % to a fraction. key: a column with the units' ``unit_key``, if there is one."""
     table = rows.sparkSession.createDataFrame(UNITS, "__unit string, __base string, __factor double")
-    joined = rows.withColumn("__unit", unit_key(F.col(unit))).join(F.broadcast(table), "__unit", "left")
+    joined = rows.withColumn("__unit", unit_key(F.col(unit)) if key is None else F.col(key)).join(F.broadcast(table), "__unit", "left")
     k, want = F.col("__unit"), F.col(base)
     converted = (
         F.when(F.col("__base") == want, F.col(value) * F.col("__factor"))
@@ -89,9 +91,14 @@ def rule_of(name: Column, component: Column) -> Column:
 
 
 def checked(rows: DataFrame, name: str, value: str, unit: str, component: str) -> DataFrame:
-    """``value_base``, ``unit_warning``, ``rule`` and ``ok``: out of range only if a rule fits and the unit is known."""
-    ruled = rows.withColumn("__rule", rule_of(F.col(name), F.col(component))).withColumn("__want", F.col("__rule.base"))
-    based = to_base(ruled, value, unit, "__want")
+    """``value_base``, ``unit_warning``, ``rule`` and ``ok``: out of range only if a rule fits and the unit is known.
+
+    Patterns meet each different (name, component, unit) once, not each row."""
+    kinds = rows.select(F.col(name).alias("__n"), F.col(component).alias("__c"), F.col(unit).alias("__u")).distinct()
+    kinds = small(kinds.withColumns({"__rule": rule_of(F.col("__n"), F.col("__c")), "__key": unit_key(F.col("__u"))}))
+    same = F.col(name).eqNullSafe(F.col("__n")) & F.col(component).eqNullSafe(F.col("__c")) & F.col(unit).eqNullSafe(F.col("__u"))
+    ruled = rows.join(kinds, same, "left").drop("__n", "__c", "__u").withColumn("__want", F.col("__rule.base"))
+    based = to_base(ruled, value, unit, "__want", "__key").drop("__key")
     inside = F.col("value_base").between(F.col("__rule.low"), F.col("__rule.high"))
     value_base = F.when(F.col("__rule").isNotNull(), F.col("value_base"))
     return based.withColumns({"ok": F.coalesce(inside, F.lit(True)), "rule": F.col("__rule.rule"), "value_base": value_base, "unit_warning": F.when(F.col("__rule").isNotNull(), F.col("unit_warning"))}).drop("__rule", "__want")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from . import relational
 from .storage import small, stored
 
 #: Names that are judged at once.
@@ -23,13 +24,8 @@ def open_names(seen: DataFrame, log: DataFrame, name: str = "name") -> DataFrame
 
 
 def in_batches(queue: DataFrame, size: int = BATCH) -> DataFrame:
-    """``queue`` (key) and batch long, from 1, in order of the keys. A range sort with a table of the partitions' sizes; no task
-    sees the whole queue."""
-    placed = stored(queue.repartitionByRange("key").withColumn("__part", F.spark_partition_id()))
-    parts = placed.groupBy("__part").agg(F.count("*").alias("__size"))
-    before = parts.select("__part", F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    place = F.row_number().over(Window.partitionBy("__part").orderBy("key")) - 1 + F.col("__before")
-    return placed.join(F.broadcast(before), "__part").withColumn("batch", F.floor(place / size) + 1).drop("__part", "__before")
+    """``queue`` (key) and batch long, from 1, in order of the keys."""
+    return relational.in_order(queue, ["key"], "__place").withColumn("batch", F.floor(F.col("__place") / size) + 1).drop("__place")
 
 
 def accepted(actions: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import small
+from .storage import small, stored
 
 
 def as_of(points: DataFrame, anchors: DataFrame, key: str, position: str, value: str) -> DataFrame:
@@ -40,11 +40,22 @@ def suffixed_ids(rows: DataFrame, id_column: str, order: list[Column]) -> DataFr
     return rows.withColumn(id_column, F.when(n > 0, F.concat(F.col(id_column).cast("string"), F.lit("|dup"), n)).otherwise(F.col(id_column).cast("string")))
 
 
+def in_order(rows: DataFrame, order: list[str], name: str = "place") -> DataFrame:
+    """``rows`` and their places (long, from 0) when sorted by ``order``, which has to tell them apart. They are range-sorted, so that no task sees all
+    of them; only a row of totals for each partition meets in one."""
+    sorted_ = stored(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    totals = sorted_.groupBy("__part").agg(F.count("*").alias("__size"))
+    before = totals.select("__part", F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    return sorted_.join(F.broadcast(before), "__part").withColumn(name, inside + F.col("__before")).drop("__part", "__before")
+
+
 def numbered_by_first(rows: DataFrame, field: str, order: str, prefix: str = "C") -> DataFrame:
-    """``number``: C001, C002 ... by first appearance of a value. Only the distinct values are ranked."""
+    """``number``: C001, C002 ... by first appearance of a value. Only the distinct values are ranked, by a range sort."""
     firsts = rows.groupBy(field).agg(F.min(order).alias("__first"))
-    ranked = firsts.withColumn("number", F.concat(F.lit(prefix), F.lpad(F.row_number().over(Window.orderBy("__first")).cast("string"), 3, "0"))).drop("__first")
-    return rows.join(ranked, field)
+    ranked = in_order(firsts, ["__first", field], "__place")
+    number = F.concat(F.lit(prefix), F.lpad((F.col("__place") + 1).cast("string"), 3, "0"))
+    return rows.join(ranked.select(field, number.alias("number")), field)
 
 
 def budgeted(rows: DataFrame, key: str, order: list[Column], cost: Column, budget: int, least: int) -> DataFrame:
