@@ -39,7 +39,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose content is not markup; the last two hold text.
 RAW = ("script", "style", "iframe", "xmp", "noembed", "noframes", "title", "textarea")
 #: Elements that are never main text.
-LEFT_OUT = frozenset("script style noscript template svg math head title nav footer aside form iframe object canvas audio video button select textarea datalist dialog menu".split())
+LEFT_OUT = frozenset("script style noscript template svg head title nav footer aside form iframe object canvas audio video button select textarea datalist dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 #: Words of class and id names (split at anything but letters and digits) of such parts.
 PART_WORDS = frozenset(
@@ -47,6 +47,13 @@ PART_WORDS = frozenset(
     "subscription signup sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus share sharing social related "
     "popup modal login pagination pager masthead".split()
 )
+#: Those of them that name other things too (``market-share``, ``related-work``): within an article or main element they count only
+#: in names that have nothing but such words and words of containers.
+AMBIGUOUS = frozenset("ad ads promo promotion banner subscription menu footer comment comments share sharing social related login pager".split())
+CONTAINERS = frozenset(
+    "area article articles bar block box btn button buttons container content count footer form group header icon icons inline inner item items label left "
+    "link links list outer panel post posts right row section slot space text title top bottom middle unit widget wrap wrapper zone".split()
+)
 #: Whole names of such parts, whose words may well name others.
 PART_NAMES = frozenset(
     "header site-header page-header top-header global-header siteheader pageheader notice notices site-notice respond recommended recommendations widget overlay "
@@ -69,6 +76,12 @@ def _words(value: str | None) -> set[str]:
     return set("".join(c if c.isalnum() else " " for c in (value or "").lower()).split())
 
 
+def _names_part(words: set[str], inside: bool) -> bool:
+    """Whether a class or id name of these words is that of a part; ``inside``: within an article or main element."""
+    found = words & PART_WORDS
+    return bool(found) and (not inside or bool(found - AMBIGUOUS) or all(w in PART_WORDS or w in CONTAINERS or w.isdigit() for w in words))
+
+
 def _is_part(tag: str, attributes: list[tuple[str, str]], inside: bool) -> bool:
     if tag in LEFT_OUT or (tag == "header" and not inside):
         return True
@@ -78,7 +91,7 @@ def _is_part(tag: str, attributes: list[tuple[str, str]], inside: bool) -> bool:
         return tag == "article" and any(k in ("class", "id") and {"comment", "comments"} & _words(v) for k, v in attributes)
     for key, value in attributes:
         value = value.lower()
-        if key in ("class", "id") and (_words(value) & PART_WORDS or set(value.split()) & PART_NAMES):
+        if key in ("class", "id") and any(name in PART_NAMES or _names_part(_words(name), inside) for name in value.split()):
             return True
         if (key == "role" and value.strip() in ROLES) or key == "hidden" or (key == "aria-hidden" and value == "true"):
             return True

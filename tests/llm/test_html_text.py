@@ -159,3 +159,14 @@ def test_long_pages(spark):
     pages = spark.createDataFrame([(1, "http://h.example/a", long), (2, "http://h.example/b", f"<div>x</div>{long}")], "page_id long, url string, html string")
     got = {r.page_id: r.main_chars for r in html_text.extract(pages).collect()}
     assert got[1] > 1_000_000 and got[2] == 1
+
+
+@pytest.mark.parametrize("name, kept", [("market-share", True), ("ad-hoc", True), ("related-work", True), ("comment-on-results", True), ("ad", False), ("ad-box-2", False), ("share-buttons", False), ("related-posts", False), ("cookie-info-x", False), ("my-newsletter", False), ("x ad", False)])
+def test_words_that_name_other_things_too(name, kept):
+    inside = text(f'<article><p>one</p><div class="{name}">two</div></article>')
+    assert inside == ("one\ntwo" if kept else "one")
+    assert text(f'<p>one</p><div id="{name.split()[-1]}">two</div>') == "one"  # outside of an article such a word is enough
+
+
+def test_formulas_are_text():
+    assert text("<article><p>if <math><mi>x</mi><mo>=</mo><mn>2</mn></math> then</p></article>") == "if x=2 then"
