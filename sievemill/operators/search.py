@@ -105,13 +105,14 @@ def vector_pairs(vectors: DataFrame, queries: DataFrame, k: int | None = None, a
     Only pairs with a score over ``above``. With ``k`` each task hands on at most the k best of a query, ties to the
     smaller vec_id. Both sides are dealt into blocks, and each pair of blocks is a task: neither has to be small."""
     own, kept = [c for c in queries.columns if c != "query"], ["vec_id", *(carried or [])]
+    vectors, queries = stored(vectors.select(*kept, "embedding")), stored(queries)
     n, m = vectors.count(), queries.count()
     rows = max(-(-n // BLOCK_ROWS), min(vectors.sparkSession.sparkContext.defaultParallelism, -(-n // 1024)), 1)
     parts = max(-(-m // BLOCK_QUERIES), 1)
-    at = F.monotonically_increasing_id()
+    at = F.xxhash64("_metadata.file_name", "_metadata.row_index")  # a row's place in its stored table: a task that runs again deals it alike
     every = lambda c: F.explode(F.sequence(F.lit(0), F.lit(c - 1)).cast("array<bigint>"))
-    left = vectors.select(*kept, "embedding").withColumn("__a", F.pmod(at, F.lit(rows))).withColumn("__b", every(parts))
-    right = queries.withColumn("__b", F.pmod(at, F.lit(parts))).withColumn("__a", every(rows))
+    left = vectors.select(*kept, "embedding", F.pmod(at, F.lit(rows)).alias("__a")).withColumn("__b", every(parts))
+    right = queries.select(*queries.columns, F.pmod(at, F.lit(parts)).alias("__b")).withColumn("__a", every(rows))
     schema = StructType([*(queries.schema[c] for c in own), *(vectors.schema[c] for c in kept), StructField("score", DoubleType())])
 
     def run(block: pa.Table, asked: pa.Table) -> pa.Table:
