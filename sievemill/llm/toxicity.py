@@ -6,10 +6,10 @@ significantly more often than others (log-likelihood ratio against the number of
 since over all words alike long random prose hides the few words that matter; and beginnings of words (4 to 7
 characters) that toxic examples have so much more often are terms too.
 
-Examples form an inverted index, in order of their sizes. The short posting lists, of terms in few examples, are read
-whole. The long ones are kept in blocks of example numbers, with each term's largest weight per block: a
-block's bound is the best score in it so far and what the long lists can add (by these weights, or by the lengths of both sides' vectors in them). Blocks are read in the order of their bounds
-until none can reach the k-th best cosine, so the nearest are exact. Votes are weighted by cosine;
+Examples form an inverted index. The short posting lists, of terms in few examples, are read one text at a time. The
+long ones are rows of a matrix, and a few dozen texts are multiplied with it at once. Of the cosines so found the k-th
+largest maximum of a block bounds the k-th best from below; those that reach it are summed again, in an order that depends
+on the text alone, so the nearest are exact. Votes are weighted by cosine;
 isotonic regression on the votes of all examples, each left out in turn, makes them scores.
 """
 
@@ -17,7 +17,8 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain, islice
 from math import log
 
 import numpy as np
@@ -32,9 +33,10 @@ from .common import alnum_words, byte_rows, stored
 FIT_ROWS = 8_000
 #: Examples that have a term at least; weight of terms that labels do not tell apart.
 LEAST_EXAMPLES, WEAK = 2, 0.3
-#: Share of the examples beyond which a term's posting list is long.
-LONG = 0.3
-NEIGHBOURS, BLOCK, BLOCKS_A_STEP = 15, 64, 32
+#: Share of the examples beyond which a term's posting list is long: from there on a product of matrices costs less.
+LONG = 0.08
+#: Examples in a block; texts that are compared at once, and texts whose scores a task remembers.
+NEIGHBOURS, BLOCK, AT_ONCE, REMEMBERED = 15, 16, 64, 20_000
 PREFIXES = (4, 5, 6, 7)
 PRIOR = 0.25
 
@@ -46,11 +48,12 @@ def terms_of(word: bytes) -> list[str]:
 
 
 class Terms:
-    """Numbers of the kept terms."""
+    """Numbers of the kept terms. often: examples that have each; frequent words lie together, which makes look-ups faster."""
 
-    def __init__(self, terms: list[str]):
-        self.number = {t: i for i, t in enumerate(terms)}
-        self.whole = {t[1:].encode(): i for i, t in enumerate(terms) if t[0] == "="}
+    def __init__(self, terms: list[str], often: Sequence[int] = ()):
+        self.size = len(terms)
+        order = np.argsort(-np.asarray(often), kind="stable").tolist() if len(often) else range(len(terms))
+        self.whole = {terms[i][1:].encode(): i for i in order if terms[i][0] == "="}
         self.starts = {t[1:].encode(): i for i, t in enumerate(terms) if t[0] == "^"}
         self.sizes = sorted({len(t) for t in self.starts})
         self.heads = {t[: PREFIXES[0]] for t in self.starts}  # their first bytes, to pass over most words
@@ -62,10 +65,10 @@ class Terms:
                 if n < len(word) and word[:n] in self.starts:
                     yield word, self.starts[word[:n]]
 
-    def distinct(self, text: bytes | None) -> set[int]:
-        """Kept terms of a whole text."""
+    def distinct(self, text: bytes | None) -> list[int]:
+        """Kept terms of a whole text, each once."""
         words = set(alnum_words(text or b""))
-        return {i for i in map(self.whole.get, words) if i is not None}.union(i for _, i in self._begun(words))
+        return [i for i in map(self.whole.get, words) if i is not None] + list({i for _, i in self._begun(words)})
 
     def counts(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
         """Kept terms of a whole text, ascending, and how often they are in it."""
@@ -79,7 +82,7 @@ class Terms:
 
 
 class Examples:
-    """Labelled vectors in an inverted index, the long lists with block maxima."""
+    """Labelled vectors in an inverted index, the long lists as a matrix."""
 
     def __init__(self, rows: list[tuple[object, int, np.ndarray, np.ndarray]], n_terms: int, long: float = LONG):
         rows = sorted(rows, key=lambda r: (len(r[2]), np.asarray(r[2]).tobytes(), np.asarray(r[3]).tobytes(), r[1], str(r[0])))
@@ -88,52 +91,59 @@ class Examples:
         sizes = [len(r[2]) for r in rows]
         term, weight = (np.concatenate([np.zeros(0, kind), *(np.asarray(r[i], kind) for r in rows)]) for i, kind in ((2, np.int64), (3, float)))
         example = np.repeat(np.arange(n, dtype=np.int32), sizes)
-        order = np.lexsort((example, term))
-        term, self.example, self.weight = term[order], example[order], weight[order]
-        self.first = np.searchsorted(term, np.arange(n_terms + 1))  # of each term's list
-        self.blocks = -(-n // BLOCK)
-        is_long = np.diff(self.first) > max(1, long * n)
+        is_long = np.bincount(term, minlength=n_terms) > max(1, long * n)
         self.long = np.where(is_long, np.cumsum(is_long) - 1, -1)  # a long list's number
+        self.blocks = -(-n // BLOCK)
         inside = is_long[term]
-        self.dense = np.zeros((int(is_long.sum()), self.blocks, BLOCK))  # long lists as weights by block
-        self.dense[self.long[term[inside]], self.example[inside] // BLOCK, self.example[inside] % BLOCK] = self.weight[inside]
-        self.most = self.dense.max(axis=2)
-        self.norm = np.sqrt((self.dense**2).sum(axis=0)).max(axis=1)  # the longest part in long lists of a block's examples
+        self.dense = np.zeros((int(is_long.sum()), BLOCK * self.blocks))  # long lists as weights by example
+        self.dense[self.long[term[inside]], example[inside]] = weight[inside]
+        term, example, weight = term[~inside], example[~inside], weight[~inside]
+        order = np.lexsort((example, term))
+        self.example, self.weight = example[order], weight[order]
+        self.first = np.searchsorted(term[order], np.arange(n_terms + 1))  # of each short list
+
+    def _light(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """What terms with short lists add to each example's cosine."""
+        lo, hi = self.first[terms], self.first[terms + 1]
+        lists = [slice(*x) for x in zip(lo.tolist(), hi.tolist(), strict=True)]
+        if not lists:
+            return np.zeros(self.dense.shape[1])
+        products = np.concatenate([self.weight[x] for x in lists])
+        products *= np.repeat(weights, hi - lo)
+        return np.bincount(np.concatenate([self.example[x] for x in lists]), products, minlength=self.dense.shape[1])
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and cosines of the k nearest examples, all that tie with the last
-        included; only those with a common term. Ordered by cosine, then number."""
-        n = len(self.ids)
-        if not n or not len(terms):
-            return np.zeros(0, np.int64), np.zeros(0)
-        long = self.long[terms]
-        short, mine = terms[long < 0], long[long >= 0]
-        count = self.first[short + 1] - self.first[short]
-        place = np.repeat(self.first[short] - np.cumsum(count) + count, count) + np.arange(count.sum())
-        sums = np.bincount(self.example[place], np.repeat(weights[long < 0], count) * self.weight[place], minlength=n)
-        heavy = weights[long >= 0]
-        bound = np.maximum.reduceat(sums, np.arange(0, n, BLOCK))
-        if len(mine):
-            bound = bound + np.minimum(heavy @ self.most[mine], np.sqrt(heavy @ heavy) * self.norm * (1 + 1e-12))
-        order = np.argsort(-bound, kind="stable")
-        found, scores, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for at in range(0, len(order), BLOCKS_A_STEP):
-            some = order[at : at + BLOCKS_A_STEP]
-            some = some[(bound[some] > 0) & (bound[some] >= least - 1e-9)]
-            if not len(some):
-                break
-            numbers = (some[:, None] * BLOCK + np.arange(BLOCK)).reshape(-1)
-            whole = np.append(sums, np.zeros(BLOCK))[numbers]
-            if len(mine):
-                whole = whole + heavy @ self.dense[mine[:, None], some].reshape(len(mine), -1)
-            near = (whole > 0) & (whole >= least - 1e-12) & (numbers != without)
-            found, scores = np.concatenate([found, numbers[near]]), np.concatenate([scores, whole[near]])
-            if len(scores) > k:
-                least = np.partition(scores, -k)[-k]
-                near = scores >= least - 1e-12
-                found, scores = found[near], scores[near]
-        order = np.lexsort((found, -np.round(scores, 12)))
-        return found[order], scores[order]
+        """``nearest_of`` for a single vector."""
+        return self.nearest_of([(terms, weights)], k, [without])[0]
+
+    def nearest_of(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, without: Sequence[int] = ()) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each vector numbers and cosines of the k nearest examples, all that tie with the last
+        included; only those with a common term, and not its own number in ``without``. Ordered by cosine, then number."""
+        heavy = np.zeros((len(vectors), len(self.dense)))
+        for row, (terms, weights) in zip(heavy, vectors, strict=True):
+            long = self.long[terms]
+            row[long[long >= 0]] = weights[long >= 0]
+        sums, found = heavy @ self.dense, []  # last digits depend on the vectors beside it
+        for at, (terms, weights) in enumerate(vectors):
+            short = self.long[terms] < 0
+            light, whole = self._light(terms[short], weights[short]), sums[at]
+            whole += light
+            if len(without) and without[at] >= 0:
+                whole[without[at]] = 0
+            most, least = whole.reshape(BLOCK, self.blocks).max(axis=0), 0.0
+            if len(most) < k:
+                most = whole
+            if len(most) > k:
+                least = np.partition(most, -k)[-k]
+            near = np.flatnonzero((whole > 0) & (whole >= least - 1e-9))
+            mine = np.flatnonzero(heavy[at])
+            cosines = light[near] + (heavy[at, mine][:, None] * self.dense[mine[:, None], near]).sum(axis=0)
+            if len(cosines) > k:
+                reach = cosines >= np.partition(cosines, -k)[-k] - 1e-12
+                near, cosines = near[reach], cosines[reach]
+            order = np.lexsort((near, -np.round(cosines, 12)))
+            found.append((near[order], cosines[order]))
+        return found
 
     def vote(self, numbers: np.ndarray, cosines: np.ndarray) -> float:
         """Mean of the labels (toxic 1, else -1), weighted by cosine over all k votes: far
@@ -161,7 +171,7 @@ class Model:
     def __init__(self, terms: Terms, scale: np.ndarray, examples: Examples, empty: float):
         self.terms, self.scale, self.examples, self.empty = terms, scale, examples, empty
         self.centres, self.levels = np.array([-1.0, 1.0]), np.array([PRIOR, PRIOR])
-        self.known: dict[bytes, tuple[float, list]] = {}
+        self.known: dict[bytes, tuple] = {}
 
     def __getstate__(self):
         return self.__dict__ | {"known": {}}
@@ -171,21 +181,20 @@ class Model:
         size = float(np.sqrt(np.sum(weights * weights)))
         return weights / size if size else weights
 
-    def vote_of(self, ids: np.ndarray, counts: np.ndarray, without: int = -1) -> float:
-        return self.examples.vote(*self.examples.nearest(ids, self.vector(ids, counts), NEIGHBOURS, without))
-
-    def score(self, text: bytes | None) -> tuple[float, list[tuple[object, float, int]]]:
-        """Score and evidence, (doc_id, cosine, label) of the nearest examples, of a text."""
-        key = hashlib.blake2b(text or b"", digest_size=16).digest()
-        if key not in self.known:
-            if len(self.known) > 20_000:
+    def scores(self, texts: Iterable[bytes | None], evidence: bool = True) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """Score, and numbers and cosines of the nearest examples (None without ``evidence``), of each text."""
+        texts = iter(texts)
+        while some := list(islice(texts, AT_ONCE)):
+            if len(self.known) > REMEMBERED:
                 self.known.clear()
-            ids, tf = self.terms.counts(text)
-            numbers, cosines = self.examples.nearest(ids, self.vector(ids, tf), NEIGHBOURS)
-            score = float(np.interp(self.examples.vote(numbers, cosines), self.centres, self.levels)) if len(numbers) else self.empty
-            evidence = [(self.examples.ids[i], float(c), int(self.examples.labels[i])) for i, c in zip(numbers[:NEIGHBOURS].tolist(), cosines[:NEIGHBOURS].tolist(), strict=True)]
-            self.known[key] = score, evidence
-        return self.known[key]
+            keys = [hashlib.blake2b(t or b"", digest_size=16, person=b"evidence" * evidence).digest() for t in some]
+            new = {key: t for key, t in zip(keys, some, strict=True) if key not in self.known}
+            counted = [self.terms.counts(t) for t in new.values()]
+            found = self.examples.nearest_of([(ids, self.vector(ids, tf)) for ids, tf in counted], NEIGHBOURS)
+            for key, (numbers, cosines) in zip(new, found, strict=True):
+                score = float(np.interp(self.examples.vote(numbers, cosines), self.centres, self.levels)) if len(numbers) else self.empty
+                self.known[key] = (score, numbers[:NEIGHBOURS].astype(np.int32), cosines[:NEIGHBOURS].copy()) if evidence else (score, None, None)
+            yield from [self.known[key] for key in keys]
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -200,9 +209,8 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for toxic, text in zip(batch.column(0).to_pylist(), byte_rows(batch.column(1)), strict=True):
             found = {t for w in set(alnum_words(text or b"")) for t in terms_of(w)}
             (with_it if toxic else without).update(found)
-    terms = list(with_it | without)
-    for at in range(0, len(terms), 10_000):
-        some = terms[at : at + 10_000]
+    terms = chain(with_it, (t for t in without if t not in with_it))
+    while some := list(islice(terms, 10_000)):
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([with_it[t] for t in some], pa.int64()), pa.array([without[t] for t in some], pa.int64())], ["term", "p", "n"])
 
 
@@ -223,18 +231,18 @@ def _frequencies(docs: DataFrame, terms: Terms) -> tuple[int, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        counts, rows = np.zeros(len(own.number), np.int64), 0
+        counts, rows = np.zeros(own.size, np.int64), 0
         for batch in batches:
             rows += batch.num_rows
             for text in byte_rows(batch.column(0)):
-                counts[list(own.distinct(text))] += 1
+                counts[own.distinct(text)] += 1
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1), pa.int32()), pa.array(np.append(counts[seen], rows), pa.int64())], ["term", "n"])
 
     # a row for each term of the examples
     found = docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     term, n = (found.column(c).to_numpy() for c in ("term", "n"))
-    df = np.zeros(len(terms.number), np.int64)
+    df = np.zeros(terms.size, np.int64)
     df[term[term >= 0]] = n[term >= 0]
     return int(n[term < 0].sum()), df
 
@@ -261,18 +269,18 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, doc_id: st
         tallies = stored(read.select("y", "text").mapInArrow(_count_terms, "term string, p long, n long").groupBy("term").agg(F.sum("p").alias("p"), F.sum("n").alias("n")))
         n_terms = tallies.count()
         telling = (F.col("p") * other > 4 * F.col("n") * toxic) & (_likelihood(F.col("p"), F.col("n"), toxic, other) > 2 * log(n_terms + 1) + 8)
-        seen = tallies.filter(F.col("p") + F.col("n") >= LEAST_EXAMPLES).select("term", telling.alias("telling"))
+        seen = tallies.filter(F.col("p") + F.col("n") >= LEAST_EXAMPLES).select("term", telling.alias("telling"), (F.col("p") + F.col("n")).alias("often"))
         kept = seen.filter(F.col("telling") | F.startswith("term", F.lit("="))).orderBy("term").toArrow()
-        terms, weak = Terms(kept.column("term").to_pylist()), np.where(kept.column("telling").to_numpy(), 1.0, WEAK)
+        terms, weak = Terms(kept.column("term").to_pylist(), kept.column("often").to_numpy()), np.where(kept.column("telling").to_numpy(), 1.0, WEAK)
     n_docs, df = _frequencies(docs, terms)
-    model = Model(terms, np.log((n_docs + 1) / (df + 1)) * weak, Examples([], len(terms.number)), PRIOR)
+    model = Model(terms, np.log((n_docs + 1) / (df + 1)) * weak, Examples([], terms.size), PRIOR)
     labelled = stored(vectors(read, terms, keep="y"))
     bare = labelled.filter(F.size("terms") == 0).agg(F.coalesce(F.sum("y"), F.lit(0)), F.count("*")).first()
     model.empty = (float(bare[0]) + 2 * PRIOR) / (float(bare[1]) + 2)
     rows = labelled.filter(F.size("terms") > 0).toArrow()
     each = zip(rows.column("doc_id").to_pylist(), rows.column("y").to_pylist(), *(rows.column(c) for c in ("terms", "tfs")), strict=True)
     vector = lambda ids, tf: (ids, model.vector(ids, tf))
-    model.examples = Examples([(d, y, *vector(ids.values.to_numpy(), tf.values.to_numpy().astype(float))) for d, y, ids, tf in each], len(terms.number))
+    model.examples = Examples([(d, y, *vector(ids.values.to_numpy(), tf.values.to_numpy().astype(float))) for d, y, ids, tf in each], terms.size)
     if rows.num_rows:
         votes = _votes(labelled.filter(F.size("terms") > 0), model).toArrow()  # one for each example
         model.centres, model.levels = isotonic(votes.column("vote").to_numpy(), votes.column("y").to_numpy())
@@ -286,7 +294,10 @@ def _votes(labelled: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            votes = [own.vote_of(ids.values.to_numpy(), tf.values.to_numpy().astype(float), own.examples.number[d.as_py()]) for d, ids, tf in zip(batch.column(0), batch.column(2), batch.column(3), strict=True)]
+            rows, votes = zip(batch.column(0), batch.column(2), batch.column(3), strict=True), []
+            while some := list(islice(rows, AT_ONCE)):
+                each = [(ids.values.to_numpy(), own.vector(ids.values.to_numpy(), tf.values.to_numpy().astype(float))) for _, ids, tf in some]
+                votes += [own.examples.vote(*x) for x in own.examples.nearest_of(each, NEIGHBOURS, [own.examples.number[d.as_py()] for d, _, _ in some])]
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), batch.column(1).cast(pa.float64())], ["vote", "y"])
 
     few = labelled.repartition(max(labelled.sparkSession.sparkContext.defaultParallelism, 1))
@@ -323,13 +334,17 @@ def score(docs: DataFrame, model: Model, text: str = "text", below: float | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
+        ids, labels = pa.array(map(str, own.examples.ids), pa.string()), pa.array(own.examples.labels.astype(np.int32))
         for batch in batches:
-            found = [own.score(t) for t in byte_rows(batch.column(spot))]
+            found = own.scores(byte_rows(batch.column(spot)), evidence=below is None)
             if below is not None:
-                yield batch.filter(pa.array([s < below for s, _ in found], pa.bool_()))
+                yield batch.filter(pa.array([s < below for s, _, _ in found], pa.bool_()))
                 continue
-            evidence = [[{"doc_id": str(d), "cosine": c, "toxic": y} for d, c, y in e] for _, e in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([s for s, _ in found], pa.float64()), pa.array(evidence, kind)], [*batch.schema.names, "tox_score", "tox_evidence"])
+            found = list(found)
+            numbers, cosines = (np.concatenate([np.zeros(0, of), *(x[i] for x in found)]) for i, of in ((1, np.int32), (2, float)))
+            lists = pa.array(np.cumsum([0, *(len(n) for _, n, _ in found)]), pa.int32())
+            evidence = pa.ListArray.from_arrays(lists, pa.StructArray.from_arrays([ids.take(pa.array(numbers)), pa.array(cosines), labels.take(pa.array(numbers))], fields=list(kind.value_type)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([s for s, _, _ in found], pa.float64()), evidence], [*batch.schema.names, "tox_score", "tox_evidence"])
 
     if below is not None:
         return base.mapInArrow(run, base.schema)

@@ -137,3 +137,28 @@ def test_long_text(spark):
     model = toxicity.fit(docs, labels)
     long = spark.createDataFrame([(1, "bade " * 200_000 + "scumbag", 0.0)], docs.schema)
     assert 0 <= toxicity.score(long, model).first().tox_score <= 1
+
+
+def small_model(n=300, words=200):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(n):
+        ids = np.unique(rng.integers(0, words, 12))
+        w = rng.random(len(ids)) + 0.1
+        rows.append((i, i % 2, ids, w / np.sqrt((w * w).sum())))
+    model = toxicity.Model(toxicity.Terms([f"=w{i}" for i in range(words)], range(words)), np.ones(words), toxicity.Examples(rows, words), toxicity.PRIOR)
+    return model, [" ".join(f"w{j}" for j in rng.integers(0, words, 9)).encode() + b" %d" % i for i in range(2_000)]
+
+
+def test_a_task_remembers_no_evidence_that_nobody_asked_for():
+    import tracemalloc
+
+    model, texts = small_model()
+    assert sum(isinstance(v, dict) and len(v) == 200 for v in vars(model.terms).values()) == 1  # each term once
+    tracemalloc.start()
+    bare = [s for s, _, _ in model.scores(texts, evidence=False)]
+    held = tracemalloc.get_traced_memory()[0] / len(texts)
+    tracemalloc.stop()
+    assert held < 400
+    full = list(model.scores(texts))  # by the same model
+    assert bare == [s for s, _, _ in full] and all(len(numbers) == len(cosines) > 0 for _, numbers, cosines in full)
