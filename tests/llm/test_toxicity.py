@@ -162,3 +162,21 @@ def test_a_task_remembers_no_evidence_that_nobody_asked_for():
     assert held < 400
     full = list(model.scores(texts))  # by the same model
     assert bare == [s for s, _, _ in full] and all(len(numbers) == len(cosines) > 0 for _, numbers, cosines in full)
+
+
+def test_cosines_beside_others_are_those_alone():
+    rows = random_examples(7, n=900, terms=60)
+    index, rng = toxicity.Examples(rows, 60), np.random.default_rng(8)
+    often = np.bincount(np.concatenate([r[2] for r in rows]), minlength=60)
+    assert len(index.example) == often[often <= toxicity.LONG * 900].sum()  # lists of frequent terms are not read text by text
+    vectors = [(t, rng.random(len(t))) for t in (np.unique(rng.integers(0, 60, rng.integers(0, 9))) for _ in range(100))]
+    without = [i if i % 3 else -1 for i in range(100)]
+    for found, vector, own in zip(index.nearest_of(vectors, 15, without), vectors, without, strict=True):
+        alone = index.nearest(*vector, 15, own)
+        assert (found[0] == alone[0]).all() and (found[1] == alone[1]).all() and own not in found[0]
+        sims = np.zeros(900)
+        for k, i in enumerate(index.ids):
+            weight = dict(zip(rows[i][2], rows[i][3], strict=True))
+            sims[k] = 0 if k == own else sum(w * weight.get(t, 0) for t, w in zip(vector[0].tolist(), vector[1].tolist(), strict=True))
+        least = np.sort(sims)[-15]
+        assert set(found[0].tolist()) == set(np.flatnonzero((sims > 0) & (sims >= least - 1e-12)).tolist())
