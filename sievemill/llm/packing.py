@@ -22,7 +22,7 @@ from .tokens import encoder
 
 #: Tokens of a sequence.
 SIZE = 2048
-#: Pieces that a task packs, about.
+#: Pieces that a task packs at least, if there are as many; under twice as many go to one task, since halves pack worse.
 PIECES_A_TASK = 40_000
 #: Free space, in sequences, up to which a task's emptiest bins go to the next round.
 OPEN_SPACE = 4
@@ -254,7 +254,7 @@ def pack(rows: DataFrame, length: str = "length", size: int = SIZE) -> DataFrame
     schema = T.StructType([*left.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("open", T.BooleanType())])
     closed, turn, tasks = [], 0, 0
     while tasks != 1:
-        tasks = max(1, -(-left.count() // PIECES_A_TASK))
+        tasks = max(1, left.count() // PIECES_A_TASK)
         dealt = left.select("row", "length", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("place"))
         placed = stored(dealt.repartition(tasks, F.xxhash64("file", "place")).mapInArrow(_packed(size, turn, tasks == 1), schema))
         closed.append(placed.filter("not open"))

@@ -92,6 +92,12 @@ def test_packing_is_near_the_least(spark, a_task, monkeypatch):
     assert len(whole(found, 2048)) <= -(-sum(lengths) // 2048) + 1
 
 
+def test_under_two_tasks_of_pieces_go_to_one(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PIECES_A_TASK", 30)
+    rows = spark.createDataFrame([(i, 1 + i % 9) for i in range(59)], "doc_id long, length int").repartition(3)
+    assert max(r.sequence_id for r in packing.pack(rows, size=10).collect()) < 1 << 32  # the first round's only task
+
+
 def test_repeated_rows_empty_tables_and_bad_lengths(spark):
     rows = spark.createDataFrame([(1, 5)] * 7, "doc_id long, length long")
     assert len(whole(packing.pack(rows, size=10).collect(), 10)) == 4
