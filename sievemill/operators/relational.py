@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import quotient
 from .storage import small, stored
 
 
@@ -75,11 +76,12 @@ def gaps(rows: DataFrame, key: str, start: str, end: str) -> DataFrame:
 
 
 def crossing(rows: DataFrame, key: str, order: str, value: str, least: float) -> DataFrame:
-    """key, at: where the value first falls below ``least``, between the two rows by a straight line."""
+    """key, at: where the value is first below ``least`` behind a row with a value, between the two rows by a straight line. Infinite
+    if both have the same value, which only the first two of a key can."""
     w = Window.partitionBy(key).orderBy(order)
     steps = rows.select(key, order, value, F.lag(order).over(w).alias("__t"), F.lag(value).over(w).alias("__v"))
     below = steps.filter((F.col(value) < least) & F.col("__v").isNotNull())
-    at = F.col("__t") + (F.col(order) - F.col("__t")) * (F.lit(least) - F.col("__v")) / (F.col(value) - F.col("__v"))
+    at = F.col("__t") + quotient((F.col(order) - F.col("__t")) * (F.lit(least) - F.col("__v")), F.col(value) - F.col("__v"))
     return below.groupBy(key).agg(F.min_by(at, F.col(order)).alias("at"))
 
 
