@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import rounded
 from ..operators import extraction, facts, metadata, physics, rules, segments
 from .registry import Tables, query
 
@@ -99,7 +100,8 @@ def e20_discharges(d: Tables) -> DataFrame:
     volts = F.when(F.col("event_id") % 97 != 5, F.lit(2.2) + F.col("value") / 100)
     curves = d.events.select("user_id", F.col("event_id").alias("t"), volts.alias("v"))
     found = physics.discharges(curves, "user_id", "t", "v", current=2.0, active_kg=0.5)
-    return found.select("user_id", F.round("t_end", 4).alias("t_end"), "termination", F.round("mean_v", 6).alias("mean_v"), F.round("capacity_ah", 6).alias("capacity_ah"), F.round("cell_energy", 4).alias("cell_energy"))
+    digits = {"t_end": 4, "mean_v": 6, "capacity_ah": 6, "cell_energy": 4}
+    return found.select("user_id", "termination", *[rounded(F.col(c), n).alias(c) for c, n in digits.items()])
 
 
 @query(r"""

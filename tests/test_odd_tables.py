@@ -36,3 +36,12 @@ def test_best_order_by_the_sum_of_price_and_key(spark, tmp_path):
     orders = {"o_orderkey": [r[0] for r in rows], "o_custkey": [r[1] for r in rows], "o_totalprice": pa.array([r[2] for r in rows], pa.float64()), "o_orderstatus": status}
     got, want = both(spark, tmp_path, "a19_o5_e22_best", orders=orders)
     assert got == want == [("1", "30001"), ("2", "30002"), ("3", "None"), ("4", "6"), ("5", "10")]
+
+
+def test_discharges_between_equal_voltages_and_halves(spark, tmp_path):
+    flat = [(10, 1, 20.0), (20, 1, 20.0), (30, 1, 60.0)]
+    half = [(9497, 2, 17.09), (14488, 2, 24.45)]
+    beyond = [(100, 3, 10.0), (110, 3, 20.0), (120, 3, 40.0)]
+    rest = [(200, 4, 30.0), (204217, 4, 30.0), (7, 5, 90.0), (8, 5, 10.0), (11, 6, 50.0)]
+    got, want = both(spark, tmp_path, "e20_discharges", events=events(flat + half + beyond + rest))
+    assert got == want and got[0][1:3] == ("inf", "voltage_cutoff") and got[1][1] == "18251.5937" and len(got) == 6
