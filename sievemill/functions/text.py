@@ -168,9 +168,10 @@ def json_in(text: Column) -> Column:
 
 
 def page_range(name: Column) -> Column:
-    """struct<first, last> of names like ``x_p0001-0040.md``, null for others."""
-    pattern = r"_p([0-9]{4})-([0-9]{4})\.md$"
-    return F.when(name.rlike(pattern), F.struct(F.regexp_extract(name, pattern, 1).cast("int").alias("first"), F.regexp_extract(name, pattern, 2).cast("int").alias("last")))
+    """struct<first, last> of names like ``x_p0001-0040.md``, null for others. Pages from 10,000 on have more than four digits, as who writes
+    the names pads them to four and cuts none; a number beyond an int is null."""
+    pattern = r"_p([0-9]{4,})-([0-9]{4,})\.md$"
+    return F.when(name.rlike(pattern), F.struct(*[F.regexp_extract(name, pattern, i).try_cast("int").alias(c) for i, c in ((1, "first"), (2, "last"))]))
 
 
 def short_label(label: Column) -> Column:

@@ -180,7 +180,7 @@ def t23_preview(d: Tables) -> DataFrame:
 SELECT page_id, CAST(page_id AS INTEGER) AS first, CAST(page_id + 39 AS INTEGER) AS last FROM pages
 """)
 def t24_page_range(d: Tables) -> DataFrame:
-    name = F.concat(F.lit("book_p"), F.lpad(F.col("page_id").cast("string"), 4, "0"), F.lit("-"), F.lpad((F.col("page_id") + 39).cast("string"), 4, "0"), F.lit(".md"))
+    name = F.format_string("book_p%04d-%04d.md", F.col("page_id"), F.col("page_id") + 39)
     return d.pages.select("page_id", t.page_range(name).alias("r")).select("page_id", "r.first", "r.last")
 
 

@@ -3,7 +3,9 @@
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
+from sievemill.functions import text
 from sievemill.plans import registry
 
 
@@ -45,3 +47,10 @@ def test_discharges_between_equal_voltages_and_halves(spark, tmp_path):
     rest = [(200, 4, 30.0), (204217, 4, 30.0), (7, 5, 90.0), (8, 5, 10.0), (11, 6, 50.0)]
     got, want = both(spark, tmp_path, "e20_discharges", events=events(flat + half + beyond + rest))
     assert got == want and got[0][1:3] == ("inf", "voltage_cutoff") and got[1][1] == "18251.5937" and len(got) == 6
+
+
+def test_page_ranges_of_more_than_four_digits(spark, tmp_path):
+    got, want = both(spark, tmp_path, "t24_page_range", pages={"page_id": pa.array([0, 9960, 9961, 9999, 10000, 1234567, None], pa.int64())})
+    assert got == want and ("9961", "9961", "10000") in got and ("1234567", "1234567", "1234606") in got
+    names = spark.createDataFrame([("x_p0001-0040.md",), ("x_p001-0040.md",), ("x_p0001-99999999999.md",)], "n string").select(text.page_range(F.col("n")).alias("r"))
+    assert [r.r and tuple(r.r) for r in names.collect()] == [(1, 40), None, (1, None)]
