@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import extraction, gates
-from .storage import small
+from .storage import merged_by_sort, small
 
 # What a geometry declares, the scales of units, what evidence has to say, how near numbers have to be, and which ranges are possible.
 FIELDS = ("L_um", "porosity", "R_s_um", "D_s_m2s")
@@ -72,7 +72,7 @@ def contract_problems(schemes: DataFrame, values: DataFrame, baseline: DataFrame
     wanted = wanted.withColumn("__material", F.when(F.col("__component") == "cathode", F.col("cathode")).otherwise(F.col("anode")))
     first = values.groupBy("scheme_id", "path").agg(F.min(F.struct(F.col("origin").isNull().alias("x"), "origin", "value")).alias("v"))
     known = small(baseline.select(F.col("material").alias("__m"), F.col("field").alias("__f"), F.col("value").alias("__base")))
-    rows = wanted.join(first, ["scheme_id", "path"], "left").join(known, (F.col("__material") == F.col("__m")) & (F.col("__field") == F.col("__f")), "left")
+    rows = wanted.join(merged_by_sort(first), ["scheme_id", "path"], "left").join(known, (F.col("__material") == F.col("__m")) & (F.col("__field") == F.col("__f")), "left")
     value, origin = F.col("v.value"), F.col("v.origin")
     number = extraction.strict_number(value)
     optional = F.col("__field").isin("R_s_um", "D_s_m2s")

@@ -17,6 +17,12 @@ def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def merged_by_sort(df: DataFrame) -> DataFrame:
+    """With a hint that joins sort and merge it. Spark's estimate of a table takes what explode makes for as many rows as went in, and would
+    broadcast millions of them, through the driver."""
+    return df.hint("merge")
+
+
 def work_dir(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``. Where that is unset one of this machine, which a cluster's
     executors could not reach: it raises there."""

@@ -54,3 +54,17 @@ def test_page_ranges_of_more_than_four_digits(spark, tmp_path):
     assert got == want and ("9961", "9961", "10000") in got and ("1234567", "1234567", "1234606") in got
     names = spark.createDataFrame([("x_p0001-0040.md",), ("x_p001-0040.md",), ("x_p0001-99999999999.md",)], "n string").select(text.page_range(F.col("n")).alias("r"))
     assert [r.r and tuple(r.r) for r in names.collect()] == [(1, 40), None, (1, None)]
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def planned(spark, name):
+    """The plan of a query, where tables of up to 10 MB by Spark's estimate may be broadcast."""
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"
+    return registry.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_declared_values_are_not_broadcast(spark):
+    plan = planned(spark, "e15_contract_problems")
+    assert "SortMergeJoin [scheme_id" in plan and plan.count("+- BroadcastExchange") == 1  # the baseline alone
