@@ -100,7 +100,7 @@ def revised(schemes: DataFrame, requests: DataFrame, ranges: dict[str, tuple[flo
     A request that is there twice counts once; a null request_id comes first. A scheme's requests are folded in its row: BUDGET is small, requests few."""
     kinds = "struct<revision:int,used:int,geometry:map<string,double>,log:array<struct<request_id:bigint,code:string>>>"
     ordered = requests.dropDuplicates(["scheme_id", "request_id"]).groupBy("scheme_id").agg(F.array_sort(F.collect_list(F.struct(F.col("request_id").cast("long").alias("request_id"), F.col("base_revision").cast("int").alias("base_revision"), "base_hash", F.map_entries("changes").alias("changes")))).alias("__requests"))
-    rows = schemes.join(ordered, "scheme_id", "left")
+    rows = schemes.join(merged_by_sort(ordered), "scheme_id", "left")
     paths = F.array(*[F.lit(p) for p in ranges])
     low, high = (F.create_map(*[F.lit(x) for p, r in ranges.items() for x in (p, float(r[i]))]) for i in (0, 1))
 

@@ -68,3 +68,8 @@ def planned(spark, name):
 def test_declared_values_are_not_broadcast(spark):
     plan = planned(spark, "e15_contract_problems")
     assert "SortMergeJoin [scheme_id" in plan and plan.count("+- BroadcastExchange") == 1  # the baseline alone
+
+
+def test_requests_for_revisions_are_not_broadcast(spark):
+    plan = planned(spark, "e16_locked_revisions")
+    assert "SortMergeJoin [scheme_id" in plan and "BroadcastExchange" not in plan
