@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import quotient
-from .storage import small, stored
+from .storage import merged_by_sort, small, stored
+
+#: Blocks that the rows of a key are dealt into where a key has many rows on both sides.
+BLOCKS = 16
 
 
 def as_of(points: DataFrame, anchors: DataFrame, key: str, position: str, value: str) -> DataFrame:
@@ -19,6 +22,14 @@ def as_of(points: DataFrame, anchors: DataFrame, key: str, position: str, value:
     return both.withColumn(value, F.last(value, ignorenulls=True).over(before)).filter("__kind = 1").select("__row.*", value)
 
 
+def dealt_pairs(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """``rows`` with all ``names`` of their key. A key's rows are dealt into blocks, each with a copy of the key's names, so that a few
+    keys with many pairs are more tasks than keys. If neither side has a row twice, no pair comes twice."""
+    dealt = rows.withColumn("__block", F.pmod(F.xxhash64(*rows.columns), F.lit(BLOCKS)))
+    copies = names.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long"))))
+    return dealt.join(merged_by_sort(copies), [key, "__block"]).drop("__block")
+
+
 def first_by(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row of each key, the first in order."""
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__n = 1").drop("__n")

@@ -73,3 +73,12 @@ def test_declared_values_are_not_broadcast(spark):
 def test_requests_for_revisions_are_not_broadcast(spark):
     plan = planned(spark, "e16_locked_revisions")
     assert "SortMergeJoin [scheme_id" in plan and "BroadcastExchange" not in plan
+
+
+def test_pairs_of_an_alias_come_once_without_a_look_at_all_pairs(spark, tmp_path):
+    part = {"p_partkey": pa.array([1, 1, 1, 2, 3, None, 4], pa.int64()), "p_brand": ["Brand#7", "BRAND#7", "brand#8", "Brand#7", None, "Brand#8", "Brand#9"]}
+    supplier = {"s_suppkey": pa.array([7, 57, 57, 8, None], pa.int64())}
+    got, want = both(spark, tmp_path, "j4_exact_alias", part=part, supplier=supplier)
+    assert got == want and len(got) == 6
+    plan = planned(spark, "j4_exact_alias")
+    assert "Aggregate" not in plan[: plan.index("Join")]
