@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import conditions, registration
+from ..operators.storage import stored
 from ..streaming import conditions as growth
 from .registry import Tables, query
 
@@ -51,7 +52,7 @@ def n12_merged_conditions(d: Tables) -> DataFrame:
 def i4_growing_conditions(d: Tables) -> DataFrame:
     """The stream numbers an order by its place among the customer's; the query gives it its key again."""
     turn = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
-    rows = _conditions(d).withColumn("seq", turn.cast("long"))
+    rows = stored(_conditions(d).withColumn("seq", turn.cast("long")))
     grown = growth.replayed(rows, "o_custkey", _FIELDS)
     return rows.select("o_custkey", "o_orderkey", "seq").join(grown, ["o_custkey", "seq"]).drop("seq")
 

@@ -100,3 +100,35 @@ def test_paragraphs_wait_for_their_turn(spark, tmp_path):
     frame(spark, [("k", 0, "z", None, None)]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     run()
     assert sorted((r.seq, r.number) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(0, 1), (1, 2)]
+
+
+def test_papers_of_a_bucket_share_one_look_at_the_state():
+    import pandas as pd
+
+    class Value:
+        value, calls = None, 0
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls, self.value = self.calls + 1, value
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return states.setdefault(name, Value())
+
+    states, rows = {}, random_rows(50, 6, 3)
+    random.Random(3).shuffle(rows)
+    processor, out = growth.Growing(FIELDS, False), []
+    processor.init(Handle())
+    for part in (rows[:200], rows[200:], rows[:9]):
+        out += [r for f in processor.handleInputRows((0,), iter([pd.DataFrame(part, columns=["key", "seq", *FIELDS])]), None) for r in f.astype(object).where(f.notna(), None).itertuples()]
+    assert lists_after(out) == plain(rows, False) and len(states) == 1 and sum(s.calls for s in states.values()) == 6
+
+
+def test_keys_come_back_with_their_type(spark):
+    rows = [(k, s, *f) for k in (2**60 + 1, 2**60, None) for s, f in enumerate([("x", None, None), (None, None, None), ("y", "z", None), (None, None, "x")])]
+    got = growth.replayed(spark.createDataFrame(rows, "paper long, seq long, a string, b string, c string"), "paper", FIELDS).collect()
+    assert sorted((r.paper or 0, r.seq, r.number or 0, r.known) for r in got) == [(k, s, *n) for k in (0, 2**60, 2**60 + 1) for s, n in enumerate([(1, 1), (0, 1), (2, 2), (1, 2)])]
