@@ -14,7 +14,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..operators import conditions
 from ..operators.storage import work_dir
 
-#: Keyed state of any shape needs this store.
+#: The state of transformWithState needs this store.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Groups that papers are dealt into; a checkpoint holds for one number.
 BUCKETS = 4096
